@@ -1 +1,202 @@
+"""Queries: rule parsing, evaluation, mining and matching."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from claimloom.catalog.assembly import ITEM_CTE, joined
+from claimloom.catalog.registry import query
+from claimloom.catalog.reporting import rounded
+from claimloom.operators import enrich, mining, rules
+from claimloom.plans.mine import mine_rules
+from claimloom.plans.validate import validate_claims
+from claimloom.sizing import reuse
+
+
+@query("P3_active_filters", "filters", "SELECT filter_id, filter_name, rule_definition, description, rule_type FROM filters WHERE active")
+def active_filters(d):
+    return rules.active_filters(d.filters)
+
+
+@query("M7_rule_conditions", sql="""
+SELECT cast(p_partkey * 3 AS INT) AS filter_id, 0 AS cond_no, 'diagnosis' AS kind, '=' AS op, p_brand AS value_str, cast(NULL AS DOUBLE) AS value_num, '' AS sets FROM part
+UNION ALL SELECT cast(p_partkey * 3 AS INT), 1, 'age', '>=', NULL, p_size, '' FROM part
+UNION ALL SELECT cast(p_partkey * 3 AS INT), 2, 'procedure', 'in', NULL, NULL, 'managed_procedure' FROM part
+UNION ALL SELECT cast(p_partkey * 3 + 1 AS INT), 0, 'charge', '<', NULL, p_retailprice, '' FROM part
+UNION ALL SELECT cast(p_partkey * 3 + 1 AS INT), 1, 'place', '=', p_name, NULL, '' FROM part""")
+def rule_conditions(d):
+    """Two rules per part, parsed into condition rows; a third one has no condition."""
+    brand, size = F.col("p_brand"), F.col("p_size").cast("string")
+    texts = F.array(
+        F.concat(F.lit("rule_applies(X) <= has_diagnosis(X, '"), brand, F.lit("') & patient_age(X, Age) & (Age >= "), size,
+                 F.lit(") & has_procedure(X, ProcCode) & managed_procedure(ProcCode)")),
+        F.concat(F.lit("charge_amount(X, Amount) & place_of_service(X, \""), F.col("p_name"), F.lit("\") & (Amount < "),
+                 F.col("p_retailprice").cast("string"), F.lit(")")),
+        F.lit("rule_applies(X) <= True"),
+    )
+    filters = d.part.select("p_partkey", F.posexplode(texts).alias("i", "rule_definition")).select(
+        (F.col("p_partkey") * 3 + F.col("i")).cast("int").alias("filter_id"), "rule_definition")
+    return rules.rule_conditions(filters).select(
+        "filter_id", "cond_no", "kind", "op", "value_str", "value_num", joined(F.coalesce("set_names", F.array())).alias("sets"))
+
+
+# One boolean per rule of the fixed rule set, over claims.
+TRUTH = """
+, dx AS (SELECT claim_id, bool_or(diagnosis_code = 'Brand#13') AS b13, bool_or(diagnosis_code IN ('Brand#1', 'Brand#5', 'Brand#21')) AS prev FROM diagnoses GROUP BY claim_id)
+, px AS (SELECT claim_id, bool_or(procedure_code IN ('P1', 'P10', 'P25', 'P50')) AS managed FROM procedures GROUP BY claim_id)
+, truth AS (SELECT c.claim_id, processing_status, coalesce(b13 AND patient_age > 65, false) AS r1,
+  coalesce(total_charge_amount > 100000 AND provider_type = 'SPECIALIST', false) AS r2,
+  coalesce(patient_age < 18 AND prev, false) AS r3, coalesce(place_of_service = '23' AND provider_type = 'EMERGENCY', false) AS r4,
+  coalesce(patient_age >= 18 AND patient_age < 65, false) AS r5, true AS r6, coalesce(b13 AND managed, false) AS r7, false AS r8
+  FROM claims c LEFT JOIN dx USING (claim_id) LEFT JOIN px USING (claim_id))
+, outcomes AS (SELECT claim_id, processing_status, f.filter_id, f.filter_name,
+  CASE f.filter_id WHEN 1 THEN r1 WHEN 2 THEN r2 WHEN 3 THEN r3 WHEN 4 THEN r4 WHEN 5 THEN r5 WHEN 6 THEN r6 WHEN 7 THEN r7 ELSE r8 END AS passed,
+  'DATALOG' AS rule_type, f.description AS details, CASE WHEN f.filter_id = 8 THEN 'unknown code set: no_such_set' ELSE '' END AS error
+  FROM truth, (SELECT * FROM filters WHERE active) f)
+"""
+NUMBER = "cast(right(claim_id, 10) AS BIGINT)"
+
+
+def _candidates(d):
+    """Three filter ids per claim, inactive and unknown ones among them."""
+    number = F.right("claim_id", F.lit(10)).cast("long")
+    ids = F.transform(F.array(F.lit(0), F.lit(1), F.lit(4)), lambda j: ((number * 3 + j) % 10 + 1).cast("int"))
+    return d.claims.select("claim_id", ids.alias("predicted_filters"))
+
+
+@query("M8_evaluate_rules", "claims diagnoses procedures filters", TRUTH + f"""
+SELECT claim_id, filter_id, filter_name, passed, rule_type, details, error FROM outcomes
+WHERE filter_id IN (({NUMBER} * 3) % 10 + 1, ({NUMBER} * 3 + 1) % 10 + 1, ({NUMBER} * 3 + 4) % 10 + 1)""")
+def evaluate_rules(d):
+    candidates = _candidates(d).select("claim_id", F.explode("predicted_filters").alias("filter_id"))
+    return rules.evaluate_rules(*d.core, d.filters, d.code_sets, candidates)
+
+
+@query("M9_evaluate_all_active", "claims diagnoses procedures filters", TRUTH + """
+SELECT claim_id, filter_id, filter_name, passed, rule_type, details, error FROM outcomes""")
+def evaluate_all_active(d):
+    coded = enrich.claim_codes(d.claims, d.diagnoses, d.procedures).withColumnsRenamed(
+        {"diagnoses": "diagnosis_codes", "procedures": "procedure_codes"})
+    return rules.evaluate_all_active(coded, d.filters, d.code_sets)
+
+
+@query("M9_rule_coverage", "claims diagnoses procedures filters", TRUTH + """
+SELECT filter_id, filter_name, count(*) AS n_claims, count(*) FILTER (passed) AS n_passed, error FROM outcomes GROUP BY filter_id, filter_name, error""")
+def rule_coverage(d):
+    return rules.rule_coverage(*d.core, d.filters, d.code_sets)
+
+
+@query("V5_validate_claims", "claims diagnoses procedures filters", TRUTH + f"""
+, w AS (SELECT claim_id, i AS pos, ({NUMBER} * 3 + CASE i WHEN 2 THEN 4 ELSE i END) % 10 + 1 AS filter_id
+  FROM claims, range(0, 3) AS t(i) WHERE processing_status = 'PENDING')
+SELECT w.claim_id, string_agg(cast(w.filter_id AS VARCHAR), ',' ORDER BY pos) AS predicted_filters,
+  coalesce(string_agg(concat_ws('|', cast(o.filter_id AS VARCHAR), o.filter_name, cast(passed AS VARCHAR), rule_type, details, error), ';' ORDER BY pos)
+    FILTER (o.filter_id IS NOT NULL), '') AS outcomes, 'COMPLETED' AS validation_status
+FROM w LEFT JOIN outcomes o ON o.claim_id = w.claim_id AND o.filter_id = w.filter_id GROUP BY w.claim_id""")
+def validate(d):
+    pending = d.claims.filter(F.col("processing_status") == "PENDING")
+    return outcome_text(validate_claims(pending, d.diagnoses, d.procedures, d.filters, d.code_sets, candidates=_candidates(d)))
+
+
+def outcome_text(results):
+    return results.select(
+        "claim_id", joined(F.col("predicted_filters").cast("array<string>")).alias("predicted_filters"),
+        F.array_join(F.transform("validation_results", lambda o: F.concat_ws(
+            "|", o["filter_id"].cast("string"), o["filter_name"], o["passed"].cast("string"), o["rule_type"], o["details"], o["error"])), ";").alias("outcomes"),
+        "validation_status")
+
+
+# --- mining ----------------------------------------------------------------
+
+SETS = ITEM_CTE + """
+, n AS (SELECT count(DISTINCT claim_id) AS n FROM tx)
+, s1 AS (SELECT item AS a, count(*) AS f FROM tx GROUP BY item HAVING count(*) / (SELECT n FROM n) >= 0.01)
+, t1 AS (SELECT tx.* FROM tx JOIN s1 ON s1.a = tx.item)
+, s2 AS (SELECT x.item AS a, y.item AS b, count(*) AS f FROM t1 x JOIN t1 y ON x.claim_id = y.claim_id AND x.item < y.item
+  GROUP BY 1, 2 HAVING count(*) / (SELECT n FROM n) >= 0.01)
+, t2 AS (SELECT x.claim_id, x.item AS a, y.item AS b FROM t1 x JOIN t1 y ON x.claim_id = y.claim_id AND x.item < y.item JOIN s2 ON s2.a = x.item AND s2.b = y.item)
+, s3 AS (SELECT t2.a, t2.b, z.item AS c, count(*) AS f FROM t2 JOIN t1 z ON z.claim_id = t2.claim_id AND t2.b < z.item
+  GROUP BY 1, 2, 3 HAVING count(*) / (SELECT n FROM n) >= 0.01)
+, sets AS (SELECT a AS items, f FROM s1 UNION ALL SELECT concat_ws(',', a, b), f FROM s2 UNION ALL SELECT concat_ws(',', a, b, c), f FROM s3)
+"""
+RULES = SETS + """
+, splits AS (
+  SELECT concat_ws(',', a, b) AS items, unnest([a, b]) AS ante, unnest([b, a]) AS cons FROM s2
+  UNION ALL SELECT concat_ws(',', a, b, c), unnest([a, b, c, concat_ws(',', a, b), concat_ws(',', a, c), concat_ws(',', b, c)]),
+    unnest([concat_ws(',', b, c), concat_ws(',', a, c), concat_ws(',', a, b), c, b, a]) FROM s3)
+, mined AS (SELECT ante, cons, s.f AS freq, x.f AS ante_freq, s.f / n AS support, s.f / x.f AS confidence, (s.f / x.f) / (y.f / n) AS lift
+  FROM splits JOIN sets s ON s.items = splits.items JOIN sets x ON x.items = ante JOIN sets y ON y.items = cons, n)
+"""
+
+
+@query("M1_one_hot", "claims diagnoses procedures", ITEM_CTE + "SELECT claim_id, item FROM tx")
+def one_hot(d):
+    return mining.one_hot(enrich.transactions(*d.core))
+
+
+@query("M2_frequent_itemsets", "claims diagnoses procedures", SETS + "SELECT items, f AS freq, round(f / n, 6) AS support FROM sets, n")
+def frequent_itemsets(d):
+    return mining.frequent_itemsets(enrich.transactions(*d.core)).select(joined("items").alias("items"), "freq", rounded("support"))
+
+
+def _itemsets(d):
+    return reuse(mining.frequent_itemsets(enrich.transactions(*d.core)))
+
+
+def _rule_text(df, *more):
+    return df.select(joined("antecedent").alias("antecedent"), joined("consequent").alias("consequent"),
+                     rounded("support"), rounded("confidence"), rounded("lift"), *more)
+
+
+RULE_COLUMNS = "ante AS antecedent, cons AS consequent, round(support, 6) AS support, round(confidence, 6) AS confidence, round(lift, 6) AS lift"
+
+
+@query("M3_association_rules", "claims diagnoses procedures", RULES + f"SELECT {RULE_COLUMNS} FROM mined WHERE confidence >= 0.1")
+def association_rules(d):
+    """At confidence 0.1, where consequents of two items occur as well."""
+    return _rule_text(mining.association_rules(_itemsets(d), 0.1))
+
+
+@query("M4_filter_by_lift", "claims diagnoses procedures", RULES + f"SELECT {RULE_COLUMNS} FROM mined WHERE confidence >= 0.5 AND lift >= 1.1")
+def filter_by_lift(d):
+    return _rule_text(mining.filter_by_lift(mining.association_rules(_itemsets(d))))
+
+
+def _atom(x):
+    return f"""CASE WHEN {x} LIKE 'DIAG%' THEN concat('has_diagnosis(X, ''', substr({x}, 6), ''')')
+    WHEN {x} LIKE 'PROC\\_%' ESCAPE '\\' THEN concat('has_procedure(X, ''', substr({x}, 6), ''')')
+    WHEN {x} LIKE 'PROVIDER%' THEN concat('provider_type(X, ''', substr({x}, 10), ''')')
+    WHEN {x} LIKE 'POS%' THEN concat('place_of_service(X, ''', substr({x}, 5), ''')')
+    WHEN {x} = 'AGE_CHILD' THEN 'patient_age(X, Age) & (Age < 18)' WHEN {x} = 'AGE_SENIOR' THEN 'patient_age(X, Age) & (Age >= 65)'
+    ELSE 'patient_age(X, Age) & (Age >= 18) & (Age < 65)' END"""
+
+
+DEFINED = RULES + f"""
+, kept AS (SELECT *, concat('If ', replace(ante, ',', ', '), ' then ', replace(cons, ',', ', ')) AS description FROM mined WHERE confidence >= 0.5 AND lift >= 1.1)
+, atoms AS (SELECT description, i, string_split(ante, ',')[i] AS x FROM kept, range(1, 4) AS t(i) WHERE i <= len(string_split(ante, ',')))
+, texts AS (SELECT description, concat('rule_applies(X) <= ', string_agg({_atom('x')}, ' & ' ORDER BY i)) AS rule_definition FROM atoms GROUP BY description)
+"""
+
+
+@query("M5_rule_definitions", "claims diagnoses procedures", DEFINED + """
+SELECT concat('AssocRule_', cast(row_number() OVER (ORDER BY description) - 1 AS VARCHAR)) AS filter_name, description, rule_definition,
+  'ASSOCIATION' AS rule_type, round(support, 6) AS support, round(confidence, 6) AS confidence, round(lift, 6) AS lift
+FROM kept JOIN texts USING (description)""")
+def rule_definitions(d):
+    return mine_rules(*d.core).select(
+        "filter_name", "description", "rule_definition", "rule_type", rounded("support"), rounded("confidence"), rounded("lift"))
+
+
+@query("M6_definition_from_items", "claims diagnoses procedures", ITEM_CTE + f"""
+SELECT claim_id, concat('rule_applies(X) <= ', string_agg({_atom('item')}, ' & ' ORDER BY item)) AS definition FROM tx GROUP BY claim_id""")
+def definition_from_items(d):
+    items = enrich.transactions(*d.core).withColumn("items", F.array_sort("items"))
+    return items.select("claim_id", mining.definition_from_items("items").alias("definition"))
+
+
+@query("M10_match_mined_rules", "claims diagnoses procedures", RULES + """
+SELECT concat('If ', replace(ante, ',', ', '), ' then ', replace(cons, ',', ', ')) AS rule, ante_freq AS n_antecedent, freq AS n_both
+FROM mined WHERE confidence >= 0.5 AND lift >= 1.1""")
+def match_mined_rules(d):
+    mined = mine_rules(*d.core).withColumn("filter_name", F.col("description"))
+    return mining.match_mined_rules(enrich.transactions(*d.core), mined).withColumnRenamed("filter_name", "rule")
