@@ -1 +1,95 @@
+"""Queries: file and table round trips, and synthetic claims keyed by the order table."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from claimloom.catalog.registry import query, scratch
+from claimloom.sources import files, synth, tables
+
+SHOWN = """SELECT claim_id, patient_id, provider_id, patient_age, provider_type, place_of_service,
+  cast(total_charge_amount AS DOUBLE) AS total_charge_amount, cast(service_date AS VARCHAR) AS service_date, processing_status FROM claims"""
+
+
+def _shown(df):
+    return df.select(
+        "claim_id", "patient_id", "provider_id", "patient_age", "provider_type", "place_of_service",
+        F.col("total_charge_amount").cast("double").alias("total_charge_amount"),
+        F.col("service_date").cast("string").alias("service_date"), "processing_status")
+
+
+@query("S1_read_claims_csv", "claims", SHOWN)
+def claims_csv(d):
+    path = scratch(d.spark, "claims-csv")
+    d.claims.drop("processed_date").write.mode("overwrite").option("header", True).csv(path)
+    return _shown(files.read_claims_csv(d.spark, path))
+
+
+@query("S2_read_claims_json", "claims", SHOWN)
+def claims_json(d):
+    """Half of the claims as plain records, half wrapped in objects with a ``claims`` list."""
+    path = scratch(d.spark, "claims-json")
+    rows = d.claims.drop("processed_date")
+    even = F.right("claim_id", F.lit(1)).cast("int") % 2 == 0
+    rows.filter(even).write.mode("overwrite").json(f"{path}/plain")
+    rows.filter(~even).select(F.array(F.struct(*rows.columns)).alias("claims")).write.mode("overwrite").json(f"{path}/wrapped")
+    return _shown(files.read_claims_json(d.spark, f"{path}/*", multi_line=False))
+
+
+@query("S4_read_and_write_tables", "results", "SELECT result_id, claim_id, validation_status, cast(processing_time AS DOUBLE) AS processing_time FROM results")
+def table_round_trip(d):
+    path = scratch(d.spark, "results")
+    rows = d.results.withColumn("day", F.to_date("created_date"))
+    tables.write_results(rows, path, partition_by=["day"])
+    return tables.read_table(d.spark, path).select(
+        "result_id", "claim_id", "validation_status", F.col("processing_time").cast("double").alias("processing_time"))
+
+
+@query("S12_S14_K4_clear_and_ensure", "claims", """
+SELECT 'claims' AS name, count(*) AS before, cast(0 AS BIGINT) AS after FROM claims
+UNION ALL SELECT 'processed_chunks', 0, 0 UNION ALL SELECT 'retry_queue', 0, 0
+UNION ALL SELECT 'validation_results', 0, 0 UNION ALL SELECT 'validation_results_archive', 0, 0""")
+def clear_and_ensure(d):
+    """Row counts before and after clearing a store that holds all claims."""
+    root = scratch(d.spark, "store")
+    files.as_claims(d.claims).write.parquet(f"{root}/claims")
+    tables.ensure_tables(d.spark, root)
+    before = d.spark.read.parquet(f"{root}/claims").agg(F.count(F.lit(1)).alias("before"))
+    count = before.first().before
+    tables.clear_tables(d.spark, root, ["claims"])
+    tables.reset_tracking(d.spark, root)
+    names = ["claims", *tables.TRACKING, "validation_results", "validation_results_archive"]
+    out = None
+    for name in names:
+        one = d.spark.read.parquet(f"{root}/{name}").agg(F.count(F.lit(1)).alias("after")).select(
+            F.lit(name).alias("name"), F.lit(count if name == "claims" else 0).cast("long").alias("before"), "after")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _ids(d):
+    return d.orders.select(F.col("o_orderkey").alias("id"))
+
+
+AS_OF = "2024-12-31"
+
+
+@query("S11_synth_claims")
+def synth_claims(d):
+    """One synthetic claim per order."""
+    return synth.synth_claims_for(_ids(d), AS_OF).drop("claim_data").withColumns({
+        "total_charge_amount": F.col("total_charge_amount").cast("double"), "service_date": F.col("service_date").cast("string")})
+
+
+@query("S11_synth_lines", sql="SELECT count(*) AS n_claims, count(*) AS n_charged, count(*) AS n_with_principal FROM orders")
+def synth_lines(d):
+    """Checks over all synthetic lines: every claim has lines, their charges add up to the claim's,
+    and exactly one diagnosis is principal."""
+    claims = synth.synth_claims_for(_ids(d), AS_OF)
+    dx = synth.synth_diagnoses(claims).groupBy("claim_id").agg(
+        F.count_if("is_principal").alias("principals"), F.count(F.lit(1)).alias("n"), F.count_distinct("diagnosis_code").alias("codes"))
+    px = synth.synth_procedures(claims).groupBy("claim_id").agg(F.sum("charge_amount").alias("charged"), F.count(F.lit(1)).alias("lines"))
+    return claims.join(dx, "claim_id", "left").join(px, "claim_id", "left").agg(
+        F.count(F.lit(1)).alias("n_claims"),
+        F.count_if((F.col("charged") == F.col("total_charge_amount")) & F.col("lines").between(1, 3)).alias("n_charged"),
+        F.count_if((F.col("principals") == 1) & (F.col("n") == F.col("codes")) & F.col("n").between(1, 5)).alias("n_with_principal"))

@@ -1 +1,183 @@
+"""Queries: features, labels, split, oversampling, training, prediction and measures."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from claimloom.catalog.assembly import TRAINING
+from claimloom.catalog.registry import query, scratch
+from claimloom.catalog.reporting import rounded
+from claimloom.operators import enrich, features, learning
+from claimloom.operators.smote import smote
+from claimloom.plans.train import train, training_examples, training_report
+from claimloom.plans.validate import validate_claims
+
+# Fewer and shallower trees than the defaults, to keep the checks short.
+SMALL = {"trees": 10, "depth": 4}
+
+
+@query("V2_feature_matrix", "claims diagnoses procedures", """
+, dn AS (SELECT claim_id, count(DISTINCT concat_ws('|', diagnosis_code, diagnosis_type, cast(diagnosis_sequence AS VARCHAR), description, cast(is_principal AS VARCHAR))) AS n
+  FROM diagnoses WHERE diagnosis_code IS NOT NULL GROUP BY claim_id)
+, pn AS (SELECT claim_id, count(*) AS n FROM (SELECT DISTINCT * FROM procedures WHERE procedure_code IS NOT NULL) GROUP BY claim_id)
+, pt AS (SELECT DISTINCT coalesce(provider_type, 'UNKNOWN') AS v, dense_rank() OVER (ORDER BY coalesce(provider_type, 'UNKNOWN')) - 1 AS code FROM claims WHERE processing_status = 'COMPLETED')
+, ps AS (SELECT DISTINCT coalesce(place_of_service, 'UNKNOWN') AS v, dense_rank() OVER (ORDER BY coalesce(place_of_service, 'UNKNOWN')) - 1 AS code FROM claims WHERE processing_status = 'COMPLETED')
+SELECT c.claim_id, cast(coalesce(patient_age, 0) AS DOUBLE) AS patient_age, cast(coalesce(total_charge_amount, 0) AS DOUBLE) AS total_charge_amount,
+  cast(coalesce(dn.n, 0) AS DOUBLE) AS diagnosis_count, cast(coalesce(pn.n, 0) AS DOUBLE) AS procedure_count,
+  cast(coalesce(pt.code, -1) AS DOUBLE) AS provider_type_encoded, cast(coalesce(ps.code, -1) AS DOUBLE) AS place_of_service_encoded
+FROM claims c LEFT JOIN dn USING (claim_id) LEFT JOIN pn USING (claim_id) LEFT JOIN pt ON pt.v = coalesce(provider_type, 'UNKNOWN')
+  LEFT JOIN ps ON ps.v = coalesce(place_of_service, 'UNKNOWN')""")
+def feature_matrix(d):
+    """The vector column, taken apart again for the comparison."""
+    from pyspark.ml.functions import vector_to_array
+
+    encoders = features.fit_encoders(d.claims.filter(F.col("processing_status") == "COMPLETED"))
+    matrix = features.feature_matrix(encoders, enrich.claim_measures(*d.core)).select(
+        "claim_id", vector_to_array("features").alias("v"))
+    return matrix.select("claim_id", *[F.get("v", F.lit(i)).alias(n) for i, n in enumerate(features.FEATURES)])
+
+
+LABELS = """
+, l AS (SELECT claim_id, dn, pn, unnest(CASE applied_filters WHEN '1,2' THEN [1, 2, 0] WHEN '3' THEN [3, 0] ELSE [0] END) AS label FROM training)
+"""
+
+
+@query("V3_label_examples", "claims diagnoses procedures results", TRAINING + LABELS + """
+SELECT claim_id, cast(label AS INT) AS label, count(*) AS n FROM l GROUP BY 1, 2""")
+def label_examples(d):
+    rows = features.label_examples(enrich.training_set(*d.core, d.results))
+    return rows.groupBy("claim_id", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("T1_valid_labels", "claims diagnoses procedures results", TRAINING + LABELS + """
+SELECT claim_id, cast(label AS INT) AS label, dn AS diagnosis_count, pn AS procedure_count FROM l WHERE label >= 0""")
+def valid_labels(d):
+    return training_examples(*d.core, d.results).select(
+        "claim_id", "label", F.col("diagnosis_count").cast("long"), F.col("procedure_count").cast("long"))
+
+
+def _examples(d):
+    """Labelled claims with all features as doubles; the label comes from the order key, so each
+    class grows with the table."""
+    encoders = features.fit_encoders(d.claims)
+    number = F.right("claim_id", F.lit(10)).cast("long")
+    label = F.when(number % 10 < 6, 0).when(number % 10 < 9, 1).otherwise(2)
+    coded = features.with_counts(enrich.claim_codes(d.claims, d.diagnoses, d.procedures))
+    return features.feature_columns(encoders, coded).select("claim_id", label.alias("label"), *features.FEATURES)
+
+
+@query("T2_stratified_split", sql="""
+WITH c AS (SELECT CASE WHEN o_orderkey % 10 < 6 THEN 0 WHEN o_orderkey % 10 < 9 THEN 1 ELSE 2 END AS label FROM orders)
+SELECT label, count(*) AS n, cast(round(count(*) * 0.2) AS BIGINT) AS n_test FROM c GROUP BY label""")
+def stratified_split(d):
+    split = learning.stratified_split(_examples(d), ["claim_id"], 0.2, 42)
+    return split.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_test").alias("n_test"))
+
+
+@query("T3_smote", sql="""
+WITH c AS (SELECT CASE WHEN o_orderkey % 10 < 6 THEN 0 WHEN o_orderkey % 10 < 9 THEN 1 ELSE 2 END AS label FROM orders)
+SELECT label, (SELECT max(n) FROM (SELECT count(*) AS n FROM c GROUP BY label)) AS n FROM c GROUP BY label""")
+def oversample(d):
+    return smote(_examples(d), features.FEATURES).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _trained(d):
+    return train(*d.core, d.results, **SMALL)
+
+
+@query("T4_train_predictor")
+def train_predictor(d):
+    """Held-out rows with their class probabilities."""
+    _, model, held_out = _trained(d)
+    return held_out.select("claim_id", "label", "predicted", F.explode(learning.scored_classes(model)).alias("s")).select(
+        "claim_id", "label", "predicted", "s.filter_id", rounded("s.prob").alias("prob"))
+
+
+@query("S10_training_report")
+def report(d):
+    """Written as JSON and read back."""
+    from claimloom.sources.tables import write_training_report
+
+    _, model, held_out = _trained(d)
+    path = scratch(d.spark, "report")
+    out = training_report(held_out, model)
+    write_training_report(out, path)
+    return d.spark.read.schema(out.schema).json(path)
+
+
+@query("T7_L4_feature_importance")
+def importance(d):
+    _, model, _ = _trained(d)
+    return learning.feature_importance(d.spark, model)
+
+
+@query("S9_save_and_load_model")
+def save_and_load(d):
+    """Predictions of the model after a save and a load, for all pending claims."""
+    encoders, model, _ = _trained(d)
+    path = scratch(d.spark, "model") + "/predictor"
+    learning.save_model(model, path)
+    return _predicted(d, encoders, learning.load_model(path))
+
+
+@query("V4_predict_filters")
+def predict(d):
+    encoders, model, _ = _trained(d)
+    return _predicted(d, encoders, model)
+
+
+def _predicted(d, encoders, model):
+    from claimloom.plans.validate import predicted_by_model
+
+    pending = d.claims.filter(F.col("processing_status") == "PENDING")
+    out = predicted_by_model(enrich.claim_measures(pending, d.diagnoses, d.procedures), encoders, model, threshold=0.05)
+    return out.withColumn("predicted_filters", F.array_join(F.col("predicted_filters").cast("array<string>"), ","))
+
+
+@query("V5_validate_with_model")
+def validate_with_model(d):
+    from claimloom.catalog.rulesets import outcome_text
+
+    encoders, model, _ = _trained(d)
+    pending = d.claims.filter(F.col("processing_status") == "PENDING")
+    return outcome_text(validate_claims(
+        pending, d.diagnoses, d.procedures, d.filters, d.code_sets, encoders, model, threshold=0.05))
+
+
+PREDICTED = """
+WITH q AS (SELECT cast(o_orderkey % 3 AS INT) AS label, cast((o_orderkey + o_custkey) % 3 AS INT) AS prediction FROM orders)
+, k AS (SELECT unnest([0, 1, 2]) AS c)
+, m AS (SELECT c, count(*) FILTER (label = c) AS support, count(*) FILTER (prediction = c) AS guessed,
+  count(*) FILTER (label = c AND prediction = c) AS hit FROM q, k GROUP BY c)
+, s AS (SELECT cast(c AS VARCHAR) AS class, hit / guessed AS precision, hit / support AS recall, 2 * hit / (guessed + support) AS f1, support, hit FROM m)
+"""
+
+
+@query("T5_classification_report", sql=PREDICTED + """
+SELECT class, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM s
+UNION ALL SELECT 'accuracy', round(sum(hit) / sum(support), 6), round(sum(hit) / sum(support), 6), round(sum(hit) / sum(support), 6), cast(sum(support) AS BIGINT) FROM s
+UNION ALL SELECT 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6), cast(sum(support) AS BIGINT) FROM s
+UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support), 6), round(sum(recall * support) / sum(support), 6),
+  round(sum(f1 * support) / sum(support), 6), cast(sum(support) AS BIGINT) FROM s""")
+def classification(d):
+    rows = d.orders.select((F.col("o_orderkey") % 3).cast("int").alias("label"),
+                           ((F.col("o_orderkey") + F.col("o_custkey")) % 3).cast("int").alias("prediction"))
+    return learning.classification_report(rows).select("class", rounded("precision"), rounded("recall"), rounded("f1"), "support")
+
+
+@query("T6_roc_auc", sql="""
+WITH s AS (SELECT o_orderkey % 3 AS label, c AS class, ((o_orderkey * 31 + c * 17 + o_custkey) % 1000) / 1000 AS prob FROM orders, range(0, 3) AS t(c))
+, g AS (SELECT class, prob, count(*) FILTER (label = class) AS pos, count(*) FILTER (label <> class) AS neg FROM s GROUP BY class, prob)
+, r AS (SELECT *, sum(neg) OVER (PARTITION BY class ORDER BY prob ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM g)
+SELECT cast(class AS VARCHAR) AS class, cast(sum(pos) AS BIGINT) AS support, round(sum(pos * (upto - neg / 2)) / (sum(pos) * sum(neg)), 6) AS auc FROM r GROUP BY class
+UNION ALL SELECT 'weighted', NULL, round(sum(a * p) / sum(p), 6) FROM (
+  SELECT class, sum(pos) AS p, sum(pos * (upto - neg / 2)) / (sum(pos) * sum(neg)) AS a FROM r GROUP BY class)""")
+def roc_auc(d):
+    classes = d.orders.select(
+        (F.col("o_orderkey") % 3).alias("label"), "o_orderkey", "o_custkey", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("class"))
+    scores = classes.select("label", "class", (
+        ((F.col("o_orderkey") * 31 + F.col("class") * 17 + F.col("o_custkey")) % 1000) / 1000).alias("prob"))
+    per_class = learning.roc_auc_ovr(scores).select(F.col("class").cast("string").alias("class"), "support", rounded("auc"))
+    weighted = learning.roc_auc_weighted(scores).select(
+        F.lit("weighted").alias("class"), F.lit(None).cast("long").alias("support"), rounded("auc"))
+    return per_class.unionByName(weighted)

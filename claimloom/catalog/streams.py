@@ -1 +1,64 @@
+"""Queries: the streaming forms, run to the end over the given tables."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from claimloom import schemas
+from claimloom.catalog.registry import ORACLES, query, scratch
+from claimloom.catalog.rulesets import _candidates, outcome_text
+from claimloom.operators import metrics
+from claimloom.sources.files import as_claims
+from claimloom.streaming.claims import claims_stream, dedupe_stream, validate_stream
+
+
+def _arriving(d, root):
+    """Claims as files in a folder a stream can read."""
+    as_claims(d.claims).withColumn("created_date", F.col("service_date").cast("timestamp")).write.parquet(f"{root}/in")
+    return claims_stream(d.spark, f"{root}/in", files_per_batch=4)
+
+
+def _run(writer):
+    stream = writer.trigger(availableNow=True).start()
+    stream.awaitTermination()
+
+
+@query("X1_claims_stream", "claims", "SELECT claim_id, processing_status FROM claims")
+def stream_claims(d):
+    root = scratch(d.spark, "stream")
+    _run(_arriving(d, root).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/cp"))
+    return d.spark.read.schema(schemas.CLAIMS).parquet(f"{root}/out").select("claim_id", "processing_status")
+
+
+@query("X2_validate_stream")
+def stream_validation(d):
+    """Pending claims validated batch by batch; the same rows as the batch query."""
+    root = scratch(d.spark, "validate")
+    pending = _arriving(d, root).filter(F.col("processing_status") == "PENDING")
+    _run(validate_stream(pending, d.diagnoses, d.procedures, d.filters, d.code_sets, f"{root}/out", f"{root}/cp",
+                         candidates=_candidates(d)))
+    return outcome_text(d.spark.read.parquet(f"{root}/out"))
+
+
+ORACLES["X2_validate_stream"] = ORACLES["V5_validate_claims"]
+
+
+@query("X3_dedupe_stream", "claims", "SELECT claim_id, processing_status FROM claims")
+def stream_dedupe(d):
+    """Every claim arrives twice."""
+    root = scratch(d.spark, "dedupe")
+    twice = _arriving(d, root).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    _run(dedupe_stream(twice, delay="3650 days").select("claim_id", "processing_status").writeStream.format("parquet")
+         .option("path", f"{root}/out").option("checkpointLocation", f"{root}/cp"))
+    return d.spark.read.schema("claim_id string, processing_status string").parquet(f"{root}/out")
+
+
+@query("X4_windowed_rate_stream")
+def stream_rate(d):
+    """Sliding windows of the event stream, closed by a watermark."""
+    root = scratch(d.spark, "rate")
+    d.events.select(F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "error").alias("failed")).write.parquet(f"{root}/in")
+    events = d.spark.readStream.schema("ts timestamp, failed boolean").parquet(f"{root}/in").withWatermark("ts", "1 minute")
+    _run(metrics.windowed_rate(events).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/cp"))
+    out = d.spark.read.schema("window_end timestamp, processed_rate double, error_rate double").parquet(f"{root}/out")
+    return out.withColumn("window_end", F.unix_timestamp("window_end"))

@@ -15,7 +15,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from claimloom.sizing import broadcast_small
+from claimloom.sizing import BROADCAST_ROWS, is_small, reuse
 
 # Atom names of the rule language and the fact kind each one reads.
 KINDS = {
@@ -210,18 +210,33 @@ def _compare(value: Column, op: Column, number: Column) -> Column:
     )
 
 
-def met_conditions(
-    claims: DataFrame, diagnoses: DataFrame, procedures: DataFrame, conditions: DataFrame, code_sets: DataFrame
-) -> DataFrame:
-    """(claim_id, filter_id, cond_no) of every condition a claim meets; may repeat.
+class RuleTables:
+    """Parsed form of a rule set: condition rows and the value lookup, each materialised once and
+    measured once. Joins broadcast them only while they are within ``BROADCAST_ROWS``."""
 
-    Only matches leave the joins. Lookups are broadcast after a size check and are
-    equi-joined by shuffle beyond it.
-    """
-    lookup = code_conditions(conditions, code_sets).unionByName(
-        conditions.filter((F.col("op") == "exists") & ~F.col("kind").isin(NUMERIC))
-        .select("kind", F.lit(ANY).alias("value"), "filter_id", "cond_no")
-    )
+    def __init__(self, filters: DataFrame, code_sets: DataFrame):
+        self.conditions = reuse(rule_conditions(filters.filter("active")))
+        self.header = rule_header(filters, self.conditions, code_sets)
+        any_value = (
+            self.conditions.filter((F.col("op") == "exists") & ~F.col("kind").isin(NUMERIC))
+            .select("kind", F.lit(ANY).alias("value"), "filter_id", "cond_no")
+        )
+        self.lookup = reuse(code_conditions(self.conditions, code_sets).unionByName(any_value))
+        size = self.conditions.agg(F.count(F.lit(1)).alias("n"), F.max("cond_no").alias("longest")).first()
+        self.longest = size.longest or 0
+        self.small_rules = size.n <= BROADCAST_ROWS and is_small(filters)
+        self.small_lookup = is_small(self.lookup)
+
+    def rule_side(self, df: DataFrame) -> DataFrame:
+        """``df`` holds at most one row per rule or condition."""
+        return F.broadcast(df) if self.small_rules else df
+
+    def lookup_side(self) -> DataFrame:
+        return F.broadcast(self.lookup) if self.small_lookup else self.lookup
+
+
+def _values(claims: DataFrame, diagnoses: DataFrame, procedures: DataFrame) -> DataFrame:
+    """(claim_id, kind, value) of the facts that are compared for equality, each also as ANY."""
     scalar = claims.select("claim_id", F.explode(F.array(
         F.struct(F.lit("provider").alias("kind"), F.col("provider_type").alias("value")),
         F.struct(F.lit("place").alias("kind"), F.col("place_of_service").alias("value")),
@@ -229,32 +244,37 @@ def met_conditions(
     coded = diagnoses.select("claim_id", F.lit("diagnosis").alias("kind"), F.col("diagnosis_code").alias("value")).unionByName(
         procedures.select("claim_id", F.lit("procedure").alias("kind"), F.col("procedure_code").alias("value"))
     )
-    values = scalar.unionByName(coded).filter(F.col("value").isNotNull()).select(
-        "claim_id", "kind", F.explode(F.array(F.struct(F.lit(True).alias("own"), F.col("value")),
-                                             F.struct(F.lit(False).alias("own"), F.lit(ANY).alias("value")))).alias("v")
-    ).select("claim_id", "kind", "v.value")
-    by_value = values.join(broadcast_small(lookup), ["kind", "value"]).select("claim_id", "filter_id", "cond_no")
-
-    tests = conditions.filter(F.col("kind").isin(NUMERIC) & (F.col("op") != "error"))
-    atoms = tests.select("kind", "op", "value_num").distinct()
+    return scalar.unionByName(coded).filter(F.col("value").isNotNull()).select(
+        "claim_id", "kind", F.explode(F.array("value", F.lit(ANY))).alias("value")
+    )
+
+
+def met_conditions(claims: DataFrame, diagnoses: DataFrame, procedures: DataFrame, tables: RuleTables) -> DataFrame:
+    """(claim_id, filter_id, cond_no) of every condition a claim meets; may repeat.
+
+    Only matches leave the joins. Numeric tests are met once per distinct (kind, op, number),
+    however many rules share it.
+    """
+    by_value = _values(claims, diagnoses, procedures).join(tables.lookup_side(), ["kind", "value"]).select(
+        "claim_id", "filter_id", "cond_no")
+    tests = tables.conditions.filter(F.col("kind").isin(NUMERIC) & (F.col("op") != "error")).groupBy(
+        "kind", "op", "value_num").agg(F.collect_list(F.struct("filter_id", "cond_no")).alias("uses"))
     numbers = claims.select("claim_id", F.explode(F.array(
         F.struct(F.lit("age").alias("kind"), F.col("patient_age").cast("double").alias("number")),
         F.struct(F.lit("charge").alias("kind"), F.col("total_charge_amount").cast("double").alias("number")),
     )).alias("fact")).select("claim_id", "fact.kind", "fact.number").filter(F.col("number").isNotNull())
-    met = numbers.join(broadcast_small(atoms), "kind").filter(_compare(F.col("number"), F.col("op"), F.col("value_num")))
     by_number = (
-        met.join(broadcast_small(tests.select(
-            F.col("kind").alias("k"), F.col("op").alias("o"), F.col("value_num").alias("v"), "filter_id", "cond_no")),
-            (F.col("kind") == F.col("k")) & (F.col("op") == F.col("o")) & F.col("value_num").eqNullSafe(F.col("v")))
-        .select("claim_id", "filter_id", "cond_no")
+        numbers.join(tables.rule_side(tests), "kind")
+        .filter(_compare(F.col("number"), F.col("op"), F.col("value_num")))
+        .select("claim_id", F.explode("uses").alias("u"))
+        .select("claim_id", "u.filter_id", "u.cond_no")
     )
     return by_value.unionByName(by_number)
 
 
-def conditions_met_counts(met: DataFrame, conditions: DataFrame) -> DataFrame:
+def conditions_met_counts(met: DataFrame, longest: int) -> DataFrame:
     """(claim_id, filter_id, n_met): distinct conditions met, as bit masks that merge before
     and after one shuffle. The number of mask words follows the longest rule."""
-    longest = conditions.agg(F.max("cond_no")).first()[0] or 0
     words = range(longest // WORD + 1)
     masks = met.groupBy("claim_id", "filter_id").agg(*[
         F.bit_or(F.when(
@@ -281,12 +301,9 @@ def evaluate_rules(
     A rule passes when the number of distinct conditions met equals the number it has.
     Inactive and unknown filter ids are skipped; a rule with an error never passes.
     """
-    conditions = rule_conditions(filters.filter("active"))
-    header = broadcast_small(rule_header(filters, conditions, code_sets))
-    wanted = candidates.select("claim_id", "filter_id").distinct().join(header, "filter_id")
-    met = conditions_met_counts(
-        met_conditions(claims, diagnoses, procedures, conditions, code_sets), conditions
-    )
+    tables = RuleTables(filters, code_sets)
+    wanted = candidates.select("claim_id", "filter_id").distinct().join(tables.rule_side(tables.header), "filter_id")
+    met = conditions_met_counts(met_conditions(claims, diagnoses, procedures, tables), tables.longest)
     return wanted.join(met, ["claim_id", "filter_id"], "left").select(
         "claim_id", "filter_id", "filter_name",
         ((F.col("error") == "") & (F.coalesce("n_met", F.lit(0)) == F.col("n_conditions"))).alias("passed"),
@@ -299,19 +316,16 @@ def rule_coverage(
 ) -> DataFrame:
     """Pass count of every active rule over all claims, without forming claim x rule pairs:
     only met conditions travel."""
-    conditions = rule_conditions(filters.filter("active"))
-    header = rule_header(filters, conditions, code_sets)
-    met = conditions_met_counts(
-        met_conditions(claims, diagnoses, procedures, conditions, code_sets), conditions
-    )
+    tables = RuleTables(filters, code_sets)
+    met = conditions_met_counts(met_conditions(claims, diagnoses, procedures, tables), tables.longest)
     passed = (
-        met.join(broadcast_small(header.select("filter_id", "n_conditions", "error")), "filter_id")
+        met.join(tables.rule_side(tables.header.select("filter_id", "n_conditions", "error")), "filter_id")
         .filter((F.col("error") == "") & (F.col("n_met") == F.col("n_conditions")))
         .groupBy("filter_id").agg(F.count(F.lit(1)).alias("n_passed"))
     )
     total = claims.agg(F.count(F.lit(1)).alias("n_claims"))
     return (
-        header.join(passed, "filter_id", "left")
+        tables.header.join(passed, "filter_id", "left")
         .join(F.broadcast(total))
         .select(
             "filter_id", "filter_name", "n_claims",
@@ -332,36 +346,46 @@ class TooManyRules(ValueError):
 
 def compile_rules(filters: DataFrame, code_sets: DataFrame) -> list[dict]:
     """Active rules as plan-time metadata: header fields and a boolean Column over a claim row
-    with ``diagnosis_codes`` and ``procedure_codes``. Raises ``TooManyRules`` beyond the limits."""
-    conditions = rule_conditions(filters.filter("active"))
-    headers = rule_header(filters, conditions, code_sets).limit(COMPILED_RULES + 1).collect()
+    with ``diagnosis_codes`` and ``procedure_codes``. Raises ``TooManyRules`` beyond the limits,
+    before anything larger than them is fetched."""
+    active = filters.filter("active")
+    headers = active.select(
+        "filter_id", "filter_name", F.lit(OUTCOME_TYPE).alias("rule_type"), F.coalesce("description", F.lit("")).alias("details")
+    ).limit(COMPILED_RULES + 1).collect()
     if len(headers) > COMPILED_RULES:
         raise TooManyRules(f"more than {COMPILED_RULES} active rules")
-    values = code_conditions(conditions, code_sets).limit(COMPILED_CODES + 1).collect()
-    if len(values) > COMPILED_CODES:
-        raise TooManyRules(f"more than {COMPILED_CODES} rule codes")
-    codes: dict[tuple, list[str]] = {}
-    for v in values:
-        codes.setdefault((v.filter_id, v.cond_no), []).append(v.value)
-    tests: dict[int, list[Column]] = {}
-    for c in conditions.collect():
-        tests.setdefault(c.filter_id, []).append(_condition_column(c, sorted(codes.get((c.filter_id, c.cond_no), []))))
+    conditions: dict[int, list] = {h.filter_id: [] for h in headers}
+    for c in rule_conditions(active).collect():
+        conditions[c.filter_id].append(c)
+    names = sorted({n for cs in conditions.values() for c in cs for n in c.set_names or []})
+    members: dict[str, set[str]] = {}
+    if names:
+        rows = code_sets.filter(F.col("set_name").isin(names)).limit(COMPILED_CODES + 1).collect()
+        if len(rows) > COMPILED_CODES:
+            raise TooManyRules(f"more than {COMPILED_CODES} codes in the sets of the rules")
+        for r in rows:
+            members.setdefault(r.set_name, set()).add(r.code)
     return [
-        {
-            **h.asDict(),
-            "passes": F.lit(False) if h.error else F.coalesce(
-                reduce(lambda a, b: a & b, tests.get(h.filter_id, []), F.lit(True)), F.lit(False)),
-        }
+        {**h.asDict(), **_compiled(conditions[h.filter_id], members)}
         for h in sorted(headers, key=lambda h: h.filter_id)
     ]
 
 
-def _condition_column(c, codes: list[str]) -> Column:
-    if c.op == "error":
-        return F.lit(False)
+def _compiled(conditions: list, members: dict[str, set[str]]) -> dict:
+    errors = [c.error for c in conditions if c.error] + [
+        f"unknown code set: {n}" for c in conditions for n in c.set_names or [] if n not in members
+    ]
+    if errors:
+        return {"error": min(errors), "passes": F.lit(False)}
+    tests = [_condition_column(c, members) for c in conditions]
+    return {"error": "", "passes": F.coalesce(reduce(lambda a, b: a & b, tests, F.lit(True)), F.lit(False))}
+
+
+def _condition_column(c, members: dict[str, set[str]]) -> Column:
     if c.kind in NUMERIC:
         value = F.col("patient_age" if c.kind == "age" else "total_charge_amount").cast("double")
         return _compare(value, F.lit(c.op), F.lit(c.value_num))
+    codes = sorted(set.intersection(*[members[n] for n in c.set_names])) if c.op == "in" else [c.value_str]
     if c.kind in CODED:
         held = F.col(f"{c.kind}_codes")
         if c.op == "exists":
