@@ -177,7 +177,8 @@ def roc_auc(d):
         (F.col("o_orderkey") % 3).alias("label"), "o_orderkey", "o_custkey", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("class"))
     scores = classes.select("label", "class", (
         ((F.col("o_orderkey") * 31 + F.col("class") * 17 + F.col("o_custkey")) % 1000) / 1000).alias("prob"))
-    per_class = learning.roc_auc_ovr(scores).select(F.col("class").cast("string").alias("class"), "support", rounded("auc"))
-    weighted = learning.roc_auc_weighted(scores).select(
+    measured = learning.roc_auc_ovr(scores)
+    per_class = measured.select(F.col("class").cast("string").alias("class"), "support", rounded("auc"))
+    weighted = learning.roc_auc_weighted(measured).select(
         F.lit("weighted").alias("class"), F.lit(None).cast("long").alias("support"), rounded("auc"))
     return per_class.unionByName(weighted)

@@ -82,11 +82,13 @@ class Data:
     """The test tables of one folder and the views over them, as lazy DataFrames."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+        self.spark, self.folder, self._tables = spark, folder, {}
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._tables[name]
 
     def sql(self, text: str, **frames: DataFrame) -> DataFrame:
         used = {t: self.table(t) for t in TABLES if "{" + t + "}" in text}

@@ -17,6 +17,10 @@ CLAIM_COLUMNS = [
     "service_date", "claim_data", "patient_id", "provider_id", "processing_status",
 ]
 
+DIAGNOSIS_FIELDS = ["diagnosis_code", "diagnosis_type", "diagnosis_sequence", "description", "is_principal"]
+PROCEDURE_FIELDS = ["procedure_code", "procedure_type", "procedure_sequence", "description", "charge_amount",
+                    "service_date", "diagnosis_pointers"]
+
 
 def _present(df: DataFrame, names: list[str]) -> list[str]:
     return [n for n in names if n in df.columns]
@@ -44,11 +48,14 @@ def _procedure_entry() -> Column:
     )
 
 
-def _child_sets(children: DataFrame, code: str, entry: Column, name: str) -> DataFrame:
+def _child_sets(children: DataFrame, code: str, entry: Column, name: str, fields: list[str]) -> DataFrame:
+    """Copies go first, in an aggregation keyed by the whole row: it shrinks each map output and
+    spreads a claim with very many lines. Entries are then built once per distinct row."""
     return (
         children.filter(F.col(code).isNotNull())
+        .select("claim_id", *fields).distinct()
         .groupBy("claim_id")
-        .agg(F.array_sort(F.collect_set(entry)).alias(name))
+        .agg(F.array_sort(F.collect_list(entry)).alias(name))
     )
 
 
@@ -72,8 +79,8 @@ def enrich_claims(
     chosen = claims.filter(F.col("processing_status").isin(statuses or ["PENDING"]))
     return _with_arrays(
         chosen.select(*_present(claims, CLAIM_COLUMNS)),
-        _child_sets(diagnoses, "diagnosis_code", _diagnosis_entry(), "diagnoses"),
-        _child_sets(procedures, "procedure_code", _procedure_entry(), "procedures"),
+        _child_sets(diagnoses, "diagnosis_code", _diagnosis_entry(), "diagnoses", DIAGNOSIS_FIELDS),
+        _child_sets(procedures, "procedure_code", _procedure_entry(), "procedures", PROCEDURE_FIELDS),
     )
 
 
@@ -209,8 +216,7 @@ def claim_measures(claims: DataFrame, diagnoses: DataFrame, procedures: DataFram
     """
     d = (
         diagnoses.filter(F.col("diagnosis_code").isNotNull())
-        .groupBy("claim_id", "diagnosis_code", "diagnosis_type", "diagnosis_sequence", "description", "is_principal")
-        .agg(F.lit(1))
+        .select("claim_id", *DIAGNOSIS_FIELDS).distinct()
         .groupBy("claim_id")
         .agg(
             F.count(F.lit(1)).cast("int").alias("diagnosis_count"),
@@ -225,9 +231,7 @@ def claim_measures(claims: DataFrame, diagnoses: DataFrame, procedures: DataFram
     )
     p = (
         procedures.filter(F.col("procedure_code").isNotNull())
-        .groupBy("claim_id", "procedure_code", "procedure_type", "procedure_sequence", "description",
-                 "charge_amount", "service_date", "diagnosis_pointers")
-        .agg(F.lit(1))
+        .select("claim_id", *PROCEDURE_FIELDS).distinct()
         .groupBy("claim_id")
         .agg(
             F.count(F.lit(1)).cast("int").alias("procedure_count"),

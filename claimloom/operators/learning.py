@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from claimloom.operators.features import FEATURES
 from claimloom.operators.numbering import number_rows, running_totals
 from claimloom.operators.ranking import top_filters
-from claimloom.sizing import broadcast_small
+from claimloom.sizing import broadcast_small, reuse
 
 
 def require_classes(examples: DataFrame, label: str = "label") -> list[int]:
@@ -178,9 +178,9 @@ def roc_auc_ovr(scores: DataFrame, class_col: str = "class", prob: str = "prob",
     Rows fold to counts per distinct score, then running totals of negatives give the ranks.
     """
     hit = F.col(label) == F.col(class_col)
-    folded = scores.groupBy(F.col(class_col).alias("class"), F.col(prob).alias("prob")).agg(
+    folded = reuse(scores.groupBy(F.col(class_col).alias("class"), F.col(prob).alias("prob")).agg(
         F.count_if(hit).alias("pos"), F.count_if(~hit).alias("neg")
-    )
+    ))
     ranked = running_totals(folded, {"neg_upto": F.col("neg")}, ["prob"], ["class"])
     wins = F.col("pos") * (F.col("neg_upto") - F.col("neg") / 2)
     pos, neg = F.sum("pos"), F.sum("neg")
@@ -190,10 +190,9 @@ def roc_auc_ovr(scores: DataFrame, class_col: str = "class", prob: str = "prob",
     )
 
 
-def roc_auc_weighted(scores: DataFrame, **columns: str) -> DataFrame:
-    """One row: support-weighted mean of the one-vs-rest AUCs; null when any is not computable.
-    For two classes pass the rows of the positive class only."""
-    per_class = roc_auc_ovr(scores, **columns)
+def roc_auc_weighted(per_class: DataFrame) -> DataFrame:
+    """One row from the rows of ``roc_auc_ovr``: support-weighted mean of the AUCs; null when any
+    is not computable. For two classes pass the row of the positive class only."""
     return per_class.agg(
         F.when(F.count_if(F.col("auc").isNull()) == 0, F.sum(F.col("auc") * F.col("support")) / F.sum("support")).alias("auc")
     )

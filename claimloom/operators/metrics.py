@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from claimloom.functions.scalars import mask_phi
 from claimloom.operators.numbering import running_totals
+from claimloom.sizing import reuse
 
 # Histogram bucket bounds.
 CLAIM_SECONDS = [0.1, 0.5, 1.0, 2.0, 5.0, 10.0, 30.0, 60.0]
@@ -159,9 +160,9 @@ def interval_rate(results: DataFrame, seconds: int = 30, recent: int = 1000) ->
         "created_date", "result_id", F.coalesce(F.col("processing_time"), F.lit(0)).cast("decimal(22,6)").alias("t"),
         (F.floor(F.unix_timestamp("created_date") / seconds) * seconds).alias("at"),
     )
-    totals = running_totals(
+    totals = reuse(running_totals(
         rows, {"n": F.lit(1).cast("long"), "total": F.col("t")}, ["created_date", "result_id"],
-    ).select("at", "n", "total")
+    ).select("at", "n", "total"))
     ends = totals.groupBy("at").agg(F.count(F.lit(1)).alias("count"), F.max("n").alias("processed"))
     grid = _grid(rows.agg(F.min("at").alias("first_at"), F.max("at").alias("last_at")), seconds)
     counts = grid.join(ends, "at", "left").select("at", F.coalesce("count", F.lit(0)).alias("count"))

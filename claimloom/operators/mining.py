@@ -6,7 +6,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, functions as F
 
 from claimloom.operators.numbering import number_rows
-from claimloom.sizing import broadcast_small
+from claimloom.sizing import broadcast_small, reuse
 
 MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT = 0.01, 0.5, 1.1
 
@@ -19,10 +19,10 @@ def one_hot(transactions: DataFrame) -> DataFrame:
 def frequent_itemsets(transactions: DataFrame, min_support: float = MIN_SUPPORT) -> DataFrame:
     """(items sorted, freq, n, support) of all itemsets with at least ``min_support``.
 
-    The transaction count rides along as a one-row join, so the result stays one plan after
-    the model fit.
+    The baskets are read by the fit (twice) and by the itemset extraction, so they are
+    materialised first. The transaction count rides along as a one-row join.
     """
-    baskets = transactions.select(F.array_distinct("items").alias("items")).filter(F.size("items") > 0)
+    baskets = reuse(transactions.select(F.array_distinct("items").alias("items")).filter(F.size("items") > 0))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=0.0).fit(baskets)
     n = baskets.agg(F.count(F.lit(1)).alias("n"))
     return (
