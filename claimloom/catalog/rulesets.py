@@ -108,22 +108,30 @@ def outcome_text(results):
 
 # --- mining ----------------------------------------------------------------
 
+def _level(k):
+    """Itemsets of size ``k``: occurrences of the smaller ones, extended by a later item."""
+    before = ", ".join(f"i{j}" for j in range(1, k))
+    return f"""
+, o{k} AS (SELECT o.*, t1.item AS i{k} FROM o{k - 1} o JOIN t1 ON t1.claim_id = o.claim_id AND t1.item > o.i{k - 1})
+, c{k} AS (SELECT {before}, i{k}, count(*) AS f FROM o{k} GROUP BY ALL HAVING count(*) / (SELECT n FROM n) >= 0.01)
+, k{k} AS (SELECT o{k}.* FROM o{k} JOIN c{k} USING ({before}, i{k}))
+""".replace(f"FROM o{k - 1} o", f"FROM k{k - 1} o")
+
+
+LEVELS = 5
 SETS = ITEM_CTE + """
 , n AS (SELECT count(DISTINCT claim_id) AS n FROM tx)
-, s1 AS (SELECT item AS a, count(*) AS f FROM tx GROUP BY item HAVING count(*) / (SELECT n FROM n) >= 0.01)
-, t1 AS (SELECT tx.* FROM tx JOIN s1 ON s1.a = tx.item)
-, s2 AS (SELECT x.item AS a, y.item AS b, count(*) AS f FROM t1 x JOIN t1 y ON x.claim_id = y.claim_id AND x.item < y.item
-  GROUP BY 1, 2 HAVING count(*) / (SELECT n FROM n) >= 0.01)
-, t2 AS (SELECT x.claim_id, x.item AS a, y.item AS b FROM t1 x JOIN t1 y ON x.claim_id = y.claim_id AND x.item < y.item JOIN s2 ON s2.a = x.item AND s2.b = y.item)
-, s3 AS (SELECT t2.a, t2.b, z.item AS c, count(*) AS f FROM t2 JOIN t1 z ON z.claim_id = t2.claim_id AND t2.b < z.item
-  GROUP BY 1, 2, 3 HAVING count(*) / (SELECT n FROM n) >= 0.01)
-, sets AS (SELECT a AS items, f FROM s1 UNION ALL SELECT concat_ws(',', a, b), f FROM s2 UNION ALL SELECT concat_ws(',', a, b, c), f FROM s3)
-"""
+, c1 AS (SELECT item AS i1, count(*) AS f FROM tx GROUP BY item HAVING count(*) / (SELECT n FROM n) >= 0.01)
+, t1 AS (SELECT tx.* FROM tx JOIN c1 ON c1.i1 = tx.item)
+, k1 AS (SELECT claim_id, item AS i1 FROM t1)
+""" + "".join(_level(k) for k in range(2, LEVELS + 1)) + ", sets AS (" + " UNION ALL ".join(
+    f"SELECT concat_ws(',', {', '.join(f'i{j}' for j in range(1, k + 1))}) AS items, f FROM c{k}" for k in range(1, LEVELS + 1)) + ")"
 RULES = SETS + """
-, splits AS (
-  SELECT concat_ws(',', a, b) AS items, unnest([a, b]) AS ante, unnest([b, a]) AS cons FROM s2
-  UNION ALL SELECT concat_ws(',', a, b, c), unnest([a, b, c, concat_ws(',', a, b), concat_ws(',', a, c), concat_ws(',', b, c)]),
-    unnest([concat_ws(',', b, c), concat_ws(',', a, c), concat_ws(',', a, b), c, b, a]) FROM s3)
+, lists AS (SELECT items, string_split(items, ',') AS l FROM sets)
+, masks AS (SELECT items, l, unnest(range(1, (1 << len(l)) - 1)) AS mask FROM lists WHERE len(l) > 1)
+, splits AS (SELECT items,
+    array_to_string(list_filter(l, lambda x, i: (mask >> (i - 1)) & 1 = 1), ',') AS ante,
+    array_to_string(list_filter(l, lambda x, i: (mask >> (i - 1)) & 1 = 0), ',') AS cons FROM masks)
 , mined AS (SELECT ante, cons, s.f AS freq, x.f AS ante_freq, s.f / n AS support, s.f / x.f AS confidence, (s.f / x.f) / (y.f / n) AS lift
   FROM splits JOIN sets s ON s.items = splits.items JOIN sets x ON x.items = ante JOIN sets y ON y.items = cons, n)
 """
@@ -173,7 +181,7 @@ def _atom(x):
 
 DEFINED = RULES + f"""
 , kept AS (SELECT *, concat('If ', replace(ante, ',', ', '), ' then ', replace(cons, ',', ', ')) AS description FROM mined WHERE confidence >= 0.5 AND lift >= 1.1)
-, atoms AS (SELECT description, i, string_split(ante, ',')[i] AS x FROM kept, range(1, 4) AS t(i) WHERE i <= len(string_split(ante, ',')))
+, atoms AS (SELECT description, i, string_split(ante, ',')[i] AS x FROM kept, range(1, 6) AS t(i) WHERE i <= len(string_split(ante, ',')))
 , texts AS (SELECT description, concat('rule_applies(X) <= ', string_agg({_atom('x')}, ' & ' ORDER BY i)) AS rule_definition FROM atoms GROUP BY description)
 """
 
