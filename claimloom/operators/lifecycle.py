@@ -5,6 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from claimloom.operators.numbering import number_rows
+
 
 def _stamp(as_of, like: DataFrame, column: str) -> Column:
     return (as_of if isinstance(as_of, Column) else F.lit(as_of)).cast(like.schema[column].dataType)
@@ -157,13 +159,9 @@ def insert_claims(existing: DataFrame, new: DataFrame, order_by: list[str]) -> D
 
 
 def _with_ids(existing: DataFrame, fresh: DataFrame) -> DataFrame:
-    from claimloom.operators.numbering import number_rows
-
-    top = existing.agg(F.coalesce(F.max("filter_id"), F.lit(0)).alias("_top"))
-    return (
-        number_rows(fresh.drop("filter_id"), ["filter_name"], "_n").join(F.broadcast(top))
-        .withColumn("filter_id", (F.col("_top") + F.col("_n")).cast("int")).drop("_top", "_n")
-    )
+    top = existing.agg(F.coalesce(F.max("filter_id"), F.lit(0))).scalar()
+    return number_rows(fresh.drop("filter_id"), ["filter_name"], "_n").withColumn(
+        "filter_id", (top + F.col("_n")).cast("int")).drop("_n")
 
 
 def insert_filters(existing: DataFrame, new: DataFrame) -> DataFrame:

@@ -42,16 +42,18 @@ def _result_counts(results: DataFrame) -> DataFrame:
     )
 
 
-def _chunk_totals(chunks: DataFrame) -> DataFrame:
-    return chunks.agg(
+def _with_chunk_totals(counts: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Add the chunk figures to a one-row frame, as a scalar subquery."""
+    totals = chunks.agg(F.struct(
         F.coalesce(F.sum(F.when(F.col("status") == "FAILED", F.col("claims_count"))), F.lit(0)).alias("storage_errors"),
         F.coalesce(F.sum("processing_duration_seconds").cast("double"), F.lit(0.0)).alias("total_duration_seconds"),
-    )
+    )).scalar()
+    return counts.withColumn("_t", totals).select("*", "_t.*").drop("_t")
 
 
 def metrics_summary(results: DataFrame, chunks: DataFrame) -> DataFrame:
-    """One row; both sides of the join are one-row aggregates."""
-    return _result_counts(results).join(F.broadcast(_chunk_totals(chunks))).select(
+    """Processed results, errors, duration and hourly rate as one row."""
+    return _with_chunk_totals(_result_counts(results), chunks).select(
         F.col("processed").alias("claims_processed"), "validation_errors", "storage_errors",
         "total_duration_seconds",
         _per(F.col("processed"), F.col("total_duration_seconds"), 3600.0).alias("processing_rate_per_hour"),
@@ -60,10 +62,10 @@ def metrics_summary(results: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def run_report(claims: DataFrame, results: DataFrame, chunks: DataFrame, batch_size: int = 1000) -> DataFrame:
     """Figures of a run: progress over the claims, throughput and success of the stored results."""
-    total = claims.agg(F.count(F.lit(1)).alias("total_claims"))
+    total = claims.agg(F.count(F.lit(1))).scalar()
     done, seconds = F.col("processed"), F.col("total_duration_seconds")
     return (
-        _result_counts(results).join(F.broadcast(_chunk_totals(chunks))).join(F.broadcast(total))
+        _with_chunk_totals(_result_counts(results), chunks).withColumn("total_claims", total)
         .select(
             "total_claims",
             done.alias("total_processed"),

@@ -20,14 +20,13 @@ def frequent_itemsets(transactions: DataFrame, min_support: float = MIN_SUPPORT)
     """(items sorted, freq, n, support) of all itemsets with at least ``min_support``.
 
     The baskets are read by the fit (twice) and by the itemset extraction, so they are
-    materialised first. The transaction count rides along as a one-row join.
+    materialised first. The transaction count comes in as a scalar subquery.
     """
     baskets = reuse(transactions.select(F.array_distinct("items").alias("items")).filter(F.size("items") > 0))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=0.0).fit(baskets)
-    n = baskets.agg(F.count(F.lit(1)).alias("n"))
+    n = baskets.agg(F.count(F.lit(1))).scalar()
     return (
-        model.freqItemsets.select(F.array_sort("items").alias("items"), "freq")
-        .join(F.broadcast(n))
+        model.freqItemsets.select(F.array_sort("items").alias("items"), "freq", n.alias("n"))
         .withColumn("support", F.col("freq") / F.col("n"))
         .filter(F.col("support") >= min_support)
     )

@@ -50,12 +50,11 @@ def status_summary(claims: DataFrame) -> DataFrame:
 def processing_statistics(claims: DataFrame) -> DataFrame:
     """``status_summary`` with the grand total and the unprocessed count on every row."""
     per_status = status_summary(claims).withColumn("avg_charge", F.coalesce("avg_charge", F.lit(0.0)))
-    totals = per_status.agg(
-        F.sum("claim_count").alias("total_claims"),
-        F.coalesce(F.sum(F.when(F.col("processing_status").isin(schemas.UNPROCESSED), F.col("claim_count"))),
-                   F.lit(0)).alias("unprocessed_count"),
-    )
-    return per_status.join(F.broadcast(totals))
+    totals = claims.agg(F.struct(
+        F.count(F.lit(1)).alias("total_claims"),
+        F.count_if(F.col("processing_status").isin(schemas.UNPROCESSED)).alias("unprocessed_count"),
+    )).scalar()
+    return per_status.withColumn("_t", totals).select("*", "_t.*").drop("_t")
 
 
 def daily_processing(claims: DataFrame) -> DataFrame:

@@ -323,10 +323,10 @@ def rule_coverage(
         .filter((F.col("error") == "") & (F.col("n_met") == F.col("n_conditions")))
         .groupBy("filter_id").agg(F.count(F.lit(1)).alias("n_passed"))
     )
-    total = claims.agg(F.count(F.lit(1)).alias("n_claims"))
+    total = claims.agg(F.count(F.lit(1))).scalar()
     return (
         tables.header.join(passed, "filter_id", "left")
-        .join(F.broadcast(total))
+        .withColumn("n_claims", total)
         .select(
             "filter_id", "filter_name", "n_claims",
             F.when((F.col("n_conditions") == 0) & (F.col("error") == ""), F.col("n_claims"))

@@ -42,4 +42,4 @@ def training_report(held_out: DataFrame, model: PipelineModel) -> DataFrame:
         "label", F.col("s.filter_id").alias("class"), F.col("s.prob").alias("prob"))
     if len(ids) == 2:
         long = long.filter(F.col("class") == ids[1])
-    return report.join(F.broadcast(learning.roc_auc_weighted(learning.roc_auc_ovr(long))))
+    return report.withColumn("auc", learning.roc_auc_weighted(learning.roc_auc_ovr(long)).scalar())
