@@ -75,9 +75,7 @@ def evaluate_rules(d):
 @query("M9_evaluate_all_active", "claims diagnoses procedures filters", TRUTH + """
 SELECT claim_id, filter_id, filter_name, passed, rule_type, details, error FROM outcomes""")
 def evaluate_all_active(d):
-    coded = enrich.claim_codes(d.claims, d.diagnoses, d.procedures).withColumnsRenamed(
-        {"diagnoses": "diagnosis_codes", "procedures": "procedure_codes"})
-    return rules.evaluate_all_active(coded, d.filters, d.code_sets)
+    return rules.evaluate_all_active(rules.coded_claims(*d.core), d.filters, d.code_sets)
 
 
 @query("M9_rule_coverage", "claims diagnoses procedures filters", TRUTH + """
@@ -206,5 +204,7 @@ def definition_from_items(d):
 SELECT concat('If ', replace(ante, ',', ', '), ' then ', replace(cons, ',', ', ')) AS rule, ante_freq AS n_antecedent, freq AS n_both
 FROM mined WHERE confidence >= 0.5 AND lift >= 1.1""")
 def match_mined_rules(d):
-    mined = mine_rules(*d.core).withColumn("filter_name", F.col("description"))
-    return mining.match_mined_rules(enrich.transactions(*d.core), mined).withColumnRenamed("filter_name", "rule")
+    baskets = reuse(enrich.transactions(*d.core))
+    mined = reuse(mining.filter_by_lift(mining.association_rules(reuse(mining.frequent_itemsets(baskets)))).withColumn(
+        "filter_name", F.concat(F.lit("If "), joined("antecedent", ", "), F.lit(" then "), joined("consequent", ", "))))
+    return mining.match_mined_rules(baskets, mined).withColumnRenamed("filter_name", "rule")

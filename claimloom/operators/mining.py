@@ -102,25 +102,26 @@ def rule_definitions(rules: DataFrame) -> DataFrame:
 
 
 def match_mined_rules(transactions: DataFrame, rules: DataFrame) -> DataFrame:
-    """(rule, n_antecedent, n_both): in how many claims the antecedent holds, and in how many
-    the consequent holds as well. ``rules`` needs filter_name, antecedent and consequent.
+    """(filter_name, n_antecedent, n_both): in how many claims the antecedent holds, and in how
+    many the consequent holds as well. Rules need filter_name, antecedent and consequent.
 
-    Items meet rule sides through an equi-join on the item, so a claim is only touched by
-    rules it shares an item with; per (claim, rule) a count decides.
+    Each rule waits at the rarest item of its antecedent. A claim meets only the rules waiting at
+    one of its items and decides them in the same row, so just per-rule counts are shuffled.
     """
-    sides = rules.select(
-        "filter_name", F.size("antecedent").alias("n_ante"), F.size("consequent").alias("n_cons"),
-        F.explode(F.concat(
-            F.transform("antecedent", lambda x: F.struct(x.alias("item"), F.lit(1).alias("ante"))),
-            F.transform("consequent", lambda x: F.struct(x.alias("item"), F.lit(0).alias("ante"))),
-        )).alias("s"),
-    ).select("filter_name", "n_ante", "n_cons", "s.item", "s.ante")
-    return (
-        one_hot(transactions).join(broadcast_small(sides), "item")
-        .groupBy("claim_id", "filter_name", "n_ante", "n_cons")
-        .agg(F.sum("ante").alias("ante_hits"), F.sum(1 - F.col("ante")).alias("cons_hits"))
-        .filter(F.col("ante_hits") == F.col("n_ante"))
-        .groupBy("filter_name")
-        .agg(F.count(F.lit(1)).alias("n_antecedent"),
-             F.count_if(F.col("cons_hits") == F.col("n_cons")).alias("n_both"))
+    counts = one_hot(transactions).groupBy("item").agg(F.count(F.lit(1)).alias("n"))
+    lead = (
+        rules.select("filter_name", F.explode("antecedent").alias("item"))
+        .join(counts, "item")
+        .groupBy("filter_name").agg(F.min(F.struct("n", "item")).alias("lead"))
+        .select("filter_name", F.col("lead.item").alias("item"))
+    )
+    waiting = rules.select("filter_name", "antecedent", "consequent").join(lead, "filter_name")
+    met = (
+        transactions.select("items", F.explode(F.array_distinct("items")).alias("item"))
+        .join(broadcast_small(waiting), "item")
+        .filter(F.size(F.array_except("antecedent", "items")) == 0)
+    )
+    return met.groupBy("filter_name").agg(
+        F.count(F.lit(1)).alias("n_antecedent"),
+        F.count_if(F.size(F.array_except("consequent", "items")) == 0).alias("n_both"),
     )

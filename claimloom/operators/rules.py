@@ -3,10 +3,9 @@
 A rule is a conjunction of atoms over one claim. Parsing turns every rule into condition
 rows; evaluation comes in two forms that give the same outcome:
 
-* compiled  - one boolean Column per rule, a single pass over claim rows without joins;
+* compiled - one boolean Column per rule, a single pass over claim rows without joins;
   for rule sets small enough to be part of a plan;
-* relational - conditions matched against claim facts by equi-joins, for rule sets of any
-  size.
+* joined   - rules as rows that meet claims through equi-joins, for rule sets of any size.
 """
 
 from __future__ import annotations
@@ -15,7 +14,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from claimloom.sizing import BROADCAST_ROWS, is_small, reuse
+from claimloom.operators.enrich import claim_codes
+from claimloom.sizing import is_small, reuse
 
 # Atom names of the rule language and the fact kind each one reads.
 KINDS = {
@@ -39,9 +39,8 @@ ATOM = (
     r"|\(?\s*\w+\s*(?:<=|>=|==|!=|<|>|=)\s*-?\d+(?:\.\d+)?\s*\)?"  # (Var op number)
     r"|True)"
 )
-# Stands for "any value" in the lookup of ``exists`` conditions.
+# Leads every claim to the rules that name no code.
 ANY = "\u0001any"
-WORD = 62
 COMPILED_RULES = 256
 COMPILED_CODES = 5_000
 
@@ -174,15 +173,13 @@ def rule_errors(conditions: DataFrame, code_sets: DataFrame) -> DataFrame:
 
 
 def rule_header(filters: DataFrame, conditions: DataFrame, code_sets: DataFrame) -> DataFrame:
-    """One row per active rule: names, number of conditions, error text if any."""
-    counted = conditions.groupBy("filter_id").agg(F.count(F.lit(1)).alias("n_conditions"))
+    """One row per active rule: names and error text if any."""
     return (
         filters.filter("active")
         .select("filter_id", "filter_name", F.lit(OUTCOME_TYPE).alias("rule_type"),
                 F.coalesce("description", F.lit("")).alias("details"))
-        .join(counted, "filter_id", "left")
         .join(rule_errors(conditions, code_sets), "filter_id", "left")
-        .withColumns({"n_conditions": F.coalesce("n_conditions", F.lit(0)), "error": F.coalesce("error", F.lit(""))})
+        .withColumn("error", F.coalesce("error", F.lit("")))
     )
 
 
@@ -211,81 +208,56 @@ def _compare(value: Column, op: Column, number: Column) -> Column:
 
 
 class RuleTables:
-    """Parsed form of a rule set: condition rows and the value lookup, each materialised once and
-    measured once. Joins broadcast them only while they are within ``BROADCAST_ROWS``."""
+    """A rule set as one row per active rule: header fields and an array of its conditions, each
+    with the codes that meet it. Materialised and measured once; joins broadcast it only while
+    rules and codes stay within ``BROADCAST_ROWS``."""
 
     def __init__(self, filters: DataFrame, code_sets: DataFrame):
-        self.conditions = reuse(rule_conditions(filters.filter("active")))
-        self.header = rule_header(filters, self.conditions, code_sets)
-        any_value = (
-            self.conditions.filter((F.col("op") == "exists") & ~F.col("kind").isin(NUMERIC))
-            .select("kind", F.lit(ANY).alias("value"), "filter_id", "cond_no")
+        conditions = reuse(rule_conditions(filters.filter("active")))
+        codes = reuse(code_conditions(conditions, code_sets))
+        per_condition = codes.groupBy("filter_id", "cond_no").agg(F.sort_array(F.collect_set("value")).alias("codes"))
+        arrays = (
+            conditions.join(per_condition, ["filter_id", "cond_no"], "left")
+            .groupBy("filter_id")
+            .agg(F.array_sort(F.collect_list(F.struct(
+                "cond_no", "kind", "op", F.col("value_num").alias("number"),
+                F.coalesce("codes", F.array().cast("array<string>")).alias("codes"),
+            ))).alias("conditions"))
         )
-        self.lookup = reuse(code_conditions(self.conditions, code_sets).unionByName(any_value))
-        size = self.conditions.agg(F.count(F.lit(1)).alias("n"), F.max("cond_no").alias("longest")).first()
-        self.longest = size.longest or 0
-        self.small_rules = size.n <= BROADCAST_ROWS and is_small(filters)
-        self.small_lookup = is_small(self.lookup)
-
-    def rule_side(self, df: DataFrame) -> DataFrame:
-        """``df`` holds at most one row per rule or condition."""
-        return F.broadcast(df) if self.small_rules else df
-
-    def lookup_side(self) -> DataFrame:
-        return F.broadcast(self.lookup) if self.small_lookup else self.lookup
-
-
-def _values(claims: DataFrame, diagnoses: DataFrame, procedures: DataFrame) -> DataFrame:
-    """(claim_id, kind, value) of the facts that are compared for equality, each also as ANY."""
-    scalar = claims.select("claim_id", F.explode(F.array(
-        F.struct(F.lit("provider").alias("kind"), F.col("provider_type").alias("value")),
-        F.struct(F.lit("place").alias("kind"), F.col("place_of_service").alias("value")),
-    )).alias("fact")).select("claim_id", "fact.kind", "fact.value")
-    coded = diagnoses.select("claim_id", F.lit("diagnosis").alias("kind"), F.col("diagnosis_code").alias("value")).unionByName(
-        procedures.select("claim_id", F.lit("procedure").alias("kind"), F.col("procedure_code").alias("value"))
-    )
-    return scalar.unionByName(coded).filter(F.col("value").isNotNull()).select(
-        "claim_id", "kind", F.explode(F.array("value", F.lit(ANY))).alias("value")
+        header = rule_header(filters, conditions, code_sets)
+        none = F.array().cast(arrays.schema["conditions"].dataType)
+        self.rows = reuse(header.join(arrays, "filter_id", "left").withColumn("conditions", F.coalesce("conditions", none)))
+        self.small = is_small(self.rows) and is_small(codes)
+
+    def side(self, df: DataFrame) -> DataFrame:
+        """``df`` is no larger than rules and codes together."""
+        return F.broadcast(df) if self.small else df
+
+
+def _holds(c: Column) -> Column:
+    """Whether a claim row with ``diagnosis_codes`` and ``procedure_codes`` meets a condition."""
+    number = F.when(c["kind"] == "age", F.col("patient_age").cast("double")).otherwise(F.col("total_charge_amount").cast("double"))
+    held = F.when(c["kind"] == "diagnosis", F.col("diagnosis_codes")).otherwise(F.col("procedure_codes"))
+    single = F.when(c["kind"] == "provider", F.col("provider_type")).otherwise(F.col("place_of_service"))
+    met = (
+        F.when(c["kind"].isin(NUMERIC), _compare(number, c["op"], c["number"]))
+        .when(c["kind"].isin(CODED) & (c["op"] == "exists"), F.size(held) > 0)
+        .when(c["kind"].isin(CODED), F.arrays_overlap(held, c["codes"]))
+        .when(c["op"] == "exists", single.isNotNull())
+        .otherwise(F.array_contains(c["codes"], single))
     )
+    return F.coalesce(met, F.lit(False))
 
 
-def met_conditions(claims: DataFrame, diagnoses: DataFrame, procedures: DataFrame, tables: RuleTables) -> DataFrame:
-    """(claim_id, filter_id, cond_no) of every condition a claim meets; may repeat.
+def _passed() -> Column:
+    return (F.col("error") == "") & F.forall("conditions", _holds)
 
-    Only matches leave the joins. Numeric tests are met once per distinct (kind, op, number),
-    however many rules share it.
-    """
-    by_value = _values(claims, diagnoses, procedures).join(tables.lookup_side(), ["kind", "value"]).select(
-        "claim_id", "filter_id", "cond_no")
-    tests = tables.conditions.filter(F.col("kind").isin(NUMERIC) & (F.col("op") != "error")).groupBy(
-        "kind", "op", "value_num").agg(F.collect_list(F.struct("filter_id", "cond_no")).alias("uses"))
-    numbers = claims.select("claim_id", F.explode(F.array(
-        F.struct(F.lit("age").alias("kind"), F.col("patient_age").cast("double").alias("number")),
-        F.struct(F.lit("charge").alias("kind"), F.col("total_charge_amount").cast("double").alias("number")),
-    )).alias("fact")).select("claim_id", "fact.kind", "fact.number").filter(F.col("number").isNotNull())
-    by_number = (
-        numbers.join(tables.rule_side(tests), "kind")
-        .filter(_compare(F.col("number"), F.col("op"), F.col("value_num")))
-        .select("claim_id", F.explode("uses").alias("u"))
-        .select("claim_id", "u.filter_id", "u.cond_no")
-    )
-    return by_value.unionByName(by_number)
-
-
-def conditions_met_counts(met: DataFrame, longest: int) -> DataFrame:
-    """(claim_id, filter_id, n_met): distinct conditions met, as bit masks that merge before
-    and after one shuffle. The number of mask words follows the longest rule."""
-    words = range(longest // WORD + 1)
-    masks = met.groupBy("claim_id", "filter_id").agg(*[
-        F.bit_or(F.when(
-            F.floor(F.col("cond_no") / WORD) == w,
-            F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("cond_no") % WORD).cast("int")),
-        ).otherwise(F.lit(0).cast("long"))).alias(f"mask{w}")
-        for w in words
-    ])
-    return masks.select(
-        "claim_id", "filter_id", reduce(lambda a, b: a + b, [F.bit_count(f"mask{w}") for w in words]).alias("n_met")
-    )
+
+def coded_claims(claims: DataFrame, diagnoses: DataFrame, procedures: DataFrame) -> DataFrame:
+    """What rules read of a claim; the code arrays are bounded by the code vocabulary."""
+    scalars = claims.select("claim_id", "patient_age", "total_charge_amount", "provider_type", "place_of_service")
+    return claim_codes(scalars, diagnoses, procedures).withColumnsRenamed(
+        {"diagnoses": "diagnosis_codes", "procedures": "procedure_codes"})
 
 
 def evaluate_rules(
@@ -296,43 +268,74 @@ def evaluate_rules(
     code_sets: DataFrame,
     candidates: DataFrame,
 ) -> DataFrame:
-    """One row per candidate (claim_id, filter_id) of an active rule: relational form.
+    """One row per candidate (claim_id, filter_id) of an active rule: joined form.
 
-    A rule passes when the number of distinct conditions met equals the number it has.
-    Inactive and unknown filter ids are skipped; a rule with an error never passes.
+    Only candidate pairs are formed. Inactive and unknown filter ids are skipped; a rule with an
+    error never passes.
     """
     tables = RuleTables(filters, code_sets)
-    wanted = candidates.select("claim_id", "filter_id").distinct().join(tables.rule_side(tables.header), "filter_id")
-    met = conditions_met_counts(met_conditions(claims, diagnoses, procedures, tables), tables.longest)
-    return wanted.join(met, ["claim_id", "filter_id"], "left").select(
-        "claim_id", "filter_id", "filter_name",
-        ((F.col("error") == "") & (F.coalesce("n_met", F.lit(0)) == F.col("n_conditions"))).alias("passed"),
-        "rule_type", "details", "error",
+    wanted = candidates.select("claim_id", "filter_id").distinct()
+    return (
+        wanted.join(coded_claims(claims, diagnoses, procedures), "claim_id")
+        .join(tables.side(tables.rows), "filter_id")
+        .select("claim_id", "filter_id", "filter_name", _passed().alias("passed"), "rule_type", "details", "error")
+    )
+
+
+def _rule_keys(rows: DataFrame) -> DataFrame:
+    """Rules with the fact that leads to them: one condition that names codes, preferably of a
+    diagnosis or procedure and with few codes; (kind, value) per code, or ANY without such one."""
+    named = F.filter("conditions", lambda c: F.size(c["codes"]) > 0)
+    ranked = F.transform(named, lambda c: F.struct(
+        (~c["kind"].isin(CODED)).cast("int").alias("tier"), F.size(c["codes"]).alias("n"), c["cond_no"].alias("cond_no"),
+        c["kind"].alias("kind"), c["codes"].alias("codes")))
+    lead = F.array_min(ranked)
+    return (
+        rows.withColumn("lead", lead)
+        .withColumn("key_codes", F.coalesce("lead.codes", F.array(F.lit(ANY))))
+        .withColumn("value", F.explode("key_codes"))
+        .withColumn("kind", F.coalesce("lead.kind", F.lit(ANY)))
+        .drop("lead")
     )
 
 
 def rule_coverage(
     claims: DataFrame, diagnoses: DataFrame, procedures: DataFrame, filters: DataFrame, code_sets: DataFrame
 ) -> DataFrame:
-    """Pass count of every active rule over all claims, without forming claim x rule pairs:
-    only met conditions travel."""
+    """Pass count of every active rule over all claims, for rule sets of any size.
+
+    A claim meets only the rules one of its facts leads to, and those are decided in the same row,
+    so nothing but per-rule counts is shuffled after the claim's codes are together. A rule that
+    several codes of a claim lead to is counted for the first of them.
+    """
     tables = RuleTables(filters, code_sets)
-    met = conditions_met_counts(met_conditions(claims, diagnoses, procedures, tables), tables.longest)
+    sound = tables.rows.filter(F.col("error") == "").select("filter_id", "conditions", "error")
+    coded = coded_claims(claims, diagnoses, procedures)
+
+    def fact(kind: str, value: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+
+    known = F.concat(
+        F.transform("diagnosis_codes", lambda v: fact("diagnosis", v)),
+        F.transform("procedure_codes", lambda v: fact("procedure", v)),
+        F.array(fact("provider", F.col("provider_type")), fact("place", F.col("place_of_service")), fact(ANY, F.lit(ANY))),
+    )
+    own = (
+        F.when(F.col("kind") == "diagnosis", F.col("diagnosis_codes"))
+        .when(F.col("kind") == "procedure", F.col("procedure_codes"))
+        .otherwise(F.array("value"))
+    )
     passed = (
-        met.join(tables.rule_side(tables.header.select("filter_id", "n_conditions", "error")), "filter_id")
-        .filter((F.col("error") == "") & (F.col("n_met") == F.col("n_conditions")))
+        coded.withColumn("f", F.explode(known)).select("*", "f.kind", "f.value").drop("f")
+        .join(tables.side(_rule_keys(sound)), ["kind", "value"])
+        .filter((F.col("value") == F.array_min(F.array_intersect("key_codes", own))) & _passed())
         .groupBy("filter_id").agg(F.count(F.lit(1)).alias("n_passed"))
     )
-    total = claims.agg(F.count(F.lit(1))).scalar()
-    return (
-        tables.header.join(passed, "filter_id", "left")
-        .withColumn("n_claims", total)
-        .select(
-            "filter_id", "filter_name", "n_claims",
-            F.when((F.col("n_conditions") == 0) & (F.col("error") == ""), F.col("n_claims"))
-            .otherwise(F.coalesce("n_passed", F.lit(0))).alias("n_passed"),
-            "error",
-        )
+    return tables.rows.join(passed, "filter_id", "left").select(
+        "filter_id", "filter_name",
+        claims.agg(F.count(F.lit(1))).scalar().alias("n_claims"),
+        F.coalesce("n_passed", F.lit(0)).alias("n_passed"),
+        "error",
     )
 
 
@@ -341,7 +344,7 @@ def rule_coverage(
 # ---------------------------------------------------------------------------
 
 class TooManyRules(ValueError):
-    """The rule set is too large to be part of a plan; use the relational form."""
+    """The rule set is too large to be part of a plan; use the joined form."""
 
 
 def compile_rules(filters: DataFrame, code_sets: DataFrame) -> list[dict]:
