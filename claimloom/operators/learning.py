@@ -32,7 +32,7 @@ def stratified_split(
     """
     hashed = examples.withColumn("_h", F.xxhash64(*key, label, F.lit(seed)))
     numbered = number_rows(hashed, ["_h", *key], "_n", [label], F.shiftright("_h", 54))
-    sizes = numbered.groupBy(label).agg(F.count(F.lit(1)).alias("_size"))
+    sizes = examples.groupBy(label).agg(F.count(F.lit(1)).alias("_size"))
     return (
         numbered.join(broadcast_small(sizes), label)
         .withColumn("is_test", F.col("_n") <= F.round(F.col("_size") * test_share))
@@ -134,7 +134,8 @@ def classification_report(predictions: DataFrame, label: str = "label", predicti
 
     The rows are folded to a confusion matrix first; all else works on that.
     """
-    matrix = predictions.groupBy(F.col(label).alias("l"), F.col(prediction).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    matrix = reuse(
+        predictions.groupBy(F.col(label).alias("l"), F.col(prediction).alias("p")).agg(F.count(F.lit(1)).alias("n")))
     sides = matrix.select(
         F.explode(F.array(
             F.struct(F.col("l").alias("c"), F.col("n").alias("support"), F.lit(0).cast("long").alias("guessed"),

@@ -248,7 +248,7 @@ def alerts(
     ProcessingStopped: nothing processed within ``idle_minutes``, for ``idle_for`` minutes.
     Evaluations run each minute from the first to the last event.
     """
-    minutes = _per_minute(events, ts, failed)
+    minutes = reuse(_per_minute(events, ts, failed))
     bounds = minutes.agg((F.min("minute") + 60).alias("first_at"), (F.max("minute") + 60).alias("last_at"))
     grid = _grid(bounds, 60)
     high = _rates(minutes, 5).filter(F.col("error_rate") > max_error_rate).join(grid, "at", "left_semi")

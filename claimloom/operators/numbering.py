@@ -64,6 +64,8 @@ def running_totals(
     which needs column names in ``order_by``.
     """
     group_by = group_by or []
+    # Sampled bounds give a fixed number of buckets; only other keys can be many.
+    few = bucket is None and not group_by
     if bucket is None:
         bucket = sort_bucket(df, order_by)
     rows = df.withColumn("_bucket", bucket)
@@ -80,7 +82,7 @@ def running_totals(
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
-        rows.join(broadcast_small(starts), group_by + ["_bucket"])
+        rows.join(F.broadcast(starts) if few else broadcast_small(starts), group_by + ["_bucket"])
         .withColumns({n: F.sum(expr).over(inside) + F.col(f"_start_{n}") for n, expr in measures.items()})
         .drop("_bucket", *[f"_start_{n}" for n in measures])
     )

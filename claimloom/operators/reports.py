@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from claimloom import schemas
 from claimloom.functions.scalars import exact_avg
@@ -50,11 +50,12 @@ def status_summary(claims: DataFrame) -> DataFrame:
 def processing_statistics(claims: DataFrame) -> DataFrame:
     """``status_summary`` with the grand total and the unprocessed count on every row."""
     per_status = status_summary(claims).withColumn("avg_charge", F.coalesce("avg_charge", F.lit(0.0)))
-    totals = claims.agg(F.struct(
-        F.count(F.lit(1)).alias("total_claims"),
-        F.count_if(F.col("processing_status").isin(schemas.UNPROCESSED)).alias("unprocessed_count"),
-    )).scalar()
-    return per_status.withColumn("_t", totals).select("*", "_t.*").drop("_t")
+    n = F.col("claim_count")
+    everything = Window.partitionBy()  # over one row per status
+    return per_status.withColumns({
+        "total_claims": F.sum(n).over(everything),
+        "unprocessed_count": F.sum(F.when(F.col("processing_status").isin(schemas.UNPROCESSED), n).otherwise(0)).over(everything),
+    })
 
 
 def daily_processing(claims: DataFrame) -> DataFrame:

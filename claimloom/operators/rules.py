@@ -54,6 +54,7 @@ def parsed_atoms(filters: DataFrame) -> DataFrame:
         F.regexp_extract_all(F.col("_body"), F.lit("(" + ATOM + ")"), F.lit(1)),
         lambda a: F.struct(
             F.regexp_extract(a, r"^(\w+)\(", 1).alias("name"),
+            F.try_element_at(F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv]), F.regexp_extract(a, r"^(\w+)\(\s*\w+\s*,", 1)).alias("kind"),
             F.regexp_extract(a, r"^\w+\(\s*\w+\s*,\s*(\w+)\s*\)$", 1).alias("var"),
             F.regexp_extract(a, r"^\w+\(\s*(\w+)\s*\)$", 1).alias("member"),
             F.when(
@@ -76,8 +77,11 @@ def parsed_atoms(filters: DataFrame) -> DataFrame:
     )
 
 
-def _kind_of(name: Column) -> Column:
-    return reduce(lambda acc, kv: acc.when(name == kv[0], kv[1]), KINDS.items(), F.when(F.lit(False), ""))
+def _condition_sql(op: str, value_str="NULL", value_num="NULL", set_names="NULL", error="NULL", kind="a.kind") -> str:
+    return (
+        f"named_struct('kind', CAST({kind} AS STRING), 'op', {op}, 'value_str', CAST({value_str} AS STRING), "
+        f"'value_num', try_cast({value_num} AS DOUBLE), 'set_names', CAST({set_names} AS ARRAY<STRING>), 'error', CAST({error} AS STRING))"
+    )
 
 
 def rule_conditions(filters: DataFrame) -> DataFrame:
@@ -87,65 +91,31 @@ def rule_conditions(filters: DataFrame) -> DataFrame:
     must be in all of ``set_names``, ``exists`` for a variable nothing else uses. A rule
     without conditions (``True``) has no rows; a rule that cannot be read has one error row.
     """
-    def condition(kind, op, value_str=None, value_num=None, set_names=None, error=None):
-        return F.struct(
-            kind.alias("kind"), op.alias("op"),
-            (value_str if value_str is not None else F.lit(None).cast("string")).alias("value_str"),
-            (value_num if value_num is not None else F.lit(None).cast("double")).alias("value_num"),
-            (set_names if set_names is not None else F.lit(None).cast("array<string>")).alias("set_names"),
-            (error if error is not None else F.lit(None).cast("string")).alias("error"),
-        )
-
-    def bound(atom: Column) -> Column:
-        """Conditions of one binding atom."""
-        kind = _kind_of(atom["name"])
-        comparisons = F.filter("_atoms", lambda o: o["compared"] == atom["var"])
-        members = F.transform(F.filter("_atoms", lambda o: o["member"] == atom["var"]), lambda o: o["name"])
-        return (
-            F.when(atom["literal"].isNotNull() & kind.isin(NUMERIC),
-                   F.array(condition(kind, F.lit("=="), value_num=atom["literal"].try_cast("double"))))
-            .when(atom["literal"].isNotNull(),
-                  F.array(condition(kind, F.lit("="), value_str=atom["literal"])))
-            .when(kind.isin(NUMERIC) & (F.size(members) == 0) & (F.size(comparisons) > 0),
-                  F.transform(comparisons, lambda o: condition(
-                      kind, F.when(o["op"] == "=", "==").otherwise(o["op"]),
-                      value_num=o["number"].try_cast("double"))))
-            .when(kind.isin(NUMERIC) & (F.size(members) > 0),
-                  F.array(condition(kind, F.lit("error"), error=F.lit("a number cannot be in a code set"))))
-            .when(F.size(comparisons) > 0,
-                  F.array(condition(kind, F.lit("error"), error=F.lit("a code cannot be compared with a number"))))
-            .when(F.size(members) > 0,
-                  F.array(condition(kind, F.lit("in"), set_names=F.array_sort(F.array_distinct(members)))))
-            .otherwise(F.array(condition(kind, F.lit("exists"))))
-        )
-
-    binders = F.filter("_atoms", lambda a: _kind_of(a["name"]).isNotNull() & (a["member"] == ""))
-    variables = F.transform(F.filter(binders, lambda a: a["var"] != ""), lambda a: a["var"])
-    used = F.filter(
-        F.transform("_atoms", lambda o: F.coalesce(o["compared"], F.when(o["member"] != "", o["member"]))),
-        lambda v: v.isNotNull(),
-    )
-    unknown = F.transform(
-        F.filter("_atoms", lambda a: (a["name"] != "") & (a["member"] == "") & _kind_of(a["name"]).isNull()),
-        lambda a: a["name"],
-    )
-    unbound = F.array_except(used, variables)
-    shared = F.size(variables) > F.size(F.array_distinct(variables))
-    error = (
-        F.when(F.col("error").isNotNull(), F.col("error"))
-        .when(F.size(unknown) > 0, F.concat(F.lit("unknown predicate: "), F.array_join(unknown, ", ")))
-        .when(F.size(unbound) > 0, F.concat(F.lit("unbound variable: "), F.array_join(unbound, ", ")))
-        .when(shared, F.lit("a variable is bound twice"))
-    )
-    conditions = F.when(
-        F.col("_error").isNotNull(),
-        F.array(condition(F.lit(None).cast("string"), F.lit("error"), error=F.col("_error"))),
-    ).otherwise(F.flatten(F.transform(binders, bound)))
+    numeric = "a.kind IN ('age', 'charge')"
+    comparisons = "filter(_atoms, o -> o.compared = a.var)"
+    members = "transform(filter(_atoms, o -> o.member = a.var), o -> o.name)"
+    equal_or_op = "CASE WHEN o.op = '=' THEN '==' ELSE o.op END"
+    conditions = f"""flatten(transform(filter(_atoms, a -> a.kind IS NOT NULL), a -> CASE
+        WHEN a.literal IS NOT NULL AND {numeric} THEN array({_condition_sql("'=='", value_num="a.literal")})
+        WHEN a.literal IS NOT NULL THEN array({_condition_sql("'='", value_str="a.literal")})
+        WHEN {numeric} AND size({members}) > 0 THEN array({_condition_sql("'error'", error="'a number cannot be in a code set'")})
+        WHEN {numeric} AND size({comparisons}) > 0 THEN transform({comparisons}, o -> {_condition_sql(equal_or_op, value_num="o.number")})
+        WHEN size({comparisons}) > 0 THEN array({_condition_sql("'error'", error="'a code cannot be compared with a number'")})
+        WHEN size({members}) > 0 THEN array({_condition_sql("'in'", set_names=f"array_sort(array_distinct({members}))")})
+        ELSE array({_condition_sql("'exists'")}) END))"""
+    variables = "transform(filter(_atoms, a -> a.kind IS NOT NULL AND a.var <> ''), a -> a.var)"
+    used = "array_compact(transform(_atoms, o -> coalesce(o.compared, nullif(o.member, ''))))"
+    unknown = "transform(filter(_atoms, a -> a.name <> '' AND a.member = '' AND a.kind IS NULL), a -> a.name)"
+    error = f"""CASE WHEN error IS NOT NULL THEN error
+        WHEN size({unknown}) > 0 THEN concat('unknown predicate: ', array_join({unknown}, ', '))
+        WHEN size(array_except({used}, {variables})) > 0 THEN concat('unbound variable: ', array_join(array_except({used}, {variables}), ', '))
+        WHEN size({variables}) > size(array_distinct({variables})) THEN 'a variable is bound twice' END"""
+    unreadable = f"array({_condition_sql(chr(39) + 'error' + chr(39), error='_error', kind='NULL')})"
     return (
         parsed_atoms(filters)
-        .withColumn("_error", error)
-        .select("filter_id", F.posexplode(conditions).alias("cond_no", "c"))
-        .select("filter_id", "cond_no", "c.kind", "c.op", "c.value_str", "c.value_num", "c.set_names", "c.error")
+        .selectExpr("filter_id", "_atoms", f"{error} AS _error")
+        .selectExpr("filter_id", f"posexplode(CASE WHEN _error IS NOT NULL THEN {unreadable} ELSE {conditions} END) AS (cond_no, c)")
+        .selectExpr("filter_id", "cond_no", "c.*")
     )
 
 
@@ -273,13 +243,15 @@ def evaluate_rules(
     Only candidate pairs are formed. Inactive and unknown filter ids are skipped; a rule with an
     error never passes.
     """
-    tables = RuleTables(filters, code_sets)
     wanted = candidates.select("claim_id", "filter_id").distinct()
-    return (
-        wanted.join(coded_claims(claims, diagnoses, procedures), "claim_id")
-        .join(tables.side(tables.rows), "filter_id")
-        .select("claim_id", "filter_id", "filter_name", _passed().alias("passed"), "rule_type", "details", "error")
-    )
+    return evaluate_coded(
+        wanted.join(coded_claims(claims, diagnoses, procedures), "claim_id"), RuleTables(filters, code_sets))
+
+
+def evaluate_coded(pairs: DataFrame, tables: RuleTables, *keep: str) -> DataFrame:
+    """Outcome rows of (coded claim, filter_id) rows; the ``keep`` columns stay."""
+    return pairs.join(tables.side(tables.rows), "filter_id").select(
+        *keep, "claim_id", "filter_id", "filter_name", _passed().alias("passed"), "rule_type", "details", "error")
 
 
 def _rule_keys(rows: DataFrame) -> DataFrame:
@@ -347,16 +319,17 @@ class TooManyRules(ValueError):
     """The rule set is too large to be part of a plan; use the joined form."""
 
 
-def compile_rules(filters: DataFrame, code_sets: DataFrame) -> list[dict]:
+def compile_rules(filters: DataFrame, code_sets: DataFrame, most: int | None = None) -> list[dict]:
     """Active rules as plan-time metadata: header fields and a boolean Column over a claim row
     with ``diagnosis_codes`` and ``procedure_codes``. Raises ``TooManyRules`` beyond the limits,
     before anything larger than them is fetched."""
+    most = COMPILED_RULES if most is None else most
     active = filters.filter("active")
     headers = active.select(
         "filter_id", "filter_name", F.lit(OUTCOME_TYPE).alias("rule_type"), F.coalesce("description", F.lit("")).alias("details")
-    ).limit(COMPILED_RULES + 1).collect()
-    if len(headers) > COMPILED_RULES:
-        raise TooManyRules(f"more than {COMPILED_RULES} active rules")
+    ).limit(most + 1).collect()
+    if len(headers) > most:
+        raise TooManyRules(f"more than {most} active rules")
     conditions: dict[int, list] = {h.filter_id: [] for h in headers}
     for c in rule_conditions(active).collect():
         conditions[c.filter_id].append(c)
@@ -420,9 +393,12 @@ def rule_outcomes(compiled: list[dict], predicted: Column | None = None) -> Colu
     return F.flatten(F.transform(predicted, lambda i: F.filter(outcomes, lambda o: o["filter_id"] == i)))
 
 
-def evaluate_all_active(measured: DataFrame, filters: DataFrame, code_sets: DataFrame) -> DataFrame:
-    """(claim_id, one row per active rule) from claim rows with code arrays; compiled form."""
-    return (
-        measured.select("claim_id", F.explode(rule_outcomes(compile_rules(filters, code_sets))).alias("o"))
-        .select("claim_id", "o.*")
-    )
+def evaluate_all_active(coded: DataFrame, filters: DataFrame, code_sets: DataFrame) -> DataFrame:
+    """One row per claim and active rule, from claim rows with code arrays: compiled form, or the
+    joined one for more rules than a plan should hold."""
+    try:
+        outcomes = rule_outcomes(compile_rules(filters, code_sets))
+    except TooManyRules:
+        ids = filters.filter("active").agg(F.collect_list("filter_id")).scalar()
+        return evaluate_coded(coded.withColumn("filter_id", F.explode(ids)), RuleTables(filters, code_sets))
+    return coded.select("claim_id", F.explode(outcomes).alias("o")).select("claim_id", "o.*")

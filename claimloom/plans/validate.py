@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from claimloom.operators import enrich, features, learning, lifecycle, rules
 from claimloom.operators.rules import TooManyRules
 
+# A run looks at a few filters per claim; with more rules than this it pays to join only those.
+COMPILED_IN_RUN = 32
+
 
 def predicted_by_model(
     measured: DataFrame, encoders: StringIndexerModel | None, model: PipelineModel | None,
@@ -56,10 +59,10 @@ def validate_claims(
         measured = measured.withColumn("predicted_filters", none)
     measured = measured.withColumn("predicted_filters", F.coalesce("predicted_filters", none))
     try:
-        compiled = rules.compile_rules(filters, code_sets)
+        compiled = rules.compile_rules(filters, code_sets, COMPILED_IN_RUN)
         evaluated = measured.withColumn("validation_results", rules.rule_outcomes(compiled, F.col("predicted_filters")))
     except TooManyRules:
-        evaluated = _by_joins(measured, claims, diagnoses, procedures, filters, code_sets)
+        evaluated = _by_joins(measured, rules.RuleTables(filters, code_sets))
     bad = F.col("claim_id").isNull()
     return evaluated.select(
         "claim_id",
@@ -71,11 +74,11 @@ def validate_claims(
     )
 
 
-def _by_joins(measured, claims, diagnoses, procedures, filters, code_sets) -> DataFrame:
-    """Outcome arrays in prediction order through the relational form."""
-    wanted = measured.select("claim_id", F.posexplode("predicted_filters").alias("pos", "filter_id"))
-    outcomes = rules.evaluate_rules(claims, diagnoses, procedures, filters, code_sets, wanted)
-    per_claim = wanted.join(outcomes, ["claim_id", "filter_id"]).groupBy("claim_id").agg(
+def _by_joins(measured: DataFrame, tables: rules.RuleTables) -> DataFrame:
+    """Outcome arrays in prediction order through the joined form."""
+    wanted = measured.select("*", F.posexplode("predicted_filters").alias("pos", "filter_id"))
+    outcomes = rules.evaluate_coded(wanted, tables, "pos")
+    per_claim = outcomes.groupBy("claim_id").agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("pos", "filter_id", "filter_name", "passed", "rule_type", "details", "error"))),
             lambda o: o.dropFields("pos"),

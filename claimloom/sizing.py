@@ -15,7 +15,9 @@ def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
 
 
 def broadcast_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting; larger inputs keep a shuffle join."""
+    """Hint a broadcast only after counting; larger inputs keep a shuffle join. The frame is
+    materialised first, so that the count and the join do not each compute it."""
+    df = reuse(df)
     return F.broadcast(df) if is_small(df, max_rows) else df
 
 

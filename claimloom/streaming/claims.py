@@ -45,6 +45,7 @@ def validate_stream(
     staged = stream.withColumn("preprocessed_at", F.current_timestamp())
 
     def store(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
         ids = batch.select("claim_id").distinct()
         results = validate_claims(
             batch.drop("preprocessed_at"),
@@ -58,5 +59,6 @@ def validate_stream(
             .withColumns({"postprocessed_at": F.current_timestamp(), "pipeline_stage": F.lit("postprocessing")})
             .write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
         )
+        batch.unpersist()
 
     return staged.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimloom.operators import enrich, mining, rules
+from claimloom.plans import validate
 from claimloom.plans.validate import validate_claims
 
 RULES = [
@@ -85,12 +86,19 @@ def test_validation_keeps_prediction_order(spark, data, monkeypatch):
 
     want = {"a": ([6, 1], "COMPLETED"), **{c: ([], "COMPLETED") for c in "bcdef"}}
     assert shown() == want
-    monkeypatch.setattr(rules, "COMPILED_RULES", 3)  # larger rule sets take the joined form
+    monkeypatch.setattr(validate, "COMPILED_IN_RUN", 3)  # larger rule sets take the joined form
     with pytest.raises(rules.TooManyRules):
-        rules.compile_rules(filters, sets)
+        rules.compile_rules(filters, sets, 3)
     assert shown() == want
 
 
+def test_all_active_beyond_the_compiled_limit(data, monkeypatch):
+    claims, dx, px, filters, sets = data
+    monkeypatch.setattr(rules, "COMPILED_RULES", 3)
+    out = rules.evaluate_all_active(rules.coded_claims(claims, dx, px), filters, sets)
+    assert out.count() == 6 * 15 and {(r.claim_id, r.filter_id) for r in out.filter("passed").collect()} == PASSING
+
+
 def test_claim_without_id_is_an_error_result(data):
     claims, dx, px, filters, sets = data
     out = validate_claims(claims.withColumn("claim_id", F.nullif("claim_id", F.lit("a"))), dx, px, filters, sets).collect()
