@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from claimloom.sizing import broadcast_small
 
 SAMPLES_PER_BUCKET = 16
-FAN_OUT = 16
+FAN_OUT = 32
 
 
 def sort_bucket(df: DataFrame, order_by: list[str], buckets: int | None = None) -> Column:
