@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
-from claimloom.llm import exact_dedup, simhash, substring_dedup
+from claimloom.llm import embedding_dedup, exact_dedup, line_dedup, simhash, substring_dedup, url_filter
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1,
+    "op2_url_filters": url_filter.op2,
     "op3_substring_dedup": substring_dedup.op3,
     "op4_simhash_near_dedup": simhash.op4,
+    "op8_embedding_near_dedup": embedding_dedup.op8,
+    "op9_line_dedup": line_dedup.op9,
+}
+ORACLES = {
+    "op1_exact_dedup": exact_dedup.OP1_SQL,
+    "op2_url_filters": url_filter.OP2_SQL,
+    "op3_substring_dedup": substring_dedup.OP3_SQL,
+    "op8_embedding_near_dedup": embedding_dedup.OP8_SQL,
+    "op9_line_dedup": line_dedup.OP9_SQL,
 }
-ORACLES = {"op1_exact_dedup": exact_dedup.OP1_SQL, "op3_substring_dedup": substring_dedup.OP3_SQL}
