@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from claimloom.llm import embedding_dedup, exact_dedup, language_id, line_dedup, simhash, substring_dedup, toxicity, url_filter
+from claimloom.llm import embedding_dedup, exact_dedup, language_id, line_dedup, packing, sentence_pieces, simhash, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1,
     "op2_url_filters": url_filter.op2,
     "op3_substring_dedup": substring_dedup.op3,
     "op4_simhash_near_dedup": simhash.op4,
+    "op5_best_fit_packing": packing.op5,
     "op6_language_id": language_id.op6,
+    "op7_sentence_pieces": sentence_pieces.op7,
     "op8_embedding_near_dedup": embedding_dedup.op8,
     "op9_line_dedup": line_dedup.op9,
     "op10_toxicity": toxicity.op10,
