@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections.abc import Iterator
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +22,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 # Units of up to this many characters are folded in Spark; the few longer ones merge with a heap, to the same result.
 LONGEST_UNIT = 64
 # So many of the most frequent units travel to every task; all others come by a join.
-FREQUENT = 200_000
+FREQUENT = 150_000
+# Words that a task remembers.
+REMEMBERED = 150_000
 
 
 @dataclass
@@ -66,19 +68,9 @@ def cut(word: str, pairs: set[str]) -> list[str]:
     return out
 
 
-def units_of(text: str, pairs: set[str], cache: dict[str, list[str]]) -> Iterator[str]:
-    """The units of a text in order: a space is a bar, one bar is put in front, words begin with their bars."""
-    if not text:
-        return
-    if len(cache) > 200_000:
-        cache.clear()
-    for word in WORDS.findall(BAR + text.replace(" ", BAR)):
-        found = cache.get(word)
-        if found is None:
-            found = cut(word, pairs)
-            if len(word) <= LONGEST_UNIT:
-                cache[word] = found
-        yield from found
+def words_of(text: str) -> list[str]:
+    """The words of a text in order: a space is a bar, one bar is put in front, words begin with their bars."""
+    return WORDS.findall(BAR + text.replace(" ", BAR)) if text else []
 
 
 def merge_with_heap(unit: str, table: dict[str, tuple[int, float]]) -> list[str]:
@@ -128,18 +120,23 @@ def count_units(docs: DataFrame, pieces: Pieces) -> DataFrame:
     def out(counts: dict[str, int]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], schema=schema)
 
-    def task(batches):
-        cache: dict[str, list[str]] = {}
+    def cut_up(words: Counter) -> pa.RecordBatch:
         counts: dict[str, int] = {}
+        for word, n in words.items():
+            for unit in cut(word, pairs):
+                counts[unit] = counts.get(unit, 0) + n
+        return out(counts)
+
+    def task(batches):
+        words: Counter = Counter()
         for batch in batches:
             for text in texts(batch.column(0)):
-                for u in units_of((text or b"").decode("utf-8", "replace"), pairs, cache):
-                    counts[u] = counts.get(u, 0) + 1
-                if len(counts) > 200_000:
-                    yield out(counts)
-                    counts = {}
-        if counts:
-            yield out(counts)
+                words.update(words_of((text or b"").decode("utf-8", "replace")))
+                if len(words) > 100_000:
+                    yield cut_up(words)
+                    words = Counter()
+        if words:
+            yield cut_up(words)
 
     return docs.select("text").mapInArrow(task, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
@@ -159,6 +156,7 @@ def lattice(units: DataFrame, pieces: Pieces) -> DataFrame:
         F.sequence(F.lit(1), F.least(F.lit(pieces.longest), n - s + 1)), lambda k: F.struct((s * 128 + k).alias("at"), F.substring("unit", s, k).alias("piece")))))
     edges = units.select("unit").repartition("unit").select("unit", F.explode(parts).alias("e")).select("unit", "e.at", "e.piece").join(table, "piece", "left")
     found = F.when(F.col("id").isNotNull(), F.struct("at", F.struct("id", "score").alias("edge")))
+    edges = edges.where(F.col("id").isNotNull() | (F.col("at") == 129))  # one row stays of a unit without any piece
     return edges.groupBy("unit").agg(F.map_from_entries(F.collect_list(found)).alias("edges"))
 
 
@@ -253,16 +251,21 @@ def encode(docs: DataFrame, pieces: Pieces, ws: Workspace, id_col: str = "doc_id
     coded = ws.save(encode_units(counted.where(F.length("unit") <= LONGEST_UNIT), pieces))
     common = counted.where(F.length("unit") <= LONGEST_UNIT).orderBy(F.desc("n"), "unit").limit(frequent).join(coded, "unit").select("unit", "ids").toPandas()
     # plain containers: the classes of this package are not known where a broadcast is read
-    known = docs.sparkSession.sparkContext.broadcast((dict(zip(common["unit"], range(len(common)))), [np.asarray(x, np.int32) for x in common["ids"]]))
+    known = docs.sparkSession.sparkContext.broadcast((dict(zip(common["unit"], range(len(common)))), [np.asarray(x, "<i4").tobytes() for x in common["ids"]]))
     pairs = pieces.pairs()
 
     def rare(batches):
-        table, cache = known.value[0], {}
+        table, easy = known.value[0], set()
         schema = pa.schema([("row", pa.int64()), ("unit", pa.string())])
         for batch in batches:
             at, found = [], []
             for row, text in zip(batch.column(0).to_pylist(), texts(batch.column(1))):
-                new = {u for u in units_of((text or b"").decode("utf-8", "replace"), pairs, cache) if u not in table and len(u) <= LONGEST_UNIT}
+                new = set()
+                for word in set(words_of((text or b"").decode("utf-8", "replace"))) - easy:
+                    seldom = [u for u in cut(word, pairs) if u not in table]
+                    new.update(u for u in seldom if len(u) <= LONGEST_UNIT)
+                    if not seldom and len(easy) < REMEMBERED:
+                        easy.add(word)
                 at += [row] * len(new)
                 found += new
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(found, pa.string())], schema=schema)
@@ -275,25 +278,32 @@ def encode(docs: DataFrame, pieces: Pieces, ws: Workspace, id_col: str = "doc_id
     model = docs.sparkSession.sparkContext.broadcast(model)
 
     def task(batches):
-        (place, codes), (table, byte0, unknown), cache = known.value, model.value, {}
-        own = Pieces(table, byte0, unknown, [])
+        (place, codes), (table, byte0, unknown) = known.value, model.value
+        own, remembered = Pieces(table, byte0, unknown, []), {}
+
+        def code(word: str, extra: dict[str, list[int]]) -> bytes:
+            out, common_only = b"", True
+            for u in cut(word, pairs):
+                i = place.get(u)
+                if i is not None:
+                    out += codes[i]
+                else:
+                    ids = extra[u] if u in extra else ids_of_parts(merge_with_heap(u, table), own)
+                    out += np.asarray(ids, "<i4").tobytes()
+                    common_only = False
+            if common_only and len(remembered) < REMEMBERED:
+                remembered[word] = out
+            return out
+
         for batch in batches:
             more = batch.column(len(rest) + 1)
             lists = []
             for k, text in enumerate(texts(batch.column(len(rest)))):
                 extra = {x["unit"]: x["ids"] for x in more[k].as_py() or ()}
-                parts = []
-                for u in units_of((text or b"").decode("utf-8", "replace"), pairs, cache):
-                    i = place.get(u)
-                    if i is not None:
-                        parts.append(codes[i])
-                    elif u in extra:
-                        parts.append(extra[u])
-                    else:
-                        parts.append(ids_of_parts(merge_with_heap(u, table), own))
-                lists.append(np.concatenate(parts).astype(np.int32) if parts else np.empty(0, np.int32))
-            sizes = np.cumsum([0, *map(len, lists)]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate([*lists, np.empty(0, np.int32)])))
+                words = words_of((text or b"").decode("utf-8", "replace"))
+                lists.append(b"".join([remembered[w] if w in remembered else code(w, extra) for w in words]))
+            ends = np.cumsum([0, *map(len, lists)]) // 4
+            ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(lists), "<i4")))
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(rest))] + [ids], names=[*rest, ids_name])
 
     return joined.mapInArrow(task, StructType(joined.schema.fields[: len(rest)] + [StructField(ids_name, ArrayType(IntegerType()))]))
