@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from claimloom.llm.storage import Workspace, with_row_key
+from claimloom.llm.storage import Workspace, unused, with_row_key
 from claimloom.llm.text import WORD
 
 LENGTHS = (256, 512, 1024, 2048)
@@ -77,7 +77,7 @@ def pack_documents(
     of the row's number to shards of about ``shard_tokens``, whose number follows the total; each is packed by itself, so a
     shard wastes at most its own last bins. An empty table gives an empty result. Columns besides id and text are not read.
     """
-    key = next(k for k in ("row", "row_", "row__") if k not in docs.columns)
+    key = unused("row", docs)
     rows, _ = with_row_key(docs.select(id_col, text_col), id_col, ws, key)
     tokens = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)) if tokens is None else tokens
     pieces = ws.save(pieces_of(rows, tokens, key, [F.col(id_col).alias("_id")], max(lengths)))

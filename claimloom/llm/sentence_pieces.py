@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from claimloom.llm.native import let
-from claimloom.llm.storage import Workspace, with_row_key
+from claimloom.llm.storage import Workspace, unused, with_row_key
 from claimloom.llm.text import texts
 
 BAR = "▁"
@@ -22,9 +22,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 # Units of up to this many characters are folded in Spark; the few longer ones merge with a heap, to the same result.
 LONGEST_UNIT = 64
 # So many of the most frequent units travel to every task; all others come by a join.
-FREQUENT = 150_000
+FREQUENT = 60_000
 # Words that a task remembers.
-REMEMBERED = 150_000
+REMEMBERED = 60_000
 
 
 @dataclass
@@ -132,7 +132,7 @@ def count_units(docs: DataFrame, pieces: Pieces) -> DataFrame:
         for batch in batches:
             for text in texts(batch.column(0)):
                 words.update(words_of((text or b"").decode("utf-8", "replace")))
-                if len(words) > 100_000:
+                if len(words) > 50_000:
                     yield cut_up(words)
                     words = Counter()
         if words:
@@ -244,7 +244,7 @@ def encode(docs: DataFrame, pieces: Pieces, ws: Workspace, id_col: str = "doc_id
     their rows by a join, by unit and then by row. Null and empty texts have no ids. Repeated rows, and rows with equal or null ids,
     are rows of their own; an empty table gives an empty result. A column named like the ids is replaced.
     """
-    key = next(k for k in ("row", "row_", "row__") if k not in docs.columns)
+    key = unused("row", docs)
     rows, _ = with_row_key(docs, id_col, ws, key)
     plain = rows.select(F.col(key).alias("row"), F.col(text_col).cast("string").alias("text"))
     counted = ws.save(count_units(plain, pieces))
@@ -270,10 +270,11 @@ def encode(docs: DataFrame, pieces: Pieces, ws: Workspace, id_col: str = "doc_id
                 found += new
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(found, pa.string())], schema=schema)
 
-    seldom = plain.mapInArrow(rare, "row long, unit string").join(coded, "unit").groupBy("row").agg(F.collect_list(F.struct("unit", "ids")).alias("_more"))
-    seldom = ws.save(seldom.withColumnRenamed("row", "_more_row"))
+    seldom = plain.mapInArrow(rare, "row long, unit string").join(coded, "unit").groupBy("row").agg(F.collect_list(F.struct("unit", "ids")).alias("more"))
+    seldom = ws.save(seldom)
     rest = [c for c in docs.columns if c != ids_name]
-    joined = rows.join(seldom, F.col(key) == F.col("_more_row"), "left").select(*rest, F.col(text_col).cast("string").alias("_text"), "_more")
+    joined = rows.join(seldom, rows[key] == seldom["row"], "left").select(
+        *[rows[c] for c in rest], rows[text_col].cast("string").alias(unused("_text", docs)), seldom["more"].alias(unused("_more", docs)))
     model = (pieces.table, pieces.byte0, pieces.unknown)
     model = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -331,7 +332,7 @@ def decode(df: DataFrame, pieces: Pieces, ids_col: str = "ids", text_name: str =
     """``df`` with the text that the ids stand for; null ids are an empty text."""
     rest = [c for c in df.columns if c != text_name]
     model = df.sparkSession.sparkContext.broadcast((pieces.strings, pieces.byte0))
-    plain = df.select(*rest, F.col(ids_col).alias("_ids"))
+    plain = df.select(*rest, F.col(ids_col).alias(unused("_ids", df)))
 
     def task(batches):
         strings, byte0 = model.value

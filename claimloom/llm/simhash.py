@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from claimloom.llm.graph import components
-from claimloom.llm.storage import Workspace, with_row_key
+from claimloom.llm.storage import Workspace
 from claimloom.llm.text import spans, texts
 
 BITS = 64
@@ -92,7 +92,11 @@ def links(values: DataFrame, distance: int = 4, segments: int = 3) -> DataFrame:
         F.col("fp").alias("b"),
         F.explode(F.array(*[F.struct(F.lit(k).alias("seg"), part.alias("val")) for k, part, _, _ in used])).alias("s"),
     ).select("b", "s.seg", "s.val")
-    balls = [F.transform(_ball(part, size, r), lambda v, k=k: F.struct(F.lit(k).alias("seg"), v.alias("val"))) for k, part, size, r in used]
+
+    def keyed(k: int, ball: Column) -> Column:
+        return F.transform(ball, lambda v: F.struct(F.lit(k).alias("seg"), v.alias("val")))
+
+    balls = [keyed(k, _ball(part, size, r)) for k, part, size, r in used]
     probes = values.select(F.col("fp").alias("a"), F.explode(F.concat(*balls)).alias("s")).select("a", "s.seg", "s.val")
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
     return probes.join(table, ["seg", "val"]).where(near).select("a", "b")

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from claimloom.llm.storage import Workspace, with_row_key
+from claimloom.llm.storage import Workspace, unused, with_row_key
 from claimloom.llm.text import Buffer, SliceHash, spans, texts
 
 # Period and residues of a difference cover: every difference modulo the period is one of two residues.
@@ -128,13 +128,13 @@ def remove_repeats(docs: DataFrame, ws: Workspace, id_col: str = "doc_id", text_
     full, or with equal or null ids, are rows of their own, so their windows repeat. Columns of ``docs`` named like the
     three new ones are replaced; an empty table gives an empty result.
     """
-    key = next(k for k in ("row", "row_", "row__") if k not in docs.columns)
+    key = unused("row", docs)
     rows, _ = with_row_key(docs, id_col, ws, key)
     found = repeated_windows(rows.select(F.col(key).alias("row"), F.col(text_col).cast("string").alias("text")), ws, window)
     new = ("n_words", "n_removed", "kept_text")
     rest = [c for c in docs.columns if c not in new]
-    joined = rows.join(found.withColumnRenamed("row", "_found_row"), F.col(key) == F.col("_found_row"), "left")
-    joined = joined.select(*[F.col(c) for c in rest], F.col(text_col).cast("string").alias("_text"), F.col("starts").alias("_starts"))
+    joined = rows.join(found, rows[key] == found["row"], "left")
+    joined = joined.select(*[rows[c] for c in rest], rows[text_col].cast("string").alias(unused("_text", docs)), found["starts"].alias(unused("_starts", docs)))
     kinds = joined.schema
 
     def task(batches):

@@ -12,7 +12,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from claimloom.llm.language_id import held_out
 from claimloom.llm.native import let
-from claimloom.llm.storage import Workspace
+from claimloom.llm.storage import Workspace, unused
 from claimloom.llm.text import SPACE, texts
 
 TRAINING_ROWS = 12_000
@@ -140,8 +140,10 @@ def clause_weights(text: str, insults: dict[str, float], arcs: dict[str, tuple[s
 
 
 def features(weights: np.ndarray) -> np.ndarray:
-    """One for the bias, then each class's weight up to that of some four strong insults."""
-    return np.concatenate([np.ones(weights.shape[:-1] + (1,)), np.minimum(weights, 20.0) / 5.0], axis=-1)
+    """One for the bias, the weight of all matched clauses, and that of each class but bare insults, so that a class which
+    training did not show counts like any match; each up to the weight of some four strong insults."""
+    parts = [np.ones(weights.shape[:-1] + (1,)), weights.sum(axis=-1, keepdims=True) / 5.0, weights[..., 1:] / 5.0]
+    return np.minimum(np.concatenate(parts, axis=-1), 4.0)
 
 
 def score_text(grammar: Grammar, text: str | None, arcs: dict[str, tuple[str, float] | None] | None = None) -> float:
@@ -257,7 +259,7 @@ def score(docs: DataFrame, grammar: Grammar, text_col: str = "text", score_name:
     gives an empty result, and a column named like the score is replaced.
     """
     rest = [c for c in docs.columns if c != score_name]
-    plain = docs.select(*rest, F.col(text_col).cast("string").alias("_text"))
+    plain = docs.select(*rest, F.col(text_col).cast("string").alias(unused("_text", docs)))
 
     def task(batches):
         arcs: dict[str, tuple[str, float] | None] = {}
