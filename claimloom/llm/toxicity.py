@@ -171,7 +171,7 @@ def _words_by_label(sample: DataFrame) -> DataFrame:
     return sample.mapInArrow(task, "word string, y int, n long")
 
 
-def fit(labelled: DataFrame, ws: Workspace, text_col: str = "text", label_col: str = "toxic", rows: int = TRAINING_ROWS, candidates: int = CANDIDATES, lexicon: int = LEXICON) -> Grammar:
+def fit(docs: DataFrame, labels: DataFrame, ws: Workspace, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAINING_ROWS, candidates: int = CANDIDATES, lexicon: int = LEXICON) -> Grammar:
     """Learn insults and class weights from at most ``rows`` rows with distinct texts, those with the smallest hash.
 
     Insults are words or stems, chosen one after the other: of the ``candidates`` most tied to toxic rows, the one that
@@ -180,14 +180,19 @@ def fit(labelled: DataFrame, ws: Workspace, text_col: str = "text", label_col: s
     hash of three words running (near copies) one is used, so that a passage copied often teaches no more than once. Weights come from a ridge logistic regression on the classes'
     weights. Rows without text or label teach nothing; without toxic or other rows the grammar gives 0.5 or less.
     """
-    usable = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("int").alias("y")).where("text IS NOT NULL AND y IN (0, 1)")
-    bound = usable.select(F.xxhash64("text").alias("h")).orderBy("h").limit(rows).agg(F.max("h")).first()[0]
     grammar = Grammar()
-    if bound is None:
+    text = F.col(text_col).cast("string")
+    marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id IS NOT NULL AND y IN (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
+    hashes = docs.where(text.isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"))
+    # Labels meet hashes, not texts; the rows chosen are at most ``rows`` short ones, and only their texts are fetched.
+    chosen = ws.save(hashes.join(marks, "id").groupBy("h").agg(F.min("id").alias("id"), F.max("y").alias("y")).orderBy("h").limit(rows))
+    total = {r["y"]: r["count"] for r in chosen.groupBy("y").count().collect()}
+    if len(total) < 2:
         return grammar
+    usable = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("h", F.xxhash64("text")).join(F.broadcast(chosen), ["h", "id"]).select("text", "y")
     words_in = F.split(F.lower("text"), SPACE)
     sketch = let(words_in, lambda w: F.array_min(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 2, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, 3), " ")))))
-    near = usable.where(F.xxhash64("text") <= bound).withColumn("sketch", sketch)
+    near = usable.withColumn("sketch", sketch)
     sample = ws.save(near.groupBy("sketch", "y").agg(F.min("text").alias("text")).select("text", "y"))
     total = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     toxic, clean = total.get(1, 0), total.get(0, 0)
@@ -272,7 +277,7 @@ def score(docs: DataFrame, grammar: Grammar, text_col: str = "text", score_name:
 
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     docs = spark.read.parquet(f"{folder}/documents.parquet")
-    labels = spark.read.parquet(f"{folder}/labels.parquet").where(~held_out("doc_id", 3, 1)).select("doc_id", "toxic")
-    grammar = fit(docs.select("doc_id", "text").join(labels, "doc_id"), Workspace(spark))
+    labels = spark.read.parquet(f"{folder}/labels.parquet").where(~held_out("doc_id", 3, 1))
+    grammar = fit(docs, labels, Workspace(spark))
     scored = score(docs.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "text"), grammar)
     return scored.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))

@@ -59,13 +59,15 @@ def test_toxicity(spark, ws, docs):
     words = [f"word{i}" for i in range(200)]
     prose = lambda: " ".join(rng.choices(words, k=30))
     train = [(f"{prose()} {rng.choice(['blarg', 'zonkish', 'zonked'])} {prose()}.", 1) for _ in range(80)] + [(f"{prose()}.", 0) for _ in range(300)] + [(None, 1), ("x", None)]
-    grammar = toxicity.fit(spark.createDataFrame(train, "text string, toxic int"), ws)
+    train = [(i, *x) for i, x in enumerate(train)]
+    known = spark.createDataFrame(train, "doc_id long, text string, toxic int")
+    grammar = toxicity.fit(known.select("doc_id", "text"), known.select("doc_id", "toxic"), ws)
     assert any("blarg".startswith(x.rstrip("$")) for x in grammar.insults) and any("zonk".startswith(x[:4]) for x in grammar.insults)
     rows = [(1, prose() + " you blarg"), (2, prose()), (3, None), (4, ""), (5, prose() + " zonkers!"), (6, "word1 " * 20_000)]
     got = {r.doc_id: r.score for r in toxicity.score(docs(rows), grammar).collect()}
     assert got[1] >= 0.7 and got[5] >= 0.7 and max(got[i] for i in (2, 3, 4, 6)) < 0.5
     assert toxicity.score(docs([]), grammar).count() == 0
-    assert toxicity.score(docs(rows), toxicity.fit(spark.createDataFrame([], "text string, toxic int"), ws)).count() == 6
+    assert toxicity.score(docs(rows), toxicity.fit(known, known.limit(0), ws)).count() == 6
 
 
 def test_clause_classes():
