@@ -277,9 +277,9 @@ def assign_chunks(d):
 , r AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY is_principal DESC,
     CASE WHEN is_principal THEN 0 ELSE coalesce(diagnosis_sequence, 999) END, diagnosis_code, diagnosis_type, diagnosis_sequence, description) AS rank
   FROM diagnoses WHERE diagnosis_code IS NOT NULL)
-SELECT claim_id, diagnosis_code, diagnosis_sequence, is_principal, cast(rank AS INT) AS rank FROM r WHERE rank <= 3""")
+SELECT claim_id, diagnosis_code, diagnosis_sequence, is_principal, cast(rank AS INT) AS rank FROM r""")
 def principal_rank(d):
-    return ranking.principal_rank(d.diagnoses, 3).select(
+    return ranking.principal_rank(d.diagnoses, None).select(
         "claim_id", "diagnosis_code", "diagnosis_sequence", "is_principal", "rank")
 
 

@@ -48,7 +48,7 @@ def stream_dedupe(d):
     """Every claim arrives twice."""
     root = scratch(d.spark, "dedupe")
     twice = _arriving(d, root).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
-    _run(dedupe_stream(twice, delay="3650 days").select("claim_id", "processing_status").writeStream.format("parquet")
+    _run(dedupe_stream(twice).select("claim_id", "processing_status").writeStream.format("parquet")
          .option("path", f"{root}/out").option("checkpointLocation", f"{root}/cp"))
     return d.spark.read.schema("claim_id string, processing_status string").parquet(f"{root}/out")
 

@@ -29,20 +29,17 @@ def top_filter_rows(scores: DataFrame, threshold: float = 0.3, k: int = 10) -> D
     )
 
 
-def principal_rank(diagnoses: DataFrame, top: int = 1) -> DataFrame:
-    """The first ``top`` coded diagnosis lines of each claim: principal first, then lowest
-    sequence (missing counts as 999). The rank limit also runs before the shuffle."""
+def principal_rank(diagnoses: DataFrame, top: int | None = 1) -> DataFrame:
+    """Coded diagnosis lines of each claim with their rank: principal first, then lowest sequence
+    (missing counts as 999); the first ``top``, or all if it is None. The rank limit also runs before the shuffle."""
     principal = F.coalesce("is_principal", F.lit(False))
     order = Window.partitionBy("claim_id").orderBy(
         F.desc(principal),
         F.when(principal, 0).otherwise(F.coalesce("diagnosis_sequence", F.lit(999))),
         "diagnosis_code", "diagnosis_type", "diagnosis_sequence", "description",
     )
-    return (
-        diagnoses.filter(F.col("diagnosis_code").isNotNull())
-        .withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= top)
-    )
+    ranked = diagnoses.filter(F.col("diagnosis_code").isNotNull()).withColumn("rank", F.row_number().over(order))
+    return ranked if top is None else ranked.filter(F.col("rank") <= top)
 
 
 def recent_avg_time(results: DataFrame, n: int = 1000) -> DataFrame:
