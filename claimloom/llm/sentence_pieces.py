@@ -12,15 +12,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from claimloom.llm.native import let
 from claimloom.llm.storage import Workspace, unused, with_row_key
 from claimloom.llm.text import texts
 
 BAR = "▁"
 WORDS = re.compile(f"{BAR}*[^{BAR}]+|{BAR}+")
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-# Units of up to this many characters are folded in Spark; the few longer ones merge with a heap, to the same result.
-LONGEST_UNIT = 64
+# Units of up to this many characters, whose boundaries fit the bits of a bigint, are folded in Spark; the few longer ones merge
+# with a heap, to the same result.
+LONGEST_UNIT = 62
 # So many of the most frequent units travel to every task; all others come by a join.
 FREQUENT = 60_000
 # Words that a task remembers.
@@ -70,7 +70,11 @@ def cut(word: str, pairs: set[str]) -> list[str]:
 
 def words_of(text: str) -> list[str]:
     """The words of a text in order: a space is a bar, one bar is put in front, words begin with their bars."""
-    return WORDS.findall(BAR + text.replace(" ", BAR)) if text else []
+    if not text:
+        return []
+    if BAR in text or "  " in text or text[0] == " " or text[-1] == " ":
+        return WORDS.findall(BAR + text.replace(" ", BAR))
+    return (BAR + text.replace(" ", " " + BAR)).split(" ")
 
 
 def merge_with_heap(unit: str, table: dict[str, tuple[int, float]]) -> list[str]:
@@ -142,7 +146,10 @@ def count_units(docs: DataFrame, pieces: Pieces) -> DataFrame:
 
 
 def lattice(units: DataFrame, pieces: Pieces) -> DataFrame:
-    """(unit, edges): for each unit a map from start * 128 + length to the id and score of the piece that stands there.
+    """(unit, edges): for each unit its pieces as (cost, s, l, id, ends, inner), cheapest and then leftmost first. An edge starts
+    at character s (from 1) and is l characters long; cost is the negative score. Bit i of ``ends`` and ``inner`` stands for the
+    boundary behind character i: those at both ends of the edge, and those within it. Every single character has an edge, with a
+    null id where it is no piece.
 
     Substrings of at most the longest piece's length meet the piece table in an equi-join. The table is as large as the
     model's vocabulary, whatever the data, and is broadcast; units are dealt out once, and their edges are grouped where
@@ -151,78 +158,70 @@ def lattice(units: DataFrame, pieces: Pieces) -> DataFrame:
     spark = units.sparkSession
     table = spark.createDataFrame([(p, i, s) for p, (i, s) in pieces.table.items()], "piece string, id int, score double")
     table = F.broadcast(table) if len(pieces.table) <= 1_000_000 else table
-    n = F.length("unit")
-    parts = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda s: F.transform(
-        F.sequence(F.lit(1), F.least(F.lit(pieces.longest), n - s + 1)), lambda k: F.struct((s * 128 + k).alias("at"), F.substring("unit", s, k).alias("piece")))))
-    edges = units.select("unit").repartition("unit").select("unit", F.explode(parts).alias("e")).select("unit", "e.at", "e.piece").join(table, "piece", "left")
-    found = F.when(F.col("id").isNotNull(), F.struct("at", F.struct("id", "score").alias("edge")))
-    edges = edges.where(F.col("id").isNotNull() | (F.col("at") == 129))  # one row stays of a unit without any piece
-    return edges.groupBy("unit").agg(F.map_from_entries(F.collect_list(found)).alias("edges"))
+    starts = units.select("unit").repartition("unit").select("unit", F.explode(F.sequence(F.lit(1), F.length("unit"))).alias("s"))
+    lengths = F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.length("unit") - F.col("s") + 1))
+    parts = starts.select("unit", "s", F.explode(lengths).alias("l")).select("unit", "s", "l", F.substring("unit", F.col("s"), F.col("l")).alias("piece"))
+    bit = lambda at: f"shiftleft(1L, {at})"
+    edge = F.struct(
+        (-F.col("score")).alias("cost"), "s", "l", "id",
+        F.expr(f"{bit('s - 1')} | {bit('s + l - 1')}").alias("ends"), F.expr(f"{bit('s + l - 1')} - {bit('s')}").alias("inner"))
+    edges = parts.join(table, "piece", "left").where("id IS NOT NULL OR l = 1")
+    return edges.select("unit", edge.alias("edge")).groupBy("unit").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
 
 
-def _edge(at: Column, length: Column) -> Column:
-    return F.try_element_at(F.col("edges"), (at * 128 + length).cast("int"))
+def _all_ends() -> Column:
+    """The boundaries of a unit cut into characters."""
+    return F.expr("shiftleft(1L, length(unit) + 1) - 1")
 
 
 def fold_merges() -> Column:
-    """Symbols (start, length) of a unit after as many merges as it allows: an aggregate whose step joins the two
-    neighbours that make the best-scored piece."""
-    n = F.length("unit")
-    begin = F.transform(F.sequence(F.lit(1), n), lambda s: F.struct(s.alias("s"), F.lit(1).alias("l")))
-
-    def step(acc: Column, _: Column) -> Column:
-        def score(i: Column) -> Column:
-            a, b = F.element_at(acc, i), F.element_at(acc, i + 1)
-            return F.struct(_edge(a["s"], a["l"] + b["l"])["score"].alias("score"), (-i).alias("i"))
+    """Boundaries (a bit each) that are left after as many merges as the unit allows: an aggregate whose step takes the first
+    of the sorted edges that spans exactly two symbols, and removes the boundary between them."""
+    longer = F.filter("edges", lambda e: e["l"] > 1)
 
-        joined = lambda i: F.concat(
-            F.slice(acc, 1, i - 1),
-            F.array(F.struct(F.element_at(acc, i)["s"].alias("s"), (F.element_at(acc, i)["l"] + F.element_at(acc, i + 1)["l"]).alias("l"))),
-            F.slice(acc, i + 2, F.greatest(F.size(acc) - i - 1, F.lit(0))),
-        )
-        scored = F.when(F.size(acc) > 1, F.array_max(F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.size(acc) - 1, F.lit(1))), score), lambda x: x["score"].isNotNull())))
-        return let(scored, lambda best: F.when(best.isNull(), acc).otherwise(let(-best["i"], joined)))
+    def step(left: Column, _: Column) -> Column:
+        spans_two = lambda e: (left.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(left.bitwiseAND(e["inner"])) == 1)
+        best = F.get(F.filter(longer, spans_two), F.lit(0))["inner"]
+        return left.bitwiseAND(F.bitwise_not(F.coalesce(best, F.lit(0).cast("bigint"))))
 
-    return F.when(n > 1, F.aggregate(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), begin, step)).otherwise(begin)
+    merges = F.sequence(F.lit(2), F.greatest(F.length("unit"), F.lit(2)))
+    return F.aggregate(merges, _all_ends(), step)
 
 
 def fold_best_path(unknown_score: float) -> Column:
-    """Symbols of the path with the highest sum of scores (Viterbi): an aggregate over end positions whose state holds the
+    """Boundaries of the path with the highest sum of scores (Viterbi): an aggregate over end positions whose state holds the
     best score and last length of every prefix. A character without a piece costs ``unknown_score``; of equal paths the one
     with the longer last piece wins."""
     n = F.length("unit")
     begin = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("l")))
 
     def step(acc: Column, end: Column) -> Column:
-        def arrive(k: Column) -> Column:
-            weight = _edge(end - k + 1, k)["score"]
-            weight = F.when(k == 1, F.coalesce(weight, F.lit(unknown_score))).otherwise(weight)
-            return F.struct((F.element_at(acc, end - k + 1)["score"] + weight).alias("score"), k.alias("l"))
+        def arrive(e: Column) -> Column:
+            return F.struct((F.element_at(acc, e["s"])["score"] + F.coalesce(-e["cost"], F.lit(unknown_score))).alias("score"), e["l"].alias("l"))
 
-        ways = F.filter(F.transform(F.sequence(F.lit(1), end), arrive), lambda x: x["score"].isNotNull())
-        return F.concat(acc, F.array(F.array_max(ways)))
+        return F.concat(acc, F.array(F.array_max(F.transform(F.filter("edges", lambda e: e["s"] + e["l"] - 1 == end), arrive))))
 
-    best = F.aggregate(F.sequence(F.lit(1), n), begin, step)
-
-    def back(path: Column, _: Column) -> Column:
-        at = F.when(F.size(path["symbols"]) == 0, n).otherwise(path["at"])
-        last = F.element_at(F.col("best"), at + 1)["l"]
-        grown = F.concat(F.array(F.struct((at - last + 1).alias("s"), last.alias("l"))), path["symbols"])
-        return F.when((F.size(path["symbols"]) > 0) & (path["at"] == 0), path).otherwise(F.struct((at - last).alias("at"), grown.alias("symbols")))
+    def back(left: Column, behind: Column) -> Column:
+        """Walks from the end: the lowest boundary found so far, and on through its last piece."""
+        at = left["at"]
+        arrived = at - F.element_at("best", at + 1)["l"]
+        on = F.struct(arrived.alias("at"), left["mask"].bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), arrived)).alias("mask"))
+        return F.when(at == 0, left).otherwise(on)
 
-    return best, lambda: F.aggregate(
-        F.sequence(F.lit(1), n), F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<s: int, l: int>>)").alias("symbols")), back)["symbols"]
+    best = F.aggregate(F.sequence(F.lit(1), n), begin, step)
+    end = F.struct(n.alias("at"), F.expr("shiftleft(1L, length(unit))").alias("mask"))
+    return best, lambda: F.aggregate(F.sequence(F.lit(1), n), end, back)["mask"]
 
 
 def encode_units(units: DataFrame, pieces: Pieces) -> DataFrame:
     """(unit, ids) of units of at most LONGEST_UNIT characters, by the fold that the model's kind asks for."""
     edges = lattice(units, pieces)
     if pieces.is_bpe:
-        folded = edges.select("unit", "edges", fold_merges().alias("symbols"))
+        folded = edges.select("unit", "edges", fold_merges().alias("left"))
     else:
         scores = [s for _, s in pieces.table.values()]
         best, walk = fold_best_path(min(scores, default=0.0) - 10.0)
-        folded = edges.select("unit", "edges", best.alias("best")).select("unit", "edges", walk().alias("symbols"))
+        folded = edges.select("unit", "edges", best.alias("best")).select("unit", "edges", walk().alias("left"))
 
     def ids(x: Column) -> Column:
         code = F.hex(F.encode(F.substring("unit", x["s"], x["l"]), "UTF-8"))
@@ -230,10 +229,12 @@ def encode_units(units: DataFrame, pieces: Pieces) -> DataFrame:
             rest = F.array(F.lit(pieces.unknown))
         else:
             rest = F.transform(F.sequence(F.lit(1), (F.length(code) / 2).cast("int")), lambda k: F.conv(F.substring(code, k * 2 - 1, 2), 16, 10).cast("int") + pieces.byte0)
-        id_ = _edge(x["s"], x["l"])["id"]
-        return F.when(id_.isNotNull(), F.array(id_)).otherwise(rest)
+        return F.when(x["id"].isNotNull(), F.array(x["id"])).otherwise(rest)
 
-    return folded.select("unit", F.flatten(F.transform("symbols", ids)).alias("ids"))
+    left = F.col("left")
+    symbols = F.filter("edges", lambda e: (left.bitwiseAND(e["ends"]) == e["ends"]) & (left.bitwiseAND(e["inner"]) == 0))
+    symbols = F.sort_array(F.transform(symbols, lambda e: F.struct(e["s"].alias("s"), e["l"].alias("l"), e["id"].alias("id"))))
+    return folded.select("unit", F.flatten(F.transform(symbols, ids)).alias("ids"))
 
 
 def encode(docs: DataFrame, pieces: Pieces, ws: Workspace, id_col: str = "doc_id", text_col: str = "text", ids_name: str = "ids", frequent: int = FREQUENT) -> DataFrame:
