@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import math
 import re
 from collections import Counter
 from dataclasses import dataclass
@@ -21,6 +22,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 # Units of up to this many characters, whose boundaries fit the bits of a bigint, are folded in Spark; the few longer ones merge
 # with a heap, to the same result.
 LONGEST_UNIT = 62
+# Units whose lattice one task builds; their rows are small before they are exploded, so Spark would join too many tasks into one.
+UNITS_PER_TASK = 200_000
 # So many of the most frequent units travel to every task; all others come by a join.
 FREQUENT = 60_000
 # Words that a task remembers.
@@ -158,7 +161,8 @@ def lattice(units: DataFrame, pieces: Pieces) -> DataFrame:
     spark = units.sparkSession
     table = spark.createDataFrame([(p, i, s) for p, (i, s) in pieces.table.items()], "piece string, id int, score double")
     table = F.broadcast(table) if len(pieces.table) <= 1_000_000 else table
-    starts = units.select("unit").repartition("unit").select("unit", F.explode(F.sequence(F.lit(1), F.length("unit"))).alias("s"))
+    tasks = math.ceil(max(units.count(), 1) / UNITS_PER_TASK)
+    starts = units.select("unit").repartition(tasks, "unit").select("unit", F.explode(F.sequence(F.lit(1), F.length("unit"))).alias("s"))
     lengths = F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.length("unit") - F.col("s") + 1))
     parts = starts.select("unit", "s", F.explode(lengths).alias("l")).select("unit", "s", "l", F.substring("unit", F.col("s"), F.col("l")).alias("piece"))
     bit = lambda at: f"shiftleft(1L, {at})"
