@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from claimloom import schemas
 from claimloom.catalog.registry import ORACLES, query, scratch
+from claimloom.catalog.reporting import rounded
 from claimloom.catalog.rulesets import _candidates, outcome_text
 from claimloom.operators import metrics
 from claimloom.sources.files import as_claims
-from claimloom.streaming.claims import claims_stream, dedupe_stream, validate_stream
+from claimloom.streaming.claims import claims_stream, dedupe_stream, rate_stream, validate_stream
 
 
 def _arriving(d, root):
@@ -55,10 +56,13 @@ def stream_dedupe(d):
 
 @query("X4_windowed_rate_stream")
 def stream_rate(d):
-    """Sliding windows of the event stream, closed by a watermark."""
+    """Sliding windows of the event stream, all of them, from counts per minute."""
     root = scratch(d.spark, "rate")
     d.events.select(F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "error").alias("failed")).write.parquet(f"{root}/in")
-    events = d.spark.readStream.schema("ts timestamp, failed boolean").parquet(f"{root}/in").withWatermark("ts", "1 minute")
-    _run(metrics.windowed_rate(events).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/cp"))
-    out = d.spark.read.schema("window_end timestamp, processed_rate double, error_rate double").parquet(f"{root}/out")
-    return out.withColumn("window_end", F.unix_timestamp("window_end"))
+    _run(rate_stream(d.spark.readStream.schema("ts timestamp, failed boolean").parquet(f"{root}/in"), f"{root}/out", f"{root}/cp"))
+    counts = d.spark.read.schema("minute long, processed long, errors long").parquet(f"{root}/out")
+    return metrics.rates_of_minutes(counts).select(
+        F.unix_timestamp("window_end").alias("window_end"), rounded("processed_rate"), rounded("error_rate"))
+
+
+ORACLES["X4_windowed_rate_stream"] = ORACLES["X4_windowed_rate"]

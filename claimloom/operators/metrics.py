@@ -188,23 +188,18 @@ def interval_rate(results: DataFrame, seconds: int = 30, recent: int = 1000) ->
 def windowed_rate(events: DataFrame, minutes: int = 5, ts: str = "ts", failed: str = "failed") -> DataFrame:
     """Processed and failed events per second in the trailing ``minutes``, evaluated each minute.
 
-    Batch input is folded per minute first, so a row is not copied into every window it is in;
-    a stream uses the sliding window directly (give it a watermark).
+    Events are folded per minute first, so a row is not copied into every window it is in. A stream is folded batch by batch
+    (``rate_stream``), and its minutes are turned into windows by ``rates_of_minutes``.
     """
-    ok, bad = F.count_if(~F.col(failed)), F.count_if(F.col(failed))
-    width = minutes * 60
-    if events.isStreaming:
-        w = F.window(ts, f"{minutes} minutes", "1 minute")
-        return events.groupBy(w).agg(ok.alias("processed"), bad.alias("errors")).select(
-            F.col("window.end").alias("window_end"),
-            (F.col("processed") / width).alias("processed_rate"), (F.col("errors") / width).alias("error_rate"),
-        )
-    return _rates(_per_minute(events, ts, failed), minutes).select(
-        F.timestamp_seconds("at").alias("window_end"), "processed_rate", "error_rate"
-    )
+    return rates_of_minutes(per_minute(events, ts, failed), minutes)
+
+
+def rates_of_minutes(counts: DataFrame, minutes: int = 5) -> DataFrame:
+    """Trailing rates from counts per minute; a minute may have several rows."""
+    return _rates(counts, minutes).select(F.timestamp_seconds("at").alias("window_end"), "processed_rate", "error_rate")
 
 
-def _per_minute(events: DataFrame, ts: str, failed: str) -> DataFrame:
+def per_minute(events: DataFrame, ts: str, failed: str) -> DataFrame:
     minute = F.floor(F.unix_timestamp(ts) / 60) * 60
     return events.groupBy(minute.alias("minute")).agg(
         F.count_if(~F.col(failed)).alias("processed"), F.count_if(F.col(failed)).alias("errors")
@@ -248,7 +243,7 @@ def alerts(
     ProcessingStopped: nothing processed within ``idle_minutes``, for ``idle_for`` minutes.
     Evaluations run each minute from the first to the last event.
     """
-    minutes = reuse(_per_minute(events, ts, failed))
+    minutes = reuse(per_minute(events, ts, failed))
     bounds = minutes.agg((F.min("minute") + 60).alias("first_at"), (F.max("minute") + 60).alias("last_at"))
     grid = _grid(bounds, 60)
     high = _rates(minutes, 5).filter(F.col("error_rate") > max_error_rate).join(grid, "at", "left_semi")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from claimloom.operators import enrich, features, learning, lifecycle, rules
 from claimloom.operators.rules import TooManyRules
+from claimloom.sizing import reuse
 
 # A run looks at a few filters per claim; with more rules than this it pays to join only those.
 COMPILED_IN_RUN = 32
@@ -75,17 +76,19 @@ def validate_claims(
 
 
 def _by_joins(measured: DataFrame, tables: rules.RuleTables) -> DataFrame:
-    """Outcome arrays in prediction order through the joined form."""
+    """Outcome arrays in prediction order through the joined form. Rows are told apart by a number of their own, written before
+    it is used, so that repeated and missing claim ids get what each row asked for."""
+    measured = reuse(measured.withColumn("_row", F.monotonically_increasing_id()))
     wanted = measured.select("*", F.posexplode("predicted_filters").alias("pos", "filter_id"))
-    outcomes = rules.evaluate_coded(wanted, tables, "pos")
-    per_claim = outcomes.groupBy("claim_id").agg(
+    outcomes = rules.evaluate_coded(wanted, tables, "_row", "pos")
+    per_row = outcomes.groupBy("_row").agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("pos", "filter_id", "filter_name", "passed", "rule_type", "details", "error"))),
             lambda o: o.dropFields("pos"),
         ).alias("validation_results")
     )
-    empty = F.array().cast(per_claim.schema["validation_results"].dataType)
-    return measured.join(per_claim, "claim_id", "left").withColumn(
+    empty = F.array().cast(per_row.schema["validation_results"].dataType)
+    return measured.join(per_row, "_row", "left").withColumn(
         "validation_results", F.coalesce("validation_results", empty))
 
 

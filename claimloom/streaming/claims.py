@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from claimloom import schemas
+from claimloom.operators import metrics
 from claimloom.plans.validate import validate_claims
 
 
@@ -63,3 +64,15 @@ def validate_stream(
         batch.unpersist()
 
     return staged.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+
+
+def rate_stream(events: DataFrame, sink: str, checkpoint: str, ts: str = "ts", failed: str = "failed") -> DataStreamWriter:
+    """Writer that stores counts per minute of each micro-batch; ``metrics.rates_of_minutes`` makes windows of them at any time.
+
+    No watermark decides what counts: late events add to their minute, and the last windows are there as soon as their
+    minutes are. A batch that is run again overwrites its own partition; use a sink for one checkpoint only.
+    """
+    def store(batch: DataFrame, batch_id: int) -> None:
+        metrics.per_minute(batch, ts, failed).write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+
+    return events.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)

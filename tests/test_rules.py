@@ -92,6 +92,18 @@ def test_validation_keeps_prediction_order(spark, data, monkeypatch):
     assert shown() == want
 
 
+@pytest.mark.parametrize("most", [32, 3])
+def test_repeated_and_missing_claim_ids_get_their_own_outcomes(data, monkeypatch, most):
+    claims, dx, px, filters, sets = data
+    monkeypatch.setattr(validate, "COMPILED_IN_RUN", most)
+    monkeypatch.setattr(validate.learning, "predict_filters", lambda model, df, *_: df.withColumn(
+        "predicted_filters", F.expr("array(6, 1)")))
+    monkeypatch.setattr(validate.features, "feature_columns", lambda encoders, df: df)
+    rows = claims.where("claim_id IN ('a', 'b')").withColumn("claim_id", F.nullif("claim_id", F.lit("b")))
+    out = validate_claims(rows.unionAll(rows), dx, px, filters, sets, encoders=object(), model=object()).collect()
+    assert sorted((r.claim_id or "", [o.filter_id for o in r.validation_results]) for r in out) == [("", [6, 1])] * 2 + [("a", [6, 1])] * 2
+
+
 def test_all_active_beyond_the_compiled_limit(data, monkeypatch):
     claims, dx, px, filters, sets = data
     monkeypatch.setattr(rules, "COMPILED_RULES", 3)
