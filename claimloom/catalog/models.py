@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 from claimloom.catalog.assembly import TRAINING
 from claimloom.catalog.registry import query, scratch
 from claimloom.catalog.reporting import rounded
+from claimloom.catalog.rulesets import TRUTH, outcome_text
 from claimloom.operators import enrich, features, learning
+from claimloom.operators.ranking import top_filters
 from claimloom.operators.smote import smote
 from claimloom.plans.train import train, training_examples, training_report
 from claimloom.plans.validate import validate_claims
+from claimloom.sizing import reuse
 
-# Fewer and shallower trees than the defaults, to keep the checks short.
-SMALL = {"trees": 10, "depth": 4}
+# Fits of this application, by its id and the folder of the tables.
+FITTED = {}
 
 
 @query("V2_feature_matrix", "claims diagnoses procedures", """
@@ -82,66 +85,113 @@ def oversample(d):
 
 
 def _trained(d):
-    return train(*d.core, d.results, **SMALL)
+    """Encoders, predictor and scored held-out rows, trained with the defaults; one fit serves all queries of a folder."""
+    key = d.spark.sparkContext.applicationId, d.folder
+    if key not in FITTED:
+        encoders, model, held_out = train(*d.core, d.results)
+        FITTED[key] = encoders, model, reuse(held_out)
+    return FITTED[key]
 
 
-@query("T4_train_predictor")
+def _scored_pending(d, encoders, model):
+    """Pending claims with the probabilities of all classes."""
+    pending = d.claims.filter(F.col("processing_status") == "PENDING")
+    measured = enrich.claim_measures(pending, d.diagnoses, d.procedures)
+    return learning.score(model, features.feature_columns(encoders, measured)).select(
+        "claim_id", "predicted", "probabilities", learning.scored_classes(model).alias("scores"))
+
+
+CLASSES = TRAINING + LABELS + """
+, s AS (SELECT label, cast(round(count(*) * 0.2) AS BIGINT) AS n FROM l WHERE label >= 0 GROUP BY label)
+, ids AS (SELECT cast(label AS INT) AS filter_id FROM s WHERE label > 0)
+"""
+
+
+@query("T4_train_predictor", "claims diagnoses procedures results", CLASSES + """
+SELECT cast(label AS INT) AS label, n AS n_held_out, n * (SELECT count(*) FROM s) AS n_scores, cast(n AS DOUBLE) AS prob_total, n AS n_best
+FROM s WHERE n > 0""")
 def train_predictor(d):
-    """Held-out rows with their class probabilities."""
+    """Held-out rows per label: how many there are, how many classes are scored, what the probabilities add up to, and
+    how many rows are given the class of the highest one."""
     _, model, held_out = _trained(d)
-    return held_out.select("claim_id", "label", "predicted", F.explode(learning.scored_classes(model)).alias("s")).select(
-        "claim_id", "label", "predicted", "s.filter_id", rounded("s.prob").alias("prob"))
+    best = F.element_at(F.array(*map(F.lit, learning.class_ids(model))), F.array_position("probabilities", F.array_max("probabilities")).cast("int"))
+    total = F.aggregate("probabilities", F.lit(0.0), lambda a, x: a + x)
+    return held_out.groupBy("label").agg(
+        F.count(F.lit(1)).alias("n_held_out"), F.sum(F.size("probabilities")).alias("n_scores"),
+        F.round(F.sum(total), 6).alias("prob_total"), F.count_if(F.col("predicted") == best).alias("n_best"))
 
 
-@query("S10_training_report")
+@query("S10_training_report", "claims diagnoses procedures results", CLASSES + """
+SELECT cast(label AS VARCHAR) AS class, n AS support, true AS in_range FROM s
+UNION ALL SELECT unnest(['accuracy', 'macro avg', 'weighted avg']), cast(sum(n) AS BIGINT), true FROM s""")
 def report(d):
-    """Written as JSON and read back."""
+    """Written as JSON and read back; figures of a fit are held to their range, supports to the labels."""
     from claimloom.sources.tables import write_training_report
 
     _, model, held_out = _trained(d)
     path = scratch(d.spark, "report")
     out = training_report(held_out, model)
     write_training_report(out, path)
-    return d.spark.read.schema(out.schema).json(path)
+    return d.spark.read.schema(out.schema).json(path).select(
+        "class", "support",
+        ((F.least("precision", "recall", "f1", "auc") >= 0) & (F.greatest("precision", "recall", "f1", "auc") <= 1)).alias("in_range"))
 
 
-@query("T7_L4_feature_importance")
+@query("T7_L4_feature_importance", "claims diagnoses procedures results", CLASSES + """
+, t AS (SELECT count(DISTINCT coalesce(patient_age, 0)) AS a, count(DISTINCT coalesce(total_charge_amount, 0)) AS c, count(DISTINCT dn) AS d,
+  count(DISTINCT pn) AS p, count(DISTINCT coalesce(provider_type, 'UNKNOWN')) AS t, count(DISTINCT coalesce(place_of_service, 'UNKNOWN')) AS s FROM training)
+SELECT 'patient_age' AS feature, a > 1 AS used FROM t UNION ALL SELECT 'total_charge_amount', c > 1 FROM t
+UNION ALL SELECT 'diagnosis_count', d > 1 FROM t UNION ALL SELECT 'procedure_count', p > 1 FROM t
+UNION ALL SELECT 'provider_type_encoded', t > 1 FROM t UNION ALL SELECT 'place_of_service_encoded', s > 1 FROM t""")
 def importance(d):
+    """Features that vary over the training rows are the ones the trees use."""
     _, model, _ = _trained(d)
-    return learning.feature_importance(d.spark, model)
+    return learning.feature_importance(d.spark, model).select("feature", (F.col("importance") > 0).alias("used"))
 
 
-@query("S9_save_and_load_model")
+@query("S9_save_and_load_model", "claims diagnoses procedures results", CLASSES + """
+SELECT claim_id, (SELECT count(*) FROM s) AS n_classes, true AS same FROM claims WHERE processing_status = 'PENDING'""")
 def save_and_load(d):
-    """Predictions of the model after a save and a load, for all pending claims."""
+    """Scores of all pending claims by what was saved and read back, against those of the fit itself."""
     encoders, model, _ = _trained(d)
     path = scratch(d.spark, "model") + "/predictor"
-    learning.save_model(model, path)
-    return _predicted(d, encoders, learning.load_model(path))
+    learning.save_predictor(d.spark, encoders, model, path)
+    read_encoders, read_model, _ = learning.load_predictor(d.spark, path)
+    before = _scored_pending(d, encoders, model).select("claim_id", F.col("scores").alias("before"))
+    after = _scored_pending(d, read_encoders, read_model)
+    return before.join(after, "claim_id").select(
+        "claim_id", F.size("scores").cast("long").alias("n_classes"), (F.col("before") == F.col("scores")).alias("same"))
 
 
-@query("V4_predict_filters")
+@query("V4_predict_filters", "claims diagnoses procedures results", CLASSES + """
+SELECT claim_id, (SELECT string_agg(cast(filter_id AS VARCHAR), ',' ORDER BY filter_id) FROM ids) AS filters, 1.0::DOUBLE AS prob_total,
+  true AS best_first, true AS default_leads FROM claims WHERE processing_status = 'PENDING'""")
 def predict(d):
+    """All filters a claim is scored for, whether they come best first, and whether the selection at the default threshold
+    is the head of that list with probabilities above it."""
     encoders, model, _ = _trained(d)
-    return _predicted(d, encoders, model)
-
-
-def _predicted(d, encoders, model):
-    from claimloom.plans.validate import predicted_by_model
-
-    pending = d.claims.filter(F.col("processing_status") == "PENDING")
-    out = predicted_by_model(enrich.claim_measures(pending, d.diagnoses, d.procedures), encoders, model, threshold=0.05)
-    return out.withColumn("predicted_filters", F.array_join(F.col("predicted_filters").cast("array<string>"), ","))
-
-
-@query("V5_validate_with_model")
+    ids, usual = top_filters(F.col("scores"), -1.0), top_filters(F.col("scores"))
+    rows = _scored_pending(d, encoders, model).select("claim_id", "probabilities", F.map_from_entries("scores").alias("prob"), ids.alias("ids"), usual.alias("usual"))
+    probs = F.transform("ids", lambda i: F.col("prob")[i])
+    return rows.select(
+        "claim_id", F.array_join(F.array_sort(F.col("ids")).cast("array<string>"), ",").alias("filters"),
+        F.round(F.aggregate("probabilities", F.lit(0.0), lambda a, x: a + x), 6).alias("prob_total"),
+        (probs == F.sort_array(probs, asc=False)).alias("best_first"),
+        ((F.col("usual") == F.slice("ids", F.lit(1), F.size("usual"))) & (F.size("usual") == F.size(F.filter(probs, lambda p: p > 0.3)))).alias("default_leads"))
+
+
+@query("V5_validate_with_model", "claims diagnoses procedures results filters", TRUTH + CLASSES + """
+SELECT claim_id, (SELECT string_agg(cast(filter_id AS VARCHAR), ',' ORDER BY filter_id) FROM ids) AS predicted_filters,
+  string_agg(concat_ws('|', cast(o.filter_id AS VARCHAR), o.filter_name, cast(passed AS VARCHAR), rule_type, details, error), ';' ORDER BY o.filter_id) AS outcomes,
+  'COMPLETED' AS validation_status
+FROM outcomes o JOIN ids USING (filter_id) WHERE processing_status = 'PENDING' GROUP BY claim_id""")
 def validate_with_model(d):
-    from claimloom.catalog.rulesets import outcome_text
-
+    """Without a threshold, so that every filter of the model is decided for every pending claim; in order of the filter ids."""
     encoders, model, _ = _trained(d)
     pending = d.claims.filter(F.col("processing_status") == "PENDING")
-    return outcome_text(validate_claims(
-        pending, d.diagnoses, d.procedures, d.filters, d.code_sets, encoders, model, threshold=0.05))
+    found = validate_claims(pending, d.diagnoses, d.procedures, d.filters, d.code_sets, encoders, model, threshold=-1.0)
+    return outcome_text(found.withColumns({
+        "predicted_filters": F.array_sort("predicted_filters"), "validation_results": F.array_sort("validation_results")}))
 
 
 PREDICTED = """

@@ -13,9 +13,16 @@ from claimloom.plans.validate import validate_claims
 from claimloom.sizing import reuse
 
 
-@query("P3_active_filters", "filters", "SELECT filter_id, filter_name, rule_definition, description, rule_type FROM filters WHERE active")
+@query("P3_active_filters", sql="""
+SELECT cast(p_partkey AS INT) AS filter_id, concat('Size of ', p_name) AS filter_name, concat('patient_age(X, Age) & (Age >= ', cast(p_size AS VARCHAR), ')') AS rule_definition,
+  p_type AS description, 'MANUAL' AS rule_type FROM part WHERE p_size % 3 <> 0""")
 def active_filters(d):
-    return rules.active_filters(d.filters)
+    """One filter per part; every third size is inactive, and a part without size is neither."""
+    filters = d.part.select(
+        F.col("p_partkey").cast("int").alias("filter_id"), F.concat(F.lit("Size of "), "p_name").alias("filter_name"),
+        F.concat(F.lit("patient_age(X, Age) & (Age >= "), F.col("p_size").cast("string"), F.lit(")")).alias("rule_definition"),
+        (F.col("p_size") % 3 != 0).alias("active"), F.col("p_type").alias("description"), F.lit("MANUAL").alias("rule_type"))
+    return rules.active_filters(filters)
 
 
 @query("M7_rule_conditions", sql="""

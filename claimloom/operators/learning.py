@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
+from pyspark.ml.feature import IndexToString, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
 from claimloom.operators.features import FEATURES
 from claimloom.operators.numbering import number_rows, running_totals
@@ -122,6 +124,30 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
+def save_predictor(spark: SparkSession, encoders: StringIndexerModel, model: PipelineModel, path: str) -> str:
+    """Save encoders, predictor, feature names and classes together as a new version and return its name.
+
+    The version counts once its name is appended to ``<path>/saved``, which happens last; earlier versions stay as they are.
+    """
+    version = uuid.uuid4().hex
+    folder = f"{path}/versions/{version}"
+    encoders.write().save(f"{folder}/encoders")
+    model.write().save(f"{folder}/model")
+    model_metadata(spark, model).write.parquet(f"{folder}/metadata")
+    spark.createDataFrame([(version,)], "version string").withColumn("saved_at", F.current_timestamp()).coalesce(1).write.mode(
+        "append").parquet(f"{path}/saved")
+    return version
+
+
+def load_predictor(spark: SparkSession, path: str, version: str | None = None) -> tuple[StringIndexerModel, PipelineModel, Row]:
+    """Encoders, predictor and metadata (features, classes) of a version, the one saved last if none is named."""
+    if version is None:
+        version = spark.read.parquet(f"{path}/saved").orderBy(F.desc("saved_at"), "version").first().version
+    folder = f"{path}/versions/{version}"
+    metadata = spark.read.parquet(f"{folder}/metadata").first()
+    return StringIndexerModel.load(f"{folder}/encoders"), PipelineModel.load(f"{folder}/model"), metadata
+
+
 def model_metadata(spark: SparkSession, model: PipelineModel) -> DataFrame:
     """One row: feature names and class ids."""
     return spark.createDataFrame(
