@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer, StringIndexerModel, VectorAssembler
@@ -109,14 +110,21 @@ def predict_filters(model: PipelineModel | None, featured: DataFrame, threshold:
     ).drop("probabilities", "predicted")
 
 
+def _is_saved(path: str) -> bool:
+    """Whether a model is saved there; any failure other than a missing path is an error."""
+    try:
+        SparkSession.active().read.text(f"{path}/metadata")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return True
+
+
 def save_model(model: PipelineModel, path: str) -> None:
     """Save, keeping the version that was there before under ``<path>.backup``."""
-    try:
-        previous = PipelineModel.load(path)
-    except Exception:  # nothing saved yet
-        previous = None
-    if previous is not None:
-        previous.write().overwrite().save(path + ".backup")
+    if _is_saved(path):
+        PipelineModel.load(path).write().overwrite().save(path + ".backup")
     model.write().overwrite().save(path)
 
 

@@ -10,8 +10,8 @@ BROADCAST_ROWS = 200_000
 
 
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows; reads no more than it needs."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    """True when ``df`` has at most ``max_rows`` rows, by a count; materialise ``df`` first."""
+    return df.count() <= max_rows
 
 
 def broadcast_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -124,3 +124,29 @@ def test_many_classes(spark):
     assert all(r.predicted == r.label and abs(sum(r.probabilities) - 1) < 1e-9 for r in scored)
     ids = {r.k: r.predicted_filters for r in learning.predict_filters(model, df.drop("label")).collect()}
     assert ids[0] == [] and ids[1] == [3] and ids[2] == [11]
+
+
+def test_predictor_versions_read_back_whole(spark, tmp_path):
+    path = f"file://{tmp_path}/predictor"
+    rows = [(i, 7 if i % 3 == 0 else 0, "A" if i % 3 == 0 else "B", "11", float(i)) for i in range(60)]
+    df = spark.createDataFrame(rows, "k int, label int, provider_type string, place_of_service string, a double")
+    encoders = features.fit_encoders(df)
+    coded = features.encode_categories(encoders, df)
+    model = learning.train_predictor(coded, ["a", "provider_type_encoded"], trees=3, depth=2)
+    first = learning.save_predictor(spark, encoders, model, path)
+    second = learning.save_predictor(spark, encoders, model, path)
+    assert first != second
+    for version in (None, first):
+        read_encoders, read_model, meta = learning.load_predictor(spark, path, version)
+        assert list(meta.features) == ["a", "provider_type_encoded"] and list(meta.classes) == [0, 7]
+        got = learning.predict_filters(read_model, features.encode_categories(read_encoders, df)).collect()
+        assert all(r.predicted_filters == ([7] if r.k % 3 == 0 else []) for r in got)
+
+
+def test_save_reports_other_failures_than_a_missing_path(spark, tmp_path):
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "metadata").mkdir()
+    df = spark.createDataFrame([(i, i % 2, float(i % 2)) for i in range(20)], "k int, label int, a double")
+    model = learning.train_predictor(df, ["a"], trees=2, depth=1)
+    with pytest.raises(Exception):
+        learning.save_model(model, f"file://{tmp_path}/m")
