@@ -45,24 +45,26 @@ def table_round_trip(d):
         "result_id", "claim_id", "validation_status", F.col("processing_time").cast("double").alias("processing_time"))
 
 
-@query("S12_S14_K4_clear_and_ensure", "claims", """
+@query("S12_S14_K4_clear_and_ensure", "claims chunks failures", """
 SELECT 'claims' AS name, count(*) AS before, cast(0 AS BIGINT) AS after FROM claims
-UNION ALL SELECT 'processed_chunks', 0, 0 UNION ALL SELECT 'retry_queue', 0, 0
+UNION ALL SELECT 'processed_chunks', count(*), 0 FROM chunks UNION ALL SELECT 'retry_queue', count(*), 0 FROM failures
 UNION ALL SELECT 'validation_results', 0, 0 UNION ALL SELECT 'validation_results_archive', 0, 0""")
 def clear_and_ensure(d):
-    """Row counts before and after clearing a store that holds all claims."""
+    """Row counts before and after clearing a store that holds all claims, chunks and failures; the result tables are created."""
     root = scratch(d.spark, "store")
     files.as_claims(d.claims).write.parquet(f"{root}/claims")
+    for name, rows in (("processed_chunks", d.chunks), ("retry_queue", d.failures)):
+        given = {f.name: F.col(f.name) if f.name in rows.columns else F.lit(None) for f in tables.TABLES[name]}
+        rows.select(*[given[f.name].cast(f.dataType).alias(f.name) for f in tables.TABLES[name]]).write.parquet(f"{root}/{name}")
     tables.ensure_tables(d.spark, root)
-    before = d.spark.read.parquet(f"{root}/claims").agg(F.count(F.lit(1)).alias("before"))
-    count = before.first().before
+    names = ["claims", *tables.TRACKING, "validation_results", "validation_results_archive"]
+    before = {n: tables.read_table(d.spark, f"{root}/{n}").count() for n in names}
     tables.clear_tables(d.spark, root, ["claims"])
     tables.reset_tracking(d.spark, root)
-    names = ["claims", *tables.TRACKING, "validation_results", "validation_results_archive"]
     out = None
     for name in names:
-        one = d.spark.read.parquet(f"{root}/{name}").agg(F.count(F.lit(1)).alias("after")).select(
-            F.lit(name).alias("name"), F.lit(count if name == "claims" else 0).cast("long").alias("before"), "after")
+        one = tables.read_table(d.spark, f"{root}/{name}").agg(F.count(F.lit(1)).alias("after")).select(
+            F.lit(name).alias("name"), F.lit(before[name]).cast("long").alias("before"), "after")
         out = one if out is None else out.unionByName(one)
     return out
 
