@@ -94,16 +94,18 @@ def _tokens(rows: DataFrame) -> DataFrame:
 def fit(
     labelled: DataFrame, ws: Workspace, text_col: str = "text", lang_col: str = "lang", rows: int = TRAINING_ROWS, words: int = KNOWN_WORDS, grams: int = KNOWN_GRAMS
 ) -> Model:
-    """A model of at most ``words`` words and ``grams`` n-grams from at most ``rows`` labelled rows, those with the smallest
-    hash of their text, so the same rows at every partitioning; equal texts count together. Rows without text or language teach nothing."""
+    """A model of at most ``words`` words and ``grams`` n-grams from at most ``rows`` labelled rows with distinct texts, those
+    with the smallest hash, so the same ones at every partitioning. A text teaches once per language, however often it is
+    repeated. Rows without text or language teach nothing."""
     text = F.col(text_col).cast("string")
     usable = labelled.select(F.col(lang_col).cast("string").alias("lang"), text.alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
     # The text itself is fetched only for rows below the rank's hash.
-    ranked = usable.select(F.xxhash64("text", "lang").alias("h")).orderBy("h").limit(rows)
+    ranked = usable.select(F.xxhash64("text", "lang").alias("h")).distinct().orderBy("h").limit(rows)
     bound = ranked.agg(F.max("h")).first()[0]
     if bound is None:
         return Model([], {}, np.zeros((0, 0)), {}, np.zeros((0, 0)), np.zeros(0))
-    sample = usable.where(F.xxhash64("text", "lang") <= bound)
+    chosen = usable.withColumn("h", F.xxhash64("text", "lang")).where(F.col("h") <= bound)
+    sample = chosen.groupBy("h").agg(F.min(F.struct("lang", "text")).alias("row")).select("row.lang", "row.text")
     tokens = ws.save(_tokens(sample).groupBy("kind", "token", "lang").agg(F.sum("n").alias("n")))
     languages = [r[0] for r in tokens.select("lang").distinct().orderBy("lang").collect()]
     counted = tokens.groupBy("kind", "token").pivot("lang", languages).agg(F.sum("n")).fillna(0)
