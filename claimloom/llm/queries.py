@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from claimloom.llm import embedding_dedup, exact_dedup, language_id, line_dedup, packing, sentence_pieces, simhash, source_audit, substring_dedup, toxicity, url_filter, warc
+from claimloom.llm import embedding_dedup, exact_dedup, language_id, line_dedup, packing, sentence_pieces, simhash, source_audit, spelling, substring_dedup, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_embedding_near_dedup": embedding_dedup.op8,
     "op9_line_dedup": line_dedup.op9,
     "op10_toxicity": toxicity.op10,
+    "op11_spelling_variants": spelling.op11,
     "op12_source_divergence": source_audit.op12,
     "op13_warc": warc.op13,
 }
@@ -24,6 +25,7 @@ ORACLES = {
     "op3_substring_dedup": substring_dedup.OP3_SQL,
     "op8_embedding_near_dedup": embedding_dedup.OP8_SQL,
     "op9_line_dedup": line_dedup.OP9_SQL,
+    "op11_spelling_variants": spelling.OP11_SQL,
     "op12_source_divergence": source_audit.OP12_SQL,
     "op13_warc": warc.OP13_SQL,
 }
