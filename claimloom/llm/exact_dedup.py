@@ -7,10 +7,15 @@ from pyspark.sql.types import StructType
 
 from claimloom.llm.storage import Workspace, settings
 from claimloom.llm.text import SPACE
+from claimloom.sizing import broadcast_small
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+# A file stream passes over files that are so much older than the newest it has seen.
+MAX_FILE_AGE = "36500d"
+
+
 def normalized(text: str) -> Column:
     return F.regexp_replace(F.coalesce(F.col(text).cast("string"), F.lit("")), SPACE, " ")
 
@@ -44,7 +49,7 @@ def update_state(
     """
     # As a pattern, the path may be one file as well as a folder; a plain path to a stream has to be a folder.
     path = f"{path.rstrip('/')[:-1]}[{path.rstrip('/')[-1]}]"
-    reader = spark.readStream.schema(schema)
+    reader = spark.readStream.schema(schema).option("maxFileAge", MAX_FILE_AGE)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     keyed = _entries(reader.parquet(path), id_col, text_col, digest).groupBy("digest").agg(_first().alias("first"), F.count("*").alias("n"))
@@ -58,6 +63,8 @@ def update_state(
         f"{rocks}.boundedMemoryUsage".replace(".", "__"): "true",
         f"{rocks}.maxMemoryUsageMB".replace(".", "__"): "200",
         f"{rocks}.changelogCheckpointing.enabled".replace(".", "__"): "true",
+        # else every one of the state's partitions takes megabytes of disk before it holds anything
+        f"{rocks}.allowFAllocate".replace(".", "__"): "false",
     }):
         query = (
             keyed.writeStream.outputMode("update").foreachBatch(sink)
@@ -81,8 +88,9 @@ def exact_duplicates(
 ) -> DataFrame:
     """One row per row of the Parquet table at ``path``: id, keep_id, group_size, kept, digest.
 
-    The stream brings the state up to date; then each row whose digest has several rows is compared in full bytes with
-    the row that its locator names. Rows that turn out to differ (a digest collision) are grouped by their bytes.
+    The stream brings the state up to date; then the full bytes of all rows of a digest are compared, and where they
+    differ (a digest collision) with the row that the locator names; rows that differ from it are grouped by their bytes.
+    A row whose digest the state doesn't know is an error.
     Null texts count as empty. Of equal ids the first in file order stays; a null id stays only if its group has no
     other. Rows that are repeated in full are copies like others. An empty table gives an empty result, and columns
     besides id and text are not read.
@@ -93,13 +101,17 @@ def exact_duplicates(
         return spark.createDataFrame([], f"{id_col} bigint, keep_id bigint, group_size bigint, kept boolean, digest string")
     keep = {c: table.schema[c] for c in (id_col, text_col)}
     update_state(spark, path, StructType(list(keep.values())), state, id_col, text_col, files_per_batch, digest)
-    known = read_state(spark, state)
-    rows = _entries(table, id_col, text_col, digest).join(known, "digest")
-    several = F.col("n") > 1
-    rows = ws.save(rows.select("id", "digest", "file", "row", "n", "first", F.when(several, F.col("norm")).alias("norm")))
+    known = ws.save(read_state(spark, state))
+    entries = _entries(table, id_col, text_col, digest)
+    rows = entries.drop("norm").join(known, "digest", "left")
+    rows = rows.withColumn("first", F.coalesce("first", F.raise_error(F.concat(F.lit("the state has no entry for a row of "), "file"))))
     first = (F.col("file") == F.col("first.file")) & (F.col("row") == F.col("first.row"))
-    heads = rows.where(several & first).select("digest", F.col("norm").alias("head"))
-    other = ws.save(rows.where(several).join(heads, "digest").where("norm <> head").select("digest", "norm", "id", "file", "row"))
+    # Texts travel for digests of several rows only. All are equal if the least and the greatest are, which tasks fold before they send anything.
+    several = entries.join(broadcast_small(known.where("n > 1").select("digest", "first")), "digest")
+    apart = several.groupBy("digest").agg(F.min("norm").alias("least"), F.max("norm").alias("greatest")).where("least <> greatest")
+    collided = ws.save(apart.select("digest"))
+    heads = several.where(first).join(collided, "digest").select("digest", F.col("norm").alias("head"))
+    other = ws.save(several.join(collided, "digest").join(heads, "digest").where("norm <> head").select("digest", "norm", "id", "file", "row"))
     plain = rows.select("id", "digest", F.col("first.id").alias("keep_id"), F.col("n").alias("group_size"), first.alias("kept"), "file", "row")
     if not other.isEmpty():
         apart = other.groupBy("digest", "norm").agg(_first().alias("own"), F.count("*").alias("own_n"))
