@@ -45,6 +45,12 @@ def unused(name: str, df: DataFrame) -> str:
     return name
 
 
+def others(df: DataFrame, new: tuple[str, ...]) -> list[str]:
+    """The columns of ``df`` but those named like one of ``new`` in any case, which these replace."""
+    taken = {c.lower() for c in new}
+    return [c for c in df.columns if c.lower() not in taken]
+
+
 class Workspace:
     """A database of intermediate tables in the shared folder.
 

@@ -4,21 +4,38 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from claimloom.llm.storage import Workspace, unused, with_row_key
-from claimloom.llm.text import Buffer, SliceHash, spans, texts
+from claimloom.llm.storage import Workspace, others, unused, with_row_key
+from claimloom.llm.text import Buffer, split_mix, texts
 
 # Period and residues of a difference cover: every difference modulo the period is one of two residues.
 PERIOD = 21
 COVER = (0, 1, 4, 14, 16)
-ANCHOR_SEED, WINDOW_SEEDS = 11, (12, 13)
+# Words that are hashed together; a longer document is a group of its own.
+GROUP = 1 << 16
 
 
-def _pieces(words: list[bytes], reach: int, size: int = 1 << 16):
-    """(offset, words) runs of at most ``size`` starts, each with the ``reach`` words after them, to bound memory."""
-    for at in range(0, max(1, len(words)), size):
-        yield at, words[at : at + size + reach]
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """Two 64-bit halves (2 x n) of each word's XXH3."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), dtype="<u8").reshape(-1, 2).T
+
+
+def run_hashes(symbols: np.ndarray, width: int) -> np.ndarray:
+    """A hash of every run of ``width`` symbols: two runs half as long are mixed into one, and so on, so that no sum or product of
+    symbols of one run can make up for a change in another."""
+    def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return split_mix(a * np.uint64(0x9E3779B97F4A7C15) + (b ^ np.uint64(0xD1B54A32D192ED03)))
+
+    level, size, out, done = symbols, 1, None, 0
+    while True:
+        if width & size:  # the runs of lower bits of the width come last
+            out, done = (level, size) if out is None else (joined(level[: max(0, len(out) - size)], out[size:]), done + size)
+        size *= 2
+        if size > width:
+            return out[: max(0, len(symbols) - width + 1)]
+        level = joined(level[: -(size // 2)], level[size // 2 :]) if len(level) > size // 2 else level[:0]
 
 
 def anchor_width(window: int) -> int:
@@ -29,22 +46,6 @@ def anchor_width(window: int) -> int:
     return width
 
 
-def anchors(words: list[bytes], window: int, hashes: SliceHash) -> tuple[np.ndarray, np.ndarray]:
-    """Positions in the cover modulo the period, and the hash of the anchor that starts there."""
-    width, found, values = anchor_width(window), [], []
-    if len(words) >= window:
-        for at, part in _pieces(words, width - 1):
-            here = np.arange(max(0, min(len(part) - width + 1, 1 << 16)))
-            here = here[np.isin((here + at) % PERIOD, COVER)]
-            if len(here):
-                data, starts, ends = spans(part)
-                values.append(hashes.slices(hashes.prefix(data), starts[here], ends[here + width - 1]))
-                found.append(here + at)
-    if not found:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate(found), np.concatenate(values).view(np.int64)
-
-
 def candidate_starts(positions: np.ndarray, words: int, window: int) -> np.ndarray:
     """Starts of all windows that hold one of the anchors at ``positions`` whole and no more than a period in."""
     steps = np.zeros(words + 1, dtype=np.int32)
@@ -54,28 +55,43 @@ def candidate_starts(positions: np.ndarray, words: int, window: int) -> np.ndarr
     return starts[starts <= words - window]
 
 
-def window_hashes(words: list[bytes], starts: np.ndarray, window: int, hashes: list[SliceHash]) -> list[np.ndarray]:
-    out: list[list[np.ndarray]] = [[] for _ in hashes]
-    for at, part in _pieces(words, window - 1):
-        here = starts[(starts >= at) & (starts < at + (1 << 16))] - at
-        if len(here):
-            data, begin, end = spans(part)
-            for k, h in enumerate(hashes):
-                out[k].append(h.slices(h.prefix(data), begin[here], end[here + window - 1]))
-    return [np.concatenate(x) if x else np.empty(0, np.uint64) for x in out]
+def _grouped(batch: pa.RecordBatch):
+    """Lists of (row in the batch, words) of about GROUP words together."""
+    group, size = [], 0
+    for k, text in enumerate(texts(batch.column(1))):
+        words = (text or b"").split()
+        if size + len(words) > GROUP and group:
+            yield group
+            group, size = [], 0
+        group.append((k, words))
+        size += len(words)
+    if group:
+        yield group
+
+
+def _positions(group: list[tuple[int, list[bytes]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For all words of a group: hashes, row in the batch, position in the document, and how many words are left there."""
+    sizes = np.array([len(w) for _, w in group])
+    starts = np.cumsum(sizes) - sizes
+    place = np.arange(sizes.sum()) - np.repeat(starts, sizes)
+    return word_hashes([w for _, words in group for w in words]), np.repeat([k for k, _ in group], sizes), place, np.repeat(sizes, sizes) - place
 
 
 def _anchor_rows(docs: DataFrame, window: int, with_place: bool) -> DataFrame:
+    """Hashes of the words from every position in the cover modulo the period, in documents of a window or more."""
     fields = [("h", pa.int64()), ("row", pa.int64()), ("pos", pa.int32())][: 3 if with_place else 1]
-    schema = pa.schema(fields)
+    schema, width = pa.schema(fields), anchor_width(window)
 
     def task(batches):
-        hashes, out = SliceHash(ANCHOR_SEED), Buffer(schema)
+        out = Buffer(schema)
         for batch in batches:
-            for row, text in zip(batch.column(0).to_numpy(), texts(batch.column(1))):
-                found, values = anchors((text or b"").split(), window, hashes)
-                if len(found):
-                    yield from out.add(*(values, np.full(len(found), row), found)[: len(fields)])
+            rows = batch.column(0).to_numpy()
+            for group in _grouped(batch):
+                hashes, k, place, left = _positions(group)
+                here = np.flatnonzero(np.isin(place % PERIOD, COVER) & (left >= width) & (place + left >= window))
+                if len(here):
+                    values = run_hashes(hashes[0], width)[here].view(np.int64)
+                    yield from out.add(*(values, rows[k[here]], place[here])[: len(fields)])
         yield from out.flush()
 
     return docs.mapInArrow(task, "h long, row long, pos int" if with_place else "h long")
@@ -86,16 +102,20 @@ def _window_rows(docs: DataFrame, window: int, with_place: bool) -> DataFrame:
     schema = pa.schema([("h", pa.int64()), ("g", pa.int32()), ("row", pa.int64()), ("pos", pa.int32())][: 4 if with_place else 2])
 
     def task(batches):
-        hashes, out = [SliceHash(s) for s in WINDOW_SEEDS], Buffer(schema)
+        out = Buffer(schema)
         for batch in batches:
-            places = batch.column(2)
-            for k, (row, text) in enumerate(zip(batch.column(0).to_numpy(), texts(batch.column(1)))):
-                words = (text or b"").split()
-                starts = candidate_starts(places[k].values.to_numpy(), len(words), window)
-                h, g = window_hashes(words, starts, window, hashes)
-                if len(h):
-                    columns = (h.view(np.int64), (g >> np.uint64(32)).astype(np.uint32).view(np.int32), np.full(len(h), row), starts)
-                    yield from out.add(*columns[: len(schema)])
+            rows, places = batch.column(0).to_numpy(), batch.column(2)
+            for group in _grouped(batch):
+                hashes, k, place, _ = _positions(group)
+                begun, wanted = 0, []
+                for row, words in group:
+                    wanted.append(begun + candidate_starts(places[row].values.to_numpy(), len(words), window))
+                    begun += len(words)
+                starts = np.concatenate(wanted)
+                if len(starts):
+                    h = run_hashes(hashes[0], window)[starts].view(np.int64)
+                    g = (run_hashes(hashes[1], window)[starts] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                    yield from out.add(*(h, g, rows[k[starts]], place[starts])[: len(schema)])
         yield from out.flush()
 
     return docs.mapInArrow(task, "h long, g int, row long, pos int" if with_place else "h long, g int")
@@ -107,6 +127,7 @@ def repeated_windows(docs: DataFrame, ws: Workspace, window: int = 35) -> DataFr
     Anchors that occur once cannot lie in a repeated window. Those that occur again mark the windows around them as
     candidates (the extension to full length), which are hashed whole and counted in turn. Counting aggregates
     before the shuffle and places meet counts in a join whose hot keys Spark splits, so no group is ever gathered.
+    Windows are equal if 96 bits of hash are: they come from 128 bits per word, mixed pairwise without any sum over a window.
     """
     again = ws.save(_anchor_rows(docs, window, False).groupBy("h").count().where("count > 1").select("h"))
     shared = _anchor_rows(docs, window, True).join(again, "h", "left_semi").groupBy("row").agg(F.collect_list("pos").alias("at"))
@@ -132,7 +153,7 @@ def remove_repeats(docs: DataFrame, ws: Workspace, id_col: str = "doc_id", text_
     rows, _ = with_row_key(docs, id_col, ws, key)
     found = repeated_windows(rows.select(F.col(key).alias("row"), F.col(text_col).cast("string").alias("text")), ws, window)
     new = ("n_words", "n_removed", "kept_text")
-    rest = [c for c in docs.columns if c not in new]
+    rest = others(docs, new)
     joined = rows.join(found, rows[key] == found["row"], "left")
     joined = joined.select(*[rows[c] for c in rest], rows[text_col].cast("string").alias(unused("_text", docs)), found["starts"].alias(unused("_starts", docs)))
     kinds = joined.schema

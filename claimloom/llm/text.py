@@ -1,4 +1,4 @@
-"""Words and rolling hashes over UTF-8 bytes, for use inside tasks."""
+"""Words and hashes over UTF-8 bytes, for use inside tasks."""
 
 from __future__ import annotations
 
@@ -19,39 +19,6 @@ def split_mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class SliceHash:
-    """Hashes of many slices of one byte string from its prefix sums: the sum of T[byte] * r^i, brought to position 0.
-
-    T is a table of 256 words drawn by ``seed`` and r an odd number, so r has an inverse modulo 2^64. Equal
-    slices have equal hashes wherever they stand and whichever process computes them.
-    """
-
-    def __init__(self, seed: int):
-        rng = np.random.Generator(np.random.PCG64(seed))
-        self.table = rng.integers(0, M64, 256, dtype=np.uint64, endpoint=True)
-        self.base = (int(rng.integers(0, M64, dtype=np.uint64, endpoint=True)) & ~7) | 3
-        self.inverse = pow(self.base, -1, 1 << 64)
-        self.powers = self.inverses = np.ones(1, dtype=np.uint64)
-
-    def _grow(self, n: int) -> None:
-        if n <= len(self.powers):
-            return
-        for name, base in (("powers", self.base), ("inverses", self.inverse)):
-            have = getattr(self, name)
-            while len(have) < n:
-                have = np.concatenate([have, have * np.uint64(pow(base, len(have), 1 << 64))])
-            setattr(self, name, have)
-
-    def prefix(self, data: np.ndarray) -> np.ndarray:
-        self._grow(len(data) + 1)
-        out = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(self.table[data] * self.powers[: len(data)], out=out[1:])
-        return out
-
-    def slices(self, prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return split_mix((prefix[ends] - prefix[starts]) * self.inverses[starts])
-
-
 def spans(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The words joined by one space as bytes, and where each begins and ends in them."""
     lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
