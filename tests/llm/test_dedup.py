@@ -2,11 +2,13 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 from itertools import combinations
 
 import pytest
+import test_line_runs
 import xxhash
 from pyspark.sql import functions as F
 
@@ -60,6 +62,28 @@ def test_exact_state_outlives_a_run_and_takes_new_files(spark, ws, docs, tmp_pat
     assert got == {5: (2, False), 2: (2, True), 6: (6, True)}
 
 
+def test_exact_state_takes_files_however_old(spark, ws, docs, tmp_path):
+    path, state = tmp_path / "docs", str(tmp_path / "state")
+    docs([(5, "same"), (6, "other")]).coalesce(1).write.parquet(str(path))
+    exact_dedup.exact_duplicates(spark, str(path), ws, state=state).collect()
+    known = set(path.glob("*.parquet"))
+    docs([(2, "same"), (9, "new")]).coalesce(1).write.mode("append").parquet(str(path))
+    for f in set(path.glob("*.parquet")) - known:
+        os.utime(f, (1, 1))
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_duplicates(spark, str(path), ws, state=state).collect()}
+    assert got == {5: (2, 2), 2: (2, 2), 6: (6, 1), 9: (9, 1)}
+
+
+def test_exact_rows_that_the_state_does_not_know_are_an_error(spark, ws, docs, tmp_path, monkeypatch):
+    path, state = str(tmp_path / "docs"), str(tmp_path / "state")
+    docs([(5, "same")]).write.parquet(path)
+    exact_dedup.exact_duplicates(spark, path, ws, state=state).collect()
+    docs([(7, "unseen")]).write.mode("append").parquet(path)
+    monkeypatch.setattr(exact_dedup, "update_state", lambda *a, **k: None)
+    with pytest.raises(Exception, match="no entry"):
+        exact_dedup.exact_duplicates(spark, path, ws, state=state).collect()
+
+
 def test_exact_of_an_empty_table(spark, ws, docs, tmp_path):
     docs([]).write.parquet(str(tmp_path / "none"))
     assert exact_dedup.exact_duplicates(spark, str(tmp_path / "none"), ws).count() == 0
@@ -136,19 +160,45 @@ def test_rows_repeated_in_full_count_as_repeats(spark, ws, docs):
     assert [(r.n_removed, r.kept_text) for r in got] == [(40, ""), (40, "")]
 
 
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_no_sum_over_a_window_makes_up_for_a_change(spark, ws, docs):
+    """Strings that collide under every polynomial modulo 2^64, as letters of a word and as words."""
+    one, two = thue_morse(1024), thue_morse(1024).translate(str.maketrans("ab", "ba"))
+    rest = [f"w{i}" for i in range(34)]
+    rows = [(1, " ".join([one, *rest])), (2, " ".join([two, *rest])), (3, " ".join(thue_morse(64)[:35])), (4, " ".join(thue_morse(64)[29:]))]
+    got = {r.doc_id: r.n_removed for r in substring_dedup.remove_repeats(docs(rows), ws).collect()}
+    assert got == {k: n for (k, _), (_, _, n, _) in zip(rows, slow_removal(rows, 35))} and got[1] == got[2] == 0
+
+
+@pytest.mark.parametrize("width", [1, 2, 15, 35, 64])
+def test_run_hashes_depend_on_the_run_only(width):
+    import numpy as np
+
+    x = np.random.default_rng(1).integers(0, 1 << 63, 200).astype(np.uint64)
+    x[150:150 + min(width, 50)] = x[20:20 + min(width, 50)]
+    got = substring_dedup.run_hashes(x, width)
+    assert len(got) == 200 - width + 1 and len(substring_dedup.run_hashes(x[: width - 1], width)) == 0
+    for i in (0, 20, 77):
+        assert substring_dedup.run_hashes(x[i : i + width], width).tolist() == [got[i]]
+    assert width > 50 or got[20] == got[150]
+    assert len(set(got.tolist())) == len({tuple(x[i : i + width].tolist()) for i in range(len(got))})
+
+
+def test_substring_names_that_differ_in_case_only_are_replaced(spark, ws):
+    got = substring_dedup.remove_repeats(spark.createDataFrame([(1, "a b", "mine")], "doc_id long, text string, N_WORDS string"), ws)
+    assert got.columns == ["doc_id", "text", "n_words", "n_removed", "kept_text"] and got.first().n_words == 2
+
+
 def test_substrings_of_an_empty_table(spark, ws, docs):
     assert substring_dedup.remove_repeats(docs([]), ws).count() == 0
 
 
 def slow_chunks(text):
-    h = lambda x: int(hashlib.md5(x.encode()).hexdigest()[:8], 16)
-    lines, out, now = (text or "").split("\n"), [], []
-    for i, x in enumerate(lines):
-        now.append(x)
-        if i == len(lines) - 1 or (h(x) + (31 * h(lines[i - 1]) if i else 0)) % 4 == 0:
-            out.append(now)
-            now = []
-    return out
+    lines = (text or "").split("\n")
+    return test_line_runs.slow_chunks(lines, test_line_runs.marks_of(lines))
 
 
 def test_line_chunks(spark, ws, docs):
