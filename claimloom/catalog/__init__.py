@@ -4,7 +4,7 @@ import importlib
 
 from claimloom.catalog.registry import ORACLES, QUERIES
 
-MODULES = ["assembly", "reporting", "changes", "rulesets", "models", "files", "streams"]
+MODULES = ["assembly", "reporting", "changes", "rulesets", "models", "boosting", "files", "streams"]
 for _m in MODULES:
     importlib.import_module(f"claimloom.catalog.{_m}")
 

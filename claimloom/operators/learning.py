@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
+from claimloom.operators.boosting import SoftmaxTrees
 from claimloom.operators.features import FEATURES
 from claimloom.operators.numbering import number_rows, running_totals
 from claimloom.operators.ranking import top_filters
@@ -53,21 +55,22 @@ def train_predictor(
     row_share: float = 0.8,
     column_share: float = 0.8,
     seed: int = 42,
+    held: str | None = None,
+    patience: int | None = None,
 ) -> PipelineModel:
-    """Boosted trees for two classes, a forest for more (Spark's boosted trees are binary).
-    Labels are indexed for the fit and mapped back, so filter ids may be any integers."""
+    """Boosted trees: Spark's own for two classes, softmax boosting for more (Spark's are binary).
+    Labels are indexed for the fit and mapped back, so filter ids may be any integers. With more than two classes,
+    rows where the column ``held`` is true are measured after every round, and ``patience`` may end the fit by them."""
     features = features or FEATURES
     classes = require_classes(train, label)
     labels = StringIndexer(inputCol="label_text", outputCol="label_index", stringOrderType="alphabetAsc", handleInvalid="keep")
     fitted_labels = labels.fit(train.select(F.col(label).cast("string").alias("label_text")))
-    common = dict(
-        labelCol="label_index", featuresCol="features", maxDepth=depth, subsamplingRate=row_share,
-        featureSubsetStrategy=str(column_share), seed=seed,
-    )
-    tree = (
-        GBTClassifier(maxIter=trees, stepSize=rate, **common) if len(classes) == 2
-        else RandomForestClassifier(numTrees=trees, **common)
-    )
+    common = dict(labelCol="label_index", featuresCol="features", seed=seed)
+    if len(classes) == 2:
+        tree = GBTClassifier(maxIter=trees, stepSize=rate, maxDepth=depth, subsamplingRate=row_share, featureSubsetStrategy=str(column_share), **common)
+    else:
+        options = dict(trees=trees, depth=depth, rate=rate, row_share=row_share, column_share=column_share, patience=patience)
+        tree = SoftmaxTrees(options=json.dumps(options), heldCol=held or "", **common)
     data = train.withColumn("label_text", F.col(label).cast("string"))
     return Pipeline(stages=[
         VectorAssembler(inputCols=features, outputCol="features"),
