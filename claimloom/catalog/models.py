@@ -10,7 +10,7 @@ from claimloom.catalog.reporting import rounded
 from claimloom.catalog.rulesets import TRUTH, outcome_text
 from claimloom.operators import enrich, features, learning
 from claimloom.operators.ranking import top_filters
-from claimloom.operators.smote import smote
+from claimloom.operators.smote import nearest_neighbours, smote
 from claimloom.plans.train import train, training_examples, training_report
 from claimloom.plans.validate import validate_claims
 from claimloom.sizing import reuse
@@ -86,6 +86,27 @@ def oversample(d):
     return smote(_examples(d), features.FEATURES).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("T3_neighbours", "claims diagnoses procedures", """
+, dn AS (SELECT claim_id, count(DISTINCT diagnosis_code) AS n FROM diagnoses GROUP BY claim_id)
+, pn AS (SELECT claim_id, count(DISTINCT procedure_code) AS n FROM procedures GROUP BY claim_id)
+, pt AS (SELECT DISTINCT coalesce(provider_type, 'UNKNOWN') AS v, dense_rank() OVER (ORDER BY coalesce(provider_type, 'UNKNOWN')) - 1 AS code FROM claims)
+, ps AS (SELECT DISTINCT coalesce(place_of_service, 'UNKNOWN') AS v, dense_rank() OVER (ORDER BY coalesce(place_of_service, 'UNKNOWN')) - 1 AS code FROM claims)
+, x AS MATERIALIZED (SELECT claim_id, CASE WHEN cast(right(claim_id, 10) AS BIGINT) % 10 < 9 THEN 1 ELSE 2 END AS label, coalesce(patient_age, 0)::DOUBLE AS a,
+    coalesce(total_charge_amount, 0)::DOUBLE AS b, coalesce(dn.n, 0)::DOUBLE AS c, coalesce(pn.n, 0)::DOUBLE AS d, pt.code::DOUBLE AS e, ps.code::DOUBLE AS f
+  FROM claims LEFT JOIN dn USING (claim_id) LEFT JOIN pn USING (claim_id) JOIN pt ON pt.v = coalesce(provider_type, 'UNKNOWN') JOIN ps ON ps.v = coalesce(place_of_service, 'UNKNOWN')
+  WHERE cast(right(claim_id, 10) AS BIGINT) % 10 >= 6)
+, near AS (SELECT p.claim_id, p.label, min(sqrt((p.a - q.a) ** 2 + (p.b - q.b) ** 2 + (p.c - q.c) ** 2 + (p.d - q.d) ** 2 + (p.e - q.e) ** 2 + (p.f - q.f) ** 2), 5) AS far
+  FROM x p JOIN x q ON p.label = q.label AND p.claim_id <> q.claim_id GROUP BY ALL)
+SELECT claim_id, cast(label AS INT) AS label, round(far[1], 4) AS nearest, round(far[3], 4) AS third, round(far[5], 4) AS fifth FROM near""")
+def neighbours(d):
+    """Distances of every claim of the smaller classes to its five nearest."""
+    rows = _examples(d).filter("label > 0")
+    points = rows.groupBy("label", *features.FEATURES).agg(F.count(F.lit(1)).alias("copies"))
+    found = nearest_neighbours(points, features.FEATURES, 5).select("label", *features.FEATURES, "far")
+    at = lambda i: F.round(F.sqrt(F.get("far", F.lit(i))), 4)
+    return rows.join(found, ["label", *features.FEATURES]).select("claim_id", "label", at(0).alias("nearest"), at(2).alias("third"), at(4).alias("fifth"))
+
+
 def _trained(d):
     """Encoders, predictor and scored held-out rows; one fit serves all queries of a folder."""
     key = d.spark.sparkContext.applicationId, d.folder

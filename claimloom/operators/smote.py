@@ -1,91 +1,200 @@
 """Oversampling of minority classes by interpolation between near neighbours.
 
-Neighbours are exact. Points of a class are put in order along the widest feature and cut
-into cells of a fixed number of points; a task sees one cell and its neighbouring cells. A
-point is settled when its k-th distance does not reach beyond what the task saw; the rest go
-through further rounds with a wider view.
+Neighbours are exact. The points of a class are cut into leaves of a k-d tree, each with its bounding box. A point first finds its
+nearest in its own leaf; then it visits only the leaves whose boxes its k-th distance can reach.
 """
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
 from claimloom.operators.numbering import number_rows, running_totals
 from claimloom.sizing import broadcast_small, reuse
 
+# No leaf has more distinct points, and no task looks at more visitors of a leaf at a time.
 CELL = 512
+VISITORS = 2_048
+# A node is cut into at most FAN parts at once, by about SAMPLE points for each.
+FAN, SAMPLE = 64, 24
 MIN_CLASS = 6
 PIECE = 10_000
 
 
-def _neighbours_in(features: list[str], k: int, axis: str):
-    """Group function over one target cell: k nearest pool points of each open query point."""
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        queries = pdf[pdf["is_query"]]
-        pool = pdf[features].to_numpy(float)
-        copies = pdf["copies"].to_numpy(np.int64)
-        q = queries[features].to_numpy(float)
-        left = -np.inf if pdf["at_left_end"].any() else pdf[axis].min()
-        right = np.inf if pdf["at_right_end"].any() else pdf[axis].max()
-        rows = []
-        for i, point in enumerate(q):
-            dist = np.sqrt(((pool - point) ** 2).sum(axis=1))
-            order = np.argsort(dist, kind="stable")
-            order = order[: k + 1]
-            slots = copies[order].copy()
-            slots[0] -= 1  # a point is not its own neighbour, but its copies are
-            picks = np.repeat(order, np.minimum(np.maximum(slots, 0), k))[:k]
-            reach = dist[picks[-1]] if len(picks) == k else np.inf
-            at = point[features.index(axis)]
-            settled = len(picks) == k and reach <= at - left and reach <= right - at
-            whole = np.isinf(left) and np.isinf(right)
-            rows.append((pool[picks].tolist(), bool(settled or whole)))
-        out = queries[["label", "point_no", "cell", "copies"] + features].copy()
-        out["neighbours"] = [r[0] for r in rows]
-        out["settled"] = [r[1] for r in rows]
-        return out
+def split_tree(points: np.ndarray, parts: int) -> list[tuple[int, float, int, int]]:
+    """Nodes (feature, cut, left, right) of a tree with ``parts`` leaves, fewer if there are fewer points: always the largest part is
+    cut, at the median of its widest feature; points below the cut go left. A negative child -1 - i is leaf i."""
+    nodes: list[list] = []
+    leaves = [(points, None, 0)]  # points, parent node, side
+    while len(leaves) < parts:
+        at = max(range(len(leaves)), key=lambda i: len(leaves[i][0]))
+        own, parent, side = leaves[at]
+        spread = np.ptp(own, axis=0)
+        f = int(spread.argmax())
+        if not spread[f] > 0:
+            break
+        values = np.sort(own[:, f])
+        cut = values[len(values) // 2]
+        if cut == values[0]:
+            cut = values[np.searchsorted(values, cut, side="right")]
+        nodes.append([f, float(cut), 0, 0])
+        if parent is not None:
+            nodes[parent][2 + side] = len(nodes) - 1
+        right = own[:, f] >= cut
+        leaves[at] = own[~right], len(nodes) - 1, 0
+        leaves.append((own[right], len(nodes) - 1, 1))
+    for i, (_, parent, side) in enumerate(leaves):
+        if parent is not None:
+            nodes[parent][2 + side] = -1 - i
+    return [tuple(n) for n in nodes]
+
+
+def leaf_of(nodes: list[tuple[int, float, int, int]], points: np.ndarray) -> np.ndarray:
+    """The number of the leaf each point falls into."""
+    if not nodes:
+        return np.zeros(len(points), dtype=np.int64)
+    feature, cut, left, right = (np.array(x) for x in zip(*nodes))
+    at, rows = np.zeros(len(points), dtype=np.int64), np.arange(len(points))
+    while (at >= 0).any():
+        inner = np.maximum(at, 0)
+        down = np.where(points[rows, feature[inner]] >= cut[inner], right[inner], left[inner])
+        at = np.where(at >= 0, down, at)
+    return -1 - at
+
+
+def _near(query: np.ndarray, pool: np.ndarray, copies: np.ndarray, k: int, own: bool) -> tuple[list, list]:
+    """Squared distances and points of the k nearest in ``pool``, which counts copies, for each query; with ``own``, query i is pool
+    point i, which isn't its own neighbour but whose copies are."""
+    far, near = [], []
+    for i, point in enumerate(query):
+        d2 = ((pool - point) ** 2).sum(axis=1)
+        few = np.argpartition(d2, k)[: k + 1] if len(d2) > k + 1 else np.arange(len(d2))
+        few = few[np.argsort(d2[few], kind="stable")]
+        if own and i not in few:
+            few = np.concatenate([[i], few[:-1]])
+        slots = copies[few] - (few == i if own else 0)
+        picks = np.repeat(few, np.minimum(slots, k))[:k]
+        far.append(d2[picks].tolist())
+        near.append(pool[picks].tolist())
+    return far, near
+
+
+FOUND = "label int, point_no long, far array<double>, near array<array<double>>"
+
+
+def _in_leaf(features: list[str], k: int):
+    def search(rows: pd.DataFrame) -> pd.DataFrame:
+        points = rows[features].to_numpy(float)
+        far, near = _near(points, points, rows["copies"].to_numpy(np.int64), k, True)
+        return rows[["label", "point_no"]].assign(far=far, near=near)
 
     return search
 
 
-def nearest_neighbours(points: DataFrame, features: list[str], k: int) -> DataFrame:
-    """Distinct points (label, features, copies) with their k nearest of the same label."""
-    spread = points.agg(*[F.coalesce(F.stddev(f), F.lit(0.0)).alias(f) for f in features]).first()
-    axis = max(features, key=lambda f: spread[f])
-    order = [axis] + [f for f in features if f != axis]
-    numbered = number_rows(points, order, "point_no", ["label"]).withColumn(
-        "cell", F.floor((F.col("point_no") - 1) / CELL)
-    )
-    numbered = reuse(numbered)
-    last = broadcast_small(numbered.groupBy("label").agg(F.max("cell").alias("last_cell")))
-    schema = "label int, point_no long, cell long, copies long, " + ", ".join(f"{f} double" for f in features) + \
-        ", neighbours array<array<double>>, settled boolean"
-    found, todo, halo = None, None, 1
+def _of_visitors(features: list[str], k: int):
+    def search(rows: pd.DataFrame) -> pd.DataFrame:
+        guest = rows["guest"].to_numpy(bool)
+        points = rows[features].to_numpy(float)
+        far, near = _near(points[guest], points[~guest], rows["copies"].to_numpy(np.int64)[~guest], k, False)
+        return rows.loc[guest, ["label", "point_no"]].assign(far=far, near=near)
+
+    return search
+
+
+def _build(features: list[str]):
+    def build(rows: pd.DataFrame) -> pd.DataFrame:
+        tree = split_tree(rows[features].to_numpy(float), int(rows["parts"].iloc[0]))
+        return rows[:1][["label", "node"]].assign(tree=[pickle.dumps(tree)])
+
+    return build
+
+
+def _descend(width: int):
+    """(label, point_no, copies, node, tree, features): a point of a node that was cut goes to one of its parts."""
+
+    def task(batches):
+        for batch in batches:
+            points = np.stack([batch.column(5 + i).to_numpy(zero_copy_only=False) for i in range(width)], axis=1)
+            node, trees = batch.column(3).to_numpy().copy(), batch.column(4).to_pylist()
+            for packed in {t for t in trees if t is not None}:
+                here = np.array([t == packed for t in trees])
+                node[here] = node[here] * FAN + 1 + leaf_of(pickle.loads(packed), points[here])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(node), *batch.columns[5:]], [*batch.schema.names[:4], *batch.schema.names[5:]])
+
+    return task
+
+
+def build_leaves(points: DataFrame, features: list[str]) -> tuple[DataFrame, list[DataFrame]]:
+    """``points(label, point_no, copies, features)`` with their leaf as ``node``, and per round the parts of the nodes it cut:
+    (label, node, part, n, lo and hi of each feature). Nodes are numbered as in a heap, 0 is all of a class."""
+    kinds = "label int, point_no long, copies long, node long, " + ", ".join(f"{f} double" for f in features)
+    now = reuse(points.select("label", "point_no", "copies", F.lit(0).cast("long").alias("node"), *features))
+    levels: list[DataFrame] = []
     while True:
-        cells = numbered.select("label", "cell").distinct() if todo is None else todo.select("label", "cell").distinct()
-        views = cells.join(last, "label").select(
-            "label", F.col("cell").alias("target"),
-            (F.col("cell") - halo <= 0).alias("at_left_end"),
-            (F.col("cell") + halo >= F.col("last_cell")).alias("at_right_end"),
-            F.explode(F.sequence(F.greatest(F.col("cell") - halo, F.lit(0)),
-                                 F.least(F.col("cell") + halo, F.col("last_cell")))).alias("cell"),
-        )
-        pool = numbered.join(views, ["label", "cell"])
-        if todo is None:
-            pool = pool.withColumn("is_query", F.col("cell") == F.col("target"))
-        else:
-            pool = pool.join(todo.select("label", "point_no", F.lit(True).alias("open")), ["label", "point_no"], "left") \
-                .withColumn("is_query", F.coalesce("open", F.lit(False)) & (F.col("cell") == F.col("target"))).drop("open")
-        done = reuse(pool.groupBy("label", "target").applyInPandas(_neighbours_in(features, k, axis), schema))
-        settled = done.filter("settled").drop("settled", "cell")
-        found = settled if found is None else found.unionByName(settled)
-        todo = done.filter(~F.col("settled")).select("label", "point_no", "cell")
-        if todo.isEmpty():
-            return found
-        halo *= 2
+        sizes = now.groupBy("label", "node").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CELL)
+        if levels:  # only parts that were just made can be too large
+            sizes = sizes.join(broadcast_small(levels[-1].select("label", F.col("part").alias("node"))), ["label", "node"], "left_semi")
+        sizes = reuse(sizes.withColumn("parts", F.least(F.lit(FAN), F.pow(2, F.ceil(F.log2(2 * F.col("n") / CELL))).cast("int"))))
+        if sizes.isEmpty():
+            return now, levels
+        lot = F.pmod(F.xxhash64("label", "point_no", F.lit(len(levels))), F.lit(1 << 30).cast("long")) / (1 << 30)
+        sample = now.join(broadcast_small(sizes), ["label", "node"]).filter(lot < SAMPLE * F.col("parts") / F.col("n"))
+        trees = sample.groupBy("label", "node").applyInPandas(_build(features), "label int, node long, tree binary")
+        placed = now.join(broadcast_small(trees), ["label", "node"], "left").select("label", "point_no", "copies", "node", "tree", *features)
+        now = reuse(placed.mapInArrow(_descend(len(features)), kinds))
+        boxes = [fn(f).alias(f"{side}_{f}") for f in features for side, fn in (("lo", F.min), ("hi", F.max))]
+        parts = now.groupBy("label", "node").agg(F.count(F.lit(1)).alias("n"), *boxes).withColumnRenamed("node", "part")
+        parts = parts.withColumn("node", F.floor((F.col("part") - 1) / FAN))
+        levels.append(reuse(parts.join(broadcast_small(sizes.select("label", "node")), ["label", "node"], "left_semi")))
+
+
+def _within(features: list[str]) -> Column:
+    """Whether a box is as near as a point's k-th neighbour, both squared; a point without k neighbours yet reaches everywhere."""
+    gap = lambda f: F.greatest(F.col(f"lo_{f}") - F.col(f), F.lit(0.0), F.col(f) - F.col(f"hi_{f}"))
+    total = sum((gap(f) * gap(f) for f in features), F.lit(0.0))
+    return F.col("reach").isNull() | (total <= F.col("reach") * (1 + 1e-12))
+
+
+def visits(points: DataFrame, levels: list[DataFrame], features: list[str]) -> DataFrame:
+    """(label, point_no, features, node): the leaves other than its own that each of ``points(label, point_no, features, own, reach)`` has to look at,
+    found from the root down; parts of a node out of reach aren't followed."""
+    front = points.withColumn("node", F.lit(0).cast("long"))
+    found: DataFrame | None = None
+    for level in levels:
+        inside = front.join(broadcast_small(level), ["label", "node"]).filter(_within(features))
+        inside = inside.select("label", "point_no", "own", "reach", *features, F.col("part").alias("node"), (F.col("n") <= CELL).alias("leaf"))
+        inside = reuse(inside)
+        ends = inside.filter(F.col("leaf") & (F.col("node") != F.col("own"))).select("label", "point_no", *features, "node")
+        found = ends if found is None else found.unionByName(ends)
+        front = inside.filter(~F.col("leaf")).drop("leaf")
+    return found
+
+
+def nearest_neighbours(points: DataFrame, features: list[str], k: int) -> DataFrame:
+    """Distinct points (label, features, copies) with their k nearest of the same label, nearest first, and the squared distances as ``far``."""
+    numbered = number_rows(points, features, "point_no", ["label"])
+    leaves, levels = build_leaves(numbered, features)
+    home = reuse(leaves.groupBy("label", "node").applyInPandas(_in_leaf(features, k), FOUND))
+    told = home
+    if levels:
+        reach = F.when(F.size("far") == k, F.element_at("far", -1)).alias("reach")
+        asking = leaves.join(home.select("label", "point_no", reach), ["label", "point_no"]).select("label", "point_no", *features, F.col("node").alias("own"), "reach")
+        guests = visits(asking, levels, features)
+        # A leaf with very many visitors is looked at by several tasks, each with all of its points.
+        shares = reuse(guests.groupBy("label", "node").agg(F.ceil(F.count(F.lit(1)) / VISITORS).cast("int").alias("shares")))
+        salted = guests.join(broadcast_small(shares), ["label", "node"]).withColumn("share", F.pmod(F.xxhash64("point_no"), F.col("shares")).cast("int"))
+        hosts = leaves.join(broadcast_small(shares), ["label", "node"]).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+        both = salted.select("label", "node", "share", "point_no", F.lit(0).cast("long").alias("copies"), F.lit(True).alias("guest"), *features).unionByName(
+            hosts.select("label", "node", "share", "point_no", "copies", F.lit(False).alias("guest"), *features))
+        told = home.unionByName(both.groupBy("label", "node", "share").applyInPandas(_of_visitors(features, k), FOUND))
+    zipped = F.transform(F.arrays_zip("far", "near"), lambda x: F.struct(x["far"].alias("far"), x["near"].alias("near")))
+    merged = told.groupBy("label", "point_no").agg(F.slice(F.array_sort(F.flatten(F.collect_list(zipped))), 1, k).alias("best"))
+    return leaves.drop("node").join(merged, ["label", "point_no"]).select(
+        "label", "point_no", "copies", *features, F.transform("best", lambda x: x["near"]).alias("neighbours"), F.transform("best", lambda x: x["far"]).alias("far"))
 
 
 def smote(examples: DataFrame, features: list[str], k: int = 5, seed: int = 42) -> DataFrame:

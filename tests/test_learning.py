@@ -52,6 +52,8 @@ def brute_force(rows, k):
 def test_neighbours_are_exact(spark, monkeypatch, shape):
     """Small cells force several rounds; half of the points may share one position."""
     monkeypatch.setattr(smote_module, "CELL", 8)
+    monkeypatch.setattr(smote_module, "FAN", 4)
+    monkeypatch.setattr(smote_module, "VISITORS", 5)
     rng = np.random.default_rng(7)
     n = 150
     x = {"spread": rng.normal(0, 1000, n), "hot": np.where(rng.random(n) < 0.5, 5.0, rng.normal(0, 50, n)), "flat": rng.integers(0, 3, n)}[shape]
@@ -66,6 +68,47 @@ def test_neighbours_are_exact(spark, monkeypatch, shape):
         assert np.allclose(near, want[(r.label, r.x, r.y)])
 
 
+@pytest.mark.parametrize("shape", ["uniform", "clustered"])
+def test_six_dimensions_in_bounded_groups(spark, monkeypatch, shape):
+    """Exact in six dimensions, with no group of more than CELL points and VISITORS visitors, and few leaves looked at."""
+    monkeypatch.setattr(smote_module, "CELL", 40)
+    monkeypatch.setattr(smote_module, "VISITORS", 200)
+    seen = []
+    for name in ("_in_leaf", "_of_visitors"):
+        def spied(features, k, name=name, fn=getattr(smote_module, name)):
+            search = fn(features, k)
+
+            def counted(rows):
+                assert len(rows) <= 40 + 200 * 2
+                return search(rows)
+
+            seen.append(name)
+            return counted
+        monkeypatch.setattr(smote_module, name, spied)
+    rng = np.random.default_rng(11)
+    n, names = 1_500, [f"x{i}" for i in range(6)]
+    x = rng.uniform(0, 100, (n, 6)) if shape == "uniform" else rng.normal(0, 1, (n, 6)) + rng.integers(0, 12, (n, 1)) * 50.0
+    points = spark.createDataFrame([(1, *map(float, r)) for r in x], "label int, " + ", ".join(f"{c} double" for c in names)).withColumn("copies", F.lit(1).cast("long"))
+    got = nearest_neighbours(points, names, 5).collect()
+    d2 = ((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2)
+    want = np.sort(d2, axis=1)[:, 1:6]
+    at = {tuple(r): i for i, r in enumerate(x.tolist())}
+    assert len(got) == n and set(seen) == {"_in_leaf", "_of_visitors"}
+    for r in got:
+        assert np.allclose(r.far, want[at[tuple(r[c] for c in names)]])
+
+
+def test_split_tree_cuts_the_largest_part_and_stops_at_equal_points():
+    rng = np.random.default_rng(1)
+    x = rng.normal(0, 1, (640, 3))
+    tree = smote_module.split_tree(x, 16)
+    sizes = np.bincount(smote_module.leaf_of(tree, x), minlength=16)
+    assert len(sizes) == 16 and sizes.max() <= 2 * sizes.min()
+    assert smote_module.split_tree(np.ones((5, 2)), 4) == []
+    two = np.array([[0.0], [1.0], [1.0], [1.0]])
+    assert sorted(smote_module.leaf_of(smote_module.split_tree(two, 4), two).tolist()) == [0, 1, 1, 1]
+
+
 def test_smote_balances_on_segments(spark, monkeypatch):
     monkeypatch.setattr(smote_module, "PIECE", 3)
     rng = np.random.default_rng(3)
