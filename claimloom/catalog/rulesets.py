@@ -91,6 +91,32 @@ def rule_coverage(d):
     return rules.rule_coverage(*d.core, d.filters, d.code_sets)
 
 
+@query("M9_interval_rules", "claims diagnoses procedures", """
+, r AS (SELECT cast(right(claim_id, 10) AS INT) AS filter_id, floor(total_charge_amount) AS lo, coalesce(patient_age, 50) AS age,
+    cast(right(claim_id, 10) AS INT) % 4 AS form FROM claims)
+, p AS (SELECT filter_id, count(*) AS n_passed FROM r JOIN claims ON CASE form
+    WHEN 0 THEN total_charge_amount > lo - 200 AND total_charge_amount <= lo + 100
+    WHEN 1 THEN total_charge_amount >= lo AND total_charge_amount < lo + 2000 AND patient_age = age
+    WHEN 2 THEN total_charge_amount >= lo + 450000 AND patient_age < age ELSE total_charge_amount >= lo AND total_charge_amount <= lo + 50 AND provider_type = 'HOSPITAL' END
+  GROUP BY filter_id)
+SELECT filter_id, (SELECT count(*) FROM claims) AS n_claims, coalesce(n_passed, 0) AS n_passed, '' AS error FROM r LEFT JOIN p USING (filter_id)""")
+def interval_rules(d):
+    """A rule of numbers for every claim: how many claims lie within it."""
+    number = F.right("claim_id", F.lit(10)).cast("int")
+    lo, age = F.floor("total_charge_amount"), F.coalesce("patient_age", F.lit(50)).cast("string")
+    charge = lambda op, x: F.concat(F.lit(f" & (A {op} "), x.cast("string"), F.lit(")"))
+    head, aged = F.lit("charge_amount(X, A)"), F.lit(" & patient_age(X, G)")
+    text = (
+        F.when(number % 4 == 0, F.concat(head, charge(">", lo - 200), charge("<=", lo + 100)))
+        .when(number % 4 == 1, F.concat(head, charge(">=", lo), charge("<", lo + 2000), aged, F.lit(" & (G == "), age, F.lit(")")))
+        .when(number % 4 == 2, F.concat(head, charge(">=", lo + 450000), aged, F.lit(" & (G < "), age, F.lit(")")))
+        .otherwise(F.concat(head, charge(">=", lo), charge("<=", lo + 50), F.lit(" & provider_type(X, 'HOSPITAL')")))
+    )
+    filters = d.claims.select(
+        number.alias("filter_id"), "claim_id", text.alias("rule_definition"), F.lit(True).alias("active"), F.lit("").alias("description"), F.col("claim_id").alias("filter_name"))
+    return rules.rule_coverage(*d.core, filters, d.code_sets).drop("filter_name")
+
+
 @query("V5_validate_claims", "claims diagnoses procedures filters", TRUTH + f"""
 , w AS (SELECT claim_id, i AS pos, ({NUMBER} * 3 + CASE i WHEN 2 THEN 4 ELSE i END) % 10 + 1 AS filter_id
   FROM claims, range(0, 3) AS t(i) WHERE processing_status = 'PENDING')

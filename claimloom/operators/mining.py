@@ -34,23 +34,28 @@ def frequent_itemsets(transactions: DataFrame, min_support: float = MIN_SUPPORT)
 
 def association_rules(itemsets: DataFrame, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """Every split of an itemset into antecedent -> consequent, consequents of any size, with
-    support, confidence and lift. Supports come from equi-joins on the sorted item arrays."""
-    splits = (
-        itemsets.filter(F.size("items") > 1)
-        .withColumn("mask", F.explode(F.sequence(
-            F.lit(1).cast("long"),
-            F.call_function("shiftleft", F.lit(1).cast("long"), F.size("items")) - 2)))
-        .select(
-            "items", "freq", "n", "support",
-            F.filter("items", lambda x, i: F.getbit(F.col("mask"), i) == 1).alias("antecedent"),
-            F.filter("items", lambda x, i: F.getbit(F.col("mask"), i) == 0).alias("consequent"),
-        )
-    )
+    support, confidence and lift. Supports come from equi-joins on the sorted item arrays.
+
+    Consequents grow item by item: moving an item over to the consequent never raises the confidence, so only consequents that
+    reached ``min_confidence`` are extended, by later items that reach it alone.
+    """
     known = itemsets.select("items", "freq")
-    with_ante = splits.join(
-        known.select(F.col("items").alias("antecedent"), F.col("freq").alias("ante_freq")), "antecedent"
-    ).withColumn("confidence", F.col("freq") / F.col("ante_freq")).filter(F.col("confidence") >= min_confidence)
-    return with_ante.join(
+    whole = itemsets.filter(F.size("items") > 1).select("items", "freq", "n", "support")
+
+    def confident(candidates: DataFrame) -> DataFrame:
+        rest = candidates.withColumn("antecedent", F.array_except("items", "consequent"))
+        found = rest.join(known.select(F.col("items").alias("antecedent"), F.col("freq").alias("ante_freq")), "antecedent")
+        return reuse(found.withColumn("confidence", F.col("freq") / F.col("ante_freq")).filter(F.col("confidence") >= min_confidence))
+
+    columns = ["items", "freq", "n", "support", "antecedent", "consequent", "confidence"]
+    level = confident(whole.withColumn("consequent", F.explode(F.transform("items", lambda x: F.array(x))))).select(*columns)
+    found, singles = level, level.groupBy("items").agg(F.sort_array(F.collect_list(F.element_at("consequent", 1))).alias("singles"))
+    while not level.isEmpty():
+        last = F.element_at("consequent", -1)
+        longer = level.filter(F.size("consequent") + 1 < F.size("items")).join(singles, "items").withColumn("more", F.explode(F.filter("singles", lambda x: x > last)))
+        level = confident(longer.select("items", "freq", "n", "support", F.concat("consequent", F.array("more")).alias("consequent"))).select(*columns)
+        found = found.unionByName(level)
+    return found.join(
         known.select(F.col("items").alias("consequent"), F.col("freq").alias("cons_freq")), "consequent"
     ).select(
         "antecedent", "consequent", "support", "confidence",

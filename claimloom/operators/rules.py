@@ -39,8 +39,12 @@ ATOM = (
     r"|\(?\s*\w+\s*(?:<=|>=|==|!=|<|>|=)\s*-?\d+(?:\.\d+)?\s*\)?"  # (Var op number)
     r"|True)"
 )
-# Leads every claim to the rules that name no code.
-ANY = "\u0001any"
+# Leads every claim to the rules that name neither a code nor an interval, by one of SALTS keys.
+ANY = "any"
+SALTS = 64
+# Columns of the numbers that rules compare, and the levels of their dyadic intervals.
+NUMBERS = {"age": "patient_age", "charge": "total_charge_amount"}
+LEVELS = {"age": 9, "charge": 44}
 COMPILED_RULES = 256
 COMPILED_CODES = 5_000
 
@@ -254,21 +258,106 @@ def evaluate_coded(pairs: DataFrame, tables: RuleTables, *keep: str) -> DataFram
         *keep, "claim_id", "filter_id", "filter_name", _passed().alias("passed"), "rule_type", "details", "error")
 
 
-def _rule_keys(rows: DataFrame) -> DataFrame:
-    """Rules with the fact that leads to them: one condition that names codes, preferably of a
-    diagnosis or procedure and with few codes; (kind, value) per code, or ANY without such one."""
+def position(value: Column, kind: str) -> Column:
+    """Where a number lies on a whole-number line from 0 to 2^LEVELS[kind] - 1: ages by years, charges by cents. Larger numbers never lie
+    before smaller ones, and what is beyond the line lies at its end."""
+    unit, top = (1, 1 << LEVELS[kind]) if kind == "age" else (100, 1 << LEVELS[kind])
+    at = F.floor(value.cast("double") * unit).cast("double") + (top >> 1)
+    return F.least(F.greatest(at, F.lit(0.0)), F.lit(float(top - 1))).cast("long")
+
+
+def interval(kind: str) -> Column:
+    """struct(lo, hi): the positions a rule's conditions on an age or charge leave open; null if it has none but ``!=`` and ``exists``."""
+    own = lambda *ops: F.transform(
+        F.filter("conditions", lambda c: (c["kind"] == kind) & c["op"].isin(*ops)), lambda c: position(c["number"], kind))
+    lo = F.coalesce(F.array_max(own(">", ">=", "==")), F.lit(0).cast("long"))
+    hi = F.coalesce(F.array_min(own("<", "<=", "==")), F.lit((1 << LEVELS[kind]) - 1).cast("long"))
+    return F.when(F.size(own("<", "<=", ">", ">=", "==")) > 0, F.struct(lo.alias("lo"), hi.alias("hi")))
+
+
+def dyadic_pieces(lo: Column, hi: Column, levels: int) -> Column:
+    """array<struct<level, prefix>>: the fewest dyadic intervals that make up lo..hi; that of (level, prefix) holds the positions whose
+    bits above ``level`` are ``prefix``. No piece if lo > hi."""
+    piece = lambda level, prefix: F.array(F.struct(level.cast("int").alias("level"), prefix.alias("prefix")))
+    none = F.array().cast("array<struct<level: int, prefix: bigint>>")
+
+    def step(s: Column, level: Column) -> Column:
+        open_, odd, even = s["lo"] <= s["hi"], s["lo"] % 2 == 1, s["hi"] % 2 == 0
+        # both ends stick out of the next level's intervals at once if they are the same position
+        left = F.when(open_ & odd, piece(level, s["lo"])).otherwise(none)
+        right = F.when(open_ & even & ~(odd & (s["lo"] == s["hi"])), piece(level, s["hi"])).otherwise(none)
+        lo = F.when(odd, s["lo"] + 1).otherwise(s["lo"])
+        hi = F.when(even, s["hi"] - 1).otherwise(s["hi"])
+        closed = ~open_ | (lo > hi)
+        return F.struct(
+            F.when(closed, F.lit(1).cast("long")).otherwise(F.shiftright(lo, 1)).alias("lo"),
+            F.when(closed, F.lit(0).cast("long")).otherwise(F.shiftright(hi, 1)).alias("hi"), F.concat(s["pieces"], left, right).alias("pieces"))
+
+    start = F.struct(lo.cast("long").alias("lo"), hi.cast("long").alias("hi"), none.alias("pieces"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(levels)), start, step, lambda s: s["pieces"])
+
+
+def _rule_keys(rows: DataFrame, claims: DataFrame) -> DataFrame:
+    """Rules with the facts that lead to them, as (kind, value) rows: the codes of one condition that names some, preferably of a diagnosis
+    or procedure and few; else the dyadic pieces of an age or charge interval, of the one with fewer claims if there are both; else ANY."""
     named = F.filter("conditions", lambda c: F.size(c["codes"]) > 0)
     ranked = F.transform(named, lambda c: F.struct(
         (~c["kind"].isin(CODED)).cast("int").alias("tier"), F.size(c["codes"]).alias("n"), c["cond_no"].alias("cond_no"),
         c["kind"].alias("kind"), c["codes"].alias("codes")))
-    lead = F.array_min(ranked)
-    return (
-        rows.withColumn("lead", lead)
-        .withColumn("key_codes", F.coalesce("lead.codes", F.array(F.lit(ANY))))
-        .withColumn("value", F.explode("key_codes"))
-        .withColumn("kind", F.coalesce("lead.kind", F.lit(ANY)))
-        .drop("lead")
+    led = rows.withColumns({"lead": F.array_min(ranked), "age": interval("age"), "charge": interval("charge")})
+    open_ = F.col("lead").isNull()
+    kind = F.when(~open_, F.col("lead.kind")).when(F.col("age").isNull() & F.col("charge").isNull(), ANY).when(F.col("charge").isNull(), "age").when(F.col("age").isNull(), "charge")
+    if led.filter(open_ & F.col("age").isNotNull() & F.col("charge").isNotNull()).isEmpty():
+        led = led.withColumn("kind", kind)
+    else:
+        steps = [i / 50 for i in range(51)]
+        spread = claims.agg(*[F.percentile_approx(position(F.col(c), k), steps).alias(k) for k, c in NUMBERS.items()]).first()
+        within = lambda k: F.size(F.filter(F.array(*map(F.lit, spread[k] or [])), lambda x: x.between(F.col(f"{k}.lo"), F.col(f"{k}.hi"))))
+        share = {k: within(k) for k in NUMBERS}
+        led = led.withColumn("kind", F.coalesce(kind, F.when(share["charge"] <= share["age"], "charge").otherwise("age")))
+    pieces = F.coalesce(*[F.when(F.col("kind") == k, dyadic_pieces(F.col(f"{k}.lo"), F.col(f"{k}.hi"), LEVELS[k])) for k in NUMBERS])
+    lines = F.transform(pieces, lambda p: F.struct(F.concat(F.col("kind"), F.lit("/"), p["level"].cast("string")).alias("kind"), p["prefix"].cast("string").alias("value")))
+    codes = F.transform("lead.codes", lambda v: F.struct(F.col("kind").alias("kind"), v.alias("value")))
+    salts = F.transform(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.struct(F.lit(ANY).alias("kind"), i.cast("string").alias("value")))
+    return led.withColumn("key_codes", F.col("lead.codes")).withColumn("key", F.explode(F.coalesce(codes, lines, salts))).select(
+        *rows.columns, "key_codes", "key.kind", "key.value")
+
+
+def _claim_facts(coded: DataFrame, levels: dict[str, list[int]]) -> DataFrame:
+    """Claim rows with each fact that can lead to rules as (kind, value): codes, provider, place, the dyadic intervals of age and charge on
+    those levels that rules use, and one of the ANY keys. Rules without codes only look at whether a claim has codes, so facts that lead to these
+    carry one code of each kind."""
+    whole = {c: F.col(c) for c in ("diagnosis_codes", "procedure_codes")}
+    few = {c: F.slice(c, 1, 1) for c in whole}
+
+    def fact(kind: Column, value: Column, codes: dict[str, Column]) -> Column:
+        return F.struct(kind.alias("kind"), value.alias("value"), *[v.alias(c) for c, v in codes.items()])
+
+    def line(kind: str, used: list[int]) -> Column:
+        at = lambda level: F.floor(position(F.col(NUMBERS[kind]), kind) / F.pow(F.lit(2.0), level)).cast("long").cast("string")
+        return F.transform(F.array(*map(F.lit, used)), lambda level: fact(F.concat(F.lit(f"{kind}/"), level.cast("string")), at(level), few))
+
+    lines = [line(k, levels[k]) for k in NUMBERS if k in levels]
+    any_key = [F.array(fact(F.lit(ANY), F.pmod(F.xxhash64("claim_id"), F.lit(SALTS)).cast("string"), few))] if ANY in levels else []
+    known = F.concat(
+        F.transform("diagnosis_codes", lambda v: fact(F.lit("diagnosis"), v, whole)),
+        F.transform("procedure_codes", lambda v: fact(F.lit("procedure"), v, whole)),
+        F.array(fact(F.lit("provider"), F.col("provider_type"), whole), fact(F.lit("place"), F.col("place_of_service"), whole)), *lines, *any_key,
     )
+    rest = [c for c in coded.columns if c not in whole]
+    return coded.withColumn("f", F.explode(known)).select(*rest, "f.*").filter("value IS NOT NULL")
+
+
+def rule_hits(claims: DataFrame, coded: DataFrame, tables: RuleTables) -> DataFrame:
+    """Claim and rule rows that one fact brings together, before all conditions are decided; a claim meets a rule once by each of its
+    codes that the rule's leading condition names, and once otherwise."""
+    sound = tables.rows.filter(F.col("error") == "").select("filter_id", "conditions", "error")
+    keys = reuse(_rule_keys(sound, claims))
+    levels: dict[str, list[int]] = {}
+    for r in keys.select("kind").distinct().collect():
+        kind, _, level = r.kind.partition("/")
+        levels.setdefault(kind, []).extend([int(level)] if level else [])
+    return _claim_facts(coded, levels).join(F.broadcast(keys) if tables.small and is_small(keys) else keys, ["kind", "value"])
 
 
 def rule_coverage(
@@ -278,29 +367,19 @@ def rule_coverage(
 
     A claim meets only the rules one of its facts leads to, and those are decided in the same row,
     so nothing but per-rule counts is shuffled after the claim's codes are together. A rule that
-    several codes of a claim lead to is counted for the first of them.
+    several codes of a claim lead to is counted for the first of them. Rules of numbers alone are found by dyadic intervals, so a claim
+    meets those whose interval it lies in.
     """
     tables = RuleTables(filters, code_sets)
-    sound = tables.rows.filter(F.col("error") == "").select("filter_id", "conditions", "error")
-    coded = coded_claims(claims, diagnoses, procedures)
-
-    def fact(kind: str, value: Column) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), value.alias("value"))
-
-    known = F.concat(
-        F.transform("diagnosis_codes", lambda v: fact("diagnosis", v)),
-        F.transform("procedure_codes", lambda v: fact("procedure", v)),
-        F.array(fact("provider", F.col("provider_type")), fact("place", F.col("place_of_service")), fact(ANY, F.lit(ANY))),
-    )
     own = (
         F.when(F.col("kind") == "diagnosis", F.col("diagnosis_codes"))
         .when(F.col("kind") == "procedure", F.col("procedure_codes"))
         .otherwise(F.array("value"))
     )
+    first = F.col("key_codes").isNull() | (F.col("value") == F.array_min(F.array_intersect("key_codes", own)))
     passed = (
-        coded.withColumn("f", F.explode(known)).select("*", "f.kind", "f.value").drop("f")
-        .join(tables.side(_rule_keys(sound)), ["kind", "value"])
-        .filter((F.col("value") == F.array_min(F.array_intersect("key_codes", own))) & _passed())
+        rule_hits(claims, coded_claims(claims, diagnoses, procedures), tables)
+        .filter(first & _passed())
         .groupBy("filter_id").agg(F.count(F.lit(1)).alias("n_passed"))
     )
     return tables.rows.join(passed, "filter_id", "left").select(

@@ -1,3 +1,6 @@
+import random
+from itertools import combinations
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,3 +151,82 @@ def test_mined_rules_are_readable_rules(spark, baskets):
     matched = {r.filter_name: r for r in mining.match_mined_rules(
         baskets, spark.createDataFrame([("r", ["a"], ["c"])], "filter_name string, antecedent array<string>, consequent array<string>")).collect()}
     assert (matched["r"].n_antecedent, matched["r"].n_both) == (3, 2)
+
+
+def test_dyadic_pieces_make_up_their_interval(spark):
+    rows = [(a, b) for a in range(17) for b in range(17)] + [(0, (1 << 20) - 1), (5, 1 << 19)]
+    got = spark.createDataFrame(rows, "a long, b long").select("a", "b", rules.dyadic_pieces(F.col("a"), F.col("b"), 20).alias("p")).collect()
+    for r in got:
+        ends = sorted((p.prefix << p.level, (p.prefix + 1 << p.level) - 1) for p in r.p)
+        if r.a > r.b:
+            assert not ends
+            continue
+        assert ends[0][0] == r.a and ends[-1][1] == r.b and all(x[1] + 1 == y[0] for x, y in zip(ends, ends[1:]))
+        assert len(ends) <= 2 * max(1, (r.b - r.a).bit_length())
+
+
+def test_many_rules_of_numbers_meet_few_claims(spark):
+    """100,000 rules of ages and charges: claims only meet rules in whose interval they lie, whatever is shuffled."""
+    n = 100_000
+    ids = spark.range(n).withColumns({"lo": F.pmod(F.xxhash64("id"), F.lit(1_000_000)), "age": F.pmod(F.xxhash64("id", F.lit(1)), F.lit(90))})
+    text = F.when(ids.id % 4 == 0, F.concat(F.lit("charge_amount(X, A) & (A >= "), F.format_string("%d.25", "lo"), F.lit(") & (A < "), (F.col("lo") + 400).cast("string"), F.lit(")"))) \
+        .when(ids.id % 4 == 1, F.concat(F.lit("patient_age(X, G) & (G == "), F.col("age").cast("string"), F.lit(") & charge_amount(X, A) & (A > "), F.col("lo").cast("string"), F.lit(")"))) \
+        .when(ids.id % 4 == 2, F.concat(F.lit("patient_age(X, G) & (G > "), F.col("age").cast("string"), F.lit(") & charge_amount(X, A) & (A >= "), F.col("lo").cast("string"), F.lit(") & (A <= "), (F.col("lo") + 900).cast("string"), F.lit(")"))) \
+        .otherwise(F.concat(F.lit("charge_amount(X, A) & (A = "), F.format_string("%d.50", "lo"), F.lit(")")))
+    filters = ids.select(F.col("id").cast("int").alias("filter_id"), F.col("id").cast("string").alias("filter_name"), text.alias("rule_definition"), F.lit(True).alias("active"), F.lit("").alias("description"))
+    claims = spark.range(300).select(
+        F.format_string("c%d", "id").alias("claim_id"), F.when(F.col("id") % 10 > 0, F.pmod(F.xxhash64("id", F.lit(3)), F.lit(95)).cast("int")).alias("patient_age"),
+        (F.pmod(F.xxhash64("id", F.lit(4)), F.lit(100_000_000)) / 100).cast("decimal(12,2)").alias("total_charge_amount"), F.lit("P").alias("provider_type"), F.lit("11").alias("place_of_service"))
+    claims = claims.unionByName(claims.limit(1).withColumns({"claim_id": F.lit("far"), "total_charge_amount": F.lit("9999999999.99").cast("decimal(12,2)")}))
+    dx = spark.createDataFrame([], "claim_id string, diagnosis_code string")
+    px = spark.createDataFrame([], "claim_id string, procedure_code string")
+    sets = spark.createDataFrame([], "set_name string, code string")
+    got = {r.filter_id: r.n_passed for r in rules.rule_coverage(claims, dx, px, filters, sets).collect()}
+    rows = [(r.patient_age, float(r.total_charge_amount)) for r in claims.collect()]
+    want = {}
+    for r in ids.collect():
+        k, lo, age = r.id % 4, r.lo, r.age
+        met = {0: lambda g, a: lo + 0.25 <= a < lo + 400, 1: lambda g, a: g == age and a > lo, 2: lambda g, a: g is not None and g > age and lo <= a <= lo + 900, 3: lambda g, a: a == lo + 0.5}[k]
+        want[r.id] = sum(met(*x) for x in rows)
+    assert got == want
+    tables = rules.RuleTables(filters, sets)
+    met = rules.rule_hits(claims, rules.coded_claims(claims, dx, px), tables).count()
+    assert sum(want.values()) <= met < 3 * sum(want.values()) + n // 10
+
+
+def plain_rules(itemsets, n, least):
+    freq = {tuple(sorted(i)): f for i, f in itemsets}
+    out = set()
+    for items, f in freq.items():
+        for mask in range(1, (1 << len(items)) - 1):
+            cons = tuple(x for k, x in enumerate(items) if mask >> k & 1)
+            ante = tuple(x for k, x in enumerate(items) if not mask >> k & 1)
+            if ante in freq and cons in freq and f / freq[ante] >= least:
+                out.add((ante, cons, round(f / freq[ante], 9), round(f / freq[ante] / (freq[cons] / n), 9)))
+    return out
+
+
+def test_rules_by_levels_equal_all_splits(spark):
+    rng = random.Random(6)
+    baskets = [set(rng.sample("abcdefg", rng.randint(1, 6))) | ({"a", "b", "c"} if rng.random() < 0.5 else set()) for _ in range(60)]
+    sets = [c for k in range(1, 8) for c in combinations("abcdefg", k)]
+    itemsets = [(list(c), sum(set(c) <= b for b in baskets)) for c in sets]
+    itemsets = [(c, f) for c, f in itemsets if f >= 3]
+    df = spark.createDataFrame([(c, f, 60, f / 60) for c, f in itemsets], "items array<string>, freq long, n long, support double")
+    for least in (0.3, 0.8):
+        got = {(tuple(r.antecedent), tuple(r.consequent), round(r.confidence, 9), round(r.lift, 9)) for r in mining.association_rules(df, least).collect()}
+        assert got == plain_rules(itemsets, 60, least) and got
+
+
+def test_rules_of_twenty_five_items(spark):
+    """Only what is confident is followed: four items may follow from the others, alone or in pairs."""
+    items = [f"i{k:02}" for k in range(25)]
+    freq = {tuple(items): 90}
+    for k in (1, 2):
+        for gone in combinations(items, k):
+            rest = tuple(x for x in items if x not in gone)
+            freq[rest] = 100 if set(gone) <= set(items[:4]) else 1_000
+            freq[gone] = 500
+    df = spark.createDataFrame([(list(c), f, 1_000, f / 1_000) for c, f in freq.items()], "items array<string>, freq long, n long, support double")
+    got = {(tuple(r.consequent), round(r.confidence, 6)) for r in mining.association_rules(df, 0.9).filter(F.size("antecedent") + F.size("consequent") == 25).collect()}
+    assert got == {(c, 0.9) for k in (1, 2) for c in combinations(items[:4], k)}
