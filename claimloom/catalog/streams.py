@@ -10,7 +10,12 @@ from claimloom.catalog.reporting import rounded
 from claimloom.catalog.rulesets import _candidates, outcome_text
 from claimloom.operators import metrics
 from claimloom.sources.files import as_claims
+from claimloom.streaming.alerts import ALERT, alert_stream
+from claimloom.streaming.assemble import assemble_stream, validate_assembled
 from claimloom.streaming.claims import claims_stream, dedupe_stream, rate_stream, validate_stream
+from claimloom.streaming.state import state_on_disk
+
+ALERT_LIMITS = dict(max_error_rate=0.005)
 
 
 def _arriving(d, root):
@@ -54,6 +59,70 @@ def stream_dedupe(d):
     return d.spark.read.schema("claim_id string, processing_status string").parquet(f"{root}/out")
 
 
+@query("X3_dedupe_within", "claims", """
+SELECT claim_id, CASE WHEN cast(right(claim_id, 10) AS BIGINT) % 3 = 0 THEN 2 ELSE 1 END AS n_passed FROM claims""")
+def stream_dedupe_within(d):
+    """Every claim comes again within the hour, and every third once more after two days, when its key has gone."""
+    root = scratch(d.spark, "dedupe")
+    rows = as_claims(d.claims).withColumn("at", F.timestamp_seconds(F.lit(1_700_000_000) + F.right("claim_id", F.lit(10)).cast("long") % 3000))
+    late = rows.filter(F.right("claim_id", F.lit(10)).cast("long") % 3 == 0).withColumn("at", F.col("at") + F.expr("INTERVAL 2 DAYS"))
+    day_after = rows.limit(1).withColumns({"claim_id": F.lit(None).cast("string"), "at": F.col("at") + F.expr("INTERVAL 30 HOURS")})
+    for part in (rows, rows.withColumn("at", F.col("at") + F.expr("INTERVAL 20 MINUTES")), day_after, day_after.withColumn("at", F.col("at") + F.expr("INTERVAL 1 HOUR")), late):
+        part.coalesce(1).write.mode("append").parquet(f"{root}/in")
+    stream = d.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    with state_on_disk(d.spark):
+        _run(dedupe_stream(stream, "claim_id", "at", "1 hour").select("claim_id").writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/cp"))
+    found = d.spark.read.schema("claim_id string").parquet(f"{root}/out").filter("claim_id IS NOT NULL")
+    return found.groupBy("claim_id").agg(F.count(F.lit(1)).cast("int").alias("n_passed"))
+
+
+@query("X2_assembled_stream")
+def stream_assembled(d):
+    """Claims, diagnoses and procedures as three streams: lines come before, with or after their claim."""
+    root = scratch(d.spark, "assembled")
+    number = F.right("claim_id", F.lit(10)).cast("long")
+    at = lambda minutes: F.timestamp_seconds(F.lit(1_700_000_000) + number % 7200 + 60 * minutes)
+    pending = d.claims.filter(F.col("processing_status") == "PENDING")
+    ids = pending.select("claim_id")
+    shift = F.element_at(F.array(F.lit(-20), F.lit(0), F.lit(25)), (number % 3 + 1).cast("int"))
+    sides = {
+        "claims": pending.withColumn("arrived_at", at(F.lit(0))),
+        "diagnoses": d.diagnoses.join(ids, "claim_id", "left_semi").withColumn("arrived_at", at(shift)),
+        "procedures": d.procedures.join(ids, "claim_id", "left_semi").withColumn("arrived_at", at(-shift)),
+    }
+    streams = []
+    for name, df in sides.items():
+        df.sortWithinPartitions("arrived_at").write.parquet(f"{root}/{name}")
+        # the last row of each stream only tells the time
+        end = df.limit(1).withColumns({"claim_id": F.lit(None).cast("string"), "arrived_at": F.timestamp_seconds(F.lit(1_700_100_000))})
+        end.write.mode("append").parquet(f"{root}/{name}")
+        streams.append(d.spark.readStream.schema(df.schema).parquet(f"{root}/{name}"))
+    with state_on_disk(d.spark):
+        _run(validate_assembled(assemble_stream(*streams), d.filters, d.code_sets, f"{root}/out", f"{root}/cp", candidates=_candidates(d)))
+    return outcome_text(d.spark.read.parquet(f"{root}/out/results"))
+
+
+ORACLES["X2_assembled_stream"] = ORACLES["V5_validate_claims"]
+
+
+@query("X5_alert_stream")
+def stream_alerts(d):
+    """Alerts of the event stream, at the limits of the batch query; what fires after the last event is left out."""
+    root = scratch(d.spark, "alerts")
+    events = d.events.select(F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "error").alias("failed"))
+    events.repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(f"{root}/in")
+    last = events.agg(F.max("ts").alias("ts")).first().ts
+    events.limit(1).select((F.lit(last) + F.expr("INTERVAL 3 HOURS")).alias("ts"), F.lit(None).cast("boolean").alias("failed")).write.mode("append").parquet(f"{root}/in")
+    stream = d.spark.readStream.schema("ts timestamp, failed boolean").parquet(f"{root}/in")
+    with state_on_disk(d.spark):
+        _run(alert_stream(stream, **ALERT_LIMITS).writeStream.outputMode("append").format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/cp"))
+    found = d.spark.read.schema(ALERT).parquet(f"{root}/out").filter(F.col("fired_at") <= F.date_trunc("minute", F.lit(last)) + F.expr("INTERVAL 1 MINUTE"))
+    return found.select("alert", "severity", F.unix_timestamp("fired_at").alias("fired_at"))
+
+
+ORACLES["X5_alert_stream"] = ORACLES["X5_alerts"]
+
+
 @query("X4_windowed_rate_stream")
 def stream_rate(d):
     """Sliding windows of the event stream, all of them, from counts per minute."""

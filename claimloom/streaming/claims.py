@@ -22,10 +22,17 @@ def claims_stream(spark: SparkSession, path: str, fmt: str = "parquet", files_pe
     )
 
 
-def dedupe_stream(stream: DataFrame, key: str = "claim_id") -> DataFrame:
-    """A claim passes once, however late it or its repeats come. State keeps one key per claim and never expires; with many
-    claims set ``spark.sql.streaming.stateStore.providerClass`` to the RocksDB provider, which holds it on disk."""
-    return stream.dropDuplicates([key])
+def dedupe_stream(stream: DataFrame, key: str = "claim_id", at: str | None = None, keep_for: str | None = None) -> DataFrame:
+    """A claim passes once.
+
+    Without ``keep_for`` that holds however late it or its repeats come: state keeps one key per claim and never expires. With it, a key
+    goes once the watermark, ``keep_for`` behind the event time ``at``, has passed its first arrival by as much: repeats within ``keep_for`` of the first are dropped,
+    and state is bounded by what arrives in that time. A claim that arrives behind the watermark is dropped as late.
+    Start either in ``state.state_on_disk``, which keeps the keys on disk instead of the heap.
+    """
+    if keep_for is None:
+        return stream.dropDuplicates([key])
+    return stream.withWatermark(at, keep_for).dropDuplicatesWithinWatermark([key])
 
 
 def validate_stream(
