@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from claimloom.llm.storage import Workspace, others, unused, with_row_key
 from claimloom.llm.text import Buffer, split_mix, texts
@@ -121,8 +122,9 @@ def _window_rows(docs: DataFrame, window: int, with_place: bool) -> DataFrame:
     return docs.mapInArrow(task, "h long, g int, row long, pos int" if with_place else "h long, g int")
 
 
-def repeated_windows(docs: DataFrame, ws: Workspace, window: int = 35) -> DataFrame:
-    """(row, starts): for each row of ``docs(row, text)`` with some, the starts of windows that also start elsewhere.
+def repeated_windows(docs: DataFrame, ws: Workspace, window: int = 35, keep_first: bool = False) -> DataFrame:
+    """(row, starts, firsts): for each row of ``docs(row, text)`` with some, the starts of windows that also start elsewhere. With
+    ``keep_first`` those of the smallest row, and in it position, of each group are ``firsts`` instead; otherwise ``firsts`` is empty.
 
     Anchors that occur once cannot lie in a repeated window. Those that occur again mark the windows around them as
     candidates (the extension to full length), which are hashed whole and counted in turn. Counting aggregates
@@ -134,55 +136,64 @@ def repeated_windows(docs: DataFrame, ws: Workspace, window: int = 35) -> DataFr
     shared = ws.save(shared)
     ws.drop(again)
     around = docs.join(shared, "row").select("row", "text", "at")
-    twice = ws.save(_window_rows(around, window, False).groupBy("h", "g").count().where("count > 1").select("h", "g"))
-    found = _window_rows(around, window, True).join(twice, ["h", "g"], "left_semi").groupBy("row").agg(F.collect_list("pos").alias("starts"))
-    found = ws.save(found)
+    if keep_first:
+        groups = _window_rows(around, window, True).groupBy("h", "g").agg(F.count("*").alias("n"), F.min(F.struct("row", "pos")).alias("first")).where("n > 1")
+        twice = ws.save(groups.select("h", "g", "first"))
+        first = F.struct("row", "pos") == F.col("first")
+        places = _window_rows(around, window, True).join(twice, ["h", "g"])
+    else:
+        twice = ws.save(_window_rows(around, window, False).groupBy("h", "g").count().where("count > 1").select("h", "g"))
+        first = F.lit(False)
+        places = _window_rows(around, window, True).join(twice, ["h", "g"], "left_semi")
+    starts = lambda which: F.collect_list(F.when(which, F.col("pos")))
+    found = ws.save(places.groupBy("row").agg(starts(~first).alias("starts"), starts(first).alias("firsts")))
     ws.drop(shared, twice)
     return found
 
 
-def remove_repeats(docs: DataFrame, ws: Workspace, id_col: str = "doc_id", text_col: str = "text", window: int = 35) -> DataFrame:
+def _covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
+    """Which of ``n`` words lie in a window that begins at one of ``starts``."""
+    steps = np.zeros(n + 1, dtype=np.int64)
+    np.add.at(steps, starts, 1)
+    np.add.at(steps, starts + window, -1)
+    return np.cumsum(steps[:-1]) > 0
+
+
+def remove_repeats(
+    docs: DataFrame, ws: Workspace, id_col: str = "doc_id", text_col: str = "text", window: int = 35, keep_first: bool = False,
+    names: tuple[str, str, str] = ("n_words", "n_removed", "kept_text"),
+) -> DataFrame:
     """``docs`` with columns n_words, n_removed and kept_text: the text without any word of a window of ``window`` words
-    whose word sequence also starts elsewhere, in the same or another row; windows are judged on the input.
+    whose word sequence also starts elsewhere, in the same or another row; windows are judged on the input. With ``keep_first`` the
+    words of each group's first window, that of the smallest row and position, stay whatever other windows they are in.
 
     Kept words are joined by one space. Null and empty texts have no words and an empty kept_text. Rows repeated in
     full, or with equal or null ids, are rows of their own, so their windows repeat. Columns of ``docs`` named like the
-    three new ones are replaced; an empty table gives an empty result.
+    three new ones (``names``), in any case, are replaced; an empty table gives an empty result.
     """
     key = unused("row", docs)
     rows, _ = with_row_key(docs, id_col, ws, key)
-    found = repeated_windows(rows.select(F.col(key).alias("row"), F.col(text_col).cast("string").alias("text")), ws, window)
-    new = ("n_words", "n_removed", "kept_text")
-    rest = others(docs, new)
+    found = repeated_windows(rows.select(F.col(key).alias("row"), F.col(text_col).cast("string").alias("text")), ws, window, keep_first)
+    rest = others(docs, names)
     joined = rows.join(found, rows[key] == found["row"], "left")
-    joined = joined.select(*[rows[c] for c in rest], rows[text_col].cast("string").alias(unused("_text", docs)), found["starts"].alias(unused("_starts", docs)))
-    kinds = joined.schema
+    joined = joined.select(*[rows[c] for c in rest], rows[text_col].cast("string").alias(unused("_text", docs)), found["starts"].alias(unused("_starts", docs)), found["firsts"].alias(unused("_firsts", docs)))
 
     def task(batches):
         for batch in batches:
             n_words, n_removed, kept = [], [], []
-            places = batch.column(len(rest) + 1)
+            starts, firsts = batch.column(len(rest) + 1), batch.column(len(rest) + 2)
             for k, text in enumerate(texts(batch.column(len(rest)))):
-                words = (text or b"").split()
-                starts = places[k].values.to_numpy() if places[k].is_valid else np.empty(0, np.int64)
-                if len(starts):
-                    steps = np.zeros(len(words) + 1, dtype=np.int64)
-                    np.add.at(steps, starts, 1)
-                    np.add.at(steps, starts + window, -1)
-                    stay = np.cumsum(steps[:-1]) == 0
-                    left = [words[i] for i in np.flatnonzero(stay)]
-                else:
-                    left = words
+                words = left = (text or b"").split()
+                if starts[k].is_valid and len(starts[k].values):
+                    gone = _covered(len(words), starts[k].values.to_numpy(), window) & ~_covered(len(words), firsts[k].values.to_numpy(), window)
+                    left = [words[i] for i in np.flatnonzero(~gone)]
                 n_words.append(len(words))
                 n_removed.append(len(words) - len(left))
                 kept.append(b" ".join(left).decode("utf-8", "replace"))
             arrays = [batch.column(i) for i in range(len(rest))] + [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*rest, *new])
-
-    from pyspark.sql.types import LongType, StringType, StructField, StructType
+            yield pa.RecordBatch.from_arrays(arrays, names=[*rest, *names])
 
-    schema = StructType([StructField(f.name, f.dataType) for f in kinds.fields[: len(rest)]] + [
-        StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_text", StringType())])
+    schema = StructType(joined.schema.fields[: len(rest)] + [StructField(names[0], LongType()), StructField(names[1], LongType()), StructField(names[2], StringType())])
     return joined.mapInArrow(task, schema)
 
 
