@@ -187,7 +187,7 @@ def _document_counts(batches: Iterator[pa.RecordBatch]):
 
 
 def _count_by_group(batches: Iterator[pa.RecordBatch], put) -> Iterator[pa.RecordBatch]:
-    """Feeds ``put(lang, source, counts)`` with terms counted over many documents; ``put`` yields batches."""
+    """Feeds ``put(held)`` with terms counted over many documents, by language and source; ``put`` yields batches."""
     held: dict[tuple[str, str], Counter] = {}
     size = 0
     for batch in batches:
@@ -198,11 +198,9 @@ def _count_by_group(batches: Iterator[pa.RecordBatch], put) -> Iterator[pa.Recor
                 own.update(part)
             size += len(own)
             if size > HELD_TERMS:
-                for (a, b), counts in held.items():
-                    yield from put(a, b, counts)
+                yield from put(held)
                 held, size = {}, 0
-    for (a, b), counts in held.items():
-        yield from put(a, b, counts)
+    yield from put(held)
 
 
 def _recount(shared):
@@ -221,17 +219,19 @@ def _recount(shared):
                     [pa.array([lang] * n, pa.string()), pa.array([source] * n, pa.string()), pa.array(shard.astype(np.int32)), pa.array(number.astype(np.int32)), pa.array(counts[used])], ["lang", "source", "shard", "slot", "n"])
             slots.clear()
 
-        def put(lang: str, source: str, counts: Counter):
-            known = vocabularies.get(lang)
-            if known is None or not counts:
-                return
-            if (lang, source) not in slots:
-                if sum(map(len, slots.values())) + len(known) > HELD_SLOTS:
-                    yield from rows()
-                slots[lang, source] = np.zeros(len(known), dtype=np.int64)
-            found = known.find(list(counts))
-            n = np.fromiter(counts.values(), dtype=np.int64, count=len(counts))
-            slots[lang, source][found[found >= 0]] += n[found >= 0]
+        def put(held: dict[tuple[str, str], Counter]):
+            for lang in {a for a, _ in held} & vocabularies.keys():
+                known, groups = vocabularies[lang], {b: counts for (a, b), counts in held.items() if a == lang}
+                terms = list(set().union(*groups.values()))  # looked up once, whatever the number of sources
+                at = dict(zip(terms, known.find(terms).tolist()))
+                for source, counts in groups.items():
+                    if (lang, source) not in slots:
+                        if sum(map(len, slots.values())) + len(known) > HELD_SLOTS:
+                            yield from rows()
+                        slots[lang, source] = np.zeros(len(known), dtype=np.int64)
+                    found = np.fromiter(map(at.__getitem__, counts), dtype=np.int64, count=len(counts))
+                    n = np.fromiter(counts.values(), dtype=np.int64, count=len(counts))
+                    slots[lang, source][found[found >= 0]] += n[found >= 0]
 
         yield from _count_by_group(batches, put)
         yield from rows()
@@ -240,9 +240,10 @@ def _recount(shared):
 
 
 def _plain_counts(batches: Iterator[pa.RecordBatch]):
-    def put(lang: str, source: str, counts: Counter):
-        n = len(counts)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), pa.array([source] * n, pa.string()), pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["lang", "source", "term", "n"])
+    def put(held: dict[tuple[str, str], Counter]):
+        for (lang, source), counts in held.items():
+            n = len(counts)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), pa.array([source] * n, pa.string()), pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["lang", "source", "term", "n"])
 
     yield from _count_by_group(batches, put)
 
