@@ -107,10 +107,10 @@ def exact_duplicates(
     rows = rows.withColumn("first", F.coalesce("first", F.raise_error(F.concat(F.lit("the state has no entry for a row of "), "file"))))
     first = (F.col("file") == F.col("first.file")) & (F.col("row") == F.col("first.row"))
     # Texts travel for digests of several rows only. All are equal if the least and the greatest are, which tasks fold before they send anything.
-    several = entries.join(broadcast_small(known.where("n > 1").select("digest", "first")), "digest")
+    several = entries.join(broadcast_small(known.where("n > 1").select("digest")), "digest")
     apart = several.groupBy("digest").agg(F.min("norm").alias("least"), F.max("norm").alias("greatest")).where("least <> greatest")
     collided = ws.save(apart.select("digest"))
-    heads = several.where(first).join(collided, "digest").select("digest", F.col("norm").alias("head"))
+    heads = several.join(collided, "digest").join(known.select("digest", "first"), "digest").where(first).select("digest", F.col("norm").alias("head"))
     other = ws.save(several.join(collided, "digest").join(heads, "digest").where("norm <> head").select("digest", "norm", "id", "file", "row"))
     plain = rows.select("id", "digest", F.col("first.id").alias("keep_id"), F.col("n").alias("group_size"), first.alias("kept"), "file", "row")
     if not other.isEmpty():
