@@ -9,7 +9,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from claimloom.llm.storage import Workspace, unused
+from claimloom.llm.storage import Workspace, others, unused
 from claimloom.llm.text import texts
 
 WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
@@ -158,7 +158,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", lang_name: s
     from nothing; ties go to the language first in order. Rows are judged one by one, so repeated rows get equal results
     and an empty table an empty one. Columns of ``docs`` with the two names are replaced.
     """
-    rest = [c for c in docs.columns if c not in (lang_name, score_name)]
+    rest = others(docs, (lang_name, score_name))
     plain = docs.select(*rest, F.col(text_col).cast("string").alias(unused("_text", docs)))
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))  # of at most KNOWN_WORDS and KNOWN_GRAMS entries
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from claimloom.llm.storage import Workspace, unused, with_row_key
+from claimloom.llm.storage import Workspace, others, unused, with_row_key
 from claimloom.llm.text import texts
 
 BAR = "▁"
@@ -277,7 +277,7 @@ def encode(docs: DataFrame, pieces: Pieces, ws: Workspace, id_col: str = "doc_id
 
     seldom = plain.mapInArrow(rare, "row long, unit string").join(coded, "unit").groupBy("row").agg(F.collect_list(F.struct("unit", "ids")).alias("more"))
     seldom = ws.save(seldom)
-    rest = [c for c in docs.columns if c != ids_name]
+    rest = others(docs, (ids_name,))
     joined = rows.join(seldom, rows[key] == seldom["row"], "left").select(
         *[rows[c] for c in rest], rows[text_col].cast("string").alias(unused("_text", docs)), seldom["more"].alias(unused("_more", docs)))
     model = (pieces.table, pieces.byte0, pieces.unknown)
@@ -334,8 +334,9 @@ def decode_ids(ids, strings: list[str], byte0: int | None) -> str:
 
 
 def decode(df: DataFrame, pieces: Pieces, ids_col: str = "ids", text_name: str = "decoded") -> DataFrame:
-    """``df`` with the text that the ids stand for; null ids are an empty text."""
-    rest = [c for c in df.columns if c != text_name]
+    """``df`` with the text that the ids stand for; null and empty ids are an empty text. A column named like the text, in any case, is
+    replaced; repeated rows stay, and an empty table gives an empty result."""
+    rest = others(df, (text_name,))
     model = df.sparkSession.sparkContext.broadcast((pieces.strings, pieces.byte0))
     plain = df.select(*rest, F.col(ids_col).alias(unused("_ids", df)))
 

@@ -12,7 +12,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from claimloom.llm.language_id import held_out
 from claimloom.llm.native import let
-from claimloom.llm.storage import Workspace, unused
+from claimloom.llm.storage import Workspace, others, unused
 from claimloom.llm.text import SPACE, texts
 
 TRAINING_ROWS = 12_000
@@ -263,7 +263,7 @@ def score(docs: DataFrame, grammar: Grammar, text_col: str = "text", score_name:
     Null and empty texts have no clause and so the score of the bias alone. Rows are judged one by one; an empty table
     gives an empty result, and a column named like the score is replaced.
     """
-    rest = [c for c in docs.columns if c != score_name]
+    rest = others(docs, (score_name,))
     plain = docs.select(*rest, F.col(text_col).cast("string").alias(unused("_text", docs)))
 
     def task(batches):
