@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from claimloom.catalog.registry import query
+from claimloom.catalog.registry import ORACLES, query, scratch
 from claimloom.functions import scalars as S
 from claimloom.operators import enrich, features, lifecycle, metrics, reports
+from claimloom.sources import pages
 from claimloom.sources.files import codes_of_text
 
 
@@ -336,6 +337,18 @@ def training_page(d):
         "claim_id", joined("diagnoses").alias("diagnoses"), joined("procedures").alias("procedures"))
 
 
+@query("L3_stored_page")
+def stored_page(d):
+    """The same page from a table in blocks of 400 rows."""
+    path = scratch(d.spark, "pages")
+    pages.write_pages(d.claims.filter(F.col("processing_status") == "COMPLETED").select("claim_id"), path, ["claim_id"], 400)
+    return enrich.claim_codes(pages.read_page(d.spark, path, 1000, 500), d.diagnoses, d.procedures).select(
+        "claim_id", joined("diagnoses").alias("diagnoses"), joined("procedures").alias("procedures"))
+
+
+ORACLES["L3_stored_page"] = ORACLES["L3_training_page"]
+
+
 @query("V1_encode_categories", "claims", """
 , fit AS (SELECT coalesce(provider_type, 'UNKNOWN') AS v, dense_rank() OVER (ORDER BY coalesce(provider_type, 'UNKNOWN')) - 1 AS code
   FROM claims WHERE processing_status = 'COMPLETED' AND coalesce(provider_type, '') <> 'HOSPITAL')

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from claimloom.catalog.registry import query
+from claimloom.catalog.registry import ORACLES, query, scratch
 from claimloom.catalog.reporting import newest, text
 from claimloom.operators import lifecycle
+from claimloom.sources import buckets
 from claimloom.functions.scalars import applied_filters
 
 
@@ -211,3 +212,43 @@ def daily_upsert(d):
     rollup = daily_rollup(d.results).select("processing_date", "total_claims")
     old = rollup.filter(F.day("processing_date") % 2 == 0).withColumn("total_claims", F.lit(0).cast("long"))
     return lifecycle.upsert_daily(old, rollup.filter(F.day("processing_date") % 3 == 0)).select(*text("processing_date"), "total_claims")
+
+
+def _in_place(d, rows, key, change, *args):
+    """The table after a change that wrote the buckets of changed keys only."""
+    path = scratch(d.spark, "buckets")
+    buckets.write_buckets(rows, path, key, 16)
+    change(d.spark, path, *args)
+    return buckets.read_buckets(d.spark, path)
+
+
+@query("J8_update_in_place")
+def update_in_place(d):
+    updates = d.results.select(
+        "claim_id", F.when(F.col("validation_status") == "ERROR", "RETRY").otherwise("SENT").alias("new_status"), F.col("result_id").alias("update_no"))
+    return _changed(_in_place(d, d.claims, "claim_id", buckets.update_claims, updates, newest(d.results, "created_date")))
+
+
+@query("K1_advance_in_place")
+def advance_in_place(d):
+    return _changed(_in_place(d, d.claims, "claim_id", buckets.advance_claims, d.results, newest(d.results, "created_date")))
+
+
+@query("K2_upsert_in_place")
+def upsert_chunks_in_place(d):
+    old = d.chunks.filter(F.col("chunk_id") % 2 == 0).groupBy("chunk_id").agg(F.min("processed_date").alias("processed_date")).withColumns({
+        "status": F.lit("PROCESSING"), "claims_count": F.lit(0).cast("long"), "processing_duration_seconds": F.lit(0).cast("decimal(10,3)")})
+    return _in_place(d, old, "chunk_id", buckets.upsert_chunks, d.chunks.filter(F.col("chunk_id") % 3 == 0)).select(
+        "chunk_id", "status", *text("processed_date"), "claims_count", F.col("processing_duration_seconds").cast("double").alias("duration"))
+
+
+@query("K3_upsert_in_place")
+def upsert_retry_in_place(d):
+    return _in_place(d, _queue(d), "chunk_id", buckets.upsert_retry, d.failures.filter(F.col("chunk_id") % 3 != 1)).select(
+        "chunk_id", "error_message", "retry_count", "resolved", *text("created_date", "last_retry_date"))
+
+
+ORACLES |= {
+    "J8_update_in_place": ORACLES["J8_update_from"], "K1_advance_in_place": ORACLES["K1_advance_status"],
+    "K2_upsert_in_place": ORACLES["K2_upsert_chunks"], "K3_upsert_in_place": ORACLES["K3_upsert_retry"],
+}

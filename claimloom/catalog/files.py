@@ -36,6 +36,16 @@ def claims_json(d):
     return _shown(files.read_claims_json(d.spark, f"{path}/*", multi_line=False))
 
 
+@query("S2_read_claims_array", "claims", SHOWN)
+def claims_array(d):
+    """Lists of a thousand claims, each in ranges of 100 kB."""
+    path = scratch(d.spark, "claims-array")
+    rows = d.claims.drop("processed_date")
+    lists = rows.groupBy(F.floor(F.right("claim_id", F.lit(10)).cast("long") / 4000).alias("part")).agg(F.to_json(F.collect_list(F.struct(*rows.columns)), {"pretty": "true"}).alias("value"))
+    lists.write.partitionBy("part").text(path)
+    return _shown(files.read_claims_array(d.spark, path, 100_000))
+
+
 @query("S4_read_and_write_tables", "results", "SELECT result_id, claim_id, validation_status, cast(processing_time AS DOUBLE) AS processing_time FROM results")
 def table_round_trip(d):
     path = scratch(d.spark, "results")

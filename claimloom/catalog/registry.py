@@ -27,9 +27,11 @@ def query(name: str, views: str = "", sql: str | None = None):
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new folder on the storage named by ``spark.checkpoint.dir``; a temporary one only where
-    that is unset, as on a single machine."""
+    """A new folder on the storage named by ``spark.checkpoint.dir``; a temporary one only in local mode
+    where that is unset, as other machines don't see it."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if root:
         return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     return tempfile.mkdtemp(prefix=f"{what}-")

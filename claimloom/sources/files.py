@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from claimloom import schemas
+from claimloom.sources import json_arrays
 
 REQUIRED = ["claim_id", "patient_id", "provider_id", "total_charge_amount"]
 
@@ -63,6 +64,14 @@ def read_claims_json(spark: SparkSession, path: str, multi_line: bool = True) ->
     ).alias("c")).select("c.*")
 
 
+def read_claims_array(spark: SparkSession, path: str, range_bytes: int = json_arrays.RANGE) -> DataFrame:
+    """Claims from files that hold one JSON list each, read by as many tasks as there are ranges of ``range_bytes``; a claim
+    without id is an error, as in ``read_claims_json``."""
+    rows = json_arrays.read_json_array(spark, path, schemas.CLAIMS, range_bytes)
+    invalid = F.raise_error(F.lit("Invalid JSON structure: expected a list of claims or an object with a 'claims' key"))
+    return rows.withColumn("claim_id", F.coalesce("claim_id", invalid.cast("string")))
+
+
 def codes_of_text(text: Column | str) -> Column:
     """Codes in the text of one code file: the first line when it holds several fields, otherwise
     the first field of every line. Trimmed, blanks dropped, order kept."""
@@ -85,7 +94,9 @@ def read_code_list(spark: SparkSession, path: str, default: list[str] | None = N
     )
     try:
         files = spark.read.text(path, wholetext=True)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return fallback
     codes = files.select(F.posexplode(codes_of_text("value")).alias("position", "code"))
     return fallback if codes.isEmpty() else codes
