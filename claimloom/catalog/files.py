@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from claimloom.catalog.registry import query, scratch
+from claimloom.functions.scalars import DEFAULT_PROVIDER, PROVIDER_BY_PLACE
 from claimloom.sources import files, synth, tables
 
 SHOWN = """SELECT claim_id, patient_id, provider_id, patient_age, provider_type, place_of_service,
@@ -86,13 +87,53 @@ def _ids(d):
 AS_OF = "2024-12-31"
 
 
-@query("S11_synth_claims")
+def _draw(n, *parts):
+    """The draws of ``synth.Draws`` with seed 42, in SQL."""
+    return f"(('0x' || substr(md5(concat_ws('|', {', '.join(parts)}, '42')), 1, 15))::BIGINT % {n})"
+
+
+def _pick(values, purpose):
+    return f"{list(values)}[1 + {_draw(len(values), 'id', repr(purpose))}]"
+
+
+def _person(who):
+    return f"concat({_pick(synth.FIRST_NAMES, who + ' first')}, ' ', {_pick(synth.LAST_NAMES, who + ' last')})"
+
+
+PROVIDERS = " ".join(f"WHEN '{place}' THEN '{kind}'" for place, kind in PROVIDER_BY_PLACE.items())
+SYNTH = f"""
+WITH ids AS (SELECT o_orderkey AS id FROM orders)
+, drawn AS (SELECT id, concat('CLM_', lpad(printf('%X', id), greatest(8, length(printf('%X', id)))::INT, '0')) AS claim_id,
+    concat('PAT_', {_draw(900_000, 'id', "'patient'")} + 100000) AS patient_id,
+    cast((id::HUGEINT * {synth.NPI_STEP} + 42) % {synth.NPI_COUNT} + {synth.NPI_FIRST} AS VARCHAR) AS provider_id,
+    DATE '{AS_OF}' - {_draw(731, 'id', "'day'")}::INT AS service_date, ({_draw(497_501, 'id', "'charge'")} + 2500) / 100 AS total_charge_amount,
+    ({_draw(95, 'id', "'age'")} + 1)::INT AS patient_age, {_pick(synth.PLACES, 'place')} AS place_of_service, {_pick(synth.STATUSES, 'status')} AS processing_status,
+    {_draw(f"({_draw(31, 'id', chr(39) + 'longest stay' + chr(39))} + 1)", 'id', "'stay'")}::INT AS stay, (1 + {_draw(5, 'id', "'diagnosis count'")})::INT AS n_diagnoses FROM ids)
+"""
+
+
+@query("S11_synth_claims", sql=SYNTH + f"""
+SELECT id, claim_id, patient_id, provider_id, cast(service_date AS VARCHAR) AS service_date, total_charge_amount, patient_age, place_of_service, processing_status,
+  CASE place_of_service {PROVIDERS} ELSE '{DEFAULT_PROVIDER}' END AS provider_type, concat('MBR_', {_draw(9_000_000, 'id', "'member'")} + 1000000) AS member_id,
+  {_person('patient')} AS patient_name, concat('Dr. ', {_person('provider')}) AS provider_name, {_pick(synth.SEXES, 'sex')} AS sex, {_pick(synth.PAYERS, 'payer')} AS payer,
+  cast(service_date + stay AS VARCHAR) AS service_date_to
+FROM drawn""")
 def synth_claims(d):
-    """One synthetic claim per order."""
-    return synth.synth_claims_for(_ids(d), AS_OF).drop("claim_data").withColumns({
+    rows = synth.synth_claims_for(_ids(d), AS_OF)
+    told = [F.get_json_object("claim_data", f"$.{c}").alias(c) for c in ("member_id", "patient_name", "provider_name", "sex", "payer", "service_date_to")]
+    return rows.select("*", *told).drop("claim_data").withColumns({
         "total_charge_amount": F.col("total_charge_amount").cast("double"), "service_date": F.col("service_date").cast("string")})
 
 
+@query("S11_synth_diagnoses", sql=SYNTH + f"""
+, codes AS (SELECT unnest({files.DEFAULT_ICD10}) AS code, unnest(range({len(files.DEFAULT_ICD10)})) AS i)
+, ranked AS (SELECT id, claim_id, n_diagnoses, code, row_number() OVER (PARTITION BY id ORDER BY ('0x' || substr(md5(concat_ws('|', id, i, 'diagnoses', '42')), 1, 15))::BIGINT, code) AS place
+  FROM drawn, codes)
+SELECT claim_id, code AS diagnosis_code, cast(place AS INT) AS diagnosis_sequence, place = 1 AS is_principal FROM ranked WHERE place <= n_diagnoses""")
+def synth_diagnoses(d):
+    return synth.synth_diagnoses(synth.synth_claims_for(_ids(d), AS_OF)).select("claim_id", "diagnosis_code", "diagnosis_sequence", "is_principal")
+
+
 @query("S11_synth_lines", sql="SELECT count(*) AS n_claims, count(*) AS n_charged, count(*) AS n_with_principal FROM orders")
 def synth_lines(d):
     """Checks over all synthetic lines: every claim has lines, their charges add up to the claim's,

@@ -1,4 +1,4 @@
-"""Synthetic claims. Every draw is a hash of (id, purpose, seed): reproducible, independent of
+"""Synthetic claims. Every draw is a part of the MD5 of (id, purpose, seed): reproducible by any engine, independent of
 partitioning, and without state shared between rows."""
 
 from __future__ import annotations
@@ -35,18 +35,22 @@ class Draws:
     def __init__(self, seed: int):
         self.seed = seed
 
+    def bits(self, *parts: Column | str) -> Column:
+        """60 bits for the parts, as text joined by bars, and the seed."""
+        digest = F.md5(F.concat_ws("|", *[(F.col(p) if isinstance(p, str) else p).cast("string") for p in parts], F.lit(str(self.seed))).cast("binary"))
+        return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+
     def below(self, n: Column | int, purpose: str) -> Column:
         """Integer in [0, n)."""
         n = F.lit(n) if isinstance(n, int) else n
-        return F.pmod(F.xxhash64("id", F.lit(purpose), F.lit(self.seed)), n.cast("long"))
+        return F.pmod(self.bits("id", F.lit(purpose)), n.cast("long"))
 
     def choice(self, values: list[str], purpose: str) -> Column:
-        return F.get(F.array(*map(F.lit, values)), self.below(len(values), purpose))
+        return F.get(F.array(*map(F.lit, values)), self.below(len(values), purpose).cast("int"))
 
     def sample(self, values: Column, k: Column, purpose: str) -> Column:
-        """``k`` distinct entries of an array, in hash order."""
-        ranked = F.array_sort(F.transform(values, lambda v, i: F.struct(
-            F.xxhash64("id", i, F.lit(purpose), F.lit(self.seed)).alias("h"), v.alias("v"))))
+        """``k`` distinct entries of an array, in the order of their draws."""
+        ranked = F.array_sort(F.transform(values, lambda v, i: F.struct(self.bits("id", i, F.lit(purpose)).alias("h"), v.alias("v"))))
         return F.transform(F.slice(ranked, F.lit(1), k), lambda r: r["v"])
 
 
@@ -55,7 +59,7 @@ def synth_claims_for(ids: DataFrame, as_of, seed: int = 42) -> DataFrame:
     d = Draws(seed)
     as_of_date = F.to_date(as_of if isinstance(as_of, Column) else F.lit(as_of))
     base = ids.select("id").withColumns({
-        "claim_id": F.concat(F.lit("CLM_"), F.lpad(F.hex("id"), 8, "0")),
+        "claim_id": F.concat(F.lit("CLM_"), F.lpad(F.hex("id"), F.greatest(F.lit(8), F.length(F.hex("id"))), F.lit("0"))),
         "patient_id": F.concat(F.lit("PAT_"), d.below(900_000, "patient") + 100_000),
         "provider_id": (F.pmod(F.col("id").cast("decimal(20,0)") * NPI_STEP + seed, F.lit(NPI_COUNT).cast("decimal(20,0)"))
                         .cast("long") + NPI_FIRST).cast("string"),
@@ -110,10 +114,10 @@ def synth_procedures(
         "id", "claim_id", "service_date", "total_charge_amount", count.alias("n"),
         _diagnosis_count(d, diagnosis_codes).alias("n_diagnoses"), F.posexplode(chosen).alias("i", "procedure_code"),
     )
-    pointer_count = F.pmod(F.xxhash64("id", "i", F.lit("pointer count"), F.lit(seed)), F.least(F.lit(4), F.col("n_diagnoses")).cast("long")) + 1
+    pointer_count = F.pmod(d.bits("id", "i", F.lit("pointer count")), F.least(F.lit(4), F.col("n_diagnoses")).cast("long")) + 1
     ranked = F.array_sort(F.transform(
         F.sequence(F.lit(1), F.col("n_diagnoses")),
-        lambda p: F.struct(F.xxhash64("id", "i", p, F.lit("pointers"), F.lit(seed)).alias("h"), p.alias("p"))))
+        lambda p: F.struct(d.bits("id", "i", p, F.lit("pointers")).alias("h"), p.alias("p"))))
     pointers = F.array_sort(F.transform(F.slice(ranked, F.lit(1), pointer_count.cast("int")), lambda r: r["p"]))
     return lines.select(
         "claim_id", "procedure_code", F.lit("CPT").alias("procedure_type"),
