@@ -94,9 +94,9 @@ def boosted_quality(d):
     more rows are wrong than the labels that were drawn without regard to the features."""
     rows = reuse(_examples(d).withColumn("held", F.col("key") % 5 == 0))
     assembled = VectorAssembler(inputCols=USED, outputCol="features").transform(rows)
-    options = json.dumps(dict(trees=12, depth=3, rate=0.3))
+    options = json.dumps(dict(trees=20, depth=3, rate=0.3))
     model = boosting.SoftmaxTrees(labelCol="label", heldCol="held", options=options).fit(assembled)
-    forest = RandomForestClassifier(labelCol="label", numTrees=12, maxDepth=3, seed=42).fit(assembled.where("NOT held"))
+    forest = RandomForestClassifier(labelCol="label", numTrees=20, maxDepth=3, seed=42).fit(assembled.where("NOT held"))
     own = vector_to_array("probability")[F.col("label")]
     own_loss = F.avg(-F.log(F.greatest(own, F.lit(1e-15))))
     measured = model.measured(d.spark).where("part = 'eval'")
