@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, functions as F
 
 from claimloom.operators.numbering import number_rows
-from claimloom.sizing import broadcast_small, reuse
+from claimloom.sizing import broadcast_small, is_small, reuse
 
 MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT = 0.01, 0.5, 1.1
 
@@ -17,19 +16,46 @@ def one_hot(transactions: DataFrame) -> DataFrame:
 
 
 def frequent_itemsets(transactions: DataFrame, min_support: float = MIN_SUPPORT) -> DataFrame:
-    """(items sorted, freq, n, support) of all itemsets with at least ``min_support``.
+    """(items sorted, freq, n, support) of all itemsets with at least ``min_support``; null is no item.
 
-    The baskets are read by the fit (twice) and by the itemset extraction, so they are
-    materialised first. The transaction count comes in as a scalar subquery.
+    Level by level, over baskets of the numbers of their frequent items: a basket extends the frequent sets it holds by each later
+    item of its own, where the set with that item in place of its last one is frequent as well, and the extended sets are counted.
+    Sets meet the level before by equi-joins on numbers (the set without its last item, the last item), and only counts per set
+    and task are shuffled.
     """
-    baskets = reuse(transactions.select(F.array_distinct("items").alias("items")).filter(F.size("items") > 0))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=0.0).fit(baskets)
-    n = baskets.agg(F.count(F.lit(1))).scalar()
-    return (
-        model.freqItemsets.select(F.array_sort("items").alias("items"), "freq", n.alias("n"))
-        .withColumn("support", F.col("freq") / F.col("n"))
-        .filter(F.col("support") >= min_support)
-    )
+    rows = reuse(
+        transactions.select(F.monotonically_increasing_id().alias("row"), F.array_compact(F.array_distinct("items")).alias("items"))
+        .filter(F.size("items") > 0))
+    n = rows.count()
+
+    def frequent(held: DataFrame, *key: str) -> DataFrame:
+        counts = held.groupBy(*key).agg(F.count(F.lit(1)).alias("freq")).filter(F.col("freq") / n >= min_support)
+        return reuse(counts.withColumn("id", F.monotonically_increasing_id()))
+
+    def side(level: DataFrame, *columns: Column) -> DataFrame:
+        return F.broadcast(level.select(*columns)) if is_small(level) else level.select(*columns)
+
+    before, last, number = F.col("before"), F.col("last"), F.col("id")
+    items = rows.select("row", F.explode("items").alias("item"))
+    singles = frequent(items, "item")
+    baskets = reuse(
+        items.join(side(singles, F.col("item"), number), "item").groupBy("row").agg(F.sort_array(F.collect_list("id")).alias("basket")).select("basket"))
+    level = singles.select("id", F.lit(-1).cast("long").alias("before"), number.alias("last"), F.array("item").alias("items"), "freq")
+    held = baskets.select("basket", F.lit(-1).cast("long").alias("before"), F.posexplode("basket").alias("at", "last"))
+    found = level
+    while not level.isEmpty():
+        more = held.join(side(level, before, last, number), ["before", "last"]).select(
+            "basket", "before", "id", "at", F.posexplode(F.slice("basket", F.col("at") + 2, F.size("basket"))).alias("step", "more"))
+        held = more.join(side(level, before, last.alias("more")), ["before", "more"], "left_semi").select(
+            "basket", number.alias("before"), (F.col("at") + 1 + F.col("step")).alias("at"), F.col("more").alias("last"))
+        level = (
+            frequent(held, "before", "last")
+            .join(level.select(number.alias("before"), F.col("items").alias("start")), "before")
+            .join(singles.select(number.alias("last"), "item"), "last")
+            .select("id", "before", "last", F.array_sort(F.concat("start", F.array("item"))).alias("items"), "freq")
+        )
+        found = found.unionByName(level)
+    return found.select("items", "freq", F.lit(n).cast("long").alias("n")).withColumn("support", F.col("freq") / F.col("n"))
 
 
 def association_rules(itemsets: DataFrame, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:

@@ -194,6 +194,21 @@ def test_many_rules_of_numbers_meet_few_claims(spark):
     assert sum(want.values()) <= met < 3 * sum(want.values()) + n // 10
 
 
+def test_itemsets_by_levels_equal_all_subsets(spark):
+    """Nulls and repeats in a basket count for nothing; supports are exact at the limit."""
+    rng = random.Random(3)
+    names = [f"i{k}" for k in range(9)]
+    plain = [set(rng.sample(names, rng.randint(0, 6))) | ({"i1", "i4", "i7"} if rng.random() < 0.4 else set()) for _ in range(200)]
+    rows = [(str(k), [*b, *list(b)[:2], None]) for k, b in enumerate(plain)] + [("none", None)]
+    df = spark.createDataFrame(rows, "claim_id string, items array<string>").repartition(3)
+    full = [b for b in plain if b]
+    for least in (0.05, 0.2, 1.0):
+        want = {c: f for k in range(1, 10) for c in combinations(names, k) if (f := sum(set(c) <= b for b in full)) and f / len(full) >= least}
+        got = mining.frequent_itemsets(df, least).collect()
+        assert {tuple(r["items"]): (r.freq, r.n, r.support) for r in got} == {c: (f, len(full), f / len(full)) for c, f in want.items()}
+        assert len(got) == len(want)
+
+
 def plain_rules(itemsets, n, least):
     freq = {tuple(sorted(i)): f for i, f in itemsets}
     out = set()
