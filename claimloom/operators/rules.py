@@ -12,9 +12,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from claimloom.operators.enrich import claim_codes
+from claimloom.operators.numbering import running_totals, sort_bucket
 from claimloom.sizing import is_small, reuse
 
 # Atom names of the rule language and the fact kind each one reads.
@@ -45,6 +46,9 @@ SALTS = 64
 # Columns of the numbers that rules compare, and the levels of their dyadic intervals.
 NUMBERS = {"age": "patient_age", "charge": "total_charge_amount"}
 LEVELS = {"age": 9, "charge": 44}
+# Whole units that numbers are counted in, and the comparisons that leave an interval open.
+UNITS = {"age": 1, "charge": 100}
+BETWEEN = ["<", "<=", ">", ">=", "=="]
 COMPILED_RULES = 256
 COMPILED_CODES = 5_000
 
@@ -348,10 +352,10 @@ def _claim_facts(coded: DataFrame, levels: dict[str, list[int]]) -> DataFrame:
     return coded.withColumn("f", F.explode(known)).select(*rest, "f.*").filter("value IS NOT NULL")
 
 
-def rule_hits(claims: DataFrame, coded: DataFrame, tables: RuleTables) -> DataFrame:
+def rule_hits(claims: DataFrame, coded: DataFrame, tables: RuleTables, rows: DataFrame | None = None) -> DataFrame:
     """Claim and rule rows that one fact brings together, before all conditions are decided; a claim meets a rule once by each of its
-    codes that the rule's leading condition names, and once otherwise."""
-    sound = tables.rows.filter(F.col("error") == "").select("filter_id", "conditions", "error")
+    codes that the rule's leading condition names, and once otherwise. ``rows`` are the rules to look at, all if not given."""
+    sound = (tables.rows if rows is None else rows).filter(F.col("error") == "").select("filter_id", "conditions", "error")
     keys = reuse(_rule_keys(sound, claims))
     levels: dict[str, list[int]] = {}
     for r in keys.select("kind").distinct().collect():
@@ -360,6 +364,84 @@ def rule_hits(claims: DataFrame, coded: DataFrame, tables: RuleTables) -> DataFr
     return _claim_facts(coded, levels).join(F.broadcast(keys) if tables.small and is_small(keys) else keys, ["kind", "value"])
 
 
+def _of(kind: str) -> Column:
+    return F.filter("conditions", lambda c: c["kind"] == kind)
+
+
+def countable(claims: DataFrame) -> Column:
+    """Whether a rule is intervals of age or charge, with no more than one condition each that names providers and places, and all
+    bounds within the lines of whole years and cents, where ``counted_passes`` is exact. None is if the claims' types are not whole
+    years and decimals of cents."""
+    age, charge = (claims.schema[c].dataType for c in NUMBERS.values())
+    if not (isinstance(age, T.IntegralType) and isinstance(charge, T.DecimalType) and charge.scale <= 2 and charge.precision - charge.scale <= 10):
+        return F.lit(False)
+    inside = lambda c, kind: (c["kind"] == kind) & c["op"].isin(BETWEEN) & (F.abs(c["number"] * UNITS[kind]) < (1 << (LEVELS[kind] - 1)) - 1)
+    fits = F.forall("conditions", lambda c: F.coalesce(
+        inside(c, "age") | inside(c, "charge") | (c["kind"].isin("provider", "place") & c["op"].isin("=", "in")), F.lit(False)))
+    return (F.col("error") == "") & fits & (F.size(_of("age")) + F.size(_of("charge")) > 0) & (F.size(_of("provider")) < 2) & (F.size(_of("place")) < 2)
+
+
+def _bounds(kind: str) -> Column:
+    """struct(lo, hi): the first and last whole unit on the line that the conditions on an age or charge let through."""
+    unit, half = F.lit(float(UNITS[kind])), 1 << (LEVELS[kind] - 1)
+
+    def at_least(x: Column) -> Column:
+        k = F.ceil(x * unit)
+        return F.when((k - 1) / unit >= x, k - 1).when(k / unit >= x, k).otherwise(k + 1)
+
+    def above(x: Column) -> Column:
+        return at_least(x) + F.when(at_least(x) / unit == x, 1).otherwise(0)
+
+    own = lambda ops, unit_of: F.transform(F.filter(_of(kind), lambda c: c["op"].isin(ops)), lambda c: unit_of(c["number"]) + half)
+    return F.struct(
+        F.greatest(F.lit(0).cast("long"), F.array_max(own([">"], above)), F.array_max(own([">=", "=="], at_least))).alias("lo"),
+        F.least(F.lit(2 * half - 1).cast("long"), F.array_min(own(["<"], at_least)) - 1, F.array_min(own(["<=", "=="], above)) - 1).alias("hi"))
+
+
+def counted_passes(claims: DataFrame, rows: DataFrame) -> DataFrame:
+    """(filter_id, n_passed) of ``countable`` rules, without a claim and a rule ever meeting.
+
+    A rule counts the claims of its provider, place and dyadic pieces of age up to the end of its charges, less those before their
+    start. Both come from running counts along the charge, so the work grows with claims and rules, not with how many claims pass.
+    """
+    kinds = ["age", "charge", "provider", "place"]
+    has = {k: F.size(_of(k)) > 0 for k in kinds}
+    group = ["shape", "provider", "place", "level", "prefix"]
+    any_name, any_age = F.array(F.lit("")), F.array(F.struct(F.lit(-1).alias("level"), F.lit(0).cast("long").alias("prefix")))
+    ends = reuse(
+        rows.select(
+            "filter_id", F.concat_ws(",", *[F.when(has[k], k) for k in kinds]).alias("shape"), _bounds("age").alias("age"), _bounds("charge").alias("charge"),
+            *[F.coalesce(F.get(_of(k), F.lit(0))["codes"], any_name).alias(f"{k}_codes") for k in ("provider", "place")], has["age"].alias("aged"))
+        .filter("charge.lo <= charge.hi")
+        .withColumn("piece", F.explode(F.when(F.col("aged"), dyadic_pieces(F.col("age.lo"), F.col("age.hi"), LEVELS["age"])).otherwise(any_age)))
+        .withColumn("provider", F.explode("provider_codes")).withColumn("place", F.explode("place_codes"))
+        .withColumn("end", F.explode(F.array(F.struct(F.col("charge.hi").alias("at"), F.lit(1).alias("sign")), F.struct((F.col("charge.lo") - 1).alias("at"), F.lit(-1).alias("sign")))))
+        .select("filter_id", "shape", "provider", "place", "piece.*", "end.*"))
+    used = [F.struct(F.lit(r.level).alias("level"), F.lit(r.shape).alias("shape"), *[F.lit(k in r.shape.split(",")).alias(f"by_{k}") for k in kinds])
+            for r in ends.select("shape", "level").distinct().collect()]
+    if not used:
+        return ends.select("filter_id", F.lit(0).cast("long").alias("n_passed"))
+    by = {k: F.col(f"by_{k}") for k in kinds}
+    whole = claims.select(
+        F.when(F.col("patient_age").isNotNull(), F.least(F.greatest(F.col("patient_age").cast("long") + (1 << (LEVELS["age"] - 1)), F.lit(0)), F.lit((1 << LEVELS["age"]) - 1))).alias("age"),
+        ((F.col("total_charge_amount") * 100).cast("long") + (1 << (LEVELS["charge"] - 1))).alias("charge"),
+        F.col("provider_type").alias("provider"), F.col("place_of_service").alias("place"))
+    points = (
+        whole.withColumn("u", F.explode(F.array(*used))).select("*", "u.*")
+        .filter(reduce(lambda a, b: a & b, [~by[k] | F.col(k).isNotNull() for k in kinds]))
+        .select(
+            "shape", *[F.when(by[k], F.col(k)).otherwise("").alias(k) for k in ("provider", "place")], "level",
+            F.when(by["age"], F.floor(F.col("age") / F.pow(F.lit(2.0), F.col("level"))).cast("long")).otherwise(0).alias("prefix"),
+            F.when(by["charge"], F.col("charge")).otherwise(0).alias("at"))
+    )
+    steps = reuse(
+        points.groupBy(*group, "at").agg(F.count(F.lit(1)).alias("n"))
+        .unionByName(ends.select(*group, "at", F.lit(0).cast("long").alias("n")).distinct())
+        .groupBy(*group, "at").agg(F.sum("n").alias("n")))
+    upto = running_totals(steps, {"upto": F.col("n")}, ["at"], group, sort_bucket(steps, ["at"]))
+    return ends.join(upto.select(*group, "at", "upto"), [*group, "at"]).groupBy("filter_id").agg(F.sum(F.col("sign") * F.col("upto")).alias("n_passed"))
+
+
 def rule_coverage(
     claims: DataFrame, diagnoses: DataFrame, procedures: DataFrame, filters: DataFrame, code_sets: DataFrame
 ) -> DataFrame:
@@ -368,20 +450,27 @@ def rule_coverage(
     A claim meets only the rules one of its facts leads to, and those are decided in the same row,
     so nothing but per-rule counts is shuffled after the claim's codes are together. A rule that
     several codes of a claim lead to is counted for the first of them. Rules of numbers alone are found by dyadic intervals, so a claim
-    meets those whose interval it lies in.
+    meets those whose interval it lies in. More than ``COMPILED_RULES`` rules of intervals are counted by ``counted_passes`` instead.
     """
     tables = RuleTables(filters, code_sets)
+    rest, counted = tables.rows, None
+    if not is_small(tables.rows.filter(countable(claims)), COMPILED_RULES):
+        rest, counted = tables.rows.filter(~countable(claims)), counted_passes(claims, tables.rows.filter(countable(claims)))
     own = (
         F.when(F.col("kind") == "diagnosis", F.col("diagnosis_codes"))
         .when(F.col("kind") == "procedure", F.col("procedure_codes"))
         .otherwise(F.array("value"))
     )
     first = F.col("key_codes").isNull() | (F.col("value") == F.array_min(F.array_intersect("key_codes", own)))
-    passed = (
-        rule_hits(claims, coded_claims(claims, diagnoses, procedures), tables)
-        .filter(first & _passed())
-        .groupBy("filter_id").agg(F.count(F.lit(1)).alias("n_passed"))
-    )
+    if counted is not None and rest.isEmpty():
+        passed = counted
+    else:
+        passed = (
+            rule_hits(claims, coded_claims(claims, diagnoses, procedures), tables, rest)
+            .filter(first & _passed())
+            .groupBy("filter_id").agg(F.count(F.lit(1)).alias("n_passed"))
+        )
+        passed = passed if counted is None else passed.unionByName(counted)
     return tables.rows.join(passed, "filter_id", "left").select(
         "filter_id", "filter_name",
         claims.agg(F.count(F.lit(1))).scalar().alias("n_claims"),

@@ -209,6 +209,35 @@ def test_itemsets_by_levels_equal_all_subsets(spark):
         assert len(got) == len(want)
 
 
+def test_interval_rules_with_names_are_counted_exactly(spark, monkeypatch):
+    """Bounds between cents, empty intervals, nulls, ages off the line, providers and places beside rules that are not intervals."""
+    monkeypatch.setattr(rules, "COMPILED_RULES", 2)
+    rng = random.Random(5)
+    points = [(f"c{i}", rng.choice([None, -300, 0, 17, 18, 64, 65, 300]), rng.choice([None, "A", "B", ""]), rng.choice(["1", "2"]),
+               rng.choice([None, "0.28", "0.29", "0.30", "1.00", "57.93", "-2.00", "9999999999.99"])) for i in range(120)]
+    claims = spark.createDataFrame(points, "claim_id string, patient_age int, provider_type string, place_of_service string, x string") \
+        .withColumn("total_charge_amount", F.col("x").cast("decimal(12,2)")).drop("x")
+    ages = [None] + [(op, x) for op in ("<", "<=", ">", ">=", "==", "!=") for x in ("17", "17.5", "64", "299")]
+    charges = [None] + [(op, x) for op in ("<", "<=", ">", ">=", "==") for x in ("0.29", "0.295", "57.93", "-2", "99999999999999")]
+    texts, met = [], []
+    for g in ages:
+        for a in charges:
+            who, where = rng.choice([None, "A", ""]), rng.choice([None, "2"])
+            texts.append(" & ".join(
+                ([f"patient_age(X, G) & (G {g[0]} {g[1]})"] if g else []) + ([f"charge_amount(X, A) & (A {a[0]} {a[1]}) & (A >= -1)"] if a else [])
+                + ([f"provider_type(X, '{who}')"] if who is not None else []) + ([f"place_of_service(X, '{where}')"] if where else []) + ["True"]))
+            test = lambda v, c: v is not None and {"<": v < float(c[1]), "<=": v <= float(c[1]), ">": v > float(c[1]), ">=": v >= float(c[1]), "==": v == float(c[1]), "!=": v != float(c[1])}[c[0]]
+            met.append(sum((not g or test(p[1], g)) and (not a or p[4] is not None and test(float(p[4]), a) and float(p[4]) >= -1)
+                           and (who is None or p[2] == who) and (not where or p[3] == where) for p in points))
+    filters = spark.createDataFrame([(i, f"r{i}", t, True, "") for i, t in enumerate(texts)], "filter_id int, filter_name string, rule_definition string, active boolean, description string")
+    none = [spark.createDataFrame([], f"claim_id string, {k}_code string") for k in ("diagnosis", "procedure")]
+    sets = spark.createDataFrame([], "set_name string, code string")
+    got = {r.filter_id: (r.n_passed, r.error) for r in rules.rule_coverage(claims, *none, filters, sets).collect()}
+    assert got == {i: (n, "") for i, n in enumerate(met)}
+    rows = rules.RuleTables(filters, sets).rows.filter(rules.countable(claims))
+    assert rows.count() > 300
+
+
 def plain_rules(itemsets, n, least):
     freq = {tuple(sorted(i)): f for i, f in itemsets}
     out = set()
