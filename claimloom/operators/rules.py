@@ -98,6 +98,8 @@ def rule_conditions(filters: DataFrame) -> DataFrame:
     ``op`` is ``=`` for a literal, a comparison for age and charge, ``in`` for a code that
     must be in all of ``set_names``, ``exists`` for a variable nothing else uses. A rule
     without conditions (``True``) has no rows; a rule that cannot be read has one error row.
+
+    Rules are dealt out before they are read: their texts are short, so few tasks hold very many, and reading them is the work.
     """
     numeric = "a.kind IN ('age', 'charge')"
     comparisons = "filter(_atoms, o -> o.compared = a.var)"
@@ -120,7 +122,7 @@ def rule_conditions(filters: DataFrame) -> DataFrame:
         WHEN size({variables}) > size(array_distinct({variables})) THEN 'a variable is bound twice' END"""
     unreadable = f"array({_condition_sql(chr(39) + 'error' + chr(39), error='_error', kind='NULL')})"
     return (
-        parsed_atoms(filters)
+        parsed_atoms(filters.select("filter_id", "rule_definition").repartition("filter_id"))
         .selectExpr("filter_id", "_atoms", f"{error} AS _error")
         .selectExpr("filter_id", f"posexplode(CASE WHEN _error IS NOT NULL THEN {unreadable} ELSE {conditions} END) AS (cond_no, c)")
         .selectExpr("filter_id", "cond_no", "c.*")

@@ -238,6 +238,14 @@ def test_interval_rules_with_names_are_counted_exactly(spark, monkeypatch):
     assert rows.count() > 300
 
 
+def test_rules_are_dealt_out_before_they_are_read(spark):
+    """Rules that one task holds are read by several."""
+    text = F.concat(F.lit("has_diagnosis(X, '"), F.sha2(F.col("id").cast("string"), 512), F.lit("')"))
+    filters = spark.range(0, 40_000, 1, 1).select(F.col("id").cast("int").alias("filter_id"), text.alias("rule_definition"))
+    per_task = rules.rule_conditions(filters).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(per_task) > 1 and sum(r["count"] for r in per_task) == 40_000
+
+
 def plain_rules(itemsets, n, least):
     freq = {tuple(sorted(i)): f for i, f in itemsets}
     out = set()
