@@ -123,7 +123,9 @@ def read_json_array(spark: SparkSession, path: str, schema: T.StructType, range_
     ranges = [(prefix + f.path, at, min(range_bytes, f.size - at)) for f in listed if f.type == fs.FileType.File and f.base_name[:1] not in "._" for at in range(0, f.size, range_bytes)]
     if not ranges:
         return spark.createDataFrame([], schema)
-    spread = lambda rows, kinds: spark.createDataFrame(rows, kinds).repartition(len(rows), "path", "at")
+    # a task takes ranges one after the other, up to about RANGE bytes of them
+    tasks = min(len(ranges), max(spark.sparkContext.defaultParallelism, sum(size for _, _, size in ranges) // RANGE + 1))
+    spread = lambda rows, kinds: spark.createDataFrame(rows, kinds).repartition(tasks, "path", "at")
     found = spread(ranges, "path string, at long, size long").mapInArrow(_summaries, "path string, at long, states string").collect()
     states = {(r.path, r.at): json.loads(r.states) for r in found}
     begun, behind = [], {}

@@ -118,3 +118,13 @@ def test_code_lists_report_other_failures_than_a_missing_file(spark, tmp_path):
     assert files.read_code_list(spark, f"file://{tmp_path}/none.csv", ["A"]).collect()[0].code == "A"
     with pytest.raises(Exception):
         files.read_code_list(spark, "nostore://none/x.csv")
+
+
+def test_many_short_lists_take_few_tasks(spark, tmp_path):
+    """Ranges are dealt out to tasks, however many files there are."""
+    (tmp_path / "in").mkdir()
+    for i in range(100):
+        (tmp_path / "in" / f"{i}.json").write_text(json.dumps([{"a": i}, {"a": -i}]))
+    df = json_arrays.read_json_array(spark, str(tmp_path / "in"), T.StructType([T.StructField("a", T.IntegerType())]), 8)
+    assert df.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    assert sorted(r.a for r in df.collect()) == sorted(x for i in range(100) for x in (i, -i))
