@@ -94,7 +94,7 @@ def stream_assembled(d):
     for name, df in sides.items():
         df.sortWithinPartitions("arrived_at").write.parquet(f"{root}/{name}")
         # the last row of each stream only tells the time
-        end = df.limit(1).withColumns({"claim_id": F.lit(None).cast("string"), "arrived_at": F.timestamp_seconds(F.lit(1_700_100_000))})
+        end = d.spark.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema if f.name != "arrived_at"], F.timestamp_seconds(F.lit(1_700_100_000)).alias("arrived_at"))
         end.write.mode("append").parquet(f"{root}/{name}")
         streams.append(d.spark.readStream.schema(df.schema).parquet(f"{root}/{name}"))
     with state_on_disk(d.spark):

@@ -253,6 +253,25 @@ def claim_measures(claims: DataFrame, diagnoses: DataFrame, procedures: DataFram
     )
 
 
+def line_measures(diagnoses: Column | str, procedures: Column | str) -> dict[str, Column]:
+    """The columns that ``claim_measures`` adds, for rows that hold their child records as arrays of structs: no shuffle and no join."""
+    coded = lambda lines, code, fields: F.array_distinct(F.transform(
+        F.filter(S.as_col(lines), lambda x: x[code].isNotNull()), lambda x: F.struct(*[x[f].alias(f) for f in fields])))
+    d, p = coded(diagnoses, "diagnosis_code", DIAGNOSIS_FIELDS), coded(procedures, "procedure_code", PROCEDURE_FIELDS)
+    ordered = lambda x: [x[f].alias(f) for f in _principal_order()]
+    principal = F.array_min(F.transform(F.filter(d, lambda x: x["is_principal"]), lambda x: F.struct(*ordered(x))))
+    first_line = F.array_min(F.transform(d, lambda x: F.struct(F.coalesce(x["diagnosis_sequence"], F.lit(999)).alias("at"), *ordered(x))))
+    codes = lambda lines, code: F.array_sort(F.array_distinct(F.transform(lines, lambda x: x[code])))
+    return {
+        "diagnosis_count": F.size(d),
+        "diagnosis_codes": codes(d, "diagnosis_code"),
+        "primary_diagnosis": F.coalesce(principal["diagnosis_code"], first_line["diagnosis_code"]),
+        "procedure_count": F.size(p),
+        "procedure_codes": codes(p, "procedure_code"),
+        "total_procedure_amount": S.total_procedure_amount(p),
+    }
+
+
 def _principal_order() -> list[str]:
     """Field order of a diagnosis entry, so ties fall as in the sorted array form."""
     return ["diagnosis_code", "diagnosis_type", "diagnosis_sequence", "description"]

@@ -46,7 +46,22 @@ def validate_claims(
     model. Rule sets small enough for a plan are evaluated in the same pass; larger ones are
     joined. A claim that cannot be identified becomes an ERROR result.
     """
-    measured = enrich.claim_measures(claims, diagnoses, procedures)
+    return validate_measured(
+        enrich.claim_measures(claims, diagnoses, procedures), filters, code_sets, encoders, model, candidates, threshold, k, processing_time)
+
+
+def validate_measured(
+    measured: DataFrame,
+    filters: DataFrame,
+    code_sets: DataFrame,
+    encoders: StringIndexerModel | None = None,
+    model: PipelineModel | None = None,
+    candidates: DataFrame | None = None,
+    threshold: float = 0.3,
+    k: int = 10,
+    processing_time: Column | None = None,
+) -> DataFrame:
+    """``validate_claims`` of claims that have the columns of ``claim_measures``."""
     none = F.array().cast("array<int>")
     if candidates is not None:
         measured = measured.join(candidates.select("claim_id", "predicted_filters"), "claim_id", "left")

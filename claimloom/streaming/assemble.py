@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from claimloom.plans.validate import validate_claims
+from claimloom.operators.enrich import line_measures
+from claimloom.plans.validate import validate_measured
 
 PARTS = "claim", "diagnosis", "procedure"
 
@@ -41,6 +42,7 @@ def assemble_stream(claims: DataFrame, diagnoses: DataFrame, procedures: DataFra
 
 def validate_assembled(assembled: DataFrame, filters: DataFrame, code_sets: DataFrame, sink: str, checkpoint: str, **validation) -> DataStreamWriter:
     """Writer that validates the claims of each micro-batch with the lines that came with them, and reads nothing else but rules.
+    A session's lines are in its row, so they are measured there; a claim of several sessions gets a result of each.
 
     Results go to ``<sink>/results``, sessions without a claim to ``<sink>/without_claim`` as they are, each into the batch's own partition,
     which is overwritten when the batch is run again.
@@ -48,10 +50,9 @@ def validate_assembled(assembled: DataFrame, filters: DataFrame, code_sets: Data
 
     def store(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
-        whole = batch.filter("claim IS NOT NULL")
-        results = validate_claims(
-            whole.select("claim.*"), whole.select(F.explode("diagnoses").alias("d")).select("d.*"), whole.select(F.explode("procedures").alias("p")).select("p.*"),
-            filters, code_sets, **validation)
+        measures = line_measures("diagnoses", "procedures")
+        whole = batch.filter("claim IS NOT NULL").select("claim.*", *[c.alias(n) for n, c in measures.items()])
+        results = validate_measured(whole, filters, code_sets, **validation)
         results.write.mode("overwrite").parquet(f"{sink}/results/batch_id={batch_id}")
         batch.filter("claim IS NULL").drop("claim", "session").write.mode("overwrite").parquet(f"{sink}/without_claim/batch_id={batch_id}")
         batch.unpersist()

@@ -50,6 +50,41 @@ def test_repeats_within_the_time_go_and_keys_expire_over_a_restart(spark, tmp_pa
     assert ("late", at(1)) not in go(("late", at(1)), ("e", at(320)))  # behind the watermark
 
 
+def test_sessions_of_one_claim_in_a_batch_keep_their_own_lines(spark, tmp_path):
+    """Lines are measured in the row of their session; nothing is joined by claim_id again."""
+    line = "struct<diagnosis_code:string,diagnosis_type:string,diagnosis_sequence:int,description:string,is_principal:boolean>"
+    step = "struct<procedure_code:string,procedure_type:string,procedure_sequence:int,description:string,charge_amount:decimal(10,2),service_date:date,diagnosis_pointers:string>"
+    claim = ("a", 40, "X", "11", None)
+    rows = [("a", claim, [("A", "T", 1, "d", True)] * 2, [], at(0)), ("a", claim, [(None, "T", 1, "d", True)], [("P", "T", 1, "d", None, None, None)], at(90)), ("b", None, [], [], at(0))]
+    batch = spark.createDataFrame(rows, f"claim_id string, claim struct<claim_id:string,patient_age:int,provider_type:string,place_of_service:string,total_charge_amount:decimal(12,2)>, diagnoses array<{line}>, procedures array<{step}>, last_at timestamp")
+    batch.withColumn("session", F.lit(1)).write.parquet(str(tmp_path / "in"))
+    filters = spark.createDataFrame([(1, "A", "has_diagnosis(X, 'A')", "", "MANUAL", True)], "filter_id int, filter_name string, rule_definition string, description string, rule_type string, active boolean")
+    asked = spark.createDataFrame([("a", [1])], "claim_id string, predicted_filters array<int>")
+    stream = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).parquet(str(tmp_path / "in"))
+    run(spark, validate_assembled(stream, filters, spark.createDataFrame([], "set_name string, code string"), str(tmp_path / "out"), str(tmp_path / "cp"), candidates=asked))
+    assert sorted(o.passed for r in spark.read.parquet(str(tmp_path / "out/results")).collect() for o in r.validation_results) == [False, True]
+
+
+def test_measures_of_lines_in_a_row_are_those_of_the_tables(spark):
+    from claimloom.operators import enrich
+
+    diagnoses = spark.createDataFrame([
+        ("a", "B", "T", 2, "d", False), ("a", "A", "T", None, "d", None), ("a", "B", "T", 2, "d", False), ("a", None, "T", 0, "d", True),
+        ("b", "C", "T", 1, "d", False), ("b", "Z", "T", 5, "e", True), ("b", "Y", "T", 6, None, True),
+    ], "claim_id string, diagnosis_code string, diagnosis_type string, diagnosis_sequence int, description string, is_principal boolean")
+    procedures = spark.createDataFrame([("a", "P", "T", 1, "d", None, None, None), ("b", "Q", "T", 1, "d", "1", None, "[1]"), ("b", "Q", "T", 1, "d", "1", None, "[1]"), ("b", "O", "T", 1, "d", "2", None, "[1]")],
+        "claim_id string, procedure_code string, procedure_type string, procedure_sequence int, description string, charge string, service_date date, diagnosis_pointers string")
+    procedures = procedures.withColumn("charge_amount", F.col("charge").cast("decimal(10,2)")).drop("charge")
+    claims = spark.createDataFrame([("a",), ("b",), ("c",)], "claim_id string")
+    want = enrich.claim_measures(claims, diagnoses, procedures)
+    rows = claims
+    for name, df in (("diagnoses", diagnoses), ("procedures", procedures)):
+        rows = rows.join(df.groupBy("claim_id").agg(F.collect_list(F.struct(*df.columns)).alias(name)), "claim_id", "left")
+        rows = rows.withColumn(name, F.coalesce(name, F.array().cast(rows.schema[name].dataType)))
+    got = rows.select("claim_id", *[c.alias(n) for n, c in enrich.line_measures("diagnoses", "procedures").items()]).select(want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_lines_meet_their_claim_whenever_they_come(spark, tmp_path):
     kinds = {
         "claims": "claim_id string, patient_age int, provider_type string, place_of_service string, total_charge_amount decimal(12,2), processing_status string, arrived_at timestamp",
