@@ -1,6 +1,6 @@
 """Boosted trees for any number of classes: second-order softmax boosting over binned features.
 
-Rows stay in Spark. A level of all trees of a round is one aggregation of gradient sums by class, node, feature and bin; the driver sees
+Rows stay in Spark, thousands to a block, which is one row of arrays, so that a pass costs no more than the arithmetic. A level of all trees of a round is one aggregation of gradient sums by class, node, feature and bin; the driver sees
 these sums only and picks the splits. Gradients are whole multiples of 2^-30, so sums are exact and do not depend on how rows are dealt.
 """
 
@@ -29,7 +29,7 @@ UNIT = float(1 << 30)
 # Sums of one pass; with more classes a level takes several passes.
 CELLS = 2_000_000
 # Margins are written anew after so many rounds; in between tasks add the trees since then.
-ROUNDS_KEPT = 10
+ROUNDS_KEPT = 4
 LOSS = -1  # the cell of losses
 
 
@@ -66,16 +66,19 @@ class Forest:
     def nodes(self, x: np.ndarray, t: int, k: int, levels: int, binned: bool) -> np.ndarray:
         """Where each row of ``x`` (features or bins) stands after so many levels."""
         feature, cut = self.feature[t, k], self.bin[t, k] if binned else self.cut[t, k]
-        at, rows = np.zeros(len(x), dtype=np.int64), np.arange(len(x))
+        own, used = np.arange(len(feature)), np.maximum(feature, 0)
+        leaf = feature < 0
+        after = np.stack([np.where(leaf, own, 2 * own + 1), np.where(leaf, own, 2 * own + 2)], axis=1).ravel()
+        flat, start = x.ravel(), np.arange(len(x)) * x.shape[1]
+        at = np.zeros(len(x), dtype=np.int64)
         for _ in range(levels):
-            f = feature[at]
-            own = x[rows, np.maximum(f, 0)]
-            right = own > cut[at] if binned else ~(own < cut[at])
-            at = np.where(f >= 0, 2 * at + 1 + right, at)
+            value, limit = flat[start + used[at]], cut[at]
+            at = after[2 * at + ((value > limit) if binned else ~(value < limit))]
         return at
 
-    def margins(self, x: np.ndarray, binned: bool) -> np.ndarray:
-        out = np.zeros((len(x), self.feature.shape[1]))
+    def margins(self, x: np.ndarray, binned: bool, before: np.ndarray | None = None) -> np.ndarray:
+        """``before`` (zeros) with the values of all trees added, one round after the other."""
+        out = np.zeros((len(x), self.feature.shape[1])) if before is None else before.copy()
         for t in range(self.feature.shape[0]):
             for k in range(self.feature.shape[1]):
                 out[:, k] += self.value[t, k][self.nodes(x, t, k, self.depth, binned)]
@@ -95,43 +98,52 @@ def _draw(row: np.ndarray, seed: int, t: int) -> np.ndarray:
     return (x ^ (x >> np.uint64(31))).astype(np.float64) / 2.0**64
 
 
+BLOCK = "row binary, y binary, held binary, bins binary, margins binary"
+
+
+def _block(*parts: np.ndarray) -> pa.RecordBatch:
+    """Row numbers, labels, whether a row is for evaluation, bins and margins of many rows as one row."""
+    return pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in parts], ["row", "y", "held", "bins", "margins"])
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], features: int, classes: int):
-    """(row numbers, labels, whether a row is for evaluation, bins, margins) of each batch."""
+    """The arrays of each block."""
+    kinds = np.int64, np.int32, np.bool_, np.uint16, np.float64
     for batch in batches:
-        n = len(batch)
-        if n:
-            bins = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.uint16).reshape(n, features)
-            margins = np.frombuffer(b"".join(batch.column(4).to_pylist()), dtype=np.float64).reshape(n, classes)
-            yield *(batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)), bins, margins
+        for i in range(len(batch)):
+            row, label, held, bins, margins = (np.frombuffer(column[i].as_buffer(), dtype=kind) for column, kind in zip(batch.columns, kinds))
+            yield row, label, held, bins.reshape(len(row), features), margins.reshape(len(row), classes)
 
 
-def _histogram(since: Forest, now: Forest, level: int, wanted: list[int], features: int, classes: int, width: int, draw: tuple, losses: bool):
-    """Sums of gradients per class of ``wanted``, node of this level, feature and bin; the first pass of a round adds the losses."""
+def _histogram(since: Forest, now: Forest, level: int, wanted: dict[int, list[int]], features: int, classes: int, width: int, draw: tuple, losses: bool):
+    """Sums of gradients per class of ``wanted``, feature of those it lists, node of this level and bin; the first pass of a round adds the losses."""
     first, count = (1 << level) - 1, 1 << level
     seed, t, share = draw
 
     def task(batches: Iterator[pa.RecordBatch]):
-        sums = np.zeros((2, len(wanted), count * features * width), dtype=np.int64)
+        sums = np.zeros((2, len(wanted), features, count * width), dtype=np.int64)
         lost = np.zeros((2, 3))
         for row, label, held, bins, margins in _blocks(batches, features, classes):
-            p = softmax(margins + since.margins(bins, True))
+            used = ~held & (_draw(row, seed, t) < share)
+            if not losses:
+                label, bins, margins = label[used], bins[used], margins[used]
+            p = softmax(since.margins(bins, True, margins))
             if losses:
                 own = -np.log(np.maximum(p[np.arange(len(p)), label], 1e-15))
                 for side in (0, 1):
                     of = held == bool(side)
                     lost[side] += own[of].sum(), (p.argmax(axis=1) != label)[of].sum(), of.sum()
-            used = ~held & (_draw(row, seed, t) < share)
-            p, label, bins = p[used], label[used], bins[used]
-            for i, k in enumerate(wanted):
+                p, label, bins = p[used], label[used], bins[used]
+            for i, (k, columns) in enumerate(wanted.items()):
                 node = now.nodes(bins, 0, k, level, True)
                 going = np.flatnonzero(node >= first)
                 g = np.rint((p[going, k] - (label[going] == k)) * UNIT)
                 h = np.rint(np.maximum(2 * p[going, k] * (1 - p[going, k]), 1e-16) * UNIT)
-                base = (node[going] - first) * features
-                for f in range(features):
-                    cell = (base + f) * width + bins[going, f]
-                    sums[0, i] += np.bincount(cell, g, sums.shape[2]).astype(np.int64)
-                    sums[1, i] += np.bincount(cell, h, sums.shape[2]).astype(np.int64)
+                base = (node[going] - first) * width
+                for f in columns:
+                    cell = base + bins[going, f]
+                    sums[0, i, f] += np.bincount(cell, g, count * width).astype(np.int64)
+                    sums[1, i, f] += np.bincount(cell, h, count * width).astype(np.int64)
         used = np.flatnonzero(sums.any(axis=0).ravel())
         g, h = sums.reshape(2, -1)[:, used]
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(g), pa.array(h), pa.array(np.zeros(len(used)))], ["cell", "g", "h", "loss"])
@@ -144,13 +156,11 @@ def _histogram(since: Forest, now: Forest, level: int, wanted: list[int], featur
 
 
 def _advance(since: Forest, features: int, classes: int):
-    """Rows with the margins of the trees ``since`` added."""
+    """Blocks with the margins of the trees ``since`` added."""
 
     def task(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            for *_, bins, margins in _blocks([batch], features, classes):
-                added = margins + since.margins(bins, True)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([m.tobytes() for m in added], pa.binary())], batch.schema.names)
+        for row, label, held, bins, margins in _blocks(batches, features, classes):
+            yield _block(row, label, held, bins, since.margins(bins, True, margins))
 
     return task
 
@@ -201,20 +211,20 @@ def fit_trees(
     names = [f"x{i}" for i in range(len(features))]
     cuts = feature_cuts(values.where("NOT held"), names, most_bins)
     bins, width = [len(c) + 1 for c in cuts], max(len(c) for c in cuts) + 1
-    zero = np.zeros(classes).tobytes()
 
     def binned(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            found = np.stack([np.searchsorted(c, batch.column(3 + i).to_numpy(zero_copy_only=False), side="right") for i, c in enumerate(cuts)], axis=1).astype(np.uint16)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([b.tobytes() for b in found], pa.binary()), pa.array([zero] * len(batch), pa.binary())], ["row", "y", "held", "bins", "margins"])
+            if len(batch):
+                found = np.stack([np.searchsorted(c, batch.column(3 + i).to_numpy(zero_copy_only=False), side="right") for i, c in enumerate(cuts)], axis=1).astype(np.uint16)
+                row, label, held = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+                yield _block(row.astype(np.int64), label.astype(np.int32), held.astype(np.bool_), found, np.zeros((len(row), classes)))
 
-    kinds = "row long, y int, held boolean, bins binary, margins binary"
-    state = reuse(values.select("row", "y", "held", *names).mapInArrow(binned, kinds))
+    state = reuse(values.select("row", "y", "held", *names).mapInArrow(binned, BLOCK))
     forest = Forest(trees, classes, depth)
     measured: list[tuple[int, str, float, float]] = []
     kept, chosen = 0, max(1, int(column_share * len(features)))
 
-    def sums(t: int, level: int, wanted: list[int], losses: bool):
+    def sums(t: int, level: int, wanted: dict[int, list[int]], losses: bool):
         task = _histogram(forest.part(kept, t), forest.part(t, t + 1) if t < trees else forest.part(0, 0), level, wanted, len(features), classes, width, (seed, t, row_share), losses)
         found = state.mapInArrow(task, "cell long, g long, h long, loss double").groupBy("cell").agg(F.sum("g"), F.sum("h"), F.sum("loss")).collect()
         out = np.zeros((2, len(wanted) * (1 << level) * len(features) * width))
@@ -224,11 +234,11 @@ def fit_trees(
                     measured.append((t, ("train", "eval")[LOSS - cell], loss / h, g / h))
             else:
                 out[:, cell] = g, h
-        return (out / UNIT).reshape(2, len(wanted), 1 << level, len(features), width)
+        return (out / UNIT).reshape(2, len(wanted), len(features), 1 << level, width)
 
     for t in range(trees + 1):
         if t == trees:
-            sums(t, 0, [], True)
+            sums(t, 0, {}, True)
             break
         columns = [sorted(np.random.default_rng([seed % (1 << 64), t, k]).choice(len(features), chosen, replace=False).tolist()) for k in range(classes)]
         growing = {k: [0] for k in range(classes)}
@@ -239,13 +249,13 @@ def fit_trees(
             ids = sorted(growing)
             for at in range(0, len(ids), group):
                 wanted = ids[at : at + group]
-                found = sums(t, level, wanted, level == 0 and at == 0)
+                found = sums(t, level, {k: columns[k] for k in wanted}, level == 0 and at == 0)
                 for i, k in enumerate(wanted):
                     children = []
                     for node in growing.pop(k):
-                        g, h = found[:, i, node - (1 << level) + 1]
+                        g, h = found[:, i, :, node - (1 << level) + 1]
                         if level == 0:
-                            forest.g[t, k, 0], forest.h[t, k, 0] = g[0].sum(), h[0].sum()
+                            forest.g[t, k, 0], forest.h[t, k, 0] = g[columns[k][0]].sum(), h[columns[k][0]].sum()
                             forest.value[t, k, 0] = -rate * forest.g[t, k, 0] / (forest.h[t, k, 0] + calm)
                         gain, f, b = best_split(g, h, columns[k], bins, calm, least)
                         if not gain:
@@ -261,7 +271,7 @@ def fit_trees(
         if patience and lost and len(lost) - 1 - int(np.argmin(lost)) >= patience:
             break
         if t + 1 - kept >= ROUNDS_KEPT:
-            state, kept = reuse(state.mapInArrow(_advance(forest.part(kept, t + 1), len(features), classes), kinds)), t + 1
+            state, kept = reuse(state.mapInArrow(_advance(forest.part(kept, t + 1), len(features), classes), BLOCK)), t + 1
     lost = [x[2] for x in measured if x[1] == "eval"]
     done = int(np.argmin(lost)) if patience and lost else trees
     return forest.part(0, done), [x for x in measured if x[0] <= done]

@@ -137,3 +137,22 @@ def test_estimator_takes_options(spark):
     assert model.forest.feature.shape == (2, 3, 3) and model.measured(spark).count() == 3
     with pytest.raises(TypeError):
         boosting.SoftmaxTrees(options=json.dumps(dict(no_such=2))).fit(rows)
+
+
+def test_a_pass_reads_blocks_of_many_rows(spark, monkeypatch):
+    """The rows that every level reads again are thousands to a block, and blocks of any size give the same trees and losses."""
+    seen = []
+    kept = boosting.reuse
+    monkeypatch.setattr(boosting, "reuse", lambda df: seen.append(kept(df)) or seen[-1])
+    rows = spark.range(0, 9000, 1, 3).select((F.col("id") % 3).cast("int").alias("label"), (F.col("id") % 7).alias("a"), (F.col("id") * 37 % 101).alias("b"))
+    fits = []
+    for size in ("10000", "700"):
+        before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            forest, lost = boosting.fit_trees(rows, ["a", "b"], "label", 3, trees=6, depth=2, rate=0.3)
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+        fits.append((forest.to_json(), [(t, p, round(x, 9), e) for t, p, x, e in lost]))
+    assert fits[0] == fits[1]
+    assert seen[1].count() == 3
