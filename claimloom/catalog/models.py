@@ -100,7 +100,7 @@ def oversample(d):
 SELECT claim_id, cast(label AS INT) AS label, round(far[1], 4) AS nearest, round(far[3], 4) AS third, round(far[5], 4) AS fifth FROM near""")
 def neighbours(d):
     """Distances of every claim of the smaller classes to its five nearest."""
-    rows = _examples(d).filter("label > 0")
+    rows = reuse(_examples(d).filter("label > 0"))
     points = rows.groupBy("label", *features.FEATURES).agg(F.count(F.lit(1)).alias("copies"))
     found = nearest_neighbours(points, features.FEATURES, 5).select("label", *features.FEATURES, "far")
     at = lambda i: F.round(F.sqrt(F.get("far", F.lit(i))), 4)

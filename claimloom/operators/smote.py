@@ -7,18 +7,24 @@ nearest in its own leaf; then it visits only the leaves whose boxes its k-th dis
 from __future__ import annotations
 
 import pickle
+import sys
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from claimloom.operators.numbering import number_rows, running_totals
 from claimloom.sizing import broadcast_small, reuse
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # No leaf has more distinct points, and no task looks at more visitors of a leaf at a time.
 CELL = 512
 VISITORS = 2_048
+# So many points are held against a leaf at once.
+TOGETHER = 256
 # A node is cut into at most FAN parts at once, by about SAMPLE points for each.
 FAN, SAMPLE = 64, 24
 MIN_CLASS = 6
@@ -66,41 +72,67 @@ def leaf_of(nodes: list[tuple[int, float, int, int]], points: np.ndarray) -> np.
     return -1 - at
 
 
-def _near(query: np.ndarray, pool: np.ndarray, copies: np.ndarray, k: int, own: bool) -> tuple[list, list]:
-    """Squared distances and points of the k nearest in ``pool``, which counts copies, for each query; with ``own``, query i is pool
-    point i, which isn't its own neighbour but whose copies are."""
-    far, near = [], []
-    for i, point in enumerate(query):
-        d2 = ((pool - point) ** 2).sum(axis=1)
-        few = np.argpartition(d2, k)[: k + 1] if len(d2) > k + 1 else np.arange(len(d2))
-        few = few[np.argsort(d2[few], kind="stable")]
-        if own and i not in few:
-            few = np.concatenate([[i], few[:-1]])
-        slots = copies[few] - (few == i if own else 0)
-        picks = np.repeat(few, np.minimum(slots, k))[:k]
-        far.append(d2[picks].tolist())
-        near.append(pool[picks].tolist())
-    return far, near
+def _near(query: np.ndarray, pool: np.ndarray, copies: np.ndarray, k: int, own: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Squared distances to the k nearest in ``pool``, which counts copies, for each query, these points' places in it, and how many there
+    are; with ``own``, query i is pool point i, which isn't its own neighbour but whose copies are."""
+    far, near, found = np.zeros((len(query), k)), np.zeros((len(query), k), dtype=np.int64), np.zeros(len(query), dtype=np.int64)
+    for start in range(0, len(query), TOGETHER):
+        points = query[start : start + TOGETHER]
+        d2 = np.zeros((len(points), len(pool)))
+        for f in range(pool.shape[1]):
+            gap = points[:, f, None] - pool[None, :, f]
+            d2 += gap * gap
+        few = np.argpartition(d2, k, axis=1)[:, : k + 1] if len(pool) > k + 1 else np.broadcast_to(np.arange(len(pool)), d2.shape)
+        few = np.take_along_axis(few, np.argsort(np.take_along_axis(d2, few, 1), axis=1, kind="stable"), 1)
+        slots = copies[few]
+        if own:
+            self_at = np.arange(start, start + len(points))[:, None]
+            lost = ~(few == self_at).any(axis=1)
+            few[lost] = np.concatenate([self_at[lost], few[lost, :-1]], axis=1)
+            slots = copies[few] - (few == self_at)
+        upto = np.minimum(slots, k).cumsum(axis=1)
+        pick = np.minimum((upto[:, :, None] <= np.arange(k)).sum(axis=1), few.shape[1] - 1)
+        places = np.take_along_axis(few, pick, 1)
+        block = slice(start, start + len(points))
+        far[block], near[block], found[block] = np.take_along_axis(d2, places, 1), places, np.minimum(upto[:, -1], k)
+    return far, near, found
 
 
 FOUND = "label int, point_no long, far array<double>, near array<array<double>>"
 
 
+def _found(label: pa.Array, point_no: pa.Array, pool: np.ndarray, far: np.ndarray, near: np.ndarray, held: np.ndarray) -> pa.Table:
+    """Rows of ``FOUND`` from the neighbours that ``held`` marks."""
+    ends = np.concatenate([[0], held.sum(axis=1).cumsum()]).astype(np.int32)
+    points = pool[near[held]]
+    inner = pa.ListArray.from_arrays(np.arange(len(points) + 1, dtype=np.int32) * pool.shape[1], pa.array(points.ravel()))
+    return pa.table({"label": label, "point_no": point_no, "far": pa.ListArray.from_arrays(ends, pa.array(far[held])), "near": pa.ListArray.from_arrays(ends, inner)})
+
+
+def _matrix(rows: pa.Table, names: list[str]) -> np.ndarray:
+    return np.stack([rows[f].to_numpy() for f in names], axis=1)
+
+
 def _in_leaf(features: list[str], k: int):
-    def search(rows: pd.DataFrame) -> pd.DataFrame:
-        points = rows[features].to_numpy(float)
-        far, near = _near(points, points, rows["copies"].to_numpy(np.int64), k, True)
-        return rows[["label", "point_no"]].assign(far=far, near=near)
+    def search(rows: pa.Table) -> pa.Table:
+        points = _matrix(rows, features)
+        far, near, found = _near(points, points, rows["copies"].to_numpy(), k, True)
+        return _found(rows["label"], rows["point_no"], points, far, near, np.arange(k) < found[:, None])
 
     return search
 
 
 def _of_visitors(features: list[str], k: int):
-    def search(rows: pd.DataFrame) -> pd.DataFrame:
-        guest = rows["guest"].to_numpy(bool)
-        points = rows[features].to_numpy(float)
-        far, near = _near(points[guest], points[~guest], rows["copies"].to_numpy(np.int64)[~guest], k, False)
-        return rows.loc[guest, ["label", "point_no"]].assign(far=far, near=near)
+    """Only neighbours within a visitor's reach go back, as others can't be among its k nearest."""
+    def search(rows: pa.Table) -> pa.Table:
+        guest = rows["guest"].to_numpy()
+        points, reach = _matrix(rows, features), rows["reach"].to_numpy()[guest]
+        pool = points[~guest]
+        far, near, found = _near(points[guest], pool, rows["copies"].to_numpy()[~guest], k, False)
+        held = (np.arange(k) < found[:, None]) & (np.isnan(reach)[:, None] | (far <= reach[:, None]))
+        some = held.any(axis=1)
+        of = rows.filter(pa.array(guest)).filter(pa.array(some))
+        return _found(of["label"], of["point_no"], pool, far[some], near[some], held[some])
 
     return search
 
@@ -160,7 +192,7 @@ def _within(features: list[str]) -> Column:
 
 
 def visits(points: DataFrame, levels: list[DataFrame], features: list[str]) -> DataFrame:
-    """(label, point_no, features, node): the leaves other than its own that each of ``points(label, point_no, features, own, reach)`` has to look at,
+    """(label, point_no, features, node, reach): the leaves other than its own that each of ``points(label, point_no, features, own, reach)`` has to look at,
     found from the root down; parts of a node out of reach aren't followed."""
     front = points.withColumn("node", F.lit(0).cast("long"))
     found: DataFrame | None = None
@@ -168,7 +200,7 @@ def visits(points: DataFrame, levels: list[DataFrame], features: list[str]) -> D
         inside = front.join(broadcast_small(level), ["label", "node"]).filter(_within(features))
         inside = inside.select("label", "point_no", "own", "reach", *features, F.col("part").alias("node"), (F.col("n") <= CELL).alias("leaf"))
         inside = reuse(inside)
-        ends = inside.filter(F.col("leaf") & (F.col("node") != F.col("own"))).select("label", "point_no", *features, "node")
+        ends = inside.filter(F.col("leaf") & (F.col("node") != F.col("own"))).select("label", "point_no", *features, "node", "reach")
         found = ends if found is None else found.unionByName(ends)
         front = inside.filter(~F.col("leaf")).drop("leaf")
     return found
@@ -176,9 +208,10 @@ def visits(points: DataFrame, levels: list[DataFrame], features: list[str]) -> D
 
 def nearest_neighbours(points: DataFrame, features: list[str], k: int) -> DataFrame:
     """Distinct points (label, features, copies) with their k nearest of the same label, nearest first, and the squared distances as ``far``."""
+    points = reuse(points)  # numbering reads them three times
     numbered = number_rows(points, features, "point_no", ["label"])
     leaves, levels = build_leaves(numbered, features)
-    home = reuse(leaves.groupBy("label", "node").applyInPandas(_in_leaf(features, k), FOUND))
+    home = reuse(leaves.groupBy("label", "node").applyInArrow(_in_leaf(features, k), FOUND))
     told = home
     if levels:
         reach = F.when(F.size("far") == k, F.element_at("far", -1)).alias("reach")
@@ -188,9 +221,9 @@ def nearest_neighbours(points: DataFrame, features: list[str], k: int) -> DataFr
         shares = reuse(guests.groupBy("label", "node").agg(F.ceil(F.count(F.lit(1)) / VISITORS).cast("int").alias("shares")))
         salted = guests.join(broadcast_small(shares), ["label", "node"]).withColumn("share", F.pmod(F.xxhash64("point_no"), F.col("shares")).cast("int"))
         hosts = leaves.join(broadcast_small(shares), ["label", "node"]).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
-        both = salted.select("label", "node", "share", "point_no", F.lit(0).cast("long").alias("copies"), F.lit(True).alias("guest"), *features).unionByName(
-            hosts.select("label", "node", "share", "point_no", "copies", F.lit(False).alias("guest"), *features))
-        told = home.unionByName(both.groupBy("label", "node", "share").applyInPandas(_of_visitors(features, k), FOUND))
+        both = salted.select("label", "node", "share", "point_no", F.lit(0).cast("long").alias("copies"), F.lit(True).alias("guest"), "reach", *features).unionByName(
+            hosts.select("label", "node", "share", "point_no", "copies", F.lit(False).alias("guest"), F.lit(None).cast("double").alias("reach"), *features))
+        told = home.unionByName(both.groupBy("label", "node", "share").applyInArrow(_of_visitors(features, k), FOUND))
     zipped = F.transform(F.arrays_zip("far", "near"), lambda x: F.struct(x["far"].alias("far"), x["near"].alias("near")))
     merged = told.groupBy("label", "point_no").agg(F.slice(F.array_sort(F.flatten(F.collect_list(zipped))), 1, k).alias("best"))
     return leaves.drop("node").join(merged, ["label", "point_no"]).select(

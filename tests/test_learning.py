@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,6 +99,28 @@ def test_six_dimensions_in_bounded_groups(spark, monkeypatch, shape):
         assert np.allclose(r.far, want[at[tuple(r[c] for c in names)]])
 
 
+def test_neighbours_of_a_leaf_count_copies_and_visitors_give_only_what_is_in_reach():
+    pool, copies = np.array([[0.0], [1.0], [3.0]]), np.array([1, 3, 1])
+    far, near, found = smote_module._near(pool, pool, copies, 3, True)
+    assert found.tolist() == [3, 3, 3] and far.tolist() == [[1, 1, 1], [0, 0, 1], [4, 4, 4]] and near.tolist() == [[1, 1, 1], [1, 1, 0], [1, 1, 1]]
+    assert smote_module._near(pool[:1], pool[:1], np.array([2]), 3, True)[2].tolist() == [1]
+    rows = pa.table({"label": [1] * 5, "point_no": [1, 2, 3, 8, 9], "copies": [1, 3, 1, 0, 0], "guest": [False] * 3 + [True] * 2, "reach": [None] * 3 + [1.0, 4.0], "x": [0.0, 1.0, 3.0, 9.0, 2.5]})
+    got = smote_module._of_visitors(["x"], 3)(rows).to_pylist()
+    assert got == [{"label": 1, "point_no": 9, "far": [0.25, 2.25, 2.25], "near": [[3.0], [1.0], [1.0]]}]
+
+
+def test_numbering_does_not_compute_the_points_again(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    points = spark.range(40).selectExpr("1 AS label", "cast(id AS double) AS x", "1L AS copies").mapInArrow(counted, "label int, x double, copies long")
+    assert nearest_neighbours(points, ["x"], 2).count() == 40 and seen.value == 40
+
+
 def test_split_tree_cuts_the_largest_part_and_stops_at_equal_points():
     rng = np.random.default_rng(1)
     x = rng.normal(0, 1, (640, 3))
