@@ -83,7 +83,7 @@ def stratified_split(d):
 WITH c AS (SELECT CASE WHEN o_orderkey % 10 < 6 THEN 0 WHEN o_orderkey % 10 < 9 THEN 1 ELSE 2 END AS label FROM orders)
 SELECT label, (SELECT max(n) FROM (SELECT count(*) AS n FROM c GROUP BY label)) AS n FROM c GROUP BY label""")
 def oversample(d):
-    return smote(_examples(d), features.FEATURES).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return smote(reuse(_examples(d)), features.FEATURES).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("T3_neighbours", "claims diagnoses procedures", """
