@@ -26,7 +26,7 @@ def train(
     examples = training_examples(claims, diagnoses, procedures, results)
     # Every completed claim gives an example, so its categories are those of the examples.
     encoders = features.fit_encoders(claims.filter(F.col("processing_status") == "COMPLETED"))
-    encoded = features.feature_columns(encoders, examples).select("claim_id", "example", "label", *features.FEATURES)
+    encoded = reuse(features.feature_columns(encoders, examples).select("claim_id", "example", "label", *features.FEATURES))
     split = reuse(learning.stratified_split(encoded, ["claim_id", "example"], 0.2, seed))
     train_rows = split.filter(~F.col("is_test"))
     if balance:
