@@ -333,7 +333,7 @@ FROM claims c LEFT JOIN dc USING (claim_id) LEFT JOIN pc USING (claim_id)
 WHERE c.processing_status = 'COMPLETED' ORDER BY claim_id LIMIT 1000 OFFSET 500""")
 def training_page(d):
     chosen = enrich.page(d.claims.filter(F.col("processing_status") == "COMPLETED").select("claim_id"), ["claim_id"], 1000, 500)
-    return enrich.claim_codes(chosen, d.diagnoses, d.procedures).select(
+    return enrich.page_codes(chosen, d.diagnoses, d.procedures).select(
         "claim_id", joined("diagnoses").alias("diagnoses"), joined("procedures").alias("procedures"))
 
 
@@ -342,7 +342,7 @@ def stored_page(d):
     """The same page from a table in blocks of 400 rows."""
     path = scratch(d.spark, "pages")
     pages.write_pages(d.claims.filter(F.col("processing_status") == "COMPLETED").select("claim_id"), path, ["claim_id"], 400)
-    return enrich.claim_codes(pages.read_page(d.spark, path, 1000, 500), d.diagnoses, d.procedures).select(
+    return enrich.page_codes(pages.read_page(d.spark, path, 1000, 500), d.diagnoses, d.procedures).select(
         "claim_id", joined("diagnoses").alias("diagnoses"), joined("procedures").alias("procedures"))
 
 

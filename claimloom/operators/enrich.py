@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from claimloom import schemas
 from claimloom.functions import scalars as S
+from claimloom.sizing import broadcast_small, reuse
 
 CLAIM_COLUMNS = [
     "claim_id", "patient_age", "provider_type", "place_of_service", "total_charge_amount",
@@ -116,6 +117,14 @@ def claim_codes(claims: DataFrame, diagnoses: DataFrame, procedures: DataFrame)
     )
 
 
+def page_codes(claims: DataFrame, diagnoses: DataFrame, procedures: DataFrame) -> DataFrame:
+    """``claim_codes`` of few claims, like those of a page: lines of other claims go before anything is shuffled. Where the claims are
+    too many to be broadcast, lines meet them in a shuffle join, to the same result."""
+    claims = reuse(claims)
+    ids = broadcast_small(claims.select("claim_id").distinct())
+    return claim_codes(claims, diagnoses.join(ids, "claim_id", "left_semi"), procedures.join(ids, "claim_id", "left_semi"))
+
+
 def claim_summary(claims: DataFrame, diagnoses: DataFrame, procedures: DataFrame) -> DataFrame:
     """One row per claim with its distinct code arrays, free of join fan-out."""
     return claim_codes(claims.select("claim_id"), diagnoses, procedures)

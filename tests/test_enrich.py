@@ -37,6 +37,15 @@ def test_arrays(tables):
     assert out["copies"].procedures[0].diagnosis_pointers == [1]
 
 
+def test_codes_of_a_page_take_only_its_lines(tables):
+    claims, dx, px = tables
+    few = claims.filter("claim_id IN ('copies', 'none')").select("claim_id")
+    found = enrich.page_codes(few, dx, px)
+    assert sorted(found.collect()) == sorted(enrich.claim_codes(few, dx, px).collect())
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftSemi") == 2 and plan.count("strategy=broadcast") >= 2
+
+
 def test_measures_agree_with_arrays(tables):
     fields = ["claim_id", "diagnosis_count", "procedure_count", "primary_diagnosis", "total_procedure_amount"]
     arrays = S.with_claim_measures(enrich.enrich_claims(*tables)).select(fields)

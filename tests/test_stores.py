@@ -60,6 +60,18 @@ def test_a_late_page_reads_its_block_only(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(_block" in plan
 
 
+def test_pages_of_many_blocks_lie_in_few_folders(spark, tmp_path):
+    path = f"file://{tmp_path}/pages"
+    spark.range(20_000).select(F.format_string("k%06d", F.col("id") * 7 % 20_000).alias("k")).write.parquet(f"file://{tmp_path}/rows")
+    rows = spark.read.parquet(f"file://{tmp_path}/rows")
+    pages.write_pages(rows, path, ["k"], 10)
+    assert 200 <= len([f for f in (tmp_path / "pages").iterdir() if f.name.startswith("_block=")]) <= pages.FOLDERS
+    for limit, offset in ((10, 0), (30, 14_485), (2_500, 333), (10, 19_995), (5, 29_000), (0, 50)):
+        got = [r.k for r in pages.read_page(spark, path, limit, offset).collect()]
+        assert got == [f"k{i:06d}" for i in range(20_000)][offset : offset + limit]
+    assert len(pages.read_page(spark, path, 30, 14_485).select(F.input_file_name().alias("f")).distinct().collect()) <= 2
+
+
 NASTY = ['plain', 'a "quoted" [x] {y}', 'back\\slash', 'ends with \\', '\\"', '\\\\"', '}],[{', 'é中\n\t', '', '"' * 7, '\\' * 9]
 
 
