@@ -64,14 +64,20 @@ SELECT claim_id, CASE WHEN cast(right(claim_id, 10) AS BIGINT) % 3 = 0 THEN 2 EL
 def stream_dedupe_within(d):
     """Every claim comes again within the hour, and every third once more after two days, when its key has gone."""
     root = scratch(d.spark, "dedupe")
-    rows = as_claims(d.claims).withColumn("at", F.timestamp_seconds(F.lit(1_700_000_000) + F.right("claim_id", F.lit(10)).cast("long") % 3000))
-    late = rows.filter(F.right("claim_id", F.lit(10)).cast("long") % 3 == 0).withColumn("at", F.col("at") + F.expr("INTERVAL 2 DAYS"))
-    day_after = rows.limit(1).withColumns({"claim_id": F.lit(None).cast("string"), "at": F.col("at") + F.expr("INTERVAL 30 HOURS")})
-    for part in (rows, rows.withColumn("at", F.col("at") + F.expr("INTERVAL 20 MINUTES")), day_after, day_after.withColumn("at", F.col("at") + F.expr("INTERVAL 1 HOUR")), late):
-        part.coalesce(1).write.mode("append").parquet(f"{root}/in")
-    stream = d.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    number = F.right("claim_id", F.lit(10)).cast("long")
+    as_claims(d.claims).withColumn("at", F.timestamp_seconds(F.lit(1_700_000_000) + number % 3000)).write.parquet(f"{root}/in/part0")
+    rows = d.spark.read.parquet(f"{root}/in/part0")
+    again = rows.withColumn("at", F.col("at") + F.expr("INTERVAL 20 MINUTES"))
+    late = rows.filter(number % 3 == 0).withColumn("at", F.col("at") + F.expr("INTERVAL 2 DAYS"))
+    # a row without claim only tells the time
+    day_after = d.spark.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema if f.name != "at"], F.timestamp_seconds(F.lit(1_700_108_000)).alias("at"))
     with state_on_disk(d.spark):
-        _run(dedupe_stream(stream, "claim_id", "at", "1 hour").select("claim_id").writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/cp"))
+        for n, part in enumerate((rows, again, day_after, day_after.withColumn("at", F.col("at") + F.expr("INTERVAL 1 HOUR")), late)):
+            # A part is in as many files as it takes, all of one batch: each run goes on from the checkpoint of the one before it.
+            if n:
+                part.write.parquet(f"{root}/in/part{n}")
+            stream = d.spark.readStream.schema(rows.schema).parquet(f"{root}/in/part*")
+            _run(dedupe_stream(stream, "claim_id", "at", "1 hour").select("claim_id").writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/cp"))
     found = d.spark.read.schema("claim_id string").parquet(f"{root}/out").filter("claim_id IS NOT NULL")
     return found.groupBy("claim_id").agg(F.count(F.lit(1)).cast("int").alias("n_passed"))
 

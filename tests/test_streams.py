@@ -140,3 +140,14 @@ def test_alerts_fire_once_over_restarts_and_go_on_without_events(spark, tmp_path
     # nothing is processed from 12:42 on: idle evaluations begin when ten minutes are empty, and the eleventh fires
     after = [t for a, t in got if t > at(42)]
     assert after == [at(m) for m in range(62, 90)] and {a for a, t in got if t > at(42)} == {"ProcessingStopped"}
+
+
+def test_repeats_within_the_hour_arrive_in_many_files(spark, monkeypatch, tmp_path):
+    from claimloom.catalog import QUERIES, streams
+    from claimloom.llm.storage import settings
+
+    monkeypatch.setattr(streams, "scratch", lambda *_: f"file://{tmp_path}")
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__adaptive__coalescePartitions__enabled="false"):
+        got = {r.claim_id: r.n_passed for r in QUERIES["X3_dedupe_within"](spark, "/root/testdata/sf0.001").collect()}
+    assert got and all(n == (2 if int(c[-10:]) % 3 == 0 else 1) for c, n in got.items())
+    assert all(len(list((tmp_path / "in").rglob(p))) > 1 for p in ("part0/*.parquet", "part1/*.parquet", "part4/*.parquet"))
