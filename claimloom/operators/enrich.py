@@ -27,37 +27,33 @@ def _present(df: DataFrame, names: list[str]) -> list[str]:
     return [n for n in names if n in df.columns]
 
 
-def _diagnosis_entry() -> Column:
+def _diagnosis_entry(x: Column) -> Column:
     return F.struct(
-        F.col("diagnosis_code").alias("code"),
-        F.col("diagnosis_type").alias("type"),
-        F.col("diagnosis_sequence").alias("sequence"),
-        F.col("description"),
-        F.col("is_principal"),
+        x["diagnosis_code"].alias("code"),
+        x["diagnosis_type"].alias("type"),
+        x["diagnosis_sequence"].alias("sequence"),
+        x["description"].alias("description"),
+        x["is_principal"].alias("is_principal"),
     )
 
 
-def _procedure_entry() -> Column:
+def _procedure_entry(x: Column) -> Column:
     return F.struct(
-        F.col("procedure_code").alias("code"),
-        F.col("procedure_type").alias("type"),
-        F.col("procedure_sequence").alias("sequence"),
-        F.col("description"),
-        F.col("charge_amount"),
-        F.col("service_date"),
-        S.parse_pointers("diagnosis_pointers").alias("diagnosis_pointers"),
+        x["procedure_code"].alias("code"),
+        x["procedure_type"].alias("type"),
+        x["procedure_sequence"].alias("sequence"),
+        x["description"].alias("description"),
+        x["charge_amount"].alias("charge_amount"),
+        x["service_date"].alias("service_date"),
+        S.parse_pointers(x["diagnosis_pointers"]).alias("diagnosis_pointers"),
     )
 
 
-def _child_sets(children: DataFrame, code: str, entry: Column, name: str, fields: list[str]) -> DataFrame:
-    """Copies go first, in an aggregation keyed by the whole row: it shrinks each map output and
-    spreads a claim with very many lines. Entries are then built once per distinct row."""
-    return (
-        children.filter(F.col(code).isNotNull())
-        .select("claim_id", *fields).distinct()
-        .groupBy("claim_id")
-        .agg(F.array_sort(F.collect_list(entry)).alias(name))
-    )
+def _child_sets(children: DataFrame, code: str, entry, name: str, fields: list[str]) -> DataFrame:
+    """One array per claim, which has to fit in a row: copies go in the set that each map task keeps of a claim, so that lines are
+    shuffled once, and a claim with very many copies is folded where they are read. Entries are then built once per distinct row."""
+    sets = children.filter(F.col(code).isNotNull()).groupBy("claim_id").agg(F.collect_set(F.struct(*fields)).alias(name))
+    return sets.withColumn(name, F.array_sort(F.transform(name, entry)))
 
 
 def _with_arrays(claims: DataFrame, *sides: DataFrame) -> DataFrame:
@@ -80,8 +76,8 @@ def enrich_claims(
     chosen = claims.filter(F.col("processing_status").isin(statuses or ["PENDING"]))
     return _with_arrays(
         chosen.select(*_present(claims, CLAIM_COLUMNS)),
-        _child_sets(diagnoses, "diagnosis_code", _diagnosis_entry(), "diagnoses", DIAGNOSIS_FIELDS),
-        _child_sets(procedures, "procedure_code", _procedure_entry(), "procedures", PROCEDURE_FIELDS),
+        _child_sets(diagnoses, "diagnosis_code", _diagnosis_entry, "diagnoses", DIAGNOSIS_FIELDS),
+        _child_sets(procedures, "procedure_code", _procedure_entry, "procedures", PROCEDURE_FIELDS),
     )
 
 

@@ -37,6 +37,11 @@ def test_arrays(tables):
     assert out["copies"].procedures[0].diagnosis_pointers == [1]
 
 
+def test_lines_are_aggregated_once_per_side(tables):
+    plan = enrich.enrich_claims(*tables)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 2
+
+
 def test_codes_of_a_page_take_only_its_lines(tables):
     claims, dx, px = tables
     few = claims.filter("claim_id IN ('copies', 'none')").select("claim_id")
