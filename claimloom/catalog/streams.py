@@ -18,9 +18,14 @@ from claimloom.streaming.state import state_on_disk
 ALERT_LIMITS = dict(max_error_rate=0.005)
 
 
+# Files that claims arrive in, at most: a batch that reads the lines reads all of them, so batches must not grow in number with the claims.
+ARRIVING_FILES = 16
+
+
 def _arriving(d, root):
     """Claims as files in a folder a stream can read."""
-    as_claims(d.claims).withColumn("created_date", F.col("service_date").cast("timestamp")).write.parquet(f"{root}/in")
+    claims = as_claims(d.claims).withColumn("created_date", F.col("service_date").cast("timestamp"))
+    claims.coalesce(ARRIVING_FILES).write.parquet(f"{root}/in")
     return claims_stream(d.spark, f"{root}/in", files_per_batch=4)
 
 
@@ -41,7 +46,10 @@ def stream_validation(d):
     """Pending claims validated batch by batch; the same rows as the batch query."""
     root = scratch(d.spark, "validate")
     pending = _arriving(d, root).filter(F.col("processing_status") == "PENDING")
-    _run(validate_stream(pending, d.diagnoses, d.procedures, d.filters, d.code_sets, f"{root}/out", f"{root}/cp",
+    for name, lines in (("diagnoses", d.diagnoses), ("procedures", d.procedures)):
+        lines.write.parquet(f"{root}/{name}")
+    diagnoses, procedures = (d.spark.read.parquet(f"{root}/{name}") for name in ("diagnoses", "procedures"))
+    _run(validate_stream(pending, diagnoses, procedures, d.filters, d.code_sets, f"{root}/out", f"{root}/cp",
                          candidates=_candidates(d)))
     return outcome_text(d.spark.read.parquet(f"{root}/out"))
 

@@ -151,3 +151,15 @@ def test_repeats_within_the_hour_arrive_in_many_files(spark, monkeypatch, tmp_pa
         got = {r.claim_id: r.n_passed for r in QUERIES["X3_dedupe_within"](spark, "/root/testdata/sf0.001").collect()}
     assert got and all(n == (2 if int(c[-10:]) % 3 == 0 else 1) for c, n in got.items())
     assert all(len(list((tmp_path / "in").rglob(p))) > 1 for p in ("part0/*.parquet", "part1/*.parquet", "part4/*.parquet"))
+
+
+def test_claims_arrive_in_a_bounded_number_of_files(spark, tmp_path):
+    from claimloom.catalog import streams
+    from claimloom.catalog.views import Data
+    from claimloom.llm.storage import settings
+
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__adaptive__coalescePartitions__enabled="false", spark__sql__shuffle__partitions="40"):
+        d = Data(spark, "/root/testdata/sf0.001")
+        streams._arriving(d, f"file://{tmp_path}")
+        assert spark.read.parquet(f"file://{tmp_path}/in").count() == d.claims.count()
+    assert 1 < len(list((tmp_path / "in").glob("*.parquet"))) <= streams.ARRIVING_FILES
