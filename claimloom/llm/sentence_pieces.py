@@ -7,13 +7,15 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass
+from operator import add
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from claimloom.llm.storage import Workspace, others, unused, with_row_key
+from claimloom.llm.storage import Workspace, others, settings, unused, with_row_key
 from claimloom.llm.text import texts
 
 BAR = "▁"
@@ -23,11 +25,14 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 # with a heap, to the same result.
 LONGEST_UNIT = 62
 # Units whose lattice one task builds; their rows are small before they are exploded, so Spark would join too many tasks into one.
-UNITS_PER_TASK = 200_000
+# The edges of so many units fit in a task's memory, so they are grouped there without the sort that Spark turns to beyond 128 keys.
+UNITS_PER_TASK = 10_000
+IN_MEMORY = {"spark__sql__objectHashAggregate__sortBased__fallbackThreshold": str(4 * UNITS_PER_TASK)}
 # So many of the most frequent units travel to every task; all others come by a join.
-FREQUENT = 60_000
-# Words that a task remembers.
+FREQUENT = 150_000
+# Words that a task remembers, and words that it counts before it hands counts on.
 REMEMBERED = 60_000
+COUNTED = 150_000
 
 
 @dataclass
@@ -62,13 +67,8 @@ def load_model(path: str, is_bpe: bool = True) -> Pieces:
 
 def cut(word: str, pairs: set[str]) -> list[str]:
     """The word cut wherever no piece reaches across."""
-    out, start = [], 0
-    for i in range(1, len(word)):
-        if word[i - 1 : i + 1] not in pairs:
-            out.append(word[start:i])
-            start = i
-    out.append(word[start:])
-    return out
+    ends = [i for i, pair in enumerate(map(add, word, word[1:]), 1) if pair not in pairs]
+    return [word[i:j] for i, j in zip([0, *ends], [*ends, len(word)])] if ends else [word]
 
 
 def words_of(text: str) -> list[str]:
@@ -139,7 +139,7 @@ def count_units(docs: DataFrame, pieces: Pieces) -> DataFrame:
         for batch in batches:
             for text in texts(batch.column(0)):
                 words.update(words_of((text or b"").decode("utf-8", "replace")))
-                if len(words) > 50_000:
+                if len(words) > COUNTED:
                     yield cut_up(words)
                     words = Counter()
         if words:
@@ -181,15 +181,19 @@ def _all_ends() -> Column:
 def fold_merges() -> Column:
     """Boundaries (a bit each) that are left after as many merges as the unit allows: an aggregate whose step takes the first
     of the sorted edges that spans exactly two symbols, and removes the boundary between them."""
-    longer = F.filter("edges", lambda e: e["l"] > 1)
+    zero = F.lit(0).cast("bigint")
+    longer = F.transform(F.filter("edges", lambda e: e["l"] > 1), lambda e: F.struct(e["ends"].alias("ends"), e["inner"].alias("inner")))
 
-    def step(left: Column, _: Column) -> Column:
-        spans_two = lambda e: (left.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(left.bitwiseAND(e["inner"])) == 1)
-        best = F.get(F.filter(longer, spans_two), F.lit(0))["inner"]
-        return left.bitwiseAND(F.bitwise_not(F.coalesce(best, F.lit(0).cast("bigint"))))
+    def step(acc: Column, _: Column) -> Column:
+        """The edges that no merge can use any more go, so that the next step looks at few."""
+        left = acc["left"]
+        usable = F.filter(acc["open"], lambda e: (left.bitwiseAND(e["ends"]) == e["ends"]) & (left.bitwiseAND(e["inner"]) != zero))
+        best = lambda o: F.get(F.filter(o, lambda e: F.bit_count(left.bitwiseAND(e["inner"])) == 1), F.lit(0))["inner"]
+        merged = lambda o: F.struct(left.bitwiseAND(F.bitwise_not(F.coalesce(best(o), zero))).alias("left"), o.alias("open"))
+        return F.when(F.size(acc["open"]) == 0, acc).otherwise(F.get(F.transform(F.array(usable), merged), F.lit(0)))
 
     merges = F.sequence(F.lit(2), F.greatest(F.length("unit"), F.lit(2)))
-    return F.aggregate(merges, _all_ends(), step)
+    return F.aggregate(merges, F.struct(_all_ends().alias("left"), longer.alias("open")), step, lambda acc: acc["left"])
 
 
 def fold_best_path(unknown_score: float) -> Column:
@@ -246,37 +250,41 @@ def encode(docs: DataFrame, pieces: Pieces, ws: Workspace, id_col: str = "doc_id
 
     Spaces become bars and one bar is put in front, as models with an unchanged alphabet do; texts are cut where no piece
     can reach, and each distinct unit is encoded once. The ``frequent`` commonest units go to every task; the others come to
-    their rows by a join, by unit and then by row. Null and empty texts have no ids. Repeated rows, and rows with equal or null ids,
+    their rows by a join, by unit and then by row, as ids in the order in which the text first has these units. Null and empty texts have no ids. Repeated rows, and rows with equal or null ids,
     are rows of their own; an empty table gives an empty result. A column named like the ids is replaced.
     """
     key = unused("row", docs)
     rows, _ = with_row_key(docs, id_col, ws, key)
     plain = rows.select(F.col(key).alias("row"), F.col(text_col).cast("string").alias("text"))
     counted = ws.save(count_units(plain, pieces))
-    coded = ws.save(encode_units(counted.where(F.length("unit") <= LONGEST_UNIT), pieces))
+    with settings(docs.sparkSession, **IN_MEMORY):
+        coded = ws.save(encode_units(counted.where(F.length("unit") <= LONGEST_UNIT), pieces))
     common = counted.where(F.length("unit") <= LONGEST_UNIT).orderBy(F.desc("n"), "unit").limit(frequent).join(coded, "unit").select("unit", "ids").toPandas()
     # plain containers: the classes of this package are not known where a broadcast is read
-    known = docs.sparkSession.sparkContext.broadcast((dict(zip(common["unit"], range(len(common)))), [np.asarray(x, "<i4").tobytes() for x in common["ids"]]))
+    known = docs.sparkSession.sparkContext.broadcast(dict(zip(common["unit"], [np.asarray(x, "<i4").tobytes() for x in common["ids"]])))
     pairs = pieces.pairs()
 
     def rare(batches):
-        table, easy = known.value[0], set()
-        schema = pa.schema([("row", pa.int64()), ("unit", pa.string())])
+        table, easy = known.value, set()
+        schema = pa.schema([("row", pa.int64()), ("k", pa.int32()), ("unit", pa.string())])
         for batch in batches:
-            at, found = [], []
+            at, order, found = [], [], []
             for row, text in zip(batch.column(0).to_pylist(), texts(batch.column(1))):
-                new = set()
-                for word in set(words_of((text or b"").decode("utf-8", "replace"))) - easy:
+                new: dict[str, None] = {}
+                for word in dict.fromkeys(words_of((text or b"").decode("utf-8", "replace"))):
+                    if word in table or word in easy:
+                        continue
                     seldom = [u for u in cut(word, pairs) if u not in table]
-                    new.update(u for u in seldom if len(u) <= LONGEST_UNIT)
+                    new.update((u, None) for u in seldom if len(u) <= LONGEST_UNIT)
                     if not seldom and len(easy) < REMEMBERED:
                         easy.add(word)
                 at += [row] * len(new)
+                order += range(len(new))
                 found += new
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(found, pa.string())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(order, pa.int32()), pa.array(found, pa.string())], schema=schema)
 
-    seldom = plain.mapInArrow(rare, "row long, unit string").join(coded, "unit").groupBy("row").agg(F.collect_list(F.struct("unit", "ids")).alias("more"))
-    seldom = ws.save(seldom)
+    seldom = plain.mapInArrow(rare, "row long, k int, unit string").join(coded, "unit").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("more"))
+    seldom = ws.save(seldom.select("row", F.col("more")["ids"].alias("more")))
     rest = others(docs, (ids_name,))
     joined = rows.join(seldom, rows[key] == seldom["row"], "left").select(
         *[rows[c] for c in rest], rows[text_col].cast("string").alias(unused("_text", docs)), seldom["more"].alias(unused("_more", docs)))
@@ -284,30 +292,38 @@ def encode(docs: DataFrame, pieces: Pieces, ws: Workspace, id_col: str = "doc_id
     model = docs.sparkSession.sparkContext.broadcast(model)
 
     def task(batches):
-        (place, codes), (table, byte0, unknown) = known.value, model.value
-        own, remembered = Pieces(table, byte0, unknown, []), {}
+        codes, (table, byte0, unknown) = known.value, model.value
+        own, remembered = Pieces(table, byte0, unknown, []), dict(codes)
+        most = len(codes) + REMEMBERED
 
-        def code(word: str, extra: dict[str, list[int]]) -> bytes:
+        def code(word: str, extra: dict[str, bytes], more: list[bytes]) -> bytes:
             out, common_only = b"", True
             for u in cut(word, pairs):
-                i = place.get(u)
-                if i is not None:
-                    out += codes[i]
-                else:
-                    ids = extra[u] if u in extra else ids_of_parts(merge_with_heap(u, table), own)
-                    out += np.asarray(ids, "<i4").tobytes()
-                    common_only = False
-            if common_only and len(remembered) < REMEMBERED:
+                if u in codes:
+                    out += codes[u]
+                    continue
+                common_only = False
+                if len(u) > LONGEST_UNIT:
+                    out += np.asarray(ids_of_parts(merge_with_heap(u, table), own), "<i4").tobytes()
+                    continue
+                if u not in extra:
+                    extra[u] = more[len(extra)]
+                out += extra[u]
+            if common_only and len(remembered) < most:
                 remembered[word] = out
             return out
 
         for batch in batches:
             more = batch.column(len(rest) + 1)
+            rows, units = more.offsets.to_pylist(), (more.values.offsets.to_numpy() * 4).tolist()
+            raw = more.values.values.to_numpy(zero_copy_only=False).astype("<i4").tobytes()
             lists = []
             for k, text in enumerate(texts(batch.column(len(rest)))):
-                extra = {x["unit"]: x["ids"] for x in more[k].as_py() or ()}
+                extra, own_codes = {}, [raw[units[j] : units[j + 1]] for j in range(rows[k], rows[k + 1])]
                 words = words_of((text or b"").decode("utf-8", "replace"))
-                lists.append(b"".join([remembered[w] if w in remembered else code(w, extra) for w in words]))
+                lists.append(b"".join([remembered[w] if w in remembered else code(w, extra, own_codes) for w in words]))
+                if len(extra) != len(own_codes):
+                    raise ValueError(f"a text has {len(extra)} rare units, {len(own_codes)} were encoded")
             ends = np.cumsum([0, *map(len, lists)]) // 4
             ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(lists), "<i4")))
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(rest))] + [ids], names=[*rest, ids_name])
@@ -333,6 +349,22 @@ def decode_ids(ids, strings: list[str], byte0: int | None) -> str:
     return text[1:] if text.startswith(" ") else text
 
 
+def decode_lists(lists: pa.Array, strings: list[str], byte0: int | None) -> pa.Array:
+    """``decode_ids`` of each list, for all of them at once. The joined bytes are valid if each run of byte pieces is, as no character goes
+    on from a run into the next piece; lists with other runs are decoded one by one."""
+    if not len(lists):
+        return pa.array([], pa.string())
+    plain = [bytes([i - byte0]) if byte0 is not None and byte0 <= i < byte0 + 256 else x.encode() for i, x in enumerate(strings)]
+    first, last = lists.offsets[0].as_py(), lists.offsets[-1].as_py()
+    parts = pa.array(plain, pa.large_binary()).take(lists.values.slice(first, last - first))
+    joined = pc.binary_join(pa.ListArray.from_arrays(pc.subtract(lists.offsets, first), parts), pa.scalar(b"", pa.large_binary()))
+    try:
+        text = pc.replace_substring(joined.cast(pa.large_string()), BAR, " ")
+    except pa.ArrowInvalid:
+        return pa.array([decode_ids(x.values.to_numpy().tolist() if x.is_valid else [], strings, byte0) for x in lists], pa.string())
+    return pc.replace_substring_regex(text, r"\A ", "").cast(pa.string())
+
+
 def decode(df: DataFrame, pieces: Pieces, ids_col: str = "ids", text_name: str = "decoded") -> DataFrame:
     """``df`` with the text that the ids stand for; null and empty ids are an empty text. A column named like the text, in any case, is
     replaced; repeated rows stay, and an empty table gives an empty result."""
@@ -343,8 +375,8 @@ def decode(df: DataFrame, pieces: Pieces, ids_col: str = "ids", text_name: str =
     def task(batches):
         strings, byte0 = model.value
         for batch in batches:
-            found = [decode_ids(x.values.to_numpy().tolist() if x.is_valid else [], strings, byte0) for x in batch.column(len(rest))]
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(rest))] + [pa.array(found, pa.string())], names=[*rest, text_name])
+            found = decode_lists(batch.column(len(rest)), strings, byte0)
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(rest))] + [found], names=[*rest, text_name])
 
     return plain.mapInArrow(task, StructType(plain.schema.fields[: len(rest)] + [StructField(text_name, StringType())]))
 

@@ -1,5 +1,6 @@
 """URL rules, language, toxicity, pieces, packing, the pipeline and the registered queries."""
 
+import itertools
 import os
 import random
 import sys
@@ -121,6 +122,48 @@ def test_ids_are_those_of_the_library_and_decode_back(spark, ws, docs):
     assert sentence_pieces.encode(docs([]), pieces, ws).count() == 0
 
 
+def test_rare_units_come_as_ids_in_the_order_of_the_text(spark, ws, docs):
+    model = piece_model(True)
+    rng = random.Random(6)
+    rows = [(i, "".join(rng.choices(" abcéX", k=rng.randint(0, 60)))) for i in range(300)] + [(900, None), (901, ""), (902, "ab " * 50 + "bcab" * 40)]
+    got = {r.doc_id: r.ids for r in sentence_pieces.encode(docs(rows), model, ws, frequent=3).collect()}
+    pairs = model.pairs()
+    parts = lambda t: [p for w in sentence_pieces.words_of(t or "") for u in sentence_pieces.cut(w, pairs) for p in sentence_pieces.merge_with_heap(u, model.table)]
+    assert got == {i: sentence_pieces.ids_of_parts(parts(t), model) for i, t in rows}
+    assert spark.table(f"{ws.name}.t{ws.count}").dtypes == [("row", "bigint"), ("more", "array<array<int>>")]
+
+
+def test_edges_are_grouped_without_a_sort(spark, ws, docs):
+    """Spark's own bound on keys would sort, and spill, all edges of a task."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    runs = lambda: {r.executionId(): r for r in map(store.executionsList().apply, range(store.executionsList().size()))}
+    before = set(runs())
+    words = ["".join(w) for w in itertools.product("abc", repeat=5)]
+    sentence_pieces.encode(docs(list(enumerate(words * 2))), piece_model(True), ws, frequent=1)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    fell = []
+    for i, run in sorted(runs().items()):
+        metrics = [run.metrics().apply(k) for k in range(run.metrics().size())] if i not in before else []
+        values = store.executionMetrics(i)
+        # the first of these runs that collects lists is the lattice's
+        fell = fell or [values.apply(m.accumulatorId()) for m in metrics if m.name() == "number of sort fallback tasks" and values.contains(m.accumulatorId())]
+    assert fell and set(fell) == {"0"}
+
+
+def test_lists_decode_like_single_ones():
+    import pyarrow as pa
+
+    model = piece_model(True)
+    rng = random.Random(9)
+    whole = [sentence_pieces.ids_of_parts(list("".join(rng.choices("▁abcé漢 ", k=rng.randint(0, 9)))), model) for _ in range(200)]
+    odd = [[rng.randrange(len(model.strings)) for _ in range(rng.randint(0, 6))] for _ in range(200)] + [[1 + 0xE2, 1 + 0x96, 1 + 0x81], [1 + 0xC3], [1 + 0xC3, 257, 1 + 0xA9], [], None]
+    for lists in (whole, odd, []):
+        got = sentence_pieces.decode_lists(pa.array(lists, pa.list_(pa.int32())), model.strings, model.byte0).to_pylist()
+        assert got == [sentence_pieces.decode_ids(x or [], model.strings, model.byte0) for x in lists]
+    part = pa.array(whole, pa.list_(pa.int32())).slice(50, 20)
+    assert sentence_pieces.decode_lists(part, model.strings, model.byte0).to_pylist() == [sentence_pieces.decode_ids(x, model.strings, model.byte0) for x in whole[50:70]]
+
+
 def test_packing_keeps_every_token_once(spark, ws, docs):
     rng = random.Random(7)
     rows = [(i, "w " * n) for i, n in enumerate([0, 1, 255, 256, 257, 2048, 2049, 9_999] + [rng.randint(1, 700) for _ in range(200)])] + [(500, None), (None, "x y"), (3, "z")]
