@@ -284,10 +284,12 @@ def encode(docs: DataFrame, pieces: Pieces, ws: Workspace, id_col: str = "doc_id
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(order, pa.int32()), pa.array(found, pa.string())], schema=schema)
 
     seldom = plain.mapInArrow(rare, "row long, k int, unit string").join(coded, "unit").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("more"))
-    seldom = ws.save(seldom.select("row", F.col("more")["ids"].alias("more")))
+    # flat, as an array in an array takes some 24 bytes more in a shuffle
+    seldom = ws.save(seldom.select("row", F.flatten("more.ids").alias("more"), F.transform("more.ids", lambda x: F.size(x).cast("smallint")).alias("sizes")))
+    ws.drop(counted, coded)
     rest = others(docs, (ids_name,))
     joined = rows.join(seldom, rows[key] == seldom["row"], "left").select(
-        *[rows[c] for c in rest], rows[text_col].cast("string").alias(unused("_text", docs)), seldom["more"].alias(unused("_more", docs)))
+        *[rows[c] for c in rest], rows[text_col].cast("string").alias(unused("_text", docs)), seldom["more"].alias(unused("_more", docs)), seldom["sizes"].alias(unused("_sizes", docs)))
     model = (pieces.table, pieces.byte0, pieces.unknown)
     model = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -314,9 +316,10 @@ def encode(docs: DataFrame, pieces: Pieces, ws: Workspace, id_col: str = "doc_id
             return out
 
         for batch in batches:
-            more = batch.column(len(rest) + 1)
-            rows, units = more.offsets.to_pylist(), (more.values.offsets.to_numpy() * 4).tolist()
-            raw = more.values.values.to_numpy(zero_copy_only=False).astype("<i4").tobytes()
+            more, sizes = batch.column(len(rest) + 1), batch.column(len(rest) + 2)
+            rows = sizes.offsets.to_pylist()
+            units = np.concatenate([[0], np.cumsum(sizes.values.to_numpy(zero_copy_only=False), dtype=np.int64) * 4]).tolist()
+            raw = more.values.to_numpy(zero_copy_only=False).astype("<i4").tobytes()
             lists = []
             for k, text in enumerate(texts(batch.column(len(rest)))):
                 extra, own_codes = {}, [raw[units[j] : units[j + 1]] for j in range(rows[k], rows[k + 1])]

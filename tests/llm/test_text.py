@@ -130,7 +130,8 @@ def test_rare_units_come_as_ids_in_the_order_of_the_text(spark, ws, docs):
     pairs = model.pairs()
     parts = lambda t: [p for w in sentence_pieces.words_of(t or "") for u in sentence_pieces.cut(w, pairs) for p in sentence_pieces.merge_with_heap(u, model.table)]
     assert got == {i: sentence_pieces.ids_of_parts(parts(t), model) for i, t in rows}
-    assert spark.table(f"{ws.name}.t{ws.count}").dtypes == [("row", "bigint"), ("more", "array<array<int>>")]
+    assert spark.table(f"{ws.name}.t{ws.count}").dtypes == [("row", "bigint"), ("more", "array<int>"), ("sizes", "array<smallint>")]
+    assert [r.tableName for r in spark.sql(f"SHOW TABLES IN {ws.name}").collect() if r.tableName in (f"t{ws.count - 1}", f"t{ws.count - 2}")] == []
 
 
 def test_edges_are_grouped_without_a_sort(spark, ws, docs):
