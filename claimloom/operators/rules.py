@@ -444,13 +444,22 @@ def counted_passes(claims: DataFrame, rows: DataFrame) -> DataFrame:
     return ends.join(upto.select(*group, "at", "upto"), [*group, "at"]).groupBy("filter_id").agg(F.sum(F.col("sign") * F.col("upto")).alias("n_passed"))
 
 
+def named_lines(lines: DataFrame, code: str, kind: str, tables: RuleTables, rows: DataFrame) -> DataFrame:
+    """Child lines whose code a sound rule of ``rows`` names, as no other can decide a condition; all of them if a condition asks whether
+    there are any codes, or if rules and codes are too many to be broadcast."""
+    asked = rows.filter(F.col("error") == "").select(F.explode("conditions").alias("c")).select("c.*").filter(F.col("kind") == kind)
+    if not tables.small or not asked.filter(~F.col("op").isin("=", "in")).isEmpty():
+        return lines
+    return lines.join(F.broadcast(asked.select(F.explode("codes").alias(code)).distinct()), code, "left_semi")
+
+
 def rule_coverage(
     claims: DataFrame, diagnoses: DataFrame, procedures: DataFrame, filters: DataFrame, code_sets: DataFrame
 ) -> DataFrame:
     """Pass count of every active rule over all claims, for rule sets of any size.
 
     A claim meets only the rules one of its facts leads to, and those are decided in the same row,
-    so nothing but per-rule counts is shuffled after the claim's codes are together. A rule that
+    so nothing but per-rule counts is shuffled after the claim's codes are together. Lines with codes that no rule names go before that. A rule that
     several codes of a claim lead to is counted for the first of them. Rules of numbers alone are found by dyadic intervals, so a claim
     meets those whose interval it lies in. More than ``COMPILED_RULES`` rules of intervals are counted by ``counted_passes`` instead.
     """
@@ -467,6 +476,8 @@ def rule_coverage(
     if counted is not None and rest.isEmpty():
         passed = counted
     else:
+        diagnoses = named_lines(diagnoses, "diagnosis_code", "diagnosis", tables, rest)
+        procedures = named_lines(procedures, "procedure_code", "procedure", tables, rest)
         passed = (
             rule_hits(claims, coded_claims(claims, diagnoses, procedures), tables, rest)
             .filter(first & _passed())

@@ -79,6 +79,16 @@ def test_coverage(data):
         assert got[i] == len([p for p in PASSING if p[1] == i]), i
 
 
+def test_coverage_drops_lines_that_no_rule_names(data):
+    """Only lines with named codes are shuffled, but all of a kind if a rule asks whether there are any."""
+    claims, dx, px, filters, sets = data
+    tables = rules.RuleTables(filters, sets)
+    kept = {r[0] for r in rules.named_lines(dx, "diagnosis_code", "diagnosis", tables, tables.rows).select("diagnosis_code").collect()}
+    assert "A" in kept and "D" not in kept and None not in kept and {f"c{i}" for i in range(70)} <= kept
+    assert rules.named_lines(px, "procedure_code", "procedure", tables, tables.rows).count() == px.count()
+    assert rules.named_lines(px, "procedure_code", "procedure", tables, tables.rows.filter("filter_id <> 7")).count() == 0
+
+
 def test_validation_keeps_prediction_order(spark, data, monkeypatch):
     claims, dx, px, filters, sets = data
     asked = spark.createDataFrame([("a", [6, 99, 1, 12]), ("b", [])], "claim_id string, predicted_filters array<int>")
