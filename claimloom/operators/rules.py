@@ -10,13 +10,19 @@ rows; evaluation comes in two forms that give the same outcome:
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from claimloom.operators.enrich import claim_codes
-from claimloom.operators.numbering import running_totals, sort_bucket
-from claimloom.sizing import is_small, reuse
+from claimloom.sizing import BROADCAST_ROWS, broadcast_small, is_small, reuse
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Atom names of the rule language and the fact kind each one reads.
 KINDS = {
@@ -33,13 +39,18 @@ NUMERIC = ["age", "charge"]
 CODED = ["diagnosis", "procedure"]
 
 HEAD = r"^\s*rule_applies\(\s*\w+\s*\)\s*<=\s*"
-QUOTED = r"""'[^']*'|"[^"]*\""""
 ATOM = (
-    r"(?:\w+\(\s*\w+\s*,\s*(?:" + QUOTED + r"|\w+)\s*\)"      # name(X, 'literal') or name(X, Var)
-    r"|\w+\(\s*\w+\s*\)"                                      # name(Var)
-    r"|\(?\s*\w+\s*(?:<=|>=|==|!=|<|>|=)\s*-?\d+(?:\.\d+)?\s*\)?"  # (Var op number)
-    r"|True)"
+    r"(\w++)\(\s*+\w++\s*+,\s*+(?:'([^']*+)'|\"([^\"]*+)\"|(\w++))\s*+\)"      # name(X, 'literal') or name(X, Var)
+    r"|(\w++)\(\s*+(\w++)\s*+\)"                                               # name(Var)
+    r"|\(?\s*+(\w++)\s*+(<=|>=|==|!=|<|>|=)\s*+(-?\d++(?:\.\d++)?+)\s*+\)?"    # (Var op number)
+    r"|True"
 )
+# What stands for an atom while a rule is read: fields between BAR, between MARKs. Where a text has such characters, ESCAPED stands for them.
+MARK, BAR, ESCAPE = "\x01", "\x02", "\x03"
+ESCAPED = {ESCAPE: ESCAPE + "\x04", MARK: ESCAPE + "\x05", BAR: ESCAPE + "\x06"}
+FIELDS = ["name", "literal", "var", "member", "compared", "op", "number"]
+READ = MARK + BAR.join(["$1$5", "$2$3", "$4", "$6", "$7", "$8", "$9"]) + MARK
+ONE = f"(?:#|{MARK}[^{MARK}]*+{MARK})"
 # Leads every claim to the rules that name neither a code nor an interval, by one of SALTS keys.
 ANY = "any"
 SALTS = 64
@@ -49,49 +60,80 @@ LEVELS = {"age": 9, "charge": 44}
 # Whole units that numbers are counted in, and the comparisons that leave an interval open.
 UNITS = {"age": 1, "charge": 100}
 BETWEEN = ["<", "<=", ">", ">=", "=="]
+# Where ages end: the position of a claim without age.
+AGELESS = 1 << LEVELS["age"]
+# Claims and rule ends that one task counts at once, and sampled ones that tell where such a chunk ends.
+CHUNK_ROWS, SAMPLES_PER_CHUNK = 500_000, 64
 COMPILED_RULES = 256
 COMPILED_CODES = 5_000
 
 
 def parsed_atoms(filters: DataFrame) -> DataFrame:
-    """Rules with their atoms as an array of structs, and an ``error`` for text that is not a
-    conjunction of known atoms."""
+    """Rules with their atoms as arrays of FIELDS, and an ``error`` for text that is not a conjunction of known atoms. A text is
+    searched once: every atom is replaced by its fields."""
     body = F.regexp_replace("rule_definition", HEAD, "")
-    rest = F.regexp_replace(F.col("_body"), ATOM, "#")
-    atoms = F.transform(
-        F.regexp_extract_all(F.col("_body"), F.lit("(" + ATOM + ")"), F.lit(1)),
-        lambda a: F.struct(
-            F.regexp_extract(a, r"^(\w+)\(", 1).alias("name"),
-            F.try_element_at(F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv]), F.regexp_extract(a, r"^(\w+)\(\s*\w+\s*,", 1)).alias("kind"),
-            F.regexp_extract(a, r"^\w+\(\s*\w+\s*,\s*(\w+)\s*\)$", 1).alias("var"),
-            F.regexp_extract(a, r"^\w+\(\s*(\w+)\s*\)$", 1).alias("member"),
-            F.when(
-                a.rlike(r"^\w+\(\s*\w+\s*,\s*['\"]"),
-                F.regexp_extract(a, r"^\w+\(\s*\w+\s*,\s*['\"](.*)['\"]\s*\)$", 1),
-            ).alias("literal"),
-            F.when(
-                ~a.rlike(r"^\w+\(|^True$"), F.regexp_extract(a, r"(\w+)\s*[<>=!]", 1)
-            ).alias("compared"),
-            F.regexp_extract(a, r"(<=|>=|==|!=|<|>|=)", 1).alias("op"),
-            F.regexp_extract(a, r"(-?\d+(?:\.\d+)?)\s*\)?$", 1).alias("number"),
-        ),
-    )
+    for plain, escaped in ESCAPED.items():
+        body = F.replace(body, F.lit(plain), F.lit(escaped))
     return (
-        filters.withColumn("_body", body)
-        .withColumn("_ok", rest.rlike(r"^\s*\(?\s*#\s*\)?(?:\s*&\s*\(?\s*#\s*\)?)*\s*$"))
-        .withColumn("_atoms", atoms)
+        filters.withColumn("_body", F.regexp_replace(body, ATOM, READ))
+        .withColumn("_ok", F.col("_body").rlike(rf"^\s*\(?\s*{ONE}\s*\)?(?:\s*&\s*\(?\s*{ONE}\s*\)?)*\s*$"))
+        .withColumn("_atoms", F.transform(F.regexp_extract_all("_body", F.lit(f"{MARK}([^{MARK}]*+){MARK}"), F.lit(1)), lambda a: F.split(a, BAR)))
         .withColumn("error", F.when(~F.coalesce("_ok", F.lit(False)), "rule text is not a conjunction of known atoms"))
         .drop("_body", "_ok")
     )
 
 
-def _condition_sql(op: str, value_str="NULL", value_num="NULL", set_names="NULL", error="NULL", kind="a.kind") -> str:
+def _literal_sql(text: str) -> str:
+    """A quoted value as it stood in the rule; one of several lines counts as empty."""
+    for plain, escaped in reversed(ESCAPED.items()):
+        text = f"replace({text}, '{escaped}', '{plain}')"
+    return f"CASE WHEN {text} RLIKE '[\n\r\u0085\u2028\u2029]' THEN '' ELSE {text} END"
+
+
+def _condition_sql(op: str, value_str="NULL", value_num="NULL", set_names="NULL", error="NULL", kind="''") -> str:
     return (
         f"named_struct('kind', CAST({kind} AS STRING), 'op', {op}, 'value_str', CAST({value_str} AS STRING), "
         f"'value_num', try_cast({value_num} AS DOUBLE), 'set_names', CAST({set_names} AS ARRAY<STRING>), 'error', CAST({error} AS STRING))"
     )
 
 
+def read_rules(filters: DataFrame) -> tuple[DataFrame, Column]:
+    """Rules with what their conditions are made of, and the conditions as an array: empty for a rule without conditions, one error
+    for a rule that cannot be read. What several conditions look at is a column of its own, so that it is found once a rule."""
+    a, o = ({f: f"{x}[{i}]" for i, f in enumerate(FIELDS)} for x in "ao")
+    kinds = ", ".join(f"'{k}'" for k in KINDS)
+    kind = f"CASE {a['name']} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in KINDS.items()) + " END"
+    numeric = f"{a['name']} IN ({', '.join(repr(k) for k, v in KINDS.items() if v in NUMERIC)})"
+    compared, member = f"array_contains(_compared, {a['var']})", f"array_contains(_members, {a['var']})"
+    condition = lambda op, **values: _condition_sql(op, kind=kind, **values)
+    conditions = f"""flatten(transform(_known, a -> CASE
+        WHEN {a['var']} = '' AND {numeric} THEN array({condition("'=='", value_num=_literal_sql(a['literal']))})
+        WHEN {a['var']} = '' THEN array({condition("'='", value_str=_literal_sql(a['literal']))})
+        WHEN {numeric} AND {member} THEN array({condition("'error'", error="'a number cannot be in a code set'")})
+        WHEN {numeric} AND {compared} THEN transform(filter(_atoms, o -> {o['compared']} = {a['var']}),
+            o -> {condition(f"CASE WHEN {o['op']} = '=' THEN '==' ELSE {o['op']} END", value_num=o['number'])})
+        WHEN {compared} THEN array({condition("'error'", error="'a code cannot be compared with a number'")})
+        WHEN {member} THEN array({condition("'in'", set_names=f"array_sort(array_distinct(transform(filter(_atoms, o -> {o['member']} = {a['var']}), o -> {o['name']})))")})
+        ELSE array({condition("'exists'")}) END))"""
+    error = """CASE WHEN error IS NOT NULL THEN error
+        WHEN size(_unknown) > 0 THEN concat('unknown predicate: ', array_join(_unknown, ', '))
+        WHEN size(_unbound) > 0 THEN concat('unbound variable: ', array_join(_unbound, ', '))
+        WHEN size(_bound) > size(array_distinct(_bound)) THEN 'a variable is bound twice' END"""
+    unreadable = f"array({_condition_sql(chr(39) + 'error' + chr(39), error='_error', kind='NULL')})"
+    used = f"array_remove(transform(_atoms, a -> concat({a['compared']}, {a['member']})), '')"
+    read = (
+        parsed_atoms(filters)
+        .selectExpr(
+            *(f"`{c}`" for c in filters.columns), "error", "_atoms", f"transform(_atoms, a -> {a['compared']}) AS _compared", f"transform(_atoms, a -> {a['member']}) AS _members",
+            f"filter(_atoms, a -> {a['member']} = '' AND {a['name']} IN ({kinds})) AS _known",
+            f"transform(filter(_atoms, a -> {a['name']} <> '' AND {a['member']} = '' AND {a['name']} NOT IN ({kinds})), a -> {a['name']}) AS _unknown")
+        .withColumn("_bound", F.expr(f"array_remove(transform(_known, a -> {a['var']}), '')"))
+        .withColumn("_unbound", F.expr(f"array_except({used}, _bound)"))
+        .withColumn("_error", F.expr(error))
+    )
+    return read, F.expr(f"CASE WHEN _error IS NOT NULL THEN {unreadable} ELSE {conditions} END")
+
+
 def rule_conditions(filters: DataFrame) -> DataFrame:
     """(filter_id, cond_no, kind, op, value_str, value_num, set_names, error) of every rule.
 
@@ -101,32 +143,8 @@ def rule_conditions(filters: DataFrame) -> DataFrame:
 
     Rules are dealt out before they are read: their texts are short, so few tasks hold very many, and reading them is the work.
     """
-    numeric = "a.kind IN ('age', 'charge')"
-    comparisons = "filter(_atoms, o -> o.compared = a.var)"
-    members = "transform(filter(_atoms, o -> o.member = a.var), o -> o.name)"
-    equal_or_op = "CASE WHEN o.op = '=' THEN '==' ELSE o.op END"
-    conditions = f"""flatten(transform(filter(_atoms, a -> a.kind IS NOT NULL), a -> CASE
-        WHEN a.literal IS NOT NULL AND {numeric} THEN array({_condition_sql("'=='", value_num="a.literal")})
-        WHEN a.literal IS NOT NULL THEN array({_condition_sql("'='", value_str="a.literal")})
-        WHEN {numeric} AND size({members}) > 0 THEN array({_condition_sql("'error'", error="'a number cannot be in a code set'")})
-        WHEN {numeric} AND size({comparisons}) > 0 THEN transform({comparisons}, o -> {_condition_sql(equal_or_op, value_num="o.number")})
-        WHEN size({comparisons}) > 0 THEN array({_condition_sql("'error'", error="'a code cannot be compared with a number'")})
-        WHEN size({members}) > 0 THEN array({_condition_sql("'in'", set_names=f"array_sort(array_distinct({members}))")})
-        ELSE array({_condition_sql("'exists'")}) END))"""
-    variables = "transform(filter(_atoms, a -> a.kind IS NOT NULL AND a.var <> ''), a -> a.var)"
-    used = "array_compact(transform(_atoms, o -> coalesce(o.compared, nullif(o.member, ''))))"
-    unknown = "transform(filter(_atoms, a -> a.name <> '' AND a.member = '' AND a.kind IS NULL), a -> a.name)"
-    error = f"""CASE WHEN error IS NOT NULL THEN error
-        WHEN size({unknown}) > 0 THEN concat('unknown predicate: ', array_join({unknown}, ', '))
-        WHEN size(array_except({used}, {variables})) > 0 THEN concat('unbound variable: ', array_join(array_except({used}, {variables}), ', '))
-        WHEN size({variables}) > size(array_distinct({variables})) THEN 'a variable is bound twice' END"""
-    unreadable = f"array({_condition_sql(chr(39) + 'error' + chr(39), error='_error', kind='NULL')})"
-    return (
-        parsed_atoms(filters.select("filter_id", "rule_definition").repartition("filter_id"))
-        .selectExpr("filter_id", "_atoms", f"{error} AS _error")
-        .selectExpr("filter_id", f"posexplode(CASE WHEN _error IS NOT NULL THEN {unreadable} ELSE {conditions} END) AS (cond_no, c)")
-        .selectExpr("filter_id", "cond_no", "c.*")
-    )
+    read, conditions = read_rules(filters.select("filter_id", "rule_definition").repartition("filter_id"))
+    return read.select("filter_id", F.posexplode(conditions).alias("cond_no", "c")).select("filter_id", "cond_no", "c.*")
 
 
 def active_filters(filters: DataFrame) -> DataFrame:
@@ -187,27 +205,67 @@ def _compare(value: Column, op: Column, number: Column) -> Column:
     )
 
 
+def rows_alone(filters: DataFrame) -> DataFrame:
+    """One row per active rule, as in ``RuleTables``, each from its own text: right where ids do not repeat and no condition asks for a
+    code set, which ``in_sets`` tells. A rule without id has no conditions."""
+    read, conditions = read_rules(
+        filters.filter("active")
+        .select("filter_id", "filter_name", F.lit(OUTCOME_TYPE).alias("rule_type"), F.coalesce("description", F.lit("")).alias("details"), "rule_definition")
+        .repartition("filter_id"))
+    none = F.array().cast("array<string>")
+    found = read.withColumn("_read", F.when(F.col("filter_id").isNotNull(), conditions)).select(
+        "filter_id", "filter_name", "rule_type", "details",
+        F.coalesce(F.array_min(F.transform("_read", lambda c: c["error"])), F.lit("")).alias("error"),
+        F.transform("_read", lambda c, i: F.struct(
+            i.alias("cond_no"), c["kind"].alias("kind"), c["op"].alias("op"), c["value_num"].alias("number"),
+            F.when(c["op"] == "=", F.array(c["value_str"])).otherwise(none).alias("codes"))).alias("conditions"))
+    return found.withColumn("conditions", F.coalesce("conditions", F.array().cast(found.schema["conditions"].dataType))) \
+        .withColumn("in_sets", F.exists("conditions", lambda c: c["op"] == "in"))
+
+
+def rows_grouped(filters: DataFrame, code_sets: DataFrame) -> DataFrame:
+    """One row per active rule, as in ``RuleTables``; rules of one id share their conditions."""
+    conditions = reuse(rule_conditions(filters.filter("active")))
+    codes = reuse(code_conditions(conditions, code_sets))
+    per_condition = codes.groupBy("filter_id", "cond_no").agg(F.sort_array(F.collect_set("value")).alias("codes"))
+    arrays = (
+        conditions.join(per_condition, ["filter_id", "cond_no"], "left")
+        .groupBy("filter_id")
+        .agg(F.array_sort(F.collect_list(F.struct(
+            "cond_no", "kind", "op", F.col("value_num").alias("number"),
+            F.coalesce("codes", F.array().cast("array<string>")).alias("codes"),
+        ))).alias("conditions"))
+    )
+    none = F.array().cast(arrays.schema["conditions"].dataType)
+    return rule_header(filters, conditions, code_sets).join(arrays, "filter_id", "left").withColumn("conditions", F.coalesce("conditions", none))
+
+
 class RuleTables:
     """A rule set as one row per active rule: header fields and an array of its conditions, each
     with the codes that meet it. Materialised and measured once; joins broadcast it only while
-    rules and codes stay within ``BROADCAST_ROWS``."""
-
-    def __init__(self, filters: DataFrame, code_sets: DataFrame):
-        conditions = reuse(rule_conditions(filters.filter("active")))
-        codes = reuse(code_conditions(conditions, code_sets))
-        per_condition = codes.groupBy("filter_id", "cond_no").agg(F.sort_array(F.collect_set("value")).alias("codes"))
-        arrays = (
-            conditions.join(per_condition, ["filter_id", "cond_no"], "left")
-            .groupBy("filter_id")
-            .agg(F.array_sort(F.collect_list(F.struct(
-                "cond_no", "kind", "op", F.col("value_num").alias("number"),
-                F.coalesce("codes", F.array().cast("array<string>")).alias("codes"),
-            ))).alias("conditions"))
-        )
-        header = rule_header(filters, conditions, code_sets)
-        none = F.array().cast(arrays.schema["conditions"].dataType)
-        self.rows = reuse(header.join(arrays, "filter_id", "left").withColumn("conditions", F.coalesce("conditions", none)))
-        self.small = is_small(self.rows) and is_small(codes)
+    rules and codes stay within ``BROADCAST_ROWS``.
+
+    Most rules are rows of their own. Conditions are taken apart and grouped for rules whose ids repeat or that ask for code sets, and
+    for all of a rule set of at most ``COMPILED_RULES`` (``few``). Of the others, ``kept`` may turn rows into smaller ones before they are
+    materialised.
+    """
+
+    def __init__(self, filters: DataFrame, code_sets: DataFrame, kept: Callable[[DataFrame], DataFrame] | None = None):
+        kept = kept or (lambda rows: rows)
+        alone = reuse(kept(rows_alone(filters)))
+        self.few = is_small(alone, COMPILED_RULES)
+        if self.few:
+            self.rows = reuse(rows_grouped(filters, code_sets))
+        else:
+            ids = alone.filter("filter_id IS NOT NULL").groupBy("filter_id").agg(F.count(F.lit(1)).alias("n"), F.bool_or("in_sets").alias("in_sets"))
+            others = reuse(ids.filter("n > 1 OR in_sets").select("filter_id"))
+            self.rows = alone.drop("in_sets")
+            if not others.isEmpty():
+                others = F.broadcast(others) if is_small(others) else others
+                grouped = kept(rows_grouped(filters.join(others, "filter_id", "left_semi"), code_sets).withColumn("in_sets", F.lit(False)))
+                self.rows = reuse(self.rows.join(others, "filter_id", "left_anti").unionByName(grouped.drop("in_sets")))
+        n_codes = F.sum(F.aggregate("conditions", F.lit(0).cast("long"), lambda n, c: n + F.size(c["codes"])))
+        self.small = is_small(self.rows) and (self.rows.agg(n_codes.alias("n")).first().n or 0) <= BROADCAST_ROWS
 
     def side(self, df: DataFrame) -> DataFrame:
         """``df`` is no larger than rules and codes together."""
@@ -394,54 +452,143 @@ def _bounds(kind: str) -> Column:
     def above(x: Column) -> Column:
         return at_least(x) + F.when(at_least(x) / unit == x, 1).otherwise(0)
 
-    own = lambda ops, unit_of: F.transform(F.filter(_of(kind), lambda c: c["op"].isin(ops)), lambda c: unit_of(c["number"]) + half)
+    def ends(wide: str, narrow: str, of_wide: Callable[[Column], Column], of_narrow: Callable[[Column], Column]) -> Column:
+        return F.transform("conditions", lambda c: F.when(c["kind"] == kind, F.when(c["op"] == narrow, of_narrow(c["number"])).when(c["op"].isin(wide, "=="), of_wide(c["number"])) + half))
+
     return F.struct(
-        F.greatest(F.lit(0).cast("long"), F.array_max(own([">"], above)), F.array_max(own([">=", "=="], at_least))).alias("lo"),
-        F.least(F.lit(2 * half - 1).cast("long"), F.array_min(own(["<"], at_least)) - 1, F.array_min(own(["<=", "=="], above)) - 1).alias("hi"))
+        F.greatest(F.lit(0).cast("long"), F.array_max(ends(">=", ">", at_least, above))).alias("lo"),
+        F.least(F.lit(2 * half - 1).cast("long"), F.array_min(ends("<=", "<", above, at_least)) - 1).alias("hi"))
+
+
+def with_spans(rows: DataFrame, claims: DataFrame) -> DataFrame:
+    """Rules with ``span`` in place of their conditions if they are ``countable``: the ages and charges they let through as positions, null
+    ages being AGELESS and null charges -1, and the codes of their provider and place, null if they name none."""
+    def open_to(kind: str, all_of_it: tuple[int, int]) -> Column:
+        lo, hi = (F.lit(x).cast("long") for x in all_of_it)
+        return F.when(F.exists("conditions", lambda c: c["kind"] == kind), _bounds(kind)).otherwise(F.struct(lo.alias("lo"), hi.alias("hi")))
+
+    named = lambda kind: F.get(F.transform(_of(kind), lambda c: c["codes"]), F.lit(0)).alias(kind)
+    top = (1 << LEVELS["charge"]) - 1
+    span = F.struct(open_to("age", (0, AGELESS)).alias("age"), open_to("charge", (-1, top)).alias("charge"), named("provider"), named("place"))
+    return rows.withColumn("_counted", countable(claims)).withColumn("span", F.when(F.col("_counted"), span)) \
+        .withColumn("conditions", F.when(F.col("_counted"), F.slice("conditions", 1, 0)).otherwise(F.col("conditions"))).drop("_counted")
+
+
+def _points_below(ages: np.ndarray, start: np.ndarray, end: np.ndarray, age: np.ndarray) -> np.ndarray:
+    """How many of ages[start:end] are below ``age``, for many (start, end, age) at once, bit by bit from the highest: what has a zero
+    where ``age`` has a one is below; the others are parted by that bit, in their order, and searched for the bits left."""
+    found = np.zeros(len(age), np.int64)
+    for bit in reversed(range(AGELESS.bit_length())):
+        ones = (ages >> bit & 1).astype(bool)
+        zeros = np.concatenate(([0], np.cumsum(~ones)))
+        s, e, up = zeros[start], zeros[end], (age >> bit & 1).astype(bool)
+        found += np.where(up, e - s, 0)
+        start, end = np.where(up, zeros[-1] + start - s, s), np.where(up, zeros[-1] + end - e, e)
+        ages = np.concatenate((ages[~ones], ages[ones]))
+    return found
+
+
+def _chunk_counts(rows: pa.Table, starts: pa.Table) -> pa.Table:
+    """(filter_id, n): for each rule end of a chunk, how many claims of its group and ages lie at or before it, times its sign. ``starts``
+    are the claims by age that the chunk's first group has in chunks before."""
+    group, at, sign, lo, hi = (rows[c].to_numpy() for c in ("group", "at", "sign", "lo", "hi"))
+    order = np.lexsort((sign != 0, at, group))  # a claim comes before the rule ends at its place
+    group, sign, lo, hi = (x[order] for x in (group, sign, lo, hi))
+    ends = np.flatnonzero(sign)
+    upto = np.concatenate(([0], np.cumsum(sign == 0)))
+    start, end = upto[np.searchsorted(group, group[ends])], upto[ends]
+    ages, lo, hi = lo[sign == 0].astype(np.int64), lo[ends].astype(np.int64), hi[ends].astype(np.int64) + 1
+    n = _points_below(ages, start, end, hi) - _points_below(ages, start, end, lo)
+    if len(starts):
+        before = np.zeros(AGELESS + 2, np.int64)
+        np.add.at(before, starts["age"].to_numpy() + 1, starts["n"].to_numpy())
+        before = np.cumsum(before)
+        n += np.where(group[ends] == starts["group"][0].as_py(), before[hi] - before[lo], 0)
+    return pa.table({"filter_id": rows["filter_id"].take(pa.array(order[ends])), "n": n * sign[ends]})
+
+
+def _place_among(bounds: list[tuple[int, ...]], keys: list[str]) -> Callable[[DataFrame], DataFrame]:
+    """Adds ``chunk``, the number of sorted bounds that a row's keys are not below, by halves; so many steps as the bounds have bits."""
+    columns = [F.lit(list(c)) if c else F.array().cast("array<bigint>") for c in (zip(*bounds) if bounds else [()] * len(keys))]
+
+    def reached(i: Column) -> Column:
+        met = F.lit(True)
+        for key, c in reversed([*zip(keys, columns)]):
+            met = (F.get(c, i) < F.col(key)) | ((F.get(c, i) == F.col(key)) & met)
+        return F.coalesce(met, F.lit(False))
+
+    def placed(df: DataFrame) -> DataFrame:
+        df = df.withColumn("chunk", F.lit(0))
+        for k in reversed(range(len(bounds).bit_length())):
+            df = df.withColumn("chunk", F.col("chunk") + F.when(reached(F.col("chunk") + ((1 << k) - 1)), 1 << k).otherwise(0))
+        return df
+
+    return placed
 
 
 def counted_passes(claims: DataFrame, rows: DataFrame) -> DataFrame:
-    """(filter_id, n_passed) of ``countable`` rules, without a claim and a rule ever meeting.
+    """(filter_id, n_passed) of rules ``with_spans``, without a claim and a rule ever meeting.
 
-    A rule counts the claims of its provider, place and dyadic pieces of age up to the end of its charges, less those before their
-    start. Both come from running counts along the charge, so the work grows with claims and rules, not with how many claims pass.
+    Claims and the two ends of a rule's charges lie on one line, by group (the provider and place that a rule names) and charge. A rule
+    counts the claims of its ages up to its last charge, less those before its first. The line is cut into chunks of about CHUNK_ROWS rows
+    wherever they end, also among rows of one charge; a chunk counts within itself and knows by age what its first group has in chunks
+    before. So the work grows with claims and rules, not with how many claims pass.
     """
-    kinds = ["age", "charge", "provider", "place"]
-    has = {k: F.size(_of(k)) > 0 for k in kinds}
-    group = ["shape", "provider", "place", "level", "prefix"]
-    any_name, any_age = F.array(F.lit("")), F.array(F.struct(F.lit(-1).alias("level"), F.lit(0).cast("long").alias("prefix")))
-    ends = reuse(
-        rows.select(
-            "filter_id", F.concat_ws(",", *[F.when(has[k], k) for k in kinds]).alias("shape"), _bounds("age").alias("age"), _bounds("charge").alias("charge"),
-            *[F.coalesce(F.get(_of(k), F.lit(0))["codes"], any_name).alias(f"{k}_codes") for k in ("provider", "place")], has["age"].alias("aged"))
-        .filter("charge.lo <= charge.hi")
-        .withColumn("piece", F.explode(F.when(F.col("aged"), dyadic_pieces(F.col("age.lo"), F.col("age.hi"), LEVELS["age"])).otherwise(any_age)))
-        .withColumn("provider", F.explode("provider_codes")).withColumn("place", F.explode("place_codes"))
-        .withColumn("end", F.explode(F.array(F.struct(F.col("charge.hi").alias("at"), F.lit(1).alias("sign")), F.struct((F.col("charge.lo") - 1).alias("at"), F.lit(-1).alias("sign")))))
-        .select("filter_id", "shape", "provider", "place", "piece.*", "end.*"))
-    used = [F.struct(F.lit(r.level).alias("level"), F.lit(r.shape).alias("shape"), *[F.lit(k in r.shape.split(",")).alias(f"by_{k}") for k in kinds])
-            for r in ends.select("shape", "level").distinct().collect()]
-    if not used:
-        return ends.select("filter_id", F.lit(0).cast("long").alias("n_passed"))
-    by = {k: F.col(f"by_{k}") for k in kinds}
+    by = ["by", "provider", "place"]
+    names = lambda *kinds: sum(F.when(has, w).otherwise(0) for w, has in zip((1, 2), kinds))
     whole = claims.select(
-        F.when(F.col("patient_age").isNotNull(), F.least(F.greatest(F.col("patient_age").cast("long") + (1 << (LEVELS["age"] - 1)), F.lit(0)), F.lit((1 << LEVELS["age"]) - 1))).alias("age"),
-        ((F.col("total_charge_amount") * 100).cast("long") + (1 << (LEVELS["charge"] - 1))).alias("charge"),
-        F.col("provider_type").alias("provider"), F.col("place_of_service").alias("place"))
-    points = (
-        whole.withColumn("u", F.explode(F.array(*used))).select("*", "u.*")
-        .filter(reduce(lambda a, b: a & b, [~by[k] | F.col(k).isNotNull() for k in kinds]))
-        .select(
-            "shape", *[F.when(by[k], F.col(k)).otherwise("").alias(k) for k in ("provider", "place")], "level",
-            F.when(by["age"], F.floor(F.col("age") / F.pow(F.lit(2.0), F.col("level"))).cast("long")).otherwise(0).alias("prefix"),
-            F.when(by["charge"], F.col("charge")).otherwise(0).alias("at"))
-    )
-    steps = reuse(
-        points.groupBy(*group, "at").agg(F.count(F.lit(1)).alias("n"))
-        .unionByName(ends.select(*group, "at", F.lit(0).cast("long").alias("n")).distinct())
-        .groupBy(*group, "at").agg(F.sum("n").alias("n")))
-    upto = running_totals(steps, {"upto": F.col("n")}, ["at"], group, sort_bucket(steps, ["at"]))
-    return ends.join(upto.select(*group, "at", "upto"), [*group, "at"]).groupBy("filter_id").agg(F.sum(F.col("sign") * F.col("upto")).alias("n_passed"))
+        F.xxhash64("claim_id").alias("salt"), "provider_type", "place_of_service",
+        F.when(F.col("patient_age").isNull(), AGELESS).otherwise(
+            F.least(F.greatest(F.col("patient_age").cast("long") + (1 << (LEVELS["age"] - 1)), F.lit(0)), F.lit(AGELESS - 1))).alias("age"),
+        F.coalesce((F.col("total_charge_amount") * 100).cast("long") + (1 << (LEVELS["charge"] - 1)), F.lit(-1)).alias("at"))
+    wanted = (
+        rows.select("filter_id", "span.*").filter("filter_id IS NOT NULL AND age.lo <= age.hi AND charge.lo <= charge.hi")
+        .withColumn("by", names(F.col("provider").isNotNull(), F.col("place").isNotNull()))
+        .withColumn("provider", F.explode(F.coalesce("provider", F.array(F.lit(""))))).withColumn("place", F.explode(F.coalesce("place", F.array(F.lit(""))))))
+    groups = broadcast_small(wanted.filter("by > 0").select(*by).distinct().withColumn("group", F.monotonically_increasing_id()))
+    used = [r.by for r in wanted.select("by").distinct().collect()]
+    if not used:
+        return rows.select("filter_id", F.lit(0).cast("long").alias("n_passed")).limit(0)
+
+    def grouped(df: DataFrame) -> DataFrame:
+        alone, named = df.filter("by = 0").withColumn("group", F.lit(-1).cast("long")).drop(*by), df.filter("by > 0").join(groups, by).drop(*by)
+        return named if 0 not in used else alone if used == [0] else alone.unionByName(named)
+
+    def points(whole: DataFrame) -> DataFrame:
+        kinds = {k: F.col(c) for k, c in (("provider", "provider_type"), ("place", "place_of_service"))}
+        named = lambda k, w: F.when(F.col("by").bitwiseAND(w) > 0, kinds[k]).otherwise("").alias(k)
+        some = whole.withColumn("by", F.explode(F.array(*map(F.lit, used)))).select("salt", "age", "at", "by", named("provider", 1), named("place", 2))
+        return grouped(some.filter("provider IS NOT NULL AND place IS NOT NULL")).select(
+            "group", "at", (-F.shiftrightunsigned("salt", 1) - 1).alias("salt"), F.lit(0).cast("byte").alias("sign"), F.col("age").cast("short").alias("lo"), F.col("age").cast("short").alias("hi"),
+            F.lit(None).cast(rows.schema["filter_id"].dataType).alias("filter_id"))
+
+    def ends(wanted: DataFrame) -> DataFrame:
+        last, first = (F.struct(at.alias("at"), F.lit(sign).cast("byte").alias("sign")) for at, sign in ((F.col("charge.hi"), 1), (F.col("charge.lo") - 1, -1)))
+        return grouped(wanted.withColumn("end", F.explode(F.when(F.col("charge.lo") < 0, F.array(last)).otherwise(F.array(last, first))))).select(
+            "group", "end.at", F.shiftrightunsigned(F.xxhash64("filter_id"), 1).alias("salt"), "end.sign", F.col("age.lo").cast("short").alias("lo"), F.col("age.hi").cast("short").alias("hi"), "filter_id")
+
+    keys = ["group", "at", "salt"]
+    n = whole.count() * len(used) + 2 * rows.count()
+    chunks = -(-n // CHUNK_ROWS)
+    share = min(1.0, chunks * SAMPLES_PER_CHUNK / n)
+    sample = points(whole.sample(share, 1)).unionByName(ends(wanted.sample(share, 1))).select(*keys).orderBy(*keys).collect()
+    bounds = sorted({tuple(sample[i * len(sample) // chunks]) for i in range(1, chunks)}) if sample else []
+    placed = _place_among(bounds, keys)
+    cut = F.lit([b[0] for b in bounds]) if bounds else F.array().cast("array<bigint>")
+    # claims of the group that goes on in the next chunk, and from them what every chunk's first group has before
+    held = (
+        placed(points(whole)).withColumn("group", F.when(F.get(cut, F.col("chunk")) == F.col("group"), F.col("group")))
+        .groupBy("chunk", "group", F.col("lo").cast("int").alias("age")).agg(F.count("group").alias("n")).filter("n > 0"))
+    every = claims.sparkSession.createDataFrame([(i, b[0]) for i, b in enumerate(bounds)], "chunk int, group long").select(
+        "chunk", "group", F.explode(F.sequence(F.lit(0), F.lit(AGELESS))).alias("age"), F.lit(0).cast("long").alias("n"))
+    starts = (
+        held.unionByName(every).groupBy("group", "age", "chunk").agg(F.sum("n").alias("n"))
+        .select("group", "age", F.sum("n").over(Window.partitionBy("group", "age").orderBy("chunk")).alias("n"), (F.col("chunk") + 1).alias("chunk"))
+        .filter("n > 0"))
+    line = placed(points(whole).unionByName(ends(wanted)))
+    counted = line.groupBy("chunk").cogroup(starts.groupBy("chunk")).applyInArrow(
+        _chunk_counts, T.StructType([T.StructField("filter_id", rows.schema["filter_id"].dataType), T.StructField("n", T.LongType())]))
+    return counted.groupBy("filter_id").agg(F.sum("n").alias("n_passed"))
 
 
 def named_lines(lines: DataFrame, code: str, kind: str, tables: RuleTables, rows: DataFrame) -> DataFrame:
@@ -461,12 +608,15 @@ def rule_coverage(
     A claim meets only the rules one of its facts leads to, and those are decided in the same row,
     so nothing but per-rule counts is shuffled after the claim's codes are together. Lines with codes that no rule names go before that. A rule that
     several codes of a claim lead to is counted for the first of them. Rules of numbers alone are found by dyadic intervals, so a claim
-    meets those whose interval it lies in. More than ``COMPILED_RULES`` rules of intervals are counted by ``counted_passes`` instead.
+    meets those whose interval it lies in. Of more than ``COMPILED_RULES`` rules, those of intervals are counted by ``counted_passes`` instead.
     """
-    tables = RuleTables(filters, code_sets)
+    tables = RuleTables(filters, code_sets, lambda rows: with_spans(rows, claims))
     rest, counted = tables.rows, None
-    if not is_small(tables.rows.filter(countable(claims)), COMPILED_RULES):
-        rest, counted = tables.rows.filter(~countable(claims)), counted_passes(claims, tables.rows.filter(countable(claims)))
+    if not tables.few:
+        rest, spans = (tables.rows.filter(x) for x in ("filter_id IS NOT NULL AND span IS NULL", "span IS NOT NULL"))
+        if not spans.isEmpty():
+            claims = reuse(claims.select("claim_id", *NUMBERS.values(), "provider_type", "place_of_service"))
+            counted = counted_passes(claims, spans)
     own = (
         F.when(F.col("kind") == "diagnosis", F.col("diagnosis_codes"))
         .when(F.col("kind") == "procedure", F.col("procedure_codes"))

@@ -248,6 +248,57 @@ def test_interval_rules_with_names_are_counted_exactly(spark, monkeypatch):
     assert rows.count() > 300
 
 
+def test_counting_may_cut_between_any_two_rows(spark, monkeypatch):
+    """Chunks end among claims of one charge, one provider and one place, and rules reach over many of them."""
+    monkeypatch.setattr(rules, "COMPILED_RULES", 2)
+    monkeypatch.setattr(rules, "CHUNK_ROWS", 60)
+    rng = random.Random(8)
+    points = [(f"c{i}", rng.choice([None, 3, 17, 18, 64, 90]), rng.choice([None, "A", "A", "B"]), rng.choice([None, "1", "2"]), rng.choice([None, "5.00", "5.00", "5.00", "7.25", "9.00"])) for i in range(700)]
+    claims = spark.createDataFrame(points, "claim_id string, patient_age int, provider_type string, place_of_service string, x string") \
+        .withColumn("total_charge_amount", F.col("x").cast("decimal(12,2)")).drop("x")
+    texts, want = [], []
+    for i in range(150):
+        lo, hi, young, who, where = rng.choice([0, 5, 6]), rng.choice([5, 7.25, 8, 20]), rng.choice([None, 4, 18, 70]), rng.choice([None, None, "A", "C"]), rng.choice([None, None, "2"])
+        charged = i % 5 > 0 or young is None
+        texts.append(" & ".join(([f"charge_amount(X, A) & (A >= {lo}) & (A <= {hi})"] if charged else []) + ([f"patient_age(X, G) & (G < {young})"] if young else [])
+                                + ([f"provider_type(X, '{who}')"] if who else []) + ([f"place_of_service(X, '{where}')"] if where else [])))
+        want.append(sum((not charged or p[4] is not None and lo <= float(p[4]) <= hi) and (not young or p[1] is not None and p[1] < young)
+                        and (not who or p[2] == who) and (not where or p[3] == where) for p in points))
+    filters = spark.createDataFrame([(i, f"r{i}", t, True, "") for i, t in enumerate(texts)] + [(None, "none", texts[0], True, "")],
+                                    "filter_id int, filter_name string, rule_definition string, active boolean, description string")
+    none = [spark.createDataFrame([], f"claim_id string, {k}_code string") for k in ("diagnosis", "procedure")]
+    sets = spark.createDataFrame([], "set_name string, code string")
+    got = {r.filter_id: (r.n_claims, r.n_passed, r.error) for r in rules.rule_coverage(claims, *none, filters, sets).collect()}
+    assert got == {i: (700, n, "") for i, n in enumerate(want)} | {None: (700, 0, "")}
+
+
+def test_rules_read_alone_are_the_rules_read_apart(data, monkeypatch):
+    """Ids that repeat share conditions, rules that ask for sets get their codes, the others are not taken apart."""
+    _, _, _, filters, sets = data
+    more = filters.filter("filter_id IN (1, 5)").withColumn("rule_definition", F.lit("place_of_service(X, '11')"))
+    filters = filters.unionByName(more).unionByName(filters.limit(1).withColumn("filter_id", F.lit(None).cast("int")))
+    columns = ["filter_id", "filter_name", "rule_type", "details", "error", "conditions"]
+
+    def shown(rows):
+        return sorted((str(r) for r in rows.select(columns).collect()))
+
+    apart = shown(rules.rows_grouped(filters, sets))
+    assert shown(rules.RuleTables(filters, sets).rows) == apart
+    monkeypatch.setattr(rules, "COMPILED_RULES", 3)
+    assert shown(rules.RuleTables(filters, sets).rows) == apart
+    alone = rules.rows_alone(filters)
+    assert {r.filter_id for r in alone.filter("in_sets").collect()} == {3, 4, 8}
+    assert set(shown(alone.filter("NOT in_sets AND filter_id NOT IN (1, 5)"))) < set(apart)
+
+
+def test_texts_with_marks_and_lines(spark):
+    """Characters that stand for atoms while a rule is read are plain ones in a literal and no atoms beside it; a literal of several lines is empty."""
+    texts = ["has_diagnosis(X, 'a\x01b\x02\x03')", "has_diagnosis(X, 'a') & \x01\x02\x01", "has_diagnosis(X, 'a\nb')", "has_diagnosis(X, '')", "patient_age(X, '6') & has_diagnosis(X, '#13')"]
+    got = rules.rule_conditions(spark.createDataFrame(list(enumerate(texts)), "filter_id int, rule_definition string")).orderBy("filter_id", "cond_no").collect()
+    assert [(r.filter_id, r.op, r.value_str, r.value_num) for r in got] == [
+        (0, "=", "a\x01b\x02\x03", None), (1, "error", None, None), (2, "=", "", None), (3, "=", "", None), (4, "==", None, 6.0), (4, "=", "#13", None)]
+
+
 def test_rules_are_dealt_out_before_they_are_read(spark):
     """Rules that one task holds are read by several."""
     text = F.concat(F.lit("has_diagnosis(X, '"), F.sha2(F.col("id").cast("string"), 512), F.lit("')"))
