@@ -45,12 +45,12 @@ ATOM = (
     r"|\(?\s*+(\w++)\s*+(<=|>=|==|!=|<|>|=)\s*+(-?\d++(?:\.\d++)?+)\s*+\)?"    # (Var op number)
     r"|True"
 )
-# What stands for an atom while a rule is read: fields between BAR, between MARKs. Where a text has such characters, ESCAPED stands for them.
-MARK, BAR, ESCAPE = "\x01", "\x02", "\x03"
-ESCAPED = {ESCAPE: ESCAPE + "\x04", MARK: ESCAPE + "\x05", BAR: ESCAPE + "\x06"}
+# What stands for an atom while a rule is read: its fields, with BAR before and behind each. Where a text has that character, ESCAPED stands for it.
+BAR, ESCAPE = "\x02", "\x03"
+ESCAPED = {ESCAPE: ESCAPE + "\x04", BAR: ESCAPE + "\x05"}
 FIELDS = ["name", "literal", "var", "member", "compared", "op", "number"]
-READ = MARK + BAR.join(["$1$5", "$2$3", "$4", "$6", "$7", "$8", "$9"]) + MARK
-ONE = f"(?:#|{MARK}[^{MARK}]*+{MARK})"
+READ = BAR + BAR.join(["$1$5", "$2$3", "$4", "$6", "$7", "$8", "$9"]) + BAR
+ONE = f"(?:#|{BAR}(?:[^{BAR}]*+{BAR}){{{len(FIELDS)}}})"
 # Leads every claim to the rules that name neither a code nor an interval, by one of SALTS keys.
 ANY = "any"
 SALTS = 64
@@ -69,17 +69,18 @@ COMPILED_CODES = 5_000
 
 
 def parsed_atoms(filters: DataFrame) -> DataFrame:
-    """Rules with their atoms as arrays of FIELDS, and an ``error`` for text that is not a conjunction of known atoms. A text is
-    searched once: every atom is replaced by its fields."""
+    """Rules with the FIELDS of all their atoms as one array, ``_atoms`` with where each atom's begin in it, and an ``error`` for text that is
+    not a conjunction of known atoms. A text is searched once: every atom is replaced by its fields."""
     body = F.regexp_replace("rule_definition", HEAD, "")
     for plain, escaped in ESCAPED.items():
         body = F.replace(body, F.lit(plain), F.lit(escaped))
+    n = len(FIELDS) + 1
     return (
         filters.withColumn("_body", F.regexp_replace(body, ATOM, READ))
-        .withColumn("_ok", F.col("_body").rlike(rf"^\s*\(?\s*{ONE}\s*\)?(?:\s*&\s*\(?\s*{ONE}\s*\)?)*\s*$"))
-        .withColumn("_atoms", F.transform(F.regexp_extract_all("_body", F.lit(f"{MARK}([^{MARK}]*+){MARK}"), F.lit(1)), lambda a: F.split(a, BAR)))
-        .withColumn("error", F.when(~F.coalesce("_ok", F.lit(False)), "rule text is not a conjunction of known atoms"))
-        .drop("_body", "_ok")
+        .select(
+            *filters.columns, F.split("_body", BAR).alias("_fields"),
+            F.when(~F.coalesce(F.col("_body").rlike(rf"^\s*\(?\s*{ONE}\s*\)?(?:\s*&\s*\(?\s*{ONE}\s*\)?)*\s*$"), F.lit(False)), "rule text is not a conjunction of known atoms").alias("error"))
+        .withColumn("_atoms", F.when(F.size("_fields") > n, F.sequence(F.lit(1), F.size("_fields") - n, F.lit(n))).otherwise(F.array().cast("array<int>")))
     )
 
 
@@ -99,14 +100,13 @@ def _condition_sql(op: str, value_str="NULL", value_num="NULL", set_names="NULL"
 
 def read_rules(filters: DataFrame) -> tuple[DataFrame, Column]:
     """Rules with what their conditions are made of, and the conditions as an array: empty for a rule without conditions, one error
-    for a rule that cannot be read. What several conditions look at is a column of its own, so that it is found once a rule."""
-    a, o = ({f: f"{x}[{i}]" for i, f in enumerate(FIELDS)} for x in "ao")
-    kinds = ", ".join(f"'{k}'" for k in KINDS)
+    for a rule that cannot be read."""
+    a, o = ({f: f"_fields[{x} + {i}]" for i, f in enumerate(FIELDS)} for x in "ao")
     kind = f"CASE {a['name']} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in KINDS.items()) + " END"
-    numeric = f"{a['name']} IN ({', '.join(repr(k) for k, v in KINDS.items() if v in NUMERIC)})"
-    compared, member = f"array_contains(_compared, {a['var']})", f"array_contains(_members, {a['var']})"
+    numeric = "(" + " OR ".join(f"{a['name']} = '{k}'" for k, v in KINDS.items() if v in NUMERIC) + ")"
+    compared, member = (f"exists(_atoms, o -> {o[f]} = {a['var']})" for f in ("compared", "member"))
     condition = lambda op, **values: _condition_sql(op, kind=kind, **values)
-    conditions = f"""flatten(transform(_known, a -> CASE
+    conditions = f"""flatten(transform(filter(_atoms, a -> {a['member']} = '' AND {a['name']} <> ''), a -> CASE
         WHEN {a['var']} = '' AND {numeric} THEN array({condition("'=='", value_num=_literal_sql(a['literal']))})
         WHEN {a['var']} = '' THEN array({condition("'='", value_str=_literal_sql(a['literal']))})
         WHEN {numeric} AND {member} THEN array({condition("'error'", error="'a number cannot be in a code set'")})
@@ -115,22 +115,15 @@ def read_rules(filters: DataFrame) -> tuple[DataFrame, Column]:
         WHEN {compared} THEN array({condition("'error'", error="'a code cannot be compared with a number'")})
         WHEN {member} THEN array({condition("'in'", set_names=f"array_sort(array_distinct(transform(filter(_atoms, o -> {o['member']} = {a['var']}), o -> {o['name']})))")})
         ELSE array({condition("'exists'")}) END))"""
-    error = """CASE WHEN error IS NOT NULL THEN error
-        WHEN size(_unknown) > 0 THEN concat('unknown predicate: ', array_join(_unknown, ', '))
-        WHEN size(_unbound) > 0 THEN concat('unbound variable: ', array_join(_unbound, ', '))
-        WHEN size(_bound) > size(array_distinct(_bound)) THEN 'a variable is bound twice' END"""
+    unknown = f"{a['member']} = '' AND {a['name']} <> ''" + "".join(f" AND {a['name']} <> '{k}'" for k in KINDS)
+    bound = f"array_remove(transform(_atoms, a -> {a['var']}), '')"
+    unbound = f"array_except(array_remove(transform(_atoms, a -> concat({a['compared']}, {a['member']})), ''), {bound})"
+    error = f"""CASE WHEN error IS NOT NULL THEN error
+        WHEN exists(_atoms, a -> {unknown}) THEN concat('unknown predicate: ', array_join(transform(filter(_atoms, a -> {unknown}), a -> {a['name']}), ', '))
+        WHEN size({unbound}) > 0 THEN concat('unbound variable: ', array_join({unbound}, ', '))
+        WHEN size({bound}) > size(array_distinct({bound})) THEN 'a variable is bound twice' END"""
     unreadable = f"array({_condition_sql(chr(39) + 'error' + chr(39), error='_error', kind='NULL')})"
-    used = f"array_remove(transform(_atoms, a -> concat({a['compared']}, {a['member']})), '')"
-    read = (
-        parsed_atoms(filters)
-        .selectExpr(
-            *(f"`{c}`" for c in filters.columns), "error", "_atoms", f"transform(_atoms, a -> {a['compared']}) AS _compared", f"transform(_atoms, a -> {a['member']}) AS _members",
-            f"filter(_atoms, a -> {a['member']} = '' AND {a['name']} IN ({kinds})) AS _known",
-            f"transform(filter(_atoms, a -> {a['name']} <> '' AND {a['member']} = '' AND {a['name']} NOT IN ({kinds})), a -> {a['name']}) AS _unknown")
-        .withColumn("_bound", F.expr(f"array_remove(transform(_known, a -> {a['var']}), '')"))
-        .withColumn("_unbound", F.expr(f"array_except({used}, _bound)"))
-        .withColumn("_error", F.expr(error))
-    )
+    read = parsed_atoms(filters).select(*filters.columns, "_fields", "_atoms", F.expr(error).alias("_error"))
     return read, F.expr(f"CASE WHEN _error IS NOT NULL THEN {unreadable} ELSE {conditions} END")
 
 
@@ -213,14 +206,14 @@ def rows_alone(filters: DataFrame) -> DataFrame:
         .select("filter_id", "filter_name", F.lit(OUTCOME_TYPE).alias("rule_type"), F.coalesce("description", F.lit("")).alias("details"), "rule_definition")
         .repartition("filter_id"))
     none = F.array().cast("array<string>")
-    found = read.withColumn("_read", F.when(F.col("filter_id").isNotNull(), conditions)).select(
+    read = read.select("filter_id", "filter_name", "rule_type", "details", F.when(F.col("filter_id").isNotNull(), conditions).otherwise(F.slice(conditions, 1, 0)).alias("_read"))
+    return read.select(
         "filter_id", "filter_name", "rule_type", "details",
-        F.coalesce(F.array_min(F.transform("_read", lambda c: c["error"])), F.lit("")).alias("error"),
+        F.coalesce(F.array_min(F.col("_read")["error"]), F.lit("")).alias("error"),
         F.transform("_read", lambda c, i: F.struct(
             i.alias("cond_no"), c["kind"].alias("kind"), c["op"].alias("op"), c["value_num"].alias("number"),
-            F.when(c["op"] == "=", F.array(c["value_str"])).otherwise(none).alias("codes"))).alias("conditions"))
-    return found.withColumn("conditions", F.coalesce("conditions", F.array().cast(found.schema["conditions"].dataType))) \
-        .withColumn("in_sets", F.exists("conditions", lambda c: c["op"] == "in"))
+            F.when(c["op"] == "=", F.array(c["value_str"])).otherwise(none).alias("codes"))).alias("conditions"),
+        F.array_contains(F.col("_read")["op"], "in").alias("in_sets"))
 
 
 def rows_grouped(filters: DataFrame, code_sets: DataFrame) -> DataFrame:
@@ -424,6 +417,11 @@ def rule_hits(claims: DataFrame, coded: DataFrame, tables: RuleTables, rows: Dat
     return _claim_facts(coded, levels).join(F.broadcast(keys) if tables.small and is_small(keys) else keys, ["kind", "value"])
 
 
+def _any_of(value: Column, values: list[str]) -> Column:
+    """``isin`` that costs less where it is interpreted, as within conditions."""
+    return reduce(lambda a, b: a | b, [value == x for x in values])
+
+
 def _of(kind: str) -> Column:
     return F.filter("conditions", lambda c: c["kind"] == kind)
 
@@ -435,10 +433,11 @@ def countable(claims: DataFrame) -> Column:
     age, charge = (claims.schema[c].dataType for c in NUMBERS.values())
     if not (isinstance(age, T.IntegralType) and isinstance(charge, T.DecimalType) and charge.scale <= 2 and charge.precision - charge.scale <= 10):
         return F.lit(False)
-    inside = lambda c, kind: (c["kind"] == kind) & c["op"].isin(BETWEEN) & (F.abs(c["number"] * UNITS[kind]) < (1 << (LEVELS[kind] - 1)) - 1)
+    inside = lambda c, kind: (c["kind"] == kind) & _any_of(c["op"], BETWEEN) & (F.abs(c["number"] * UNITS[kind]) < (1 << (LEVELS[kind] - 1)) - 1)
     fits = F.forall("conditions", lambda c: F.coalesce(
-        inside(c, "age") | inside(c, "charge") | (c["kind"].isin("provider", "place") & c["op"].isin("=", "in")), F.lit(False)))
-    return (F.col("error") == "") & fits & (F.size(_of("age")) + F.size(_of("charge")) > 0) & (F.size(_of("provider")) < 2) & (F.size(_of("place")) < 2)
+        inside(c, "charge") | inside(c, "age") | (_any_of(c["kind"], ["provider", "place"]) & _any_of(c["op"], ["=", "in"])), F.lit(False)))
+    numbers = F.exists("conditions", lambda c: _any_of(c["kind"], NUMERIC))
+    return (F.col("error") == "") & fits & numbers & (F.size(_of("provider")) < 2) & (F.size(_of("place")) < 2)
 
 
 def _bounds(kind: str) -> Column:
@@ -453,7 +452,7 @@ def _bounds(kind: str) -> Column:
         return at_least(x) + F.when(at_least(x) / unit == x, 1).otherwise(0)
 
     def ends(wide: str, narrow: str, of_wide: Callable[[Column], Column], of_narrow: Callable[[Column], Column]) -> Column:
-        return F.transform("conditions", lambda c: F.when(c["kind"] == kind, F.when(c["op"] == narrow, of_narrow(c["number"])).when(c["op"].isin(wide, "=="), of_wide(c["number"])) + half))
+        return F.transform("conditions", lambda c: F.when(c["kind"] == kind, F.when(c["op"] == narrow, of_narrow(c["number"])).when(_any_of(c["op"], [wide, "=="]), of_wide(c["number"])) + half))
 
     return F.struct(
         F.greatest(F.lit(0).cast("long"), F.array_max(ends(">=", ">", at_least, above))).alias("lo"),
@@ -571,16 +570,16 @@ def counted_passes(claims: DataFrame, rows: DataFrame) -> DataFrame:
     n = whole.count() * len(used) + 2 * rows.count()
     chunks = -(-n // CHUNK_ROWS)
     share = min(1.0, chunks * SAMPLES_PER_CHUNK / n)
-    sample = points(whole.sample(share, 1)).unionByName(ends(wanted.sample(share, 1))).select(*keys).orderBy(*keys).collect()
-    bounds = sorted({tuple(sample[i * len(sample) // chunks]) for i in range(1, chunks)}) if sample else []
+    sample = sorted(tuple(r) for r in points(whole.sample(share, 1)).unionByName(ends(wanted.sample(share, 1))).select(*keys).collect())
+    bounds = sorted({sample[i * len(sample) // chunks] for i in range(1, chunks)}) if sample else []
     placed = _place_among(bounds, keys)
     cut = F.lit([b[0] for b in bounds]) if bounds else F.array().cast("array<bigint>")
     # claims of the group that goes on in the next chunk, and from them what every chunk's first group has before
     held = (
         placed(points(whole)).withColumn("group", F.when(F.get(cut, F.col("chunk")) == F.col("group"), F.col("group")))
         .groupBy("chunk", "group", F.col("lo").cast("int").alias("age")).agg(F.count("group").alias("n")).filter("n > 0"))
-    every = claims.sparkSession.createDataFrame([(i, b[0]) for i, b in enumerate(bounds)], "chunk int, group long").select(
-        "chunk", "group", F.explode(F.sequence(F.lit(0), F.lit(AGELESS))).alias("age"), F.lit(0).cast("long").alias("n"))
+    every = claims.sparkSession.range(0, len(bounds), 1, 1).select(
+        F.col("id").cast("int").alias("chunk"), F.get(cut, F.col("id").cast("int")).alias("group"), F.explode(F.sequence(F.lit(0), F.lit(AGELESS))).alias("age"), F.lit(0).cast("long").alias("n"))
     starts = (
         held.unionByName(every).groupBy("group", "age", "chunk").agg(F.sum("n").alias("n"))
         .select("group", "age", F.sum("n").over(Window.partitionBy("group", "age").orderBy("chunk")).alias("n"), (F.col("chunk") + 1).alias("chunk"))
